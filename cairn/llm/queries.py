@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import warc
 from .bpe import op8_bpe_codec
+from .html_text import op9_html_text
+from .quality import op7_quality
 from .token_counts import op1_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op5_warc": warc.op5_warc,
+    "op7_quality": op7_quality,
     "op8_bpe_codec": op8_bpe_codec,
+    "op9_html_text": op9_html_text,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_warc": warc.ORACLE_SQL,
+}
