@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import warc
+from . import decontaminate, licenses, warc
 from .bpe import op8_bpe_codec
 from .html_text import op9_html_text
 from .quality import op7_quality
@@ -14,6 +14,8 @@ from .token_counts import op1_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op3_license_scan": licenses.op3_license_scan,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_warc": warc.op5_warc,
     "op7_quality": op7_quality,
     "op8_bpe_codec": op8_bpe_codec,
@@ -21,5 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_license_scan": licenses.oracle(),
+    "op4_decontaminate": decontaminate.oracle(),
     "op5_warc": warc.ORACLE_SQL,
 }
