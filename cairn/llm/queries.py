@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import decontaminate, licenses, warc
 from .bpe import op8_bpe_codec
 from .html_text import op9_html_text
+from .line_dedup import op10_line_dedup
 from .quality import op7_quality
 from .token_counts import op1_token_counts
 
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_bpe_codec": op8_bpe_codec,
     "op9_html_text": op9_html_text,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
