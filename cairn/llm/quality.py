@@ -62,7 +62,7 @@ class Terms:
         known = self.known
         if len(known) > MEMORY_WORDS:
             known.clear()
-        for w in counts.keys() - known.keys():
+        for w in [w for w in counts if w not in known]:
             known[w] = (place("word " + w.lower()), place(shape(w)))
         n = counts.total()
         times = np.fromiter(counts.values(), float, len(counts))
