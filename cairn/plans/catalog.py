@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import diff_queries
+
+QUERIES: dict = dict(diff_queries.QUERIES)
+ORACLE_SQL: dict = dict(diff_queries.ORACLE_SQL)
