@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import diff_queries
+from . import audit_queries, diff_queries
 
-QUERIES: dict = dict(diff_queries.QUERIES)
-ORACLE_SQL: dict = dict(diff_queries.ORACLE_SQL)
+QUERIES: dict = diff_queries.QUERIES | audit_queries.QUERIES
+ORACLE_SQL: dict = diff_queries.ORACLE_SQL | audit_queries.ORACLE_SQL
