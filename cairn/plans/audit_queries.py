@@ -200,7 +200,7 @@ ORACLE_SQL = {
           CASE WHEN contains(path, '.') THEN lower(string_split(path, '.')[-1]) ELSE '' END AS extension, CASE WHEN page_id <> 0 THEN lower(to_hex(page_id)) END AS id_hex,
           strftime(make_timestamp(CAST(page_id * 1000000123 // 1000000000 * 1000000 AS BIGINT)), '%Y-%m-%dT%H:%M:%S') || '.' || lpad(CAST(page_id * 1000000123 % 1000000000 // 100 AS VARCHAR), 7, '0') || 'Z' AS utc,
           CAST(round_even(log2(greatest(n, 1)), 0) AS INTEGER) AS band, greatest(90, ceil(n * 1000000 / 9663676416.0) * 90)::DOUBLE AS timeout,
-          CASE WHEN n * 1000 < 1000 THEN n * 1000 || ' B' WHEN n < 1000 THEN printf('%.2f KB', n * 1000 / 1000.0) WHEN n < 1000000 THEN printf('%.2f MB', n / 1000.0) ELSE printf('%.2f GB', n / 1000000.0) END AS shown,
+          CASE WHEN n * 1000 < 1000 THEN n * 1000 || ' B' WHEN n < 1000 THEN n || '.00 KB' WHEN n < 1000000 THEN printf('%d.%02d MB', (n + 5) // 10 // 100, (n + 5) // 10 % 100) ELSE printf('%d.%02d GB', (n + 5000) // 10000 // 100, (n + 5000) // 10000 % 100) END AS shown,
           CAST(nullif(regexp_extract(url, '[+-]?(?:\\d+(?:\\.\\d*)?|\\.\\d+)', 0), '') AS DOUBLE) AS number, true AS digest FROM p""",
     "snapshot_counts": f"""{_with(FILES, SIDES, DIAGNOSTICS)} SELECT 'total' AS section, 'entries' AS key, count(*) AS value FROM files UNION ALL SELECT 'total', 'bytes', CAST(coalesce(sum(size), 0) AS BIGINT) FROM files UNION ALL SELECT 'total', 'dirs', count(*) FROM nd
         UNION ALL SELECT 'total', 'errors', count(*) FROM dg UNION ALL SELECT 'total', 'dir_errors', count(*) FROM nd WHERE root = 'src7' AND path = 'de' UNION ALL SELECT 'total', 'failed_roots', 0
