@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, stored
 
 #: Words of a window; an item of fewer words is one window of its own length.
 WINDOW = 8
@@ -79,8 +79,8 @@ def item_windows(items: DataFrame, sizes: list[int]) -> DataFrame:
 def slots(rows: DataFrame, key: str) -> DataFrame:
     """Places, kinds and written values of the slots of every text."""
     words = plain(F.col("text"))
-    both = rows.select(key, F.posexplode(F.arrays_zip(template(words).alias("kind"), F.split(F.lower(words), " ").alias("value"))).alias("place", "w"))
-    return both.select(key, "place", "w.kind", F.regexp_replace("w.value", "[.,;:!?()]+$", "").alias("value")).where(is_slot(F.col("kind")))
+    kinds = F.transform(F.arrays_zip(template(words).alias("kind"), F.split(F.lower(words), " ").alias("value")), lambda w, i: F.when(is_slot(w["kind"]), F.struct(i.alias("place"), w["kind"].alias("kind"), w["value"].alias("value"))))
+    return rows.select(key, F.explode(F.array_compact(kinds)).alias("w")).select(key, "w.place", "w.kind", F.regexp_replace("w.value", "[.,;:!?()]+$", "").alias("value"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -96,14 +96,17 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         placed = words.select("doc_id", F.lit(WINDOW).alias("size"), F.posexplode(windows(F.col("words"), WINDOW)).alias("at", "hash"))
     else:
         placed = words.select("doc_id", F.explode(by_size).alias("w")).select("doc_id", "w.*")
-    hits = placed.join(wanted, ["hash", "size"]).select("doc_id", "item_id", "size", "at", "place", "hash", "n_windows")
+    # Hits are few; they are used more than once, and finding them is what costs.
+    hits = stored(placed.join(wanted, ["hash", "size"]).select("doc_id", "item_id", "size", "at", "place", "hash", "n_windows"), "hits")
     counted = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("hash").alias("held"), F.max("n_windows").alias("n_windows"))
-    found = counted.where(F.col("held") >= SHARE * F.col("n_windows"))
+    found = stored(counted.where(F.col("held") >= SHARE * F.col("n_windows")), "found")
     # Slots of items are few; those of documents are joined where a window of a match covers them.
     own = slots(benchmark, "item_id").select("item_id", F.col("place").alias("slot"), F.col("kind").alias("slot_kind"), F.col("value").alias("item_value"))
     covered = hits.join(found.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi").join(own, "item_id")
     covered = covered.where((F.col("slot") >= F.col("place")) & (F.col("slot") < F.col("place") + F.col("size"))).select("doc_id", "item_id", "slot_kind", "item_value", (F.col("at") + F.col("slot") - F.col("place")).alias("place"), (F.col("at") - F.col("place")).alias("shift")).distinct()
-    theirs = slots(docs, "doc_id").withColumnsRenamed({"kind": "doc_kind"})
+    covered = stored(covered, "covered")
+    # Only documents with a slot to check are read for their slots; Spark chooses the join by the size of the files just written.
+    theirs = slots(docs.join(covered.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id").withColumnsRenamed({"kind": "doc_kind"})
     agreed = covered.join(theirs, ["doc_id", "place"]).groupBy("doc_id", "item_id", "shift", "slot_kind", "item_value").agg(F.countDistinct("value").alias("values"))
     broken = agreed.groupBy("doc_id", "item_id", "shift").agg((F.max("values") > 1).alias("broken")).groupBy("doc_id", "item_id").agg(F.min("broken").alias("broken")).where("broken")
     return found.join(broken, ["doc_id", "item_id"], "left_anti").select("doc_id", "item_id", "held", (F.col("held") / F.col("n_windows")).alias("share"))
