@@ -55,6 +55,11 @@ def windows(words: Column, size: int) -> Column:
     return F.transform(places, lambda i: F.xxhash64(F.slice(words, i, size)))
 
 
+def windows_of(words: Column, size: int) -> Column:
+    """The same with the size and place of each window."""
+    return F.transform(windows(words, size), lambda h, i: F.struct(F.lit(size).alias("size"), i.alias("at"), h.alias("hash")))
+
+
 def is_slot(word: Column) -> Column:
     return word.rlike(f"^[{NUMBER}{UNIT}{NAME}]+$")
 
@@ -91,7 +96,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     words = docs.select("doc_id", template(plain(F.col("text"))).alias("words"))
-    by_size = F.flatten(F.array(*[F.transform(windows(F.col("words"), k), lambda h, i, k=k: F.struct(F.lit(k).alias("size"), i.alias("at"), h.alias("hash"))) for k in sizes])) if len(sizes) > 1 else None
+    by_size = F.flatten(F.array(*[windows_of(F.col("words"), k) for k in sizes])) if len(sizes) > 1 else None
     if by_size is None:
         placed = words.select("doc_id", F.lit(WINDOW).alias("size"), F.posexplode(windows(F.col("words"), WINDOW)).alias("at", "hash"))
     else:
