@@ -50,9 +50,9 @@ class Automaton:
         for time, (u, v, uv) in enumerate(merges, 1):
             if uv in self.target:
                 raise ValueError(f"token {uv} is made by two merges")
-            end, middle = self.target[v], self.target[u]
-            if not self.has_arc(middle, v, time):
+            if u not in self.target or v not in self.target or not self.has_arc(self.target[u], v, time):
                 continue  # no word has u before v by now, so none has uv
+            end, middle = self.target[v], self.target[u]
             if sharing[middle] > 1 or middle == 0 or u == v:
                 sharing[middle] -= 1
                 self.parent.append((middle, time))
