@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit_queries, diff_queries
+from . import audit_queries, diff_queries, metadata_queries
 
-QUERIES: dict = diff_queries.QUERIES | audit_queries.QUERIES
-ORACLE_SQL: dict = diff_queries.ORACLE_SQL | audit_queries.ORACLE_SQL
+QUERIES: dict = diff_queries.QUERIES | audit_queries.QUERIES | metadata_queries.QUERIES
+ORACLE_SQL: dict = diff_queries.ORACLE_SQL | audit_queries.ORACLE_SQL | metadata_queries.ORACLE_SQL
