@@ -178,7 +178,7 @@ QUERIES = {
     "issue_flags": lambda s, d: issues.issue_flags(history.latest_attempt(attempts(s, d))),
     "capped_details": lambda s, d: issues.capped(files(s, d).where("meta_status = 'error'").select("root_label", "rel_path", "entry"), "root_label", F.col("entry").asc(), limit=5),
     "payload_tags": event_tags,
-    "journal_rollup": lambda s, d: journal.event_rollup(table(s, d, "events")),
+    "journal_rollup": lambda s, d: journal.event_rollup(table(s, d, "events")).withColumn("value", F.round("value", 4)),
     "run_history": shaped_history,
     "business_projection": business,
     "business_digest": lambda s, d: projections.business_digest(business(s, d)),
@@ -253,7 +253,7 @@ ORACLE_SQL = {
     "capped_details": f"{_with(FILES)}, x AS (SELECT root_label, rel_path, entry, row_number() OVER (PARTITION BY root_label ORDER BY entry) AS k, count(*) OVER (PARTITION BY root_label) AS total FROM files WHERE meta_status = 'error') SELECT root_label, rel_path, entry, total FROM x WHERE k <= 5",
     "payload_tags": """WITH t AS (SELECT event_id, lower(unnest(json_keys(props))) AS tag, unnest(json_keys(props)) AS k, props FROM events), v AS (SELECT event_id, tag, json_extract_string(props, '$.' || k) AS value FROM t)
         SELECT event_id, tag AS family, tag, value, CAST(NULL AS VARCHAR) AS number FROM v UNION ALL SELECT event_id, '*', tag, value, NULL FROM v""",
-    "journal_rollup": "SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n, sum(value) AS value FROM events GROUP BY ALL",
+    "journal_rollup": "SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL",
     "run_history": """SELECT 'event' AS record_type, CAST(event_id AS VARCHAR) AS record_key, CAST(NULL AS VARCHAR) AS recorded_at, CAST(json_object('event_id', event_id, 'event_type', event_type) AS VARCHAR) AS payload FROM events
         UNION ALL SELECT 'order', CAST(o_orderkey AS VARCHAR), NULL, CAST(json_object('o_orderkey', o_orderkey, 'o_orderstatus', o_orderstatus) AS VARCHAR) FROM orders""",
     "business_projection": f"""{_with(SIDES)} SELECT 'entries' AS section, CAST(json_object('root_label', root, 'rel_path', path) AS VARCHAR) AS key, CAST(json_object('hash_hex', hash, 'size', size) AS VARCHAR) AS values FROM o
