@@ -1,31 +1,15 @@
-"""What several operators of this folder need: shared storage, word splitting and salted joins."""
+"""What several operators of this folder need: shared storage and salted joins."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words are maximal runs of anything but ASCII white space.
-BLANKS = r"[\x20\x09-\x0D]+"
+from cairn.sources.storage import shared_dir, stored
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the session leaves it unset, a temporary folder serves, but only in
-    local mode, where driver and executors are one machine.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    found = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
+__all__ = ["documents", "fresh_dir", "salted_join", "shared_dir", "stored"]
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
@@ -33,23 +17,6 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: later stages restart from these files."""
-    path = fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def ascii_lower(text: Column) -> Column:
-    """Lower-case A-Z and nothing else."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def words(text: Column) -> Column:
-    """Words of a text; null and blank texts have none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda w: w != "")
-
-
 def salted_join(big: DataFrame, small: DataFrame, key: str, salt_by: list[str], how: str = "left", salts: int = 16) -> DataFrame:
     """Equi-join in which the rows of a hot key of ``big`` go to ``salts`` tasks.
 
