@@ -136,7 +136,8 @@ def full_sets(docs: DataFrame, chosen: DataFrame, frequent: np.ndarray, percent:
     place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("long")
     made = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", place.alias("place"), "text")
     made = made.mapInArrow(run, "doc_id long, cls long, n long, shingles array<long>, first array<long>")
-    return made.join(chosen, ["doc_id", "cls"]).drop("doc_id").dropDuplicates(["cls"])
+    # A class has one chosen document, so this keeps one row a class, where the join has put it.
+    return made.join(chosen, ["doc_id", "cls"]).dropDuplicates(["doc_id", "cls"]).drop("doc_id")
 
 
 def product(rows: list[tuple[int, np.ndarray]], columns: list[tuple[int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
@@ -215,29 +216,36 @@ def linked_classes(docs: DataFrame, base: DataFrame, classes: DataFrame, percent
         bound = 2**level
     frequent = shared.where(F.col("times") >= bound).select("hash").toArrow().column("hash").to_numpy() if bound else np.zeros(0, np.int64)
     sets = stored(full_sets(docs, chosen, frequent, percent), "sets")
-    places = sets.select(F.explode("first").alias("hash"), "cls", "score")
-    lists = stored(places.groupBy("hash").agg(F.count("*").alias("m"), F.max(F.struct("score", "cls")).alias("best")).where("m > 1").select("hash", "m", F.col("best.cls").alias("pivot")), "lists")
-    members = stored(places.select("hash", "cls").join(lists, "hash"), "members")
-    # Every class meets the pivots of its lists.
-    pivots = members.where("cls <> pivot").select(F.col("pivot").alias("block"), F.lit(1).alias("side"), "cls").distinct()
-    pivots = pivots.unionByName(members.select(F.col("pivot").alias("block"), F.lit(0).alias("side"), F.col("pivot").alias("cls")).distinct())
+    places = sets.select(F.explode("first").alias("hash"), "cls", "n", "score")
+    best = F.max(F.struct("score", "cls", "n"))
+    lists = stored(places.groupBy("hash").agg(F.count("*").alias("m"), best.alias("best")).where("m > 1").select("hash", "m", F.col("best.cls").alias("pivot"), F.col("best.n").alias("pivot_n")), "lists")
+    members = stored(places.select("hash", "cls", "n").join(lists, "hash"), "members")
+    # Every class meets the pivots of its lists, if their sizes let them link.
+    met = members.where("cls <> pivot").where(100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")).select("pivot", "cls").distinct()
+    pivots = met.select(F.col("pivot").alias("block"), F.lit(1).alias("side"), "cls").unionByName(met.select(F.col("pivot").alias("block"), F.lit(0).alias("side"), F.col("pivot").alias("cls")).distinct())
     links = stored(products(pivots, sets, percent), "links")
     roots = components(links)
     # What a list has outside its pivot's component meets the whole list. Lists of two are done.
     label = roots.select(F.col("node").alias("cls"), F.col("root").alias("label"))
     pivot_label = roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_label"))
     labelled = members.where("m > 2").join(label, "cls", "left").join(pivot_label, "pivot", "left")
-    labelled = stored(labelled.select("hash", "cls", "pivot", "m", (F.coalesce("label", "cls") != F.coalesce("pivot_label", "pivot")).alias("outside")), "labelled")
+    labelled = stored(labelled.select("hash", "cls", "n", "pivot", "m", (F.coalesce("label", "cls") != F.coalesce("pivot_label", "pivot")).alias("outside")), "labelled")
+    rest = stored(products(meeting(labelled, percent), sets, percent), "links")
+    return components(links.unionByName(rest)) if not rest.isEmpty() else roots
+
+
+def meeting(labelled: DataFrame, percent: int) -> DataFrame:
+    """Blocks for ``products``: rows are the classes outside, columns the other members of their lists whose sizes may do."""
     rows = labelled.where("outside")
-    # A class's rows are in one block: that of its longest list's pivot, split to ROWS or so.
-    home = rows.groupBy("cls").agg(F.max(F.struct("m", "pivot")).alias("home")).select("cls", F.col("home.pivot").alias("home"))
-    sizes = home.groupBy("home").agg(F.count("*").alias("of_home"))
-    home = home.join(sizes, "home").select("cls", F.xxhash64("home", F.pmod(F.xxhash64("cls"), F.ceil(F.col("of_home") / ROWS))).alias("block"))
-    rows = stored(rows.select("hash", "cls").join(home, "cls").select("hash", "cls", "block"), "rows")
-    columns = rows.select("hash", "block").distinct().join(labelled.where("cls <> pivot").select("hash", "cls"), "hash").select("block", F.lit(1).alias("side"), "cls").distinct()
-    rest = products(columns.unionByName(rows.select("block", F.lit(0).alias("side"), "cls").distinct()), sets, percent)
-    ends = stored(rest, "links")
-    return components(links.unionByName(ends)) if not ends.isEmpty() else roots
+    # A class's rows are in one block: that of its longest list's pivot and of its own size, split to ROWS or so.
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))
+    home = rows.groupBy("cls", "n").agg(F.max(F.struct("m", "pivot")).alias("home")).select("cls", F.col("home.pivot").alias("home"), band.alias("band"))
+    sizes = home.groupBy("home", "band").agg(F.count("*").alias("of_home"))
+    home = home.join(sizes, ["home", "band"]).select("cls", F.xxhash64("home", "band", F.pmod(F.xxhash64("cls"), F.ceil(F.col("of_home") / ROWS))).alias("block"))
+    rows = stored(rows.select("hash", "cls", "n").join(home, "cls").select("hash", "cls", "n", "block"), "rows")
+    wanted = rows.groupBy("hash", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    others = wanted.join(labelled.where("cls <> pivot").select("hash", "cls", "n"), "hash").where((100 * F.col("n") >= percent * F.col("low")) & (percent * F.col("n") <= 100 * F.col("high")))
+    return others.select("block", F.lit(1).alias("side"), "cls").distinct().unionByName(rows.select("block", F.lit(0).alias("side"), "cls").distinct())
 
 
 def jaccard_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -248,8 +256,8 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     component_id is the smallest doc_id reachable by links at ``percent`` or
     more, itself included. Null and empty texts have no shingles and no links.
     Rows that repeat a doc_id are rows of their own, linked by their texts; a row
-    without doc_id has none to give to its group, and gets the group's. Other
-    columns are left out. An empty table gives an empty table.
+    without doc_id has none to give to its group, and gets that of its equals;
+    texts that only such rows have are compared with no others. Other columns are left out. An empty table gives an empty table.
     """
     base = stored(sketches(docs, percent), "sketches")
     classes = stored(base.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
