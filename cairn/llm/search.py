@@ -80,23 +80,33 @@ def filter_of(queries: DataFrame) -> np.ndarray:
     return bits
 
 
-def frequencies(indexed: DataFrame) -> DataFrame:
-    """term and the number of documents with it; counts are summed before they are shuffled."""
+def statistics(docs: DataFrame, bits: np.ndarray) -> tuple[DataFrame, int, int]:
+    """term and the number of documents with it; the number of documents; their total length. Counted before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            terms, n = np.unique(big.column(0).flatten().to_numpy(), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(n, pa.int64())], names=["term", "n"])
+            terms, n = np.unique(big.column(1).flatten().to_numpy(), return_counts=True)
+            total = pa.array([None, None] + terms.tolist(), pa.int64())
+            kinds = np.concatenate([[1, 2], np.zeros(len(terms))]).astype(np.int32)
+            counted = np.concatenate([[big.num_rows, np.sum(big.column(0).to_numpy())], n]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds), total, pa.array(counted)], names=["kind", "term", "n"])
 
-    return indexed.select("terms").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
+    counted = vectors(docs, bits).select("length", "terms").mapInArrow(run, "kind int, term long, n long")
+    counted = stored(counted.groupBy("kind", "term").agg(F.sum("n").alias("df")), "frequencies")
+    of = {r.kind: r.df for r in counted.where("kind > 0").collect()}  # two rows
+    return counted.where("kind = 0").select("term", "df"), of.get(1, 0), of.get(2, 0)
 
 
 class Index:
-    """Postings of a shard by term, in order of documents, cut where blocks end."""
+    """Postings of a shard by term, in order of places, cut where blocks end.
 
-    def __init__(self, doc_ids: np.ndarray, lengths: np.ndarray, terms: np.ndarray, counts: np.ndarray, owners: np.ndarray, mean: float):
+    Documents are put next to others that use the same word most and are about as
+    long, which makes the blocks' bounds tell more apart. ``ranks`` is their order by id.
+    """
+
+    def __init__(self, doc_ids: np.ndarray, lengths: np.ndarray, terms: np.ndarray, counts: np.ndarray, owners: np.ndarray, ranks: np.ndarray, mean: float):
         order = np.lexsort((owners, terms))
-        self.doc_ids = doc_ids
+        self.doc_ids, self.ranks = doc_ids, ranks
         terms, owners, tf = terms[order], owners[order], counts[order].astype(float)
         self.docs = owners
         self.impacts = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[owners] / mean))
@@ -110,7 +120,7 @@ class Index:
         self.n_blocks = -(-len(doc_ids) // BLOCK)
 
     def top(self, terms: np.ndarray, idf: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The k best documents: (score, place), better ones first, ties by place.
+        """The k best documents: (score, place), better ones first, ties by id.
 
         A block's bound is the sum of its largest impacts over the query's terms.
         Blocks are evaluated from the highest bound down, until no bound reaches
@@ -121,9 +131,11 @@ class Index:
         found = found[self.terms[at[found]] == terms[found]]
         if not len(found):
             return []
-        runs = [np.arange(self.first[j], self.last[j]) for j in at[found]]
-        entries = np.concatenate(runs)
-        weight = np.repeat(idf[found], [len(r) for r in runs])
+        at, idf = at[found], idf[found]
+        sizes = self.last[at] - self.first[at]
+        ends = np.cumsum(sizes)
+        entries = np.arange(ends[-1]) + np.repeat(self.first[at] - ends + sizes, sizes)
+        weight = np.repeat(idf, sizes)
         blocks = self.blocks[entries]
         # A hair above, as sums in another order may differ in their last digits.
         bound = np.bincount(blocks, weight * self.largest[entries], self.n_blocks) * (1 + 1e-9)
@@ -132,13 +144,24 @@ class Index:
         best_score, best_doc = np.zeros(0), np.zeros(0, int)
         step, i = 8, 0
         while i < len(order):
-            if len(best_score) == k:
-                threshold = best_score[-1]
-                if bound[order[i]] < threshold:
-                    break
             chosen = order[i : i + step]
             if len(best_score) == k:
-                chosen = chosen[bound[chosen] >= threshold]
+                left = order[i:]
+                left = left[bound[left] >= best_score[-1]]
+                if not len(left):
+                    break
+                if len(left) * 8 > self.n_blocks:
+                    # Many blocks may hold a better one: whole lists are added up faster than parts of them.
+                    scores = self._all(at, idf)
+                    inside = np.zeros(self.n_blocks, bool)
+                    inside[left] = True
+                    hit = np.flatnonzero(scores >= best_score[-1])
+                    hit = hit[inside[hit // BLOCK]]
+                    i = len(order)
+                    best_score, best_doc = self._best(np.concatenate([best_score, scores[hit]]), np.concatenate([best_doc, hit]), k)
+                    break
+                chosen = left[:step]
+                order, i = left, 0
             i += step
             step *= 2
             pick = np.zeros(self.n_blocks, bool)
@@ -147,18 +170,26 @@ class Index:
             starts, sizes = self.starts[entries[mine]], self.ends[entries[mine]] - self.starts[entries[mine]]
             ends = np.cumsum(sizes)
             postings = np.arange(ends[-1]) + np.repeat(starts - ends + sizes, sizes)
-            slot = np.full(self.n_blocks, -1)
-            slot[chosen] = np.arange(len(chosen))
-            docs = self.docs[postings]
-            local = slot[docs // BLOCK] * BLOCK + docs % BLOCK
-            scores = np.bincount(local, np.repeat(weight[mine], sizes) * self.impacts[postings], len(chosen) * BLOCK)
+            scores = np.bincount(self.docs[postings], np.repeat(weight[mine], sizes) * self.impacts[postings], len(self.doc_ids))
             hit = np.flatnonzero(scores > 0)
-            best_score = np.concatenate([best_score, scores[hit]])
-            best_doc = np.concatenate([best_doc, chosen[hit // BLOCK] * BLOCK + hit % BLOCK])
-            keep = np.lexsort((best_doc, -best_score))[:k]
-            best_score, best_doc = best_score[keep], best_doc[keep]
+            best_score, best_doc = self._best(np.concatenate([best_score, scores[hit]]), np.concatenate([best_doc, hit]), k)
         return list(zip(best_score.tolist(), best_doc.tolist(), strict=True))
 
+    def _best(self, scores: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(scores) > 4 * k:
+            least = np.partition(scores, len(scores) - k)[len(scores) - k]
+            scores, docs = scores[scores >= least], docs[scores >= least]
+        keep = np.lexsort((self.ranks[docs], -scores))[:k]
+        return scores[keep], docs[keep]
+
+    def _all(self, at: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        """Scores of all documents, a term after another, in the same order as by blocks."""
+        scores = np.zeros(len(self.doc_ids))
+        lows, highs = self.starts[self.first[at]], self.ends[self.last[at] - 1]
+        for low, high, w in zip(lows.tolist(), highs.tolist(), idf.tolist(), strict=True):
+            scores[self.docs[low:high]] += w * self.impacts[low:high]
+        return scores
+
 
 def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     """The k best documents of every query: query_id, rank, doc_id, score.
@@ -172,11 +203,13 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     With fewer matches than k, all are returned.
     """
     asked = stored(vectors(queries.where(F.col("query_id").isNotNull()).select(F.col("query_id").alias("doc_id"), "text"), None).select(F.col("doc_id").alias("query_id"), "terms").distinct(), "queries")
-    indexed = stored(vectors(docs, filter_of(asked)), "vectors")
-    n, total = indexed.agg(F.count("*"), F.sum("length")).first()
-    mean = (total or 0) / max(1, n) or 1.0
+    # Texts are read for the statistics and again for the index: vectors would take more room than the texts.
+    bits = filter_of(asked)
+    known, n, total = statistics(docs, bits)
+    indexed = vectors(docs, bits)
+    mean = total / max(1, n) or 1.0
     n_shards = max(1, -(-n // SHARD_DOCS))
-    known = frequencies(indexed).select("term", F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    known = known.select("term", F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weighted = asked.select("query_id", F.xxhash64("terms").alias("text"), F.explode("terms").alias("term")).join(known, "term")
     weighted = weighted.groupBy("query_id", "text").agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("t"))
     weighted = stored(weighted.select("query_id", F.col("t.term").alias("terms"), F.col("t.idf").alias("idf")), "weighted")
@@ -215,10 +248,20 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
 
 
 def made(table: pa.Table, mean: float) -> Index:
-    """The index of a shard's documents."""
+    """The index of a shard's documents, which come by id."""
     terms, counts = table.column("terms").combine_chunks(), table.column("counts").combine_chunks()
-    sizes = np.array([len(x) for x in terms], int)
-    return Index(np.array(table.column("id").to_pylist(), object), table.column("length").to_numpy(), terms.flatten().to_numpy(), counts.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes), mean)
+    sizes = np.diff(terms.offsets.to_numpy())
+    flat, tf, lengths = terms.flatten().to_numpy(), counts.flatten().to_numpy(), table.column("length").to_numpy()
+    owners = np.repeat(np.arange(len(sizes)), sizes)
+    # The word that a document uses most, and about how many different ones.
+    by_count = np.lexsort((-tf, owners))
+    most = np.zeros(len(sizes), np.int64)
+    some = np.flatnonzero(sizes)
+    most[some] = flat[by_count[(np.cumsum(sizes) - sizes)[some]]]
+    order = np.lexsort((sizes, most))
+    new = np.empty(len(order), int)
+    new[order] = np.arange(len(order))
+    return Index(np.array(table.column("id").to_pylist(), object)[order], lengths[order], flat, tf, new[owners], order, mean)
 
 
 def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
