@@ -1,9 +1,11 @@
 """Line deduplication by pairwise alignment.
 
-Documents overlap where they share rare lines. A line's first holder (smallest
-doc_id) is the one document that every later holder is aligned with over it, so
-pairs grow with the lines and never with the square of a group. A pair is aligned
-by patience: shared lines, each unique by its text and its turn in the document,
+Documents overlap where they share a block of enough words. Every such block
+holds a seed: the shortest run of adjacent lines that reaches that many words, from
+a line on or up to one. A document is aligned with the first holder (smallest
+doc_id) of each of its seeds and of its whole sequence of lines, so pairs grow with
+the lines and never with the square of a group. A pair is aligned by patience over
+all lines that both hold: each unique by its text and its turn in the document, they
 are put in the longest order that both have; runs without a gap are common
 blocks, and blocks of enough words are deleted from the later document.
 """
@@ -11,6 +13,7 @@ blocks, and blocks of enough words are deleted from the later document.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
@@ -28,6 +31,7 @@ BLOCK_WORDS = 25
 LAST = (1 << 63) - 1
 
 LINES = "doc long, version long, rank int, line long, words int"
+SEQUENCES = "doc long, version long, lines array<long>, words array<int>"
 
 
 def numbered(text: str) -> list[tuple[int, int, int]]:
@@ -117,7 +121,63 @@ def overlaps(lines: DataFrame) -> DataFrame:
     return both.where(F.struct("doc", "version") != F.struct("first.doc", "first.version")).select("doc", "version", F.struct(F.col("first.doc").alias("holder"), F.col("first.version").alias("holder_version"), F.col("first.rank").alias("there"), F.col("rank").alias("here"), "words").alias("pair"))
 
 
-def dedup_lines(docs: DataFrame, text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+def sequences_of(docs: DataFrame) -> DataFrame:
+    """A row for every document: its lines that aren't blank, in order. Rows that repeat doc_id and text are one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+        for big in batches:
+            for at in range(0, big.num_rows, 256):
+                part = big.slice(at, 256)
+                rows = []
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    found = numbered(text)
+                    rows.append((doc, version(text), [x[1] for x in found], [x[2] for x in found]))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["doc", "version", "lines", "words"])
+
+    named = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    return named.mapInArrow(run, SEQUENCES).dropDuplicates(["doc", "version"])
+
+
+def seeds(lines: list[int], words: list[int], block_words: int) -> set[int]:
+    """Hashes of the shortest runs of ``block_words`` words from each line on and up to each line, and of all lines."""
+    n, spans = len(lines), set()
+    for step in (1, -1):
+        near = far = 0
+        total = 0
+        order = words[::step]
+        for near in range(n):
+            while far < n and (total < block_words or far <= near):
+                total += order[far]
+                far += 1
+            if total < block_words:
+                break
+            spans.add((near, far) if step == 1 else (n - far, n - near))
+            total -= order[near]
+    if spans:
+        spans.add((0, n))
+    raw = array("q", lines).tobytes()
+    return {int.from_bytes(hashlib.blake2b(raw[8 * a : 8 * b], digest_size=8).digest(), "big", signed=True) for a, b in spans}
+
+
+def partners(sequences: DataFrame, block_words: int) -> DataFrame:
+    """Pairs of a document and an earlier one that is the first holder of one of its seeds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for at in range(0, big.num_rows, 256):
+                part = big.slice(at, 256)
+                rows = [(seed, doc, v) for doc, v, lines, words in zip(*(c.to_pylist() for c in part.columns), strict=True) for seed in seeds(lines, words, block_words)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["seed", "doc", "version"])
+
+    held = stored(sequences.mapInArrow(run, "seed long, doc long, version long"), "seeds")
+    here = F.struct("doc", "version")
+    first = held.groupBy("seed").agg(F.min(here).alias("first"), F.max(here).alias("last")).where(F.col("first") != F.col("last")).select("seed", "first")
+    both = held.join(first, "seed").where(here != F.col("first"))
+    return both.select("doc", "version", F.col("first.doc").alias("holder"), F.col("first.version").alias("holder_version")).distinct()
+
+
+def dedup_blocks(docs: DataFrame, text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """Delete from every text the blocks of lines that it shares with earlier documents.
 
     Adds n_lines (lines that aren't blank) and n_removed to the columns of
@@ -126,7 +186,34 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", block_words: int = BLOC
     different texts of one doc_id are in the order of their hashes. Rows that
     repeat doc_id and text are one document and get the same result. A copy of
     an earlier document of at least ``block_words`` words is left with an empty
-    text. A null text stays null, an empty one empty; an empty table stays empty.
+    text, wherever its lines were first seen. A null text stays null, an empty
+    one empty; an empty table stays empty.
+    """
+    named = docs.withColumnsRenamed({text_col: "_text"}).drop("n_lines", "n_removed")
+    sequences = stored(sequences_of(docs.select("doc_id", F.col(text_col).alias("text"))), "sequences")
+    theirs = sequences.select(F.col("doc").alias("holder"), F.col("version").alias("holder_version"), F.col("lines").alias("theirs"))
+    pairs = partners(sequences, block_words).join(theirs, ["holder", "holder_version"]).join(sequences, ["doc", "version"])
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for at in range(0, big.num_rows, 256):
+                part = big.slice(at, 256)
+                found = []
+                for theirs, lines, words in zip(*(part.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                    there = {line: k for k, line in enumerate(theirs)}
+                    found.append(common_places([(0, 0, there[line], k, words[k]) for k, line in enumerate(lines) if line in there], block_words))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.int32()))], names=["_doc", "_version", "_places"])
+
+    found = pairs.select("doc", "version", "theirs", "lines", "words").mapInArrow(align, "_doc long, _version long, _places array<int>").where(F.size("_places") > 0)
+    places = found.groupBy("_doc", "_version").agg(F.array_distinct(F.flatten(F.collect_list("_places"))).alias("_places"))
+    return cut(named, places).withColumnsRenamed({"_text": text_col})
+
+
+def dedup_lines(docs: DataFrame, text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``dedup_blocks`` by a narrower rule: each line is paired with that line's first holder alone.
+
+    A block whose lines were first seen in several documents is tested in pieces,
+    so that even a copy may keep lines. No query uses this.
     """
     named = docs.withColumnsRenamed({text_col: "_text"}).drop("n_lines", "n_removed")
     lines = stored(lines_of(docs.select("doc_id", F.col(text_col).alias("text"))), "lines")
@@ -176,4 +263,4 @@ def cut(named: DataFrame, places: DataFrame) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the blocks of lines that earlier ones hold."""
-    return dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return dedup_blocks(documents(spark, sf_dir).select("doc_id", "text"))

@@ -25,7 +25,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the blocks of lines that earlier documents hold, n_chars anew; documents of which nothing is left go."""
-    found = line_dedup.dedup_lines(docs).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    found = line_dedup.dedup_blocks(docs).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
     changed = F.col("n_removed") > 0
     return found.withColumn("n_chars", F.when(changed, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
 

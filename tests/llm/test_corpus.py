@@ -214,6 +214,43 @@ def test_line_dedup_edges(spark):
     assert sorted(kept) in (sorted([long, long, "more"]), sorted(["", "", f"{long}\nmore"]))
 
 
+def shared_by_hand(texts, least):
+    """Places in runs of adjacent lines, of enough words, that one earlier text holds as such a run."""
+    seen, out = [], {}
+    for i, t in sorted(texts):
+        lines = line_dedup.numbered(t or "")
+        keys, gone = [x[1] for x in lines], set()
+        for a in range(len(keys)):
+            for b in range(a + 1, len(keys) + 1):
+                if sum(x[2] for x in lines[a:b]) >= least and any(keys[a:b] == old[k : k + b - a] for old in seen for k in range(len(old))):
+                    gone |= set(range(a, b))
+        seen.append(keys)
+        out[i] = (len(keys), len(gone))
+    return out
+
+
+def test_line_dedup_whole_copies(spark):
+    rng = random.Random(9)
+    head, foot = "a heading that many hold", "a footer that many hold"
+    body = [prose(rng, 6, 90000) for _ in range(12)]
+    copied = "\n".join([head, *body, foot])
+    mixed = "\n".join([*body[:3], "between", *body[3:6]])
+    texts = [(1, f"{head}\n{prose(rng, 40, 90000)}\n{foot}"), (2, f"{prose(rng, 30, 90000)}\n{body[4]}\n{prose(rng, 30, 90000)}"), (3, copied), (4, copied), (5, f"{copied}\nnew"), (6, mixed), (7, mixed), (8, None), (9, ""), (10, f"{head}\nnothing else\n{foot}")]
+    found = {r.doc_id: r for r in line_dedup.dedup_blocks(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert found[4].text == found[7].text == "" and found[5].text == "new" and found[8].text is None
+    assert all(found[i].n_removed == 0 for i in (1, 2, 3, 6, 8, 9, 10))
+    pool = [prose(rng, rng.randint(1, 30), 90000) for _ in range(60)]
+    texts = []
+    for i in range(60):  # lines stand in one order everywhere, so that alignment takes every common block
+        at = rng.randrange(50)
+        texts.append((i, "\n".join([*pool[at : at + rng.randint(0, 12)], "", prose(rng, 9, 90000)])))
+    rows = [*texts, (None, texts[7][1]), (20, texts[20][1])]
+    found = line_dedup.dedup_blocks(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_lines, r.n_removed) for r in found if r.doc_id is not None} == shared_by_hand(texts, line_dedup.BLOCK_WORDS)
+    assert len(found) == len(rows) and len({r.text for r in found if r.doc_id == 20}) == 1
+    assert line_dedup.dedup_blocks(spark.createDataFrame(rows, "doc_id long, text string").where("false")).count() == 0
+
+
 def test_alignment():
     assert line_dedup.increasing([3, 1, 2, 5, 4, 6]) in ([1, 2, 4, 5], [1, 2, 3, 5])
     pairs = [(1, 0, a, b, 20) for a, b in ((0, 5), (1, 6), (7, 0), (3, 8))]
