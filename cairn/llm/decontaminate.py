@@ -1,7 +1,9 @@
 """Benchmark decontamination by templates, in DataFrame functions alone.
 
 Numbers, units and names become placeholders; windows of the templates are
-joined by their hashes; and a match counts only if its slots agree: whatever
+joined by their hashes; what counts is how many of an item's words a document
+holds in their order, so that a changed word costs one word and no more; and a
+match counts only if its slots agree: whatever
 stands in the benchmark item's slots must map to one value each in the
 document, as it does in a copy and in a question asked again with other values.
 """
@@ -13,13 +15,19 @@ from pyspark.sql import functions as F
 
 from .common import documents, stored
 
-#: Words of a window; an item of fewer words is one window of its own length.
+#: Words of a window.
 WINDOW = 8
+#: Items of so many words have windows of WINDOW words on both sides of any changed word in their middle.
+LONG = 2 * WINDOW + 1
+#: Windows of shorter items: (least words of the item, words of a window), so that the same holds; an item of fewer words is one window.
+SHORTER = [(13, 6), (9, 4), (7, 3)]
+#: So many words of a long item at one distance are a verbatim passage, whatever their share.
+RUN = 13
 #: A window identifies an item only with so many distinct words that are no placeholder (all of them, in shorter items: 3 at least).
 LEAST_WORDS = 4
-#: A document is contaminated by an item if it holds at least this share of the item's windows.
+#: A document is contaminated by a long item if it holds at least this share of the item's words, or of its windows.
 SHARE = 0.5
-#: Windows of all items are broadcast only up to so many rows of 32 bytes.
+#: Windows of all items, and ids of documents to compare with short items, are broadcast only up to so many rows of 32 bytes.
 BROADCAST_ROWS = 500_000
 #: Placeholders for number, unit and name: characters of the private use area.
 NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002"
@@ -49,8 +57,13 @@ def template(text: Column) -> Column:
     return F.split(F.regexp_replace(F.lower(text), STRIPPED, ""), " ")
 
 
+def codes(words: Column) -> Column:
+    """A hash for every word, so that each is read once, whatever windows it is in."""
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
 def windows(words: Column, size: int) -> Column:
-    """Hashes of all windows of so many words, by place; none where there are fewer words."""
+    """Hashes of all windows of so many codes, by place; none where there are fewer."""
     places = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(places, lambda i: F.xxhash64(F.slice(words, i, size)))
 
@@ -65,20 +78,64 @@ def is_slot(word: Column) -> Column:
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """item_id, words and size of an item's windows: WINDOW, or all its words if there are fewer."""
+    """item_id, words and size of an item's windows."""
     items = benchmark.where(F.col("item_id").isNotNull()).select("item_id", template(plain(F.col("text"))).alias("words"))
-    return items.withColumn("size", F.least(F.size("words"), F.lit(WINDOW)))
+    size = F.when(F.size("words") >= LONG, WINDOW)
+    for least, k in SHORTER:
+        size = size.when(F.size("words") >= least, k)
+    return items.withColumn("size", size.otherwise(F.size("words")))
 
 
 def item_windows(items: DataFrame, sizes: list[int]) -> DataFrame:
-    """item_id, size, place, hash and n_windows of the windows that identify an item."""
-    placed = [items.where(F.col("size") == k).select("item_id", "size", "words", F.posexplode(windows(F.col("words"), k)).alias("place", "hash")) for k in sizes]
+    """item_id, size, place, hash, n_windows and n_places (words in any of them) of the windows that identify an item."""
+    placed = [items.where(F.col("size") == k).select("item_id", "size", "words", F.posexplode(windows(codes(F.col("words")), k)).alias("place", "hash")) for k in sizes]
     every = placed[0]
     for more in placed[1:]:
         every = every.unionByName(more)
     content = F.size(F.array_distinct(F.filter(F.slice("words", F.col("place") + 1, F.col("size")), lambda w: (w != "") & ~is_slot(w))))
     telling = every.where(content >= F.when(F.col("size") < WINDOW, 3).otherwise(LEAST_WORDS)).select("item_id", "size", "place", "hash").distinct()
-    return telling.join(telling.groupBy("item_id").agg(F.countDistinct("hash").alias("n_windows")), "item_id")
+    return telling.join(telling.groupBy("item_id").agg(F.countDistinct("hash").alias("n_windows"), F.size(places_of(F.collect_set(F.struct("place", "size")))).alias("n_places")), "item_id")
+
+
+def places_of(windows: Column) -> Column:
+    """Places of an item that its windows (place and size) cover."""
+    return F.array_distinct(F.flatten(F.transform(windows, lambda w: F.sequence(w["place"], w["place"] + w["size"] - 1))))
+
+
+def held_long(hits: DataFrame) -> DataFrame:
+    """doc_id, item_id, held and of (words) where a document holds enough of a long item."""
+    by_shift = hits.where(F.col("size") == WINDOW).groupBy("doc_id", "item_id", (F.col("at") - F.col("place")).alias("shift"), "n_windows", "n_places").agg(F.collect_set(F.struct("place", "size")).alias("windows"), F.collect_set("hash").alias("hashes"))
+    placed = by_shift.withColumn("places", places_of(F.col("windows")))
+    counted = placed.groupBy("doc_id", "item_id", "n_windows", "n_places").agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("held"), F.size(F.array_distinct(F.flatten(F.collect_set("hashes")))).alias("n_held"), F.max(F.size("places")).alias("run"))
+    enough = (F.col("held") >= SHARE * F.col("n_places")) | (F.col("n_held") >= SHARE * F.col("n_windows")) | (F.col("run") >= RUN)
+    return counted.where(enough).select("doc_id", "item_id", "held", F.col("n_places").alias("of"))
+
+
+def held_short(hits: DataFrame, items: DataFrame, docs: DataFrame) -> DataFrame:
+    """The same for short items: their small windows only say where to look, and words are compared one by one.
+
+    Words after an added or missing one stand one place off. Needed are all words of an item of fewer than 7,
+    all but one of 7 or 8, and of longer ones what half of their windows of WINDOW words would hold.
+    """
+    spots = stored(hits.where(F.col("size") < WINDOW).select("doc_id", "item_id", (F.col("at") - F.col("place")).alias("shift")).distinct(), "spots")
+    wanted = spots.select("doc_id").distinct()
+    # Spark takes the ids for many, as it can't see how few hits are left, and would shuffle all texts to them.
+    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    theirs = docs.join(wanted, "doc_id", "left_semi").select("doc_id", template(plain(F.col("text"))).alias("doc_words"))
+    both = spots.join(items.select("item_id", "words"), "item_id").join(theirs, "doc_id")
+
+    def equal(off: int) -> Column:
+        def same(word: Column, i: Column) -> Column:
+            at = F.col("shift") + i
+            return F.coalesce((F.get("doc_words", at) == word) | (F.get("doc_words", at + off) == word), F.get("doc_words", at) == word, F.get("doc_words", at + off) == word, F.lit(False))
+
+        return F.size(F.filter(F.transform("words", same), lambda x: x))
+
+    n = F.size("words")
+    needed = F.when(n >= 9, F.floor(n / 2) + 4).when(n >= 7, n - 1).otherwise(n)
+    compared = both.select("doc_id", "item_id", n.cast("long").alias("of"), needed.alias("needed"), F.greatest(equal(1), equal(-1)).cast("long").alias("equal"))
+    return compared.where(F.col("equal") >= F.col("needed")).groupBy("doc_id", "item_id", "of").agg(F.max("equal").alias("held")).select("doc_id", "item_id", "held", "of")
 
 
 def slots(rows: DataFrame, key: str) -> DataFrame:
@@ -89,22 +146,24 @@ def slots(rows: DataFrame, key: str) -> DataFrame:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_windows and share of what each document holds of the benchmark, slots agreeing."""
+    """doc_id, item_id, words held and their share of the item, of what each document holds of the benchmark, slots agreeing."""
     items = items_of(benchmark)
     sizes = sorted({WINDOW, *(r.size_ for r in items.select(F.col("size").alias("size_")).distinct().collect())})  # WINDOW values at most
     wanted = item_windows(items, sizes)
     if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    words = docs.select("doc_id", template(plain(F.col("text"))).alias("words"))
+    words = docs.select("doc_id", codes(template(plain(F.col("text")))).alias("words"))
     by_size = F.flatten(F.array(*[windows_of(F.col("words"), k) for k in sizes])) if len(sizes) > 1 else None
     if by_size is None:
         placed = words.select("doc_id", F.lit(WINDOW).alias("size"), F.posexplode(windows(F.col("words"), WINDOW)).alias("at", "hash"))
     else:
         placed = words.select("doc_id", F.explode(by_size).alias("w")).select("doc_id", "w.*")
     # Hits are few; they are used more than once, and finding them is what costs.
-    hits = stored(placed.join(wanted, ["hash", "size"]).select("doc_id", "item_id", "size", "at", "place", "hash", "n_windows"), "hits")
-    counted = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("hash").alias("held"), F.max("n_windows").alias("n_windows"))
-    found = stored(counted.where(F.col("held") >= SHARE * F.col("n_windows")), "found")
+    hits = stored(placed.join(wanted, ["hash", "size"]).select("doc_id", "item_id", "size", "at", "place", "hash", "n_windows", "n_places"), "hits")
+    found = held_long(hits)
+    if sizes[0] < WINDOW:
+        found = found.unionByName(held_short(hits, items, docs))
+    found = stored(found, "found")
     # Slots of items are few; those of documents are joined where a window of a match covers them.
     own = slots(benchmark, "item_id").select("item_id", F.col("place").alias("slot"), F.col("kind").alias("slot_kind"), F.col("value").alias("item_value"))
     covered = hits.join(found.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi").join(own, "item_id")
@@ -114,7 +173,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     theirs = slots(docs.join(covered.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id").withColumnsRenamed({"kind": "doc_kind"})
     agreed = covered.join(theirs, ["doc_id", "place"]).groupBy("doc_id", "item_id", "shift", "slot_kind", "item_value").agg(F.countDistinct("value").alias("values"))
     broken = agreed.groupBy("doc_id", "item_id", "shift").agg((F.max("values") > 1).alias("broken")).groupBy("doc_id", "item_id").agg(F.min("broken").alias("broken")).where("broken")
-    return found.join(broken, ["doc_id", "item_id"], "left_anti").select("doc_id", "item_id", "held", (F.col("held") / F.col("n_windows")).alias("share"))
+    return found.join(broken, ["doc_id", "item_id"], "left_anti").select("doc_id", "item_id", "held", (F.col("held") / F.col("of")).alias("share"))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

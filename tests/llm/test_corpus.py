@@ -88,6 +88,29 @@ def test_decontaminate(spark):
     assert sorted((str(r.doc_id), r.item_ids) for r in got) == want
 
 
+def item_ids(spark, texts, items):
+    found = decontaminate.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    return [r.item_ids for r in sorted(found)]
+
+
+def test_decontaminate_edits(spark):
+    rng = random.Random(4)
+    items = [" ".join(f"t{chr(97 + k)}x{chr(97 + rng.randrange(26))}{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(n)) for k, n in enumerate((7, 8, 9, 12, 13, 16, 17, 22, 60))]
+    around = lambda words: " ".join(["words before", *words, "words after it"])
+    texts, want = [], []
+    for k, item in enumerate(items):
+        words = item.split()
+        for at in (0, len(words) // 2, len(words) - 1):
+            for put in (["changed"], ["added", words[at]], []):
+                if len(words) >= 9 or put:  # of 7 or 8 words all but one have to be there
+                    texts.append(around(words[:at] + put + words[at + 1 :]))
+                    want.append(str(k))
+    long = items[-1].split()
+    texts += [around(long[20:33]), around(long[:6]), around(long[:10]), around(items[0].split()[:4]), around(items[3].split()[:6]), around(items[5].split()[:8])]
+    want += ["8", "", "", "", "", ""]
+    assert item_ids(spark, texts, items) == want
+
+
 # --- similarity join
 
 
