@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cairn.sources.storage import shared_dir, stored
 
-__all__ = ["documents", "fresh_dir", "salted_join", "shared_dir", "stored"]
+__all__ = ["documents", "file_system", "fresh_dir", "salted_join", "shared_dir", "stored"]
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
@@ -29,3 +29,10 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, salt_by: list[str],
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def file_system(uri: str):
+    """A file system for a URI, and the path on it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)

@@ -1,4 +1,10 @@
-"""Exact BM25 top-k: an inverted index for each shard, searched by block-max WAND, merged under global statistics."""
+"""Exact BM25 top-k: an inverted index for each shard, searched by block-max WAND, merged under global statistics.
+
+A shard is a run of rows that one task has read: its documents are indexed where
+they lie, and only the index is written. Document frequencies are summed from the
+indexes. Tasks then take one shard after another and stream the queries, from the
+shared folder, past it.
+"""
 
 from __future__ import annotations
 
@@ -12,16 +18,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, stored
+from .common import documents, file_system, stored
 
 #: Parameters of BM25 and results of a query.
 K1, B, TOP = 1.2, 0.75, 10
-#: Documents of a shard, which one task holds as an index, and of a block, whose largest impacts are known.
-SHARD_DOCS, BLOCK = 16384, 64
+#: A shard ends with the document that takes it to so many documents or postings; a block is a run of documents whose largest impacts are known.
+SHARD_DOCS, SHARD_POSTINGS, BLOCK = 8192, 1 << 21, 64
+#: Shards of at most so many postings together are held at once, so that a query's bar is carried from one to the next.
+GROUP_POSTINGS = 1 << 22
+#: Blocks that are scored in one go once none between them can be skipped.
+WINDOW = 64
 #: Bits of the filter of query terms (4 MB, whatever the input): terms that no query has needn't be indexed.
 FILTER_BITS = 1 << 25
-MEMORY_WORDS = 500_000
+MEMORY_WORDS = 300_000
 WORD = re.compile(r"\w+")
+#: Bounds are taken a hair higher, as sums in another order may differ in their last digits.
+HAIR = 1 + 1e-9
+
+INDEX = "ids array<long>, lengths array<int>, terms array<long>, sizes array<int>, places binary, counts binary"
 
 
 class TermCounter:
@@ -46,28 +60,17 @@ def place(terms: np.ndarray) -> np.ndarray:
     return (terms.view(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)
 
 
-def vectors(docs: DataFrame, bits: np.ndarray | None) -> DataFrame:
-    """doc_id, length in terms, terms and counts of every document; with ``bits``, only terms that pass the filter."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+def query_terms(queries: DataFrame) -> DataFrame:
+    """query_id and its distinct terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, bits = TermCounter(), shared.value
+        made = TermCounter()
         for big in batches:
             for at in range(0, big.num_rows, 512):
                 part = big.slice(at, 512)
-                lengths, terms, counts = [], [], []
-                for text in part.column(1).to_pylist():
-                    t, c, n = made.of(text)
-                    if bits is not None and len(t):
-                        p = place(t)
-                        keep = (bits[p >> 5] >> (p & 31).astype(np.uint32)) & 1 == 1
-                        t, c = t[keep], c[keep]
-                    lengths.append(n)
-                    terms.append(t)
-                    counts.append(c)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths, pa.int64()), pa.array(terms, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))], names=["doc_id", "length", "terms", "counts"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([made.of(x)[0] for x in part.column(1).to_pylist()], pa.list_(pa.int64()))], names=["query_id", "terms"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, length long, terms array<long>, counts array<int>")
+    return queries.select(F.col("query_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "query_id long, terms array<long>")
 
 
 def filter_of(queries: DataFrame) -> np.ndarray:
@@ -80,115 +83,192 @@ def filter_of(queries: DataFrame) -> np.ndarray:
     return bits
 
 
-def statistics(docs: DataFrame, bits: np.ndarray) -> tuple[DataFrame, int, int]:
-    """term and the number of documents with it; the number of documents; their total length. Counted before they are shuffled."""
+def packed(held: list[tuple[int | None, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """A shard as a row of INDEX: postings by term, then by place.
+
+    Documents are put next to others that use the same word most and are about as
+    long, which makes the blocks' bounds tell more apart.
+    """
+    sizes = np.array([len(t) for _, _, t, _ in held])
+    terms, counts = np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held])
+    most = np.array([t[np.argmax(c)] if len(t) else 0 for _, _, t, c in held], np.int64)
+    order = np.lexsort((sizes, most))
+    new = np.empty(len(order), np.uint16)
+    new[order] = np.arange(len(order))
+    owners = np.repeat(new, sizes)
+    by_term = np.lexsort((owners, terms))
+    found, n = np.unique(terms, return_counts=True)
+    columns = [
+        pa.array([[held[k][0] for k in order]], pa.list_(pa.int64())), pa.array([[held[k][1] for k in order]], pa.list_(pa.int32())), pa.array([found], pa.list_(pa.int64())), pa.array([n.astype(np.int32)], pa.list_(pa.int32())),
+        pa.array([owners[by_term].astype("<u2").tobytes()]), pa.array([counts[by_term].astype("<i4").tobytes()]),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["ids", "lengths", "terms", "sizes", "places", "counts"])
+
+
+def index_of(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """A row of INDEX for each shard; only terms that pass the filter are in it."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, bits = TermCounter(), shared.value
+        held, postings = [], 0
         for big in batches:
-            terms, n = np.unique(big.column(1).flatten().to_numpy(), return_counts=True)
-            total = pa.array([None, None] + terms.tolist(), pa.int64())
-            kinds = np.concatenate([[1, 2], np.zeros(len(terms))]).astype(np.int32)
-            counted = np.concatenate([[big.num_rows, np.sum(big.column(0).to_numpy())], n]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds), total, pa.array(counted)], names=["kind", "term", "n"])
+            for at in range(0, big.num_rows, 512):
+                part = big.slice(at, 512)
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    t, c, n = made.of(text)
+                    if len(t):
+                        p = place(t)
+                        keep = (bits[p >> 5] >> (p & 31).astype(np.uint32)) & 1 == 1
+                        t, c = t[keep], c[keep]
+                    held.append((doc, n, t, c))
+                    postings += len(t)
+                    if len(held) == SHARD_DOCS or postings >= SHARD_POSTINGS:
+                        yield packed(held)
+                        held, postings = [], 0
+        if held:
+            yield packed(held)
 
-    counted = vectors(docs, bits).select("length", "terms").mapInArrow(run, "kind int, term long, n long")
-    counted = stored(counted.groupBy("kind", "term").agg(F.sum("n").alias("df")), "frequencies")
-    of = {r.kind: r.df for r in counted.where("kind > 0").collect()}  # two rows
-    return counted.where("kind = 0").select("term", "df"), of.get(1, 0), of.get(2, 0)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, INDEX)
 
 
-class Index:
-    """Postings of a shard by term, in order of places, cut where blocks end.
+class Best:
+    """The best documents of a query so far, better ones first, ties by id, null ids last."""
 
-    Documents are put next to others that use the same word most and are about as
-    long, which makes the blocks' bounds tell more apart. ``ranks`` is their order by id.
-    """
+    def __init__(self, k: int):
+        self.k, self.scores, self.ids, self.missing = k, np.zeros(0), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def bar(self) -> float:
+        """What a document must score to matter."""
+        return self.scores[-1] if len(self.scores) == self.k else 0.0
 
-    def __init__(self, doc_ids: np.ndarray, lengths: np.ndarray, terms: np.ndarray, counts: np.ndarray, owners: np.ndarray, ranks: np.ndarray, mean: float):
-        order = np.lexsort((owners, terms))
-        self.doc_ids, self.ranks = doc_ids, ranks
-        terms, owners, tf = terms[order], owners[order], counts[order].astype(float)
-        self.docs = owners
-        self.impacts = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[owners] / mean))
-        blocks = owners // BLOCK
-        cut = np.flatnonzero(np.concatenate([[True], (terms[1:] != terms[:-1]) | (blocks[1:] != blocks[:-1])])) if len(terms) else np.zeros(0, int)
-        self.starts, self.ends = cut, np.append(cut[1:], len(terms)).astype(int)[: len(cut)]
-        self.blocks = blocks[cut]
-        self.largest = np.maximum.reduceat(self.impacts, cut) if len(cut) else np.zeros(0)
-        self.terms, first = np.unique(terms[cut], return_index=True)
-        self.first, self.last = first, np.append(first[1:], len(cut))
-        self.n_blocks = -(-len(doc_ids) // BLOCK)
-
-    def top(self, terms: np.ndarray, idf: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The k best documents: (score, place), better ones first, ties by id.
-
-        A block's bound is the sum of its largest impacts over the query's terms.
-        Blocks are evaluated from the highest bound down, until no bound reaches
-        the k-th score that is known.
+    def add(self, scores: np.ndarray, ids: np.ndarray, missing: np.ndarray) -> None:
+        if len(scores) > 4 * self.k:
+            keep = scores >= np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
+            scores, ids, missing = scores[keep], ids[keep], missing[keep]
+        scores, ids, missing = np.concatenate([self.scores, scores]), np.concatenate([self.ids, ids]), np.concatenate([self.missing, missing])
+        order = np.lexsort((ids, missing, -scores))[: self.k]
+        self.scores, self.ids, self.missing = scores[order], ids[order], missing[order]
+
+
+class Index:
+    """A shard's postings with impacts, cut where blocks end. ``blocks_scored`` of ``blocks_met`` blocks were not skipped."""
+
+    def __init__(self, row: dict, mean: float):
+        self.ids = row["ids"].fill_null(0).to_numpy(zero_copy_only=False)
+        self.missing = row["ids"].is_null().to_numpy(zero_copy_only=False)
+        lengths, sizes = row["lengths"].to_numpy(zero_copy_only=False), row["sizes"].to_numpy(zero_copy_only=False)
+        self.terms = row["terms"].to_numpy(zero_copy_only=False)
+        self.docs = np.frombuffer(row["places"], "<u2").astype(np.intp)
+        impacts = np.frombuffer(row["counts"], "<i4").astype(float)
+        damp = K1 * (1 - B + B * lengths / mean)
+        self.impacts = impacts * (K1 + 1) / (impacts + damp[self.docs])
+        self.n_blocks = -(-len(self.ids) // BLOCK)
+        owner = np.repeat(np.arange(len(self.terms)), sizes)
+        keys = owner * self.n_blocks + self.docs // BLOCK
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
+        #: An entry is a block of a term: its key (term and block, ascending), first posting and largest impact.
+        self.keys, self.starts = keys[starts], np.append(starts, len(keys))
+        self.largest = np.maximum.reduceat(self.impacts, starts) if len(starts) else np.zeros(0)
+        self.first = np.searchsorted(self.keys, np.arange(len(self.terms) + 1) * self.n_blocks)
+        self.most = np.maximum.reduceat(self.largest, self.first[:-1]) if len(starts) else np.zeros(0)
+        self.blocks_met = self.blocks_scored = 0
+        self.sums = np.zeros(self.n_blocks * BLOCK)
+
+    def top(self, terms: np.ndarray, idf: np.ndarray, best: Best) -> None:
+        """Block-max WAND: put into ``best`` whatever of this shard belongs there.
+
+        Every term has a cursor. Cursors are ordered by the document they stand at;
+        the pivot is the first at which the largest impacts of the lists so far add
+        up to the bar, and nothing before it is looked at. From the pivot's block on,
+        blocks are skipped whose own largest impacts don't add up to the bar. Blocks
+        that stand side by side and can't be skipped are scored together, in runs
+        that get longer, and the bar rises after each.
         """
         at = np.searchsorted(self.terms, terms)
         found = np.flatnonzero(at < len(self.terms))
         found = found[self.terms[at[found]] == terms[found]]
         if not len(found):
-            return []
-        at, idf = at[found], idf[found]
-        sizes = self.last[at] - self.first[at]
-        ends = np.cumsum(sizes)
-        entries = np.arange(ends[-1]) + np.repeat(self.first[at] - ends + sizes, sizes)
-        weight = np.repeat(idf, sizes)
-        blocks = self.blocks[entries]
-        # A hair above, as sums in another order may differ in their last digits.
-        bound = np.bincount(blocks, weight * self.largest[entries], self.n_blocks) * (1 + 1e-9)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        best_score, best_doc = np.zeros(0), np.zeros(0, int)
-        step, i = 8, 0
-        while i < len(order):
-            chosen = order[i : i + step]
-            if len(best_score) == k:
-                left = order[i:]
-                left = left[bound[left] >= best_score[-1]]
-                if not len(left):
-                    break
-                if len(left) * 8 > self.n_blocks:
-                    # Many blocks may hold a better one: whole lists are added up faster than parts of them.
-                    scores = self._all(at, idf)
-                    inside = np.zeros(self.n_blocks, bool)
-                    inside[left] = True
-                    hit = np.flatnonzero(scores >= best_score[-1])
-                    hit = hit[inside[hit // BLOCK]]
-                    i = len(order)
-                    best_score, best_doc = self._best(np.concatenate([best_score, scores[hit]]), np.concatenate([best_doc, hit]), k)
-                    break
-                chosen = left[:step]
-                order, i = left, 0
-            i += step
-            step *= 2
-            pick = np.zeros(self.n_blocks, bool)
-            pick[chosen] = True
-            mine = np.flatnonzero(pick[blocks])
-            starts, sizes = self.starts[entries[mine]], self.ends[entries[mine]] - self.starts[entries[mine]]
-            ends = np.cumsum(sizes)
-            postings = np.arange(ends[-1]) + np.repeat(starts - ends + sizes, sizes)
-            scores = np.bincount(self.docs[postings], np.repeat(weight[mine], sizes) * self.impacts[postings], len(self.doc_ids))
-            hit = np.flatnonzero(scores > 0)
-            best_score, best_doc = self._best(np.concatenate([best_score, scores[hit]]), np.concatenate([best_doc, hit]), k)
-        return list(zip(best_score.tolist(), best_doc.tolist(), strict=True))
-
-    def _best(self, scores: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(scores) > 4 * k:
-            least = np.partition(scores, len(scores) - k)[len(scores) - k]
-            scores, docs = scores[scores >= least], docs[scores >= least]
-        keep = np.lexsort((self.ranks[docs], -scores))[:k]
-        return scores[keep], docs[keep]
-
-    def _all(self, at: np.ndarray, idf: np.ndarray) -> np.ndarray:
-        """Scores of all documents, a term after another, in the same order as by blocks."""
-        scores = np.zeros(len(self.doc_ids))
-        lows, highs = self.starts[self.first[at]], self.ends[self.last[at] - 1]
-        for low, high, w in zip(lows.tolist(), highs.tolist(), idf.tolist(), strict=True):
-            scores[self.docs[low:high]] += w * self.impacts[low:high]
-        return scores
+            return
+        mine, weight = at[found], idf[found]
+        lists = weight * self.most[mine] * HAIR
+        self.blocks_met += self.n_blocks
+        bar = best.bar()
+        if lists.sum() < bar:
+            return
+        low, n = self.first[mine], self.first[mine + 1] - self.first[mine]
+        ends = np.cumsum(n)
+        entries = np.arange(ends[-1]) + np.repeat(low - ends + n, n)
+        owners, blocks = np.repeat(np.arange(len(mine)), n), self.keys[entries] % self.n_blocks
+        bound = np.bincount(blocks, np.repeat(weight, n) * self.largest[entries], self.n_blocks) * HAIR
+        # Where each term's cursor stands when it is moved to a block: a row a term, a column a block and one past the last.
+        moves = np.zeros((len(mine), self.n_blocks + 1), np.intp)
+        moves[owners, blocks + 1] = self.starts[entries + 1] - self.starts[entries]
+        moves = moves.cumsum(axis=1) + self.starts[low][:, None]
+        if bar == 0:  # the block that promises most sets a first bar
+            b = int(np.argmax(bound))
+            self.blocks_scored += 1
+            scores = self._scores(moves, weight, b, b + 1)
+            scores = scores[scores > 0]
+            bar = np.partition(scores, len(scores) - best.k)[len(scores) - best.k] if len(scores) >= best.k else 0.0
+        cursor, end = moves[:, 0], moves[:, -1]
+        run = 1
+        while True:
+            stand = np.where(cursor < end, self.docs[np.minimum(cursor, len(self.docs) - 1)], len(self.ids))
+            order = np.argsort(stand, kind="stable")
+            pivot = int(np.searchsorted(np.cumsum(lists[order]), bar))
+            if pivot == len(order) or stand[order[pivot]] == len(self.ids):
+                return
+            block = int(stand[order[pivot]]) // BLOCK
+            ahead = (bound[block:] >= bar) & (bound[block:] > 0)
+            skip = int(np.argmax(ahead))
+            if not ahead[skip]:
+                return
+            ahead = ahead[skip : skip + run]
+            block, many = block + skip, int(np.argmin(ahead)) if not ahead.all() else len(ahead)
+            scores = self._scores(moves, weight, block, block + many)
+            self.blocks_scored += many
+            hit = np.flatnonzero((scores >= bar) & (scores > 0))
+            if len(hit):
+                place = hit + block * BLOCK
+                best.add(scores[hit], self.ids[place], self.missing[place])
+                bar = max(bar, best.bar())
+            cursor = moves[:, block + many]
+            run = min(2 * run, WINDOW)
+
+    def _scores(self, moves: np.ndarray, weight: np.ndarray, block: int, stop: int) -> np.ndarray:
+        """Scores of the documents of some blocks. Terms are added in one order everywhere, so that equal texts score alike."""
+        low, high = moves[:, block], moves[:, stop]
+        n = high - low
+        base, size = block * BLOCK, (stop - block) * BLOCK
+        total = int(n.sum())
+        if total > 40 * len(n):
+            sums, docs, impacts = self.sums, self.docs, self.impacts
+            for a, b, w in zip(low.tolist(), high.tolist(), weight.tolist(), strict=True):
+                if a < b:
+                    sums[docs[a:b]] += w * impacts[a:b]
+            scores = sums[base : base + size].copy()
+            sums[base : base + size] = 0
+            return scores
+        ends = np.cumsum(n)
+        postings = np.arange(total) + np.repeat(low - ends + n, n)
+        return np.bincount(self.docs[postings] - base, np.repeat(weight, n) * self.impacts[postings], size)
+
+
+def groups(batches: Iterator[pa.RecordBatch], mean: float) -> Iterator[list[Index]]:
+    """Indexes that are held at once."""
+    held, postings = [], 0
+    for big in batches:
+        for at in range(big.num_rows):
+            row = {n: c[at].as_buffer() if n in ("places", "counts") else c[at].values for n, c in zip(big.schema.names, big.columns, strict=True)}
+            made = Index(row, mean)
+            if held and postings + len(made.docs) > GROUP_POSTINGS:
+                yield held
+                held, postings = [], 0
+            held.append(made)
+            postings += len(made.docs)
+    if held:
+        yield held
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
@@ -199,71 +279,45 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     own query is found as any other. Null and empty texts are found by nothing
     and find nothing; queries without query_id are left out, documents without
     doc_id are found last among equals. Rows that repeat a doc_id are documents
-    of their own; queries that repeat a query_id are, too, if their texts differ.
-    With fewer matches than k, all are returned.
+    of their own; queries that repeat a query_id are, too, if their terms differ,
+    each with ranks from 1. With fewer matches than k, all are returned. Other
+    columns of either table, whatever their names, are left out; an empty table
+    on either side gives an empty table.
     """
-    asked = stored(vectors(queries.where(F.col("query_id").isNotNull()).select(F.col("query_id").alias("doc_id"), "text"), None).select(F.col("doc_id").alias("query_id"), "terms").distinct(), "queries")
-    # Texts are read for the statistics and again for the index: vectors would take more room than the texts.
-    bits = filter_of(asked)
-    known, n, total = statistics(docs, bits)
-    indexed = vectors(docs, bits)
-    mean = total / max(1, n) or 1.0
-    n_shards = max(1, -(-n // SHARD_DOCS))
-    known = known.select("term", F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    asked = stored(query_terms(queries.where(F.col("query_id").isNotNull()).select("query_id", "text")).distinct(), "queries")
+    index = stored(index_of(docs.select("doc_id", "text"), filter_of(asked)), "index")
+    # Sums over shards: a row a shard, and a row for each of its terms.
+    n, total = index.agg(F.sum(F.size("ids")), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()
+    n, mean = n or 0, (total or 0) / max(1, n or 0) or 1.0
+    known = index.select(F.explode(F.arrays_zip("terms", "sizes")).alias("t")).groupBy("t.terms").agg(F.sum("t.sizes").alias("df"))
+    known = known.select(F.col("terms").alias("term"), F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weighted = asked.select("query_id", F.xxhash64("terms").alias("text"), F.explode("terms").alias("term")).join(known, "term")
     weighted = weighted.groupBy("query_id", "text").agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("t"))
-    weighted = stored(weighted.select("query_id", F.col("t.term").alias("terms"), F.col("t.idf").alias("idf")), "weighted")
-    shard = F.pmod(F.xxhash64("doc_id"), F.lit(n_shards)).cast("int")
-    rows = indexed.select(shard.alias("shard"), F.lit(0).alias("kind"), F.col("doc_id").alias("id"), "length", "terms", "counts", F.lit(None).cast("array<double>").alias("idf"))
-    asking = weighted.select(F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.col("query_id").alias("id"), F.lit(None).cast("long").alias("length"), "terms", F.lit(None).cast("array<int>").alias("counts"), "idf")
-    # A shard's documents come first, by id, and its queries stream past the index that is made of them.
-    both = rows.unionByName(asking).repartitionById(n_shards, F.col("shard")).sortWithinPartitions("shard", "kind", F.col("id").asc_nulls_last())
+    weighted = stored(weighted.select("query_id", "text", F.col("t.term").alias("terms"), F.col("t.idf").alias("idf")), "weighted")
+    source = weighted.inputFiles()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending: list[pa.RecordBatch] = []
-        index, of = None, None
-        for big in batches:
-            shards, kinds = big.column(0).to_numpy(), big.column(1).to_numpy()
-            cuts = np.flatnonzero(np.diff(shards * 2 + kinds)) + 1
-            for lo, hi in zip([0, *cuts], [*cuts, len(shards)], strict=True):
-                part = big.slice(lo, hi - lo)
-                if kinds[lo] == 0:
-                    if of != shards[lo]:
-                        pending, index, of = [], None, shards[lo]
-                    pending.append(part)
-                    continue
-                if of != shards[lo]:
-                    continue  # a shard without documents
-                if index is None:
-                    index, pending = made(pa.Table.from_batches(pending), mean), []
-                out: list[tuple[int, int, float]] = []
-                for query, terms, idf in zip(part.column(2).to_pylist(), part.column(4), part.column(6), strict=True):
-                    for score, doc in index.top(terms.values.to_numpy(), idf.values.to_numpy(), k):
-                        out.append((query, index.doc_ids[doc], score))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64())], names=["query_id", "doc_id", "score"])
-
-    found = both.mapInArrow(run, "query_id long, doc_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
+        import pyarrow.parquet as pq
+
+        for indexes in groups(batches, mean):
+            for path in source:
+                store, name = file_system(path)
+                with store.open_input_file(name) as file:
+                    for part in pq.ParquetFile(file).iter_batches(1024, columns=["query_id", "text", "terms", "idf"]):
+                        out = []
+                        for query, text, terms, idf in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), part.column(3), strict=True):
+                            best = Best(k)
+                            for x in indexes:
+                                x.top(terms.values.to_numpy(), idf.values.to_numpy(), best)
+                            out += [(query, text, None if gone else doc, score) for score, doc, gone in zip(best.scores.tolist(), best.ids.tolist(), best.missing.tolist(), strict=True)]
+                        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+                        yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], kind) for c, kind in enumerate(kinds)], names=["query_id", "text", "doc_id", "score"])
+
+    found = index.select("ids", "lengths", "terms", "sizes", "places", "counts").mapInArrow(run, "query_id long, text long, doc_id long, score double")
+    order = Window.partitionBy("query_id", "text").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
-def made(table: pa.Table, mean: float) -> Index:
-    """The index of a shard's documents, which come by id."""
-    terms, counts = table.column("terms").combine_chunks(), table.column("counts").combine_chunks()
-    sizes = np.diff(terms.offsets.to_numpy())
-    flat, tf, lengths = terms.flatten().to_numpy(), counts.flatten().to_numpy(), table.column("length").to_numpy()
-    owners = np.repeat(np.arange(len(sizes)), sizes)
-    # The word that a document uses most, and about how many different ones.
-    by_count = np.lexsort((-tf, owners))
-    most = np.zeros(len(sizes), np.int64)
-    some = np.flatnonzero(sizes)
-    most[some] = flat[by_count[(np.cumsum(sizes) - sizes)[some]]]
-    order = np.lexsort((sizes, most))
-    new = np.empty(len(order), int)
-    new[order] = np.arange(len(order))
-    return Index(np.array(table.column("id").to_pylist(), object)[order], lengths[order], flat, tf, new[owners], order, mean)
-
-
 def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best documents for the whole text of every document whose id is divisible by 100."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
