@@ -3,13 +3,58 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cairn.sources.storage import shared_dir, stored
+from cairn.sources.storage import forget, shared_dir, stored
 
-__all__ = ["documents", "file_system", "fresh_dir", "salted_join", "shared_dir", "stored"]
+__all__ = ["bounded", "documents", "file_system", "forget", "fresh_dir", "in_arrow", "salted_join", "shared_dir", "slices", "stored", "unused"]
+
+#: Bytes of a batch that Spark sends to a Python worker (a longer row is a batch of its own), where the session doesn't set them.
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` over batches that are bounded by bytes as well as by rows."""
+    key, most = ARROW_BYTES
+    if df.sparkSession.conf.get(key, None) is None:
+        df.sparkSession.conf.set(key, most)
+    return df.mapInArrow(run, schema)
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it has been counted to hold at most so many rows; else as it is, for a join that shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or one like it that no column has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def slices(batch: pa.RecordBatch, rows: int = 256, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of at most so many rows and about ``limit`` bytes of texts and lists, so that what is unpacked at once stays small."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type):
+            sizes += pc.binary_length(c).fill_null(0).to_numpy(zero_copy_only=False)
+        elif pa.types.is_list(c.type):
+            sizes += 8 * pc.list_value_length(c).fill_null(0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        full = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right"))
+        stop = min(at + rows, max(at + 1, full))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:

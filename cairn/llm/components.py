@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,19 +22,26 @@ def components(links: DataFrame) -> DataFrame:
         to = stored(left.groupBy("hi").agg(F.min("lo").alias("lo")), "pointers")
         while True:
             next_ = to.select(F.col("hi").alias("lo"), F.col("lo").alias("far"))
-            to = stored(to.join(next_, "lo", "left").select("hi", F.coalesce("far", "lo").alias("lo"), F.col("far").isNotNull().alias("moved")), "pointers")
+            further = stored(to.select("hi", "lo").join(next_, "lo", "left").select("hi", F.coalesce("far", "lo").alias("lo"), F.col("far").isNotNull().alias("moved")), "pointers")
+            forget(to)
+            to = further
             if to.where("moved").isEmpty():
                 break
-            to = to.drop("moved")
-        to = to.select("hi", "lo")
-        end = lambda side: to.select(F.col("hi").alias(side), F.col("lo").alias(f"{side}_end"))
+        ends = to.select("hi", "lo")
+        end = lambda side, ends=ends: ends.select(F.col("hi").alias(side), F.col("lo").alias(f"{side}_end"))
         moved = left.join(end("hi"), "hi", "left").join(end("lo"), "lo", "left").select(F.coalesce("hi_end", "hi").alias("a"), F.coalesce("lo_end", "lo").alias("b"))
         if known is None:
-            known = to.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+            found = ends.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
         else:
-            onward = to.select(F.col("hi").alias("root"), F.col("lo").alias("far"))
+            onward = ends.select(F.col("hi").alias("root"), F.col("lo").alias("far"))
             old = known.join(onward, "root", "left").select("node", F.coalesce("far", "root").alias("root"))
-            fresh = to.select(F.col("hi").alias("node"), F.col("lo").alias("root")).join(known, "node", "left_anti")
-            known = stored(old.unionByName(fresh), "roots")
-        left = stored(moved.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "links")
-    return known if known is not None else left.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+            fresh = ends.select(F.col("hi").alias("node"), F.col("lo").alias("root")).join(known, "node", "left_anti")
+            found = old.unionByName(fresh)
+        roots = stored(found, "roots")
+        rest = stored(moved.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "links")
+        forget(to, left, *([known] if known is not None else []))
+        known, left = roots, rest
+    if known is None:
+        return left.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+    forget(left)
+    return known

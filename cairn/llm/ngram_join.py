@@ -7,6 +7,12 @@ that puts frequent shingles last: pairs below the threshold's size bounds never
 meet. Compared classes go through products of the document by n-gram incidence,
 block by block; overlap counts add up and pairs below the bound are dropped.
 
+The place of a shingle in its set's order bounds what can follow it: sets that
+first meet there share no more than what the shorter rest holds. So every entry of
+a shingle's list knows the largest set that it could link to there, and entries
+that no set of the list is small enough for are left out: copies that differ too
+much from all others.
+
 A group of near copies isn't compared pair by pair. First every class of a list
 meets the list's pivot, the class that shares most; what that links is one
 component. Then only classes that a list still has outside its pivot's component
@@ -24,18 +30,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, salted_join, stored
+from .common import documents, forget, in_arrow, salted_join, slices, stored
 from .components import components
 
 #: Words of a shingle; link at |A & B| * 100 >= PERCENT * |A | B|.
 SHINGLE, PERCENT = 5, 80
-#: Classes of a block on either side of a product.
-ROWS, COLUMNS = 64, 1024
+#: Classes of a block on either side of a product, and shingles of a block's rows. A block with more columns is done in parts.
+ROWS, COLUMNS, ROW_SHINGLES = 64, 256, 1 << 17
 #: Shingles that count as frequent are broadcast, at most so many (8 bytes each): the most frequent ones.
 FREQUENT = 1_000_000
 #: Bits of the filter that spares documents without candidates a shuffle (4 MB; more documents only make it let more through).
 FILTER_BITS = 1 << 25
-MEMORY_WORDS = 500_000
+MEMORY_WORDS = 300_000
 
 
 class Shingler:
@@ -84,8 +90,7 @@ def sketches(docs: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Shingler(SHINGLE)
         for big in batches:
-            for at in range(0, big.num_rows, 512):
-                part = big.slice(at, 512)
+            for part in slices(big):
                 sets = [made.of(x) for x in part.column(1).to_pylist()]
                 classes = [class_of(s) for s in sets]
                 seen: set = set()
@@ -98,7 +103,7 @@ def sketches(docs: DataFrame, percent: int) -> DataFrame:
                 first = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts) if firsts else np.zeros(0, np.int64), pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), first], names=["doc_id", "n", "cls", "first"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, cls long, first array<long>")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n long, cls long, first array<long>")
 
 
 def filter_of(ids: DataFrame) -> np.ndarray:
@@ -119,8 +124,7 @@ def full_sets(docs: DataFrame, chosen: DataFrame, frequent: np.ndarray, percent:
         made = Shingler(SHINGLE)
         bits, often = shared.value
         for big in batches:
-            for at in range(0, big.num_rows, 512):
-                part = big.slice(at, 512)
+            for part in slices(big):
                 where = part.column(1).to_numpy()
                 part = part.filter(pa.array((bits[where >> 5] >> (where & 31).astype(np.uint32)) & 1 == 1))
                 sets = [made.of(x) for x in part.column(2).to_pylist()]
@@ -135,41 +139,47 @@ def full_sets(docs: DataFrame, chosen: DataFrame, frequent: np.ndarray, percent:
 
     place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("long")
     made = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", place.alias("place"), "text")
-    made = made.mapInArrow(run, "doc_id long, cls long, n long, shingles array<long>, first array<long>")
+    made = in_arrow(made, run, "doc_id long, cls long, n long, shingles array<long>, first array<long>")
     # A class has one chosen document, so this keeps one row a class, where the join has put it.
     return made.join(chosen, ["doc_id", "cls"]).dropDuplicates(["doc_id", "cls"]).drop("doc_id")
 
 
-def product(rows: list[tuple[int, np.ndarray]], columns: list[tuple[int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
-    """Links between two blocks of classes: a spanning forest of them."""
-    vocabulary = np.unique(np.concatenate([s for _, s in rows]))
-    incidence = np.zeros((len(vocabulary), len(rows)), np.uint8)
-    for k, (_, s) in enumerate(rows):
-        incidence[np.searchsorted(vocabulary, s), k] = 1
-    sizes = np.array([len(s) for _, s in rows])
-    leader: dict[int, int] = {}
+class Block:
+    """The rows of a product as an incidence matrix, which columns meet one at a time."""
+
+    def __init__(self, rows: list[tuple[int, np.ndarray]], percent: int):
+        self.percent, self.classes = percent, [cls for cls, _ in rows]
+        self.vocabulary = np.unique(np.concatenate([s for _, s in rows]))
+        self.incidence = np.zeros((len(self.vocabulary), len(rows)), np.uint8)
+        for k, (_, s) in enumerate(rows):
+            self.incidence[np.searchsorted(self.vocabulary, s), k] = 1
+        self.sizes = np.array([len(s) for _, s in rows])
+        self.leader: dict[int, int] = {}
 
-    def find(x: int) -> int:
+    def find(self, x: int) -> int:
+        leader = self.leader
         while leader.setdefault(x, x) != x:
             leader[x] = leader[leader[x]]
             x = leader[x]
         return x
 
-    out = []
-    for cls, s in columns:
+    def links(self, cls: int, s: np.ndarray) -> list[tuple[int, int]]:
+        """Links of a column to rows, without those that follow from links before."""
+        sizes, percent = self.sizes, self.percent
         # Size-derived bound: the smaller set must hold the least overlap of the larger.
         fits = 100 * np.minimum(sizes, len(s)) >= percent * np.maximum(sizes, len(s))
         if not fits.any():
-            continue
-        at = np.searchsorted(vocabulary, s)
-        at = at[vocabulary[np.minimum(at, len(vocabulary) - 1)] == s]
-        overlap = incidence[at].sum(axis=0, dtype=np.int64)
+            return []
+        at = np.searchsorted(self.vocabulary, s)
+        at = at[self.vocabulary[np.minimum(at, len(self.vocabulary) - 1)] == s]
+        overlap = self.incidence[at].sum(axis=0, dtype=np.int64)
+        out = []
         for k in np.flatnonzero(fits & (100 * overlap >= percent * (sizes + len(s) - overlap))):
-            a, b = find(rows[k][0]), find(cls)
+            a, b = self.find(self.classes[k]), self.find(cls)
             if a != b:
-                leader[a] = b
-                out.append((rows[k][0], cls))
-    return out
+                self.leader[a] = b
+                out.append((self.classes[k], cls))
+        return out
 
 
 def products(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -181,21 +191,22 @@ def products(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = both.repartition("block", "part").sortWithinPartitions("block", "part", "side").select("block", "part", "side", "cls", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, ([], [])
-        flush = lambda: product(held[0], held[1], percent) if held[0] and held[1] else []
-        pack = lambda links: pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        key, rows, block = None, [], None
         for big in batches:
+            out: list[tuple[int, int]] = []
             at, n, sides, classes, lists = (big.column(k) for k in range(5))
-            for block, part, side, cls, s in zip(at.to_pylist(), n.to_pylist(), sides.to_pylist(), classes.to_pylist(), lists, strict=True):
-                if (block, part) != key:
-                    if links := flush():
-                        yield pack(links)
-                    key, held = (block, part), ([], [])
-                held[side].append((cls, s.values.to_numpy(zero_copy_only=False)))
-        if links := flush():
-            yield pack(links)
+            for number, part, side, cls, s in zip(at.to_pylist(), n.to_pylist(), sides.to_pylist(), classes.to_pylist(), lists, strict=True):
+                if (number, part) != key:
+                    key, rows, block = (number, part), [], None
+                values = s.values.to_numpy(zero_copy_only=False)
+                if side == 0:
+                    rows.append((cls, values))
+                elif rows:
+                    block = block or Block(rows, percent)
+                    out += block.links(cls, values)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return in_arrow(both, run, "a long, b long")
 
 
 def linked_classes(docs: DataFrame, base: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -216,36 +227,50 @@ def linked_classes(docs: DataFrame, base: DataFrame, classes: DataFrame, percent
         bound = 2**level
     frequent = shared.where(F.col("times") >= bound).select("hash").toArrow().column("hash").to_numpy() if bound else np.zeros(0, np.int64)
     sets = stored(full_sets(docs, chosen, frequent, percent), "sets")
-    places = sets.select(F.explode("first").alias("hash"), "cls", "n", "score")
-    best = F.max(F.struct("score", "cls", "n"))
-    lists = stored(places.groupBy("hash").agg(F.count("*").alias("m"), best.alias("best")).where("m > 1").select("hash", "m", F.col("best.cls").alias("pivot"), F.col("best.n").alias("pivot_n")), "lists")
-    members = stored(places.select("hash", "cls", "n").join(lists, "hash"), "members")
+    forget(shared, chosen)
+    # No set of more than ``most`` shingles links through this one, if none before it is shared.
+    most = F.expr(f"({100 + percent} * (n - place) - {percent} * n) div {percent}")
+    places = sets.select(F.posexplode("first").alias("place", "hash"), "cls", "n", "score").withColumn("most", most)
+    best = F.max(F.struct("score", "cls", "n", "most"))
+    lists = places.groupBy("hash").agg(F.count("*").alias("m"), F.min("n").alias("smallest"), best.alias("best")).where("m > 1")
+    lists = stored(lists.select("hash", "m", "smallest", F.col("best.cls").alias("pivot"), F.col("best.n").alias("pivot_n"), F.col("best.most").alias("pivot_most")), "lists")
+    members = stored(places.select("hash", "cls", "n", "most").join(lists, "hash").where("most >= smallest").drop("smallest"), "members")
     # Every class meets the pivots of its lists, if their sizes let them link.
-    met = members.where("cls <> pivot").where(100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")).select("pivot", "cls").distinct()
-    pivots = met.select(F.col("pivot").alias("block"), F.lit(1).alias("side"), "cls").unionByName(met.select(F.col("pivot").alias("block"), F.lit(0).alias("side"), F.col("pivot").alias("cls")).distinct())
+    met = members.where("cls <> pivot and pivot_n <= most and n <= pivot_most").where(100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")).select("pivot", "cls").distinct()
+    pivots = stored(met.select(F.col("pivot").alias("block"), F.lit(1).alias("side"), "cls").unionByName(met.select(F.col("pivot").alias("block"), F.lit(0).alias("side"), F.col("pivot").alias("cls")).distinct()), "pivots")
     links = stored(products(pivots, sets, percent), "links")
+    forget(lists, pivots)
     roots = components(links)
     # What a list has outside its pivot's component meets the whole list. Lists of two are done.
     label = roots.select(F.col("node").alias("cls"), F.col("root").alias("label"))
     pivot_label = roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_label"))
     labelled = members.where("m > 2").join(label, "cls", "left").join(pivot_label, "pivot", "left")
-    labelled = stored(labelled.select("hash", "cls", "n", "pivot", "m", (F.coalesce("label", "cls") != F.coalesce("pivot_label", "pivot")).alias("outside")), "labelled")
-    rest = stored(products(meeting(labelled, percent), sets, percent), "links")
-    return components(links.unionByName(rest)) if not rest.isEmpty() else roots
-
-
-def meeting(labelled: DataFrame, percent: int) -> DataFrame:
-    """Blocks for ``products``: rows are the classes outside, columns the other members of their lists whose sizes may do."""
+    labelled = stored(labelled.select("hash", "cls", "n", "most", "pivot", "m", (F.coalesce("label", "cls") != F.coalesce("pivot_label", "pivot")).alias("outside")), "labelled")
+    forget(members)
+    rows, met = meeting(labelled, percent)
+    rest = stored(products(met, sets, percent), "links")
+    forget(labelled, rows, met, sets)
+    if rest.isEmpty():
+        forget(links, rest)
+        return roots
+    found = components(links.unionByName(rest))
+    forget(links, rest)
+    return found
+
+
+def meeting(labelled: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks for ``products``: rows are the classes outside, columns the other members of their lists whose sizes may do. Also the rows alone."""
     rows = labelled.where("outside")
     # A class's rows are in one block: that of its longest list's pivot and of its own size, split to ROWS or so.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))
-    home = rows.groupBy("cls", "n").agg(F.max(F.struct("m", "pivot")).alias("home")).select("cls", F.col("home.pivot").alias("home"), band.alias("band"))
-    sizes = home.groupBy("home", "band").agg(F.count("*").alias("of_home"))
-    home = home.join(sizes, ["home", "band"]).select("cls", F.xxhash64("home", "band", F.pmod(F.xxhash64("cls"), F.ceil(F.col("of_home") / ROWS))).alias("block"))
-    rows = stored(rows.select("hash", "cls", "n").join(home, "cls").select("hash", "cls", "n", "block"), "rows")
-    wanted = rows.groupBy("hash", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    others = wanted.join(labelled.where("cls <> pivot").select("hash", "cls", "n"), "hash").where((100 * F.col("n") >= percent * F.col("low")) & (percent * F.col("n") <= 100 * F.col("high")))
-    return others.select("block", F.lit(1).alias("side"), "cls").distinct().unionByName(rows.select("block", F.lit(0).alias("side"), "cls").distinct())
+    home = rows.groupBy("cls", "n").agg(F.max(F.struct("m", "pivot")).alias("home")).select("cls", "n", F.col("home.pivot").alias("home"), band.alias("band"))
+    sizes = home.groupBy("home", "band").agg(F.greatest(F.ceil(F.count("*") / ROWS), F.ceil(F.sum("n") / ROW_SHINGLES)).alias("blocks"))
+    home = home.join(sizes, ["home", "band"]).select("cls", F.xxhash64("home", "band", F.pmod(F.xxhash64("cls"), F.col("blocks"))).alias("block"))
+    rows = stored(rows.select("hash", "cls", "n", "most").join(home, "cls").select("hash", "cls", "n", "most", "block"), "rows")
+    wanted = rows.groupBy("hash", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("most").alias("top"))
+    others = wanted.join(labelled.where("cls <> pivot").select("hash", "cls", "n", "most"), "hash").where((F.col("n") <= F.col("top")) & (F.col("most") >= F.col("low")) & (100 * F.col("n") >= percent * F.col("low")) & (percent * F.col("n") <= 100 * F.col("high")))
+    met = others.select("block", F.lit(1).alias("side"), "cls").distinct().unionByName(rows.select("block", F.lit(0).alias("side"), "cls").distinct())
+    return rows, stored(met, "meeting")
 
 
 def jaccard_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
