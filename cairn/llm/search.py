@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, file_system, stored
+from .common import documents, file_system, in_arrow, slices, stored
 
 #: Parameters of BM25 and results of a query.
 K1, B, TOP = 1.2, 0.75, 10
@@ -66,11 +66,10 @@ def query_terms(queries: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = TermCounter()
         for big in batches:
-            for at in range(0, big.num_rows, 512):
-                part = big.slice(at, 512)
+            for part in slices(big):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([made.of(x)[0] for x in part.column(1).to_pylist()], pa.list_(pa.int64()))], names=["query_id", "terms"])
 
-    return queries.select(F.col("query_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "query_id long, terms array<long>")
+    return in_arrow(queries.select(F.col("query_id").cast("long"), F.col("text").cast("string")), run, "query_id long, terms array<long>")
 
 
 def filter_of(queries: DataFrame) -> np.ndarray:
@@ -113,8 +112,7 @@ def index_of(docs: DataFrame, bits: np.ndarray) -> DataFrame:
         made, bits = TermCounter(), shared.value
         held, postings = [], 0
         for big in batches:
-            for at in range(0, big.num_rows, 512):
-                part = big.slice(at, 512)
+            for part in slices(big):
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     t, c, n = made.of(text)
                     if len(t):
@@ -129,7 +127,40 @@ def index_of(docs: DataFrame, bits: np.ndarray) -> DataFrame:
         if held:
             yield packed(held)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, INDEX)
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, INDEX)
+
+
+def frequencies(index: DataFrame) -> DataFrame:
+    """term and df, the number of documents that have it: shards' counts, added up by runs of terms, whole arrays at a time."""
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for terms, sizes in zip(*big.columns, strict=True):
+                t, n = terms.values.to_numpy(), sizes.values.to_numpy()
+                run = (t >> 56).astype(np.int32)  # ascending, as terms are
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1, [len(t)]]).astype(np.int32) if len(t) else np.zeros(1, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(run[cuts[:-1]]), pa.ListArray.from_arrays(cuts, pa.array(t)), pa.ListArray.from_arrays(cuts, pa.array(n))], names=["run", "terms", "sizes"])
+
+    def added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        terms, at = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+        return terms, np.bincount(at, np.concatenate([x[1] for x in held])).astype(np.int64)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, held = None, []
+        for big in batches:
+            for run, terms, sizes in zip(big.column(0).to_pylist(), big.column(1), big.column(2), strict=True):
+                if run != of and held:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in added(held)], names=["term", "df"])
+                    held = []
+                of = run
+                held.append((terms.values.to_numpy(), sizes.values.to_numpy()))
+                if len(held) == 64:
+                    held = [added(held)]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in added(held)], names=["term", "df"])
+
+    parts = in_arrow(index.select("terms", "sizes"), runs, "run int, terms array<long>, sizes array<int>").repartition("run").sortWithinPartitions("run")
+    return in_arrow(parts, sums, "term long, df long")
 
 
 class Best:
@@ -286,11 +317,10 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     """
     asked = stored(query_terms(queries.where(F.col("query_id").isNotNull()).select("query_id", "text")).distinct(), "queries")
     index = stored(index_of(docs.select("doc_id", "text"), filter_of(asked)), "index")
-    # Sums over shards: a row a shard, and a row for each of its terms.
+    # Sums over shards.
     n, total = index.agg(F.sum(F.size("ids")), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()
     n, mean = n or 0, (total or 0) / max(1, n or 0) or 1.0
-    known = index.select(F.explode(F.arrays_zip("terms", "sizes")).alias("t")).groupBy("t.terms").agg(F.sum("t.sizes").alias("df"))
-    known = known.select(F.col("terms").alias("term"), F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    known = frequencies(index).select("term", F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weighted = asked.select("query_id", F.xxhash64("terms").alias("text"), F.explode("terms").alias("term")).join(known, "term")
     weighted = weighted.groupBy("query_id", "text").agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("t"))
     weighted = stored(weighted.select("query_id", "text", F.col("t.term").alias("terms"), F.col("t.idf").alias("idf")), "weighted")
@@ -313,7 +343,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
                         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
                         yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], kind) for c, kind in enumerate(kinds)], names=["query_id", "text", "doc_id", "score"])
 
-    found = index.select("ids", "lengths", "terms", "sizes", "places", "counts").mapInArrow(run, "query_id long, text long, doc_id long, score double")
+    found = in_arrow(index.select("ids", "lengths", "terms", "sizes", "places", "counts"), run, "query_id long, text long, doc_id long, score double")
     order = Window.partitionBy("query_id", "text").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
