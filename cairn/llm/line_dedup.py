@@ -1,13 +1,14 @@
 """Line deduplication by pairwise alignment.
 
-Documents overlap where they share a block of enough words. Every such block
-holds a seed: the shortest run of adjacent lines that reaches that many words, from
-a line on or up to one. A document is aligned with the first holder (smallest
-doc_id) of each of its seeds and of its whole sequence of lines, so pairs grow with
-the lines and never with the square of a group. A pair is aligned by patience over
-all lines that both hold: each unique by its text and its turn in the document, they
-are put in the longest order that both have; runs without a gap are common
-blocks, and blocks of enough words are deleted from the later document.
+Documents overlap where they share a block of enough words. Every such block is
+made of seeds: the shortest runs of adjacent lines that reach that many words, from a
+line on or up to one. Seeds are rare where single lines aren't: a document meets
+others through their hashes alone. It is aligned with the first holder (smallest
+doc_id) of each of its seeds, so pairs grow with the lines and never with the square
+of a group. A pair is aligned by patience over the lines that each of both has once,
+and equal lines beside these; blocks of enough words are deleted from the later
+document. What stands in another order there is no part of an alignment: such seeds
+are deleted as they are.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from __future__ import annotations
 import hashlib
 from array import array
 from bisect import bisect_left
-from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,52 +23,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, stored
+from .common import documents, forget, in_arrow, salted_join, slices, stored, unused
 
 #: Common blocks of fewer words stay: short lines repeat in documents that have nothing else in common.
 BLOCK_WORDS = 25
 #: doc_id of rows that have none: they come after all others.
 LAST = (1 << 63) - 1
 
-LINES = "doc long, version long, rank int, line long, words int"
 SEQUENCES = "doc long, version long, lines array<long>, words array<int>"
 
 
-def numbered(text: str) -> list[tuple[int, int, int]]:
-    """Rank, hash and words of each line that isn't blank; the hash covers its text and which of its repeats it is."""
-    turn: dict[str, int] = defaultdict(int)
-    out = []
-    for line in text.split("\n"):
-        parts = line.split()
-        if parts:
-            key = " ".join(parts)
-            turn[key] += 1
-            raw = hashlib.blake2b(f"{turn[key]} {key}".encode(), digest_size=8).digest()
-            out.append((len(out), int.from_bytes(raw, "big", signed=True), len(parts)))
-    return out
-
-
-def version(text: str) -> int:
-    """Tells apart different texts that have the same doc_id."""
-    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big", signed=True)
-
-
-def lines_of(docs: DataFrame) -> DataFrame:
-    """A row for every line that isn't blank."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
-        for big in batches:
-            for at in range(0, big.num_rows, 256):
-                part = big.slice(at, 256)
-                rows = []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    v = version(text)
-                    found = numbered(text)
-                    rows += [(doc, v, *x) for x in found]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["doc", "version", "rank", "line", "words"])
-
-    return docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, LINES)
+def lines_of(text: str) -> tuple[list[int], list[int]]:
+    """Hash and number of words of each line that isn't blank; white space counts as one blank."""
+    split = [parts for line in text.split("\n") if (parts := line.split())]
+    return [int.from_bytes(hashlib.blake2b(" ".join(x).encode(), digest_size=8).digest(), "big", signed=True) for x in split], [len(x) for x in split]
 
 
 def increasing(values: list[int]) -> list[int]:
@@ -91,174 +59,141 @@ def increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def common_places(pairs: list[tuple[int, int, int, int, int]], block_words: int) -> list[int]:
-    """Ranks of lines to delete. pairs: holder, its version, rank there, rank here, words."""
-    by_holder = defaultdict(list)
-    for holder, v, there, here, words in set(pairs):
-        by_holder[holder, v].append((here, there, words))
-    out: set[int] = set()
-    for shared in by_holder.values():
-        shared.sort()
-        aligned = [shared[i] for i in increasing([there for _, there, _ in shared])]
-        block: list[tuple[int, int, int]] = []
-        for x in [*aligned, None]:
-            # Ranks leave blank lines out, so that these don't part a block.
-            if x and block and x[0] == block[-1][0] + 1 and x[1] == block[-1][1] + 1:
-                block.append(x)
-                continue
-            if block and sum(w for _, _, w in block) >= block_words:
-                out.update(here for here, _, _ in block)
-            block = [x] if x else []
-    return sorted(out)
-
-
-def overlaps(lines: DataFrame) -> DataFrame:
-    """For every line that an earlier document holds: that first holder, and the places in both."""
-    here = F.struct("doc", "version", "rank")
-    first = lines.groupBy("line").agg(F.min(here).alias("first"), F.max(F.struct("doc", "version")).alias("last"))
-    shared = first.where(F.struct("first.doc", "first.version") != F.col("last")).select("line", "first")
-    both = lines.join(shared, "line")
-    return both.where(F.struct("doc", "version") != F.struct("first.doc", "first.version")).select("doc", "version", F.struct(F.col("first.doc").alias("holder"), F.col("first.version").alias("holder_version"), F.col("first.rank").alias("there"), F.col("rank").alias("here"), "words").alias("pair"))
-
-
-def sequences_of(docs: DataFrame) -> DataFrame:
-    """A row for every document: its lines that aren't blank, in order. Rows that repeat doc_id and text are one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-        for big in batches:
-            for at in range(0, big.num_rows, 256):
-                part = big.slice(at, 256)
-                rows = []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    found = numbered(text)
-                    rows.append((doc, version(text), [x[1] for x in found], [x[2] for x in found]))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["doc", "version", "lines", "words"])
-
-    named = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    return named.mapInArrow(run, SEQUENCES).dropDuplicates(["doc", "version"])
+def once(lines: list[int]) -> dict[int, int]:
+    """The place of each line that occurs once."""
+    places: dict[int, int] = {}
+    for k, line in enumerate(lines):
+        places[line] = -1 if line in places else k
+    return {line: k for line, k in places.items() if k >= 0}
+
+
+def aligned(theirs: list[int], lines: list[int]) -> list[tuple[int, int]]:
+    """Blocks (first line, and the one after the last) of ``lines`` that patience aligns with blocks of ``theirs``."""
+    there, here = once(theirs), once(lines)
+    anchors = [(k, there[line]) for line, k in here.items() if line in there]
+    out, stop = [], 0
+    for i in increasing([t for _, t in anchors]):
+        k, t = anchors[i]
+        if k < stop:
+            continue  # a line of the block before
+        start, off = k, t - k
+        while start > stop and start + off > 0 and lines[start - 1] == theirs[start + off - 1]:
+            start -= 1
+        stop = k + 1
+        while stop < len(lines) and stop + off < len(theirs) and lines[stop] == theirs[stop + off]:
+            stop += 1
+        out.append((start, stop))
+    return out
 
 
-def seeds(lines: list[int], words: list[int], block_words: int) -> set[int]:
-    """Hashes of the shortest runs of ``block_words`` words from each line on and up to each line, and of all lines."""
-    n, spans = len(lines), set()
+def spans(words: list[int], block_words: int) -> set[tuple[int, int]]:
+    """The shortest runs of lines that hold ``block_words`` words, from each line on and up to each line."""
+    n, out = len(words), set()
     for step in (1, -1):
-        near = far = 0
-        total = 0
+        near = far = total = 0
         order = words[::step]
         for near in range(n):
-            while far < n and (total < block_words or far <= near):
+            while far < n and total < block_words:
                 total += order[far]
                 far += 1
             if total < block_words:
                 break
-            spans.add((near, far) if step == 1 else (n - far, n - near))
+            out.add((near, far) if step == 1 else (n - far, n - near))
             total -= order[near]
-    if spans:
-        spans.add((0, n))
-    raw = array("q", lines).tobytes()
-    return {int.from_bytes(hashlib.blake2b(raw[8 * a : 8 * b], digest_size=8).digest(), "big", signed=True) for a, b in spans}
+    return out
 
 
-def partners(sequences: DataFrame, block_words: int) -> DataFrame:
-    """Pairs of a document and an earlier one that is the first holder of one of its seeds."""
+def sequences_of(docs: DataFrame) -> DataFrame:
+    """A row for every document (doc, version, text): its lines that aren't blank, in order. Rows that repeat doc and text are one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for at in range(0, big.num_rows, 256):
-                part = big.slice(at, 256)
-                rows = [(seed, doc, v) for doc, v, lines, words in zip(*(c.to_pylist() for c in part.columns), strict=True) for seed in seeds(lines, words, block_words)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["seed", "doc", "version"])
-
-    held = stored(sequences.mapInArrow(run, "seed long, doc long, version long"), "seeds")
-    here = F.struct("doc", "version")
-    first = held.groupBy("seed").agg(F.min(here).alias("first"), F.max(here).alias("last")).where(F.col("first") != F.col("last")).select("seed", "first")
-    both = held.join(first, "seed").where(here != F.col("first"))
-    return both.select("doc", "version", F.col("first.doc").alias("holder"), F.col("first.version").alias("holder_version")).distinct()
+            for part in slices(big):
+                found = [lines_of(x) for x in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x[0] for x in found], pa.list_(pa.int64())), pa.array([x[1] for x in found], pa.list_(pa.int32()))], names=["doc", "version", "lines", "words"])
 
+    return in_arrow(docs, run, SEQUENCES).dropDuplicates(["doc", "version"])
 
-def dedup_blocks(docs: DataFrame, text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Delete from every text the blocks of lines that it shares with earlier documents.
 
-    Adds n_lines (lines that aren't blank) and n_removed to the columns of
-    ``docs``, whose text column holds what is left; columns with these names are
-    replaced. Earlier means a smaller doc_id; a null doc_id comes last, and
-    different texts of one doc_id are in the order of their hashes. Rows that
-    repeat doc_id and text are one document and get the same result. A copy of
-    an earlier document of at least ``block_words`` words is left with an empty
-    text, wherever its lines were first seen. A null text stays null, an empty
-    one empty; an empty table stays empty.
-    """
-    named = docs.withColumnsRenamed({text_col: "_text"}).drop("n_lines", "n_removed")
-    sequences = stored(sequences_of(docs.select("doc_id", F.col(text_col).alias("text"))), "sequences")
-    theirs = sequences.select(F.col("doc").alias("holder"), F.col("version").alias("holder_version"), F.col("lines").alias("theirs"))
-    pairs = partners(sequences, block_words).join(theirs, ["holder", "holder_version"]).join(sequences, ["doc", "version"])
+def seeds_of(sequences: DataFrame, block_words: int) -> DataFrame:
+    """A row for every seed of a document, with its lines."""
 
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for at in range(0, big.num_rows, 256):
-                part = big.slice(at, 256)
-                found = []
-                for theirs, lines, words in zip(*(part.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
-                    there = {line: k for k, line in enumerate(theirs)}
-                    found.append(common_places([(0, 0, there[line], k, words[k]) for k, line in enumerate(lines) if line in there], block_words))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.int32()))], names=["_doc", "_version", "_places"])
+            for part in slices(big, limit=1 << 18):
+                rows = []
+                for doc, version, lines, words in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    raw = array("q", lines).tobytes()
+                    rows += [(int.from_bytes(hashlib.blake2b(raw[8 * a : 8 * b], digest_size=8).digest(), "big", signed=True), doc, version, a, b) for a, b in spans(words, block_words)]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["seed", "doc", "version", "start", "stop"])
+
+    return in_arrow(sequences, run, "seed long, doc long, version long, start int, stop int")
 
-    found = pairs.select("doc", "version", "theirs", "lines", "words").mapInArrow(align, "_doc long, _version long, _places array<int>").where(F.size("_places") > 0)
-    places = found.groupBy("_doc", "_version").agg(F.array_distinct(F.flatten(F.collect_list("_places"))).alias("_places"))
-    return cut(named, places).withColumnsRenamed({"_text": text_col})
+
+def overlaps(seeds: DataFrame) -> DataFrame:
+    """Pairs of a document and an earlier one that is the first holder of some of its seeds, with these."""
+    here = F.struct("doc", "version")
+    first = seeds.groupBy("seed").agg(F.min(here).alias("first"), F.max(here).alias("last")).where(F.col("first") != F.col("last")).select("seed", "first")
+    both = salted_join(seeds, first, "seed", ["doc", "version"], "inner").where(here != F.col("first"))
+    return both.groupBy("doc", "version", F.col("first.doc").alias("holder"), F.col("first.version").alias("holder_version")).agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
 
 
-def dedup_lines(docs: DataFrame, text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``dedup_blocks`` by a narrower rule: each line is paired with that line's first holder alone.
+def dedup_blocks(docs: DataFrame, text_col: str = "text", block_words: int = BLOCK_WORDS, lines_col: str = "n_lines", removed_col: str = "n_removed") -> DataFrame:
+    """Delete from every text the blocks of lines that it shares with earlier documents.
 
-    A block whose lines were first seen in several documents is tested in pieces,
-    so that even a copy may keep lines. No query uses this.
+    A block is a run of adjacent lines, blank ones aside, of ``block_words`` words
+    or more, that an earlier document holds as such a run. Adds ``lines_col``
+    (lines that aren't blank) and ``removed_col`` to the columns of ``docs``, whose
+    text column holds what is left; columns with these names are replaced. Earlier means a
+    smaller doc_id; a null doc_id comes last, and different texts of one doc_id
+    are in the order of their hashes. Rows that repeat doc_id and text are one
+    document and get the same result. A copy of an earlier document of at least
+    ``block_words`` words is left with an empty text, wherever its lines were
+    first seen. A null text stays null, an empty one empty; an empty table stays
+    empty; other columns, whatever their names, pass unchanged.
     """
-    named = docs.withColumnsRenamed({text_col: "_text"}).drop("n_lines", "n_removed")
-    lines = stored(lines_of(docs.select("doc_id", F.col(text_col).alias("text"))), "lines")
-    pairs = overlaps(lines).groupBy("doc", "version").agg(F.collect_list("pair").alias("pairs"))
+    base = docs.drop(lines_col, removed_col)
+    doc, version, places = (unused(base, x) for x in ("_doc", "_version", "_places"))
+    keyed = base.withColumn(doc, F.coalesce("doc_id", F.lit(LAST))).withColumn(version, F.xxhash64(F.coalesce(text_col, F.lit(""))))
+    sequences = stored(sequences_of(keyed.select(F.col(doc).alias("doc"), F.col(version).alias("version"), F.coalesce(text_col, F.lit("")).alias("text"))), "sequences")
+    seeds = stored(seeds_of(sequences, block_words), "seeds")
+    theirs = sequences.select(F.col("doc").alias("holder"), F.col("version").alias("holder_version"), F.col("lines").alias("theirs"))
+    pairs = overlaps(seeds).join(theirs, ["holder", "holder_version"]).join(sequences, ["doc", "version"])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for at in range(0, big.num_rows, 256):
-                part = big.slice(at, 256)
-                found = [common_places([tuple(x.values()) for x in p], block_words) for p in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.int32()))], names=["_doc", "_version", "_places"])
-
-    places = pairs.mapInArrow(align, "_doc long, _version long, _places array<int>").where(F.size("_places") > 0)
-    return cut(named, places).withColumnsRenamed({"_text": text_col})
-
-
-def cut(named: DataFrame, places: DataFrame) -> DataFrame:
-    """Apply the deletions; a text's version is taken anew from its row."""
-    keys = named.withColumn("_doc", F.coalesce("doc_id", F.lit(LAST)))
-    joined = keys.join(places.groupBy("_doc").agg(F.collect_list(F.struct("_version", "_places")).alias("_cuts")), "_doc", "left").drop("_doc")
-    schema = T.StructType([*[f for f in joined.schema.fields if f.name != "_cuts"], T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in slices(big):
+                found = []
+                for theirs, lines, words, starts, stops in zip(*(part.column(k).to_pylist() for k in range(2, 7)), strict=True):
+                    blocks = [(a, b) for a, b in aligned(theirs, lines) if sum(words[a:b]) >= block_words]
+                    found.append(sorted({k for a, b in [*blocks, *zip(starts, stops, strict=True)] for k in range(a, b)}))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.int32()))], names=[doc, version, places])
+
+    found = in_arrow(pairs.select("doc", "version", "theirs", "lines", "words", "starts", "stops"), align, f"{doc} long, {version} long, {places} array<int>")
+    cuts = stored(found.groupBy(doc, version).agg(F.array_distinct(F.flatten(F.collect_list(places))).alias(places)), "cuts")
+    forget(sequences, seeds)
+    joined = keyed.join(cuts, [doc, version], "left").drop(doc, version)
+    kept = base.columns
+    schema = T.StructType([*base.schema.fields, T.StructField(lines_col, T.LongType()), T.StructField(removed_col, T.LongType())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for at in range(0, big.num_rows, 256):
-                part = big.slice(at, 256)
-                index = {n: k for k, n in enumerate(part.schema.names)}
+            for part in slices(big):
                 texts, lines, removed = [], [], []
-                for text, cuts in zip(part.column(index["_text"]).to_pylist(), part.column(index["_cuts"]).to_pylist(), strict=True):
-                    gone: set[int] = set()
-                    if cuts:
-                        v = version(text or "")
-                        gone = {p for c in cuts if c["_version"] == v for p in c["_places"]}
+                for text, gone in zip(part.column(text_col).to_pylist(), part.column(places).to_pylist(), strict=True):
                     split = (text or "").split("\n")
                     full = [k for k, x in enumerate(split) if x.split()]
                     lines.append(len(full))
-                    removed.append(len(gone))
+                    removed.append(len(gone or ()))
                     if gone:
                         cut_at = {full[p] for p in gone}
                         text = "\n".join(x for k, x in enumerate(split) if k not in cut_at) if len(gone) < len(full) else ""
                     texts.append(text)
-                columns = [pa.array(texts, pa.string()) if n == "_text" else part.column(k) for n, k in index.items() if n != "_cuts"]
+                columns = [pa.array(texts, pa.string()) if n == text_col else part.column(n) for n in kept]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return in_arrow(joined.select(*kept, places), cut, schema)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
