@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents
+from .common import documents, in_arrow, slices
 from .pretokens import Splitter
 
 #: Words whose path a worker remembers before it starts anew.
-MEMORY_WORDS = 700_000
+MEMORY_WORDS = 300_000
+#: Transitions that the table remembers before it starts anew.
+MEMORY_ARCS = 1_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -155,6 +157,8 @@ class Encoder:
     def _plain(self, text: str) -> bytes:
         known = self.known
         words = self.words(text)
+        if len(self.automaton.table) > MEMORY_ARCS:
+            self.automaton.table.clear()
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
@@ -196,30 +200,34 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
     """Add the ids of every whole text as an array of integers; the text column stays as it is.
 
-    Ids are those of the tokenizers library without added special tokens; the
-    strings of special tokens inside a text give their ids, as by default there.
-    A null or empty text has an empty array. Repeated rows are encoded alike, an
-    empty table stays empty, and other columns pass unchanged (one named like
-    ``ids_col`` is replaced).
+    With ``decoded_col``, the ids are decoded again in the same pass, into a
+    column of that name. Ids are those of the tokenizers library without added
+    special tokens; the strings of special tokens inside a text give their ids,
+    as by default there. A null or empty text has an empty array. Repeated rows
+    are encoded alike, an empty table stays empty, and other columns pass
+    unchanged (those named like the new columns are replaced).
     """
-    base = docs.drop(ids_col)
-    schema = T.StructType([*base.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+    base = docs.drop(ids_col, *([decoded_col] if decoded_col else []))
+    more = [T.StructField(decoded_col, T.StringType())] if decoded_col else []
+    schema = T.StructType([*base.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType())), *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = encoder(tokenizer_path)
         for big in batches:
-            for at in range(0, big.num_rows, 512):
-                batch = big.slice(at, 512)
+            for batch in slices(big):
                 texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
                 packed = [made.encode(x) if x else b"" for x in texts]
                 ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, ids_col])
+                ids = np.frombuffer(b"".join(packed), np.int32)
+                columns = [pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))]
+                if decoded_col:
+                    columns.append(pa.array([made.decode(ids[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.string()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=schema.names)
 
-    return base.mapInArrow(run, schema)
+    return in_arrow(base, run, schema)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
@@ -234,19 +242,17 @@ def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids", decode
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = encoder(tokenizer_path)
         for big in batches:
-            for at in range(0, big.num_rows, 512):
-                batch = big.slice(at, 512)
+            for batch in slices(big):
                 ids = batch.column(batch.schema.get_field_index(ids_col))
                 texts = pa.array([made.decode(x.values.to_numpy(zero_copy_only=False) if x.is_valid else ()) for x in ids], pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, decoded_col])
 
-    return base.mapInArrow(run, schema)
+    return in_arrow(base, run, schema)
 
 
 def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and of the text decoded again."""
-    encoded = encode(docs.select("doc_id", "text"), tokenizer_path).drop("text")
-    done = decode(encoded, tokenizer_path)
+    done = encode(docs.select("doc_id", "text"), tokenizer_path, decoded_col="decoded")
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
