@@ -35,19 +35,34 @@ NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002"
 #: Words of units, longest first where one begins another.
 UNITS = "kilometers|kilometres|kilograms|milliliters|centimeters|millimeters|kilometer|kilogram|minutes|seconds|dollars|percent|gallons|degrees|meters|metres|liters|litres|ounces|pounds|inches|months|minute|second|dollar|euros|miles|hours|years|weeks|cents|grams|yards|acres|meter|metre|liter|litre|pound|month|feet|foot|mile|hour|year|week|days|cent|euro|gram|inch|yard|kwh|mph|kmh|day|kg|km|cm|mm|ml|lb|oz|ft|mi|hz"
 
-#: Fixed values: (pattern, replacement in Spark's syntax), in order, over text whose white space is single blanks. No step adds or takes a blank.
+#: Stands for the blank inside a name of several words.
+JOINT = "\ue003"
+#: A word in capitals of which one letter at least is small; "McKay" and "O'Brien" are such words, "NASA" isn't.
+CAPITAL = f"\\p{{Lu}}[\\p{{L}}'’{JOINT}-]*\\p{{Ll}}[\\p{{L}}'’{JOINT}-]*"
+
+#: Fixed values: (pattern, replacement in Spark's syntax), in order, over text whose white space is single blanks. A name of
+#: two or three words inside a sentence becomes one word; twice, as what a pattern has taken can't begin the next match.
+JOINS = [
+    (f"[{NUMBER}{UNIT}{NAME}{JOINT}]", ""),
+    (f"([\\p{{Ll}},;] {CAPITAL}) ({CAPITAL})", f"$1{JOINT}$2"),
+    (f"([\\p{{Ll}},;] {CAPITAL}) ({CAPITAL})", f"$1{JOINT}$2"),
+]
+#: The same over joined text. No step adds or takes a blank. A name is what is capitalised inside a sentence: a sentence's
+#: first word can't be told from a name, so it stays a word, and what it is in a question asked again costs that word alone.
 STEPS = [
-    (f"[{NUMBER}{UNIT}{NAME}]", ""),
     ("(^| )[-+$€£(]*[0-9][0-9.,:/]*", f"$1{NUMBER}"),
     (f"({NUMBER}[^ \\p{{L}}]*)( ?)(?:{UNITS})([^\\p{{L}}]|$)", f"$1$2{UNIT}$3"),
-    ("([\\p{Ll},;] )\\p{Lu}\\p{Ll}+", f"$1{NAME}"),
+    (f"([\\p{{Ll}},;{NUMBER}{UNIT}] ){CAPITAL}", f"$1{NAME}"),
 ]
 STRIPPED = f"[^ \\p{{L}}\\p{{N}}{NUMBER}{UNIT}{NAME}]+"
 
 
 def plain(text: Column) -> Column:
-    """Words apart by one blank."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x00-\\x20]+", " "))
+    """Words apart by one blank; a name of several words is one word."""
+    text = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x00-\\x20]+", " "))
+    for pattern, replacement in JOINS:
+        text = F.regexp_replace(text, pattern, replacement)
+    return text
 
 
 def template(text: Column) -> Column:
@@ -197,12 +212,16 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def oracle() -> str:
     """The scan as SQL."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    plain_sql = "trim(regexp_replace(coalesce(text, ''), '[\\x00-\\x20]+', ' ', 'g'))"
-    made = plain_sql
-    for pattern, replacement in STEPS:
-        for k in "123":
-            replacement = replacement.replace(f"${k}", f"\\{k}")
-        made = f"regexp_replace({made}, {quoted(pattern)}, {quoted(replacement)}, 'g')"
+
+    def steps(made: str, listed: list[tuple[str, str]]) -> str:
+        for pattern, replacement in listed:
+            for k in "123":
+                replacement = replacement.replace(f"${k}", f"\\{k}")
+            made = f"regexp_replace({made}, {quoted(pattern)}, {quoted(replacement)}, 'g')"
+        return made
+
+    plain_sql = steps("trim(regexp_replace(coalesce(text, ''), '[\\x00-\\x20]+', ' ', 'g'))", JOINS)
+    made = steps(plain_sql, STEPS)
     made = f"string_split(regexp_replace(lower({made}), {quoted(STRIPPED)}, '', 'g'), ' ')"
     slot = f"regexp_matches(x, '^[{NUMBER}{UNIT}{NAME}]+$')"
     views = lambda table, key, name: f"""

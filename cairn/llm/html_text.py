@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,40 +12,72 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A comment, a declaration, or a tag with its attributes; one cut off by the end of the page counts, too.
-MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*)(>|\Z)""", re.S)
-NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-#: HTML's elements by kind.
+from .common import in_arrow, slices
+
+#: A comment, a declaration, or a tag with its attributes; one cut off by the end of the page counts, too. Quotes matter only behind an equals sign.
+MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:"[^"]*"|'[^']*')|[^>])*+)(>|\Z)""", re.S)
+ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: HTML's elements by kind. Without an end tag, those of TEXTUAL run to the page's end; of others only the tag is dropped.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp select svg math object canvas audio video".split())
+TEXTUAL = frozenset("script style textarea title iframe noembed noframes xmp".split())
+RAW = TEXTUAL | frozenset("noscript template select svg object canvas audio video".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption menu search".split()
 )
-#: An opening tag that ends an open element of the kinds named.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: An opening tag that ends open elements of the kinds named, up to a fence: the nearest one, or all of them.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "option": {"option"}}
+ENDS_ALL = frozenset(("tr", "tbody"))
 FENCES = frozenset("ul ol dl table body html article section div".split())
-#: Elements that never hold the article's text, and words in class, id or role that say as much.
+#: Elements that never hold the article's text.
 ASIDE = frozenset("nav footer aside form button menu dialog search fieldset".split())
-UNWANTED = re.compile(
-    r"(?:^|[-_\s])(?:ads?|adverts?|advertisements?|advertising|banners?|sponsor(?:ed|s)?|promos?|promotions?|cookies?|consent|gdpr|notices?|alerts?|comments?|commentlist|disqus|respond|replies|sidebars?|side|nav|navbar|navigation|menus?|breadcrumbs?|footer|masthead|topbar|header|share|sharing|social|related|recommend(?:ed|ations?)?|subscribe|newsletter|signup|login|popup|modal|overlay|widgets?|pagination|pager|skip|toolbar|complementary|contentinfo|search)(?:$|[-_\s\d])", re.I
+#: Words of which names of class, id or role are made that say as much.
+UNWANTED = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising banner banners sponsor sponsors sponsored promo promos promotion promotions cookie cookies consent gdpr notice notices alert alerts comment comments commentlist disqus respond replies sidebar sidebars side nav navbar navigation menu menus breadcrumb breadcrumbs footer share sharing social related recommend recommended recommendation recommendations subscribe newsletter signup login popup modal overlay widget widgets pagination pager skip toolbar complementary contentinfo search".split()
 )
+#: Words of a page's head; an article has a head of its own, with its title.
+HEAD = frozenset("header masthead topbar".split())
+#: A name that begins with one of these tells of something else: a page "with-sidebar".
+ABOUT = frozenset("with has no without hide is".split())
+#: A name of these words alone is the text's own, whatever other names its element has.
+CONTENT = frozenset("article articles content contents post entry story main body text prose".split())
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[^\W\d_]+")
 SEMANTIC = frozenset(("article", "main"))
 PARAGRAPH = frozenset("p pre td blockquote li dd figcaption h2 h3 h4 h5 h6 div section article main body".split())
 
 
+def tells_aside(names: str, heads: bool) -> bool:
+    """Whether a value of class, id or role names something beside the article. heads: a head is no such thing here."""
+    found = False
+    for name in names.split():
+        words = [w.lower() for w in WORDS.findall(name)]
+        if not words or words[0] in ABOUT:
+            continue
+        if CONTENT.issuperset(words):
+            return False
+        own = heads or not CONTENT.isdisjoint(words)
+        found = found or not UNWANTED.isdisjoint(words) or not (own or HEAD.isdisjoint(words))
+    return found
+
+
 class Page:
-    """The element tree of a page, of which only blocks of text and their elements are kept."""
+    """The element tree of a page, of which only blocks of text and their elements are kept. by_name: names of classes, ids and roles count."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, by_name: bool = True):
         self.tag, self.parent, self.unwanted = ["html"], [-1], [False]
+        #: The nearest block that an element is or is in, and whether it is inside an article.
+        self.block_of, self.semantic = [0], [False]
         self.blocks: list[tuple[int, str]] = []
         self.linked = [0.0]
+        self.by_name = by_name
         self._read(html)
 
     def _read(self, html: str) -> None:
-        tags, parents, unwanted = self.tag, self.parent, self.unwanted
-        open_, text, at, n, links, link_from = [0], [], 0, len(html), 0, 0
+        tags, unwanted = self.tag, self.unwanted
+        open_, text, at, n, links = [0], [], 0, len(html), 0
         linked = 0
+        depths: dict[str, list[int]] = {"html": [0]}  # where on the stack elements of a kind stand
+        fences = [0]
 
         def flush() -> None:
             nonlocal linked
@@ -52,15 +85,18 @@ class Page:
                 whole = " ".join(entities.unescape("".join(text)).split())
                 text.clear()
                 if whole:
-                    owner = next(x for x in reversed(open_) if tags[x] in BLOCK or not x)
+                    owner = self.block_of[open_[-1]]
                     self.blocks.append((owner, whole))
                     self.linked[owner] += min(linked, len(whole))
             linked = 0
 
         def close(down_to: int) -> None:
             nonlocal links
-            for x in open_[down_to:]:
+            for x in reversed(open_[down_to:]):
                 links -= tags[x] == "a"
+                depths[tags[x]].pop()
+                if tags[x] in FENCES:
+                    fences.pop()
             del open_[down_to:]
 
         while at < n:
@@ -81,18 +117,15 @@ class Page:
             if not found[4]:
                 break  # a tag that the page's end cuts off
             if found[1]:
-                k = next((k for k in range(len(open_) - 1, 0, -1) if tags[open_[k]] == name), 0)
-                if k:
-                    if name in BLOCK:
-                        flush()
-                    close(k)
-                elif name in BLOCK:
+                if name in BLOCK:
                     flush()
+                if depths.get(name) and depths[name][-1]:
+                    close(depths[name][-1])
                 continue
             if name in RAW:
-                end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(html, at) if not found[3].endswith("/") else None
                 if not found[3].endswith("/"):
-                    at = end.end() if end else n
+                    end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(html, at)
+                    at = end.end() if end else n if name in TEXTUAL else at
                 text.append(" ")
                 continue
             if name in VOID:
@@ -103,26 +136,27 @@ class Page:
                 continue
             if name in BLOCK:
                 flush()
-                p = next((k for k in range(len(open_) - 1, 0, -1) if tags[open_[k]] == "p"), 0)
-                if p:
-                    close(p)
+                if depths.get("p"):
+                    close(depths["p"][-1])
             if name in ENDS:
-                for k in range(len(open_) - 1, 0, -1):
-                    kind = tags[open_[k]]
-                    if kind in ENDS[name]:
-                        close(k)
-                        if name not in ("tr", "tbody"):
-                            break
-                    elif kind in FENCES:
-                        break
+                inside = [depths[kind] for kind in ENDS[name] if depths.get(kind) and depths[kind][-1] > fences[-1]]
+                if inside:
+                    close(min(d[bisect_right(d, fences[-1])] for d in inside) if name in ENDS_ALL else max(d[-1] for d in inside))
             if name == "a" and links:
                 continue
             over = open_[-1]
+            at_depth = len(open_)
+            new = len(tags)
             tags.append(name)
-            parents.append(over)
+            self.parent.append(over)
             self.linked.append(0.0)
+            self.block_of.append(new if name in BLOCK else self.block_of[over])
+            self.semantic.append(self.semantic[over] or name in SEMANTIC)
             unwanted.append(unwanted[over] or self._unwanted(name, found[3], over))
-            open_.append(len(tags) - 1)
+            open_.append(new)
+            depths.setdefault(name, []).append(at_depth)
+            if name in FENCES:
+                fences.append(at_depth)
             links += name == "a"
         flush()
 
@@ -130,16 +164,17 @@ class Page:
         if name in ASIDE:
             return True
         if name == "header":  # a page's header; an article's own holds its title
-            while over:
-                if self.tag[over] in SEMANTIC:
-                    return False
-                over = self.parent[over]
-            return True
-        if name in ("html", "body", "article", "main") or not attributes:
+            return not self.semantic[over]
+        if name in ("html", "body", "article", "main") or not attributes.strip():
             return False
-        if re.search(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", attributes, re.I):
-            return True
-        return any(UNWANTED.search(next(filter(None, m), "")) for m in NAMED.findall(attributes))
+        for key, *values in ATTRIBUTE.findall(attributes):
+            key, value = key.lower(), next(filter(None, values), "")
+            if key == "hidden" or (key == "aria-hidden" and value.strip().lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none", value, re.I)):
+                return True
+            # Ids of headings are made of their words.
+            if self.by_name and (key in ("class", "role") or (key == "id" and name not in HEADINGS)) and tells_aside(value, self.semantic[over]):
+                return True
+        return False
 
     def main_blocks(self) -> list[str]:
         """Blocks of the best container and of siblings that look like parts of the article."""
@@ -178,7 +213,7 @@ class Page:
             for x in range(1, n):
                 if self.parent[x] == self.parent[best] and x != best and length[x]:
                     density = links[x] / length[x]
-                    if self.tag[x] in ("h1", "h2", "h3", "h4", "h5", "h6"):
+                    if self.tag[x] in HEADINGS:
                         keep.add(x)
                     elif self.tag[x] in ("p", "pre", "blockquote", "table", "ul", "ol", "figure"):
                         if density < 0.25:
@@ -192,8 +227,13 @@ class Page:
 
 
 def main_text(html: str | None) -> str:
-    """The main text of a page, its blocks joined by line feeds; empty for a null or empty page."""
-    return "\n".join(Page(html).main_blocks()) if html else ""
+    """The main text of a page, its blocks joined by line feeds; empty for a null or empty page.
+
+    Where names of classes leave nothing, the page is read again without them.
+    """
+    if not html:
+        return ""
+    return "\n".join(Page(html).main_blocks() or Page(html, by_name=False).main_blocks())
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
@@ -209,12 +249,11 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for at in range(0, big.num_rows, 256):
-                batch = big.slice(at, 256)
+            for batch in slices(big):
                 texts = pa.array([main_text(x) for x in batch.columns[-1].to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], names=schema.names)
 
-    return base.mapInArrow(run, schema)
+    return in_arrow(base, run, schema)
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

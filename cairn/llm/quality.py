@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents
+from .common import documents, in_arrow, slices
 
 #: At most so many labelled rows of each class are learned from: those with the smallest hashes of doc_id. This bounds
 #: what the driver decomposes and what is broadcast (2 * 3000 vectors of 48 numbers, 1.2 MB).
@@ -25,7 +25,7 @@ TERMS, DIMENSIONS, NEIGHBOURS, POWER = 2048, 48, 25, 8
 GOOD = 0.3
 #: Documents of one matrix product.
 BLOCK = 256
-MEMORY_WORDS = 300_000
+MEMORY_WORDS = 150_000
 
 
 def place(term: str) -> int:
@@ -141,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 [batch.column("doc_id"), batch.column("quality"), pa.array([a.tolist() for a, _ in found], pa.list_(pa.int32())), pa.array([v.tolist() for _, v in found], pa.list_(pa.float32()))], names=["doc_id", "quality", "at", "v"]
             )
 
-    rows = sample.mapInArrow(sparse, "doc_id long, quality int, at array<int>, v array<float>").toArrow()
+    rows = in_arrow(sample, sparse, "doc_id long, quality int, at array<int>, v array<float>").toArrow()
     rows = rows.sort_by("doc_id")
     prior = counts.get(1, 0) / sum(counts.values())
     if not rows.num_rows:
@@ -178,13 +178,12 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
         for big in batches:
-            for at in range(0, big.num_rows, BLOCK):
-                batch = big.slice(at, BLOCK)
+            for batch in slices(big, BLOCK):
                 texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
                 scores = shared.value.scores([terms.of(x or "") for x in texts])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.clip(scores, 0, 1), pa.float64())], names=schema.names)
 
-    return base.mapInArrow(run, schema)
+    return in_arrow(base, run, schema)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

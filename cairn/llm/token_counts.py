@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, in_arrow, slices
 from .pretokens import Splitter
 
 #: Bytes of text that one call of the library gets; bounds its memory, whatever the lengths of the texts.
@@ -129,13 +129,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -
                     names=[*names, "n_bytes", "n_tokens"],
                 )
 
-    return shaped.mapInArrow(run, out)
-
-
-def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Short runs of rows, so that what is unpacked at once stays small."""
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+    return in_arrow(shaped, run, out)
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """WARC archives: a deterministic sharded writer and a reader.
 
-Records are range-sorted by page_id. Shards are fixed runs of page_id, set by a
-histogram of payload bytes, so they depend on the pages alone and not on how
-Spark split its input. Each shard is written by one task, a gzip member a
-record, into files that roll at a compressed size. Tasks write under temporary
-names and leave a manifest; once all have ended, a second job renames what the
-manifest lists, and the manifest beside the files marks the archive as whole.
+Records are range-sorted by page_id. Shards are runs of page_id and digest, cut
+where the running sum of payload bytes passes a shard's share, so they depend on
+the pages alone, not on how Spark split its input or how ids are spread. Each
+shard is written by one task, a gzip member a record, into files that roll at a
+compressed size. Tasks write under temporary names and leave a manifest; once all
+have ended, a second job renames what the manifest lists, and the manifest beside
+the files marks the archive as whole. The folder must be on storage that the
+driver and all executors share.
 """
 
 from __future__ import annotations
@@ -17,11 +19,12 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_dir, salted_join
+from .common import file_system, forget, fresh_dir, in_arrow, salted_join, slices, stored
 
 #: Equal payloads from this size on are stored once.
 REVISIT_BYTES = 1000
@@ -29,8 +32,8 @@ REVISIT_BYTES = 1000
 ROLL_BYTES = 32 << 20
 #: Payload bytes of a shard, once there are 64 shards; with less data shards are smaller, down to 1 MB.
 SHARD_BYTES = 256 << 20
-#: Places of the histogram; bounds what the driver sees.
-PLACES = 1024
+#: Rows of pages in a range whose bytes one task adds up.
+RANGE_ROWS = 1_000_000
 #: Fixed values of the format.
 VERSION, DATE = "WARC/1.1", "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -82,24 +85,18 @@ def member(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def file_system(uri: str):
-    """A file system for a folder's URI, and the folder's path on it."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
-
-
 class Roller:
     """Writes the files of a shard, one at a time, under temporary names."""
 
-    def __init__(self, uri: str, shard: int, roll_bytes: int):
+    def __init__(self, uri: str, shard: int, roll_bytes: int, run_id: str):
         self.fs, self.top = file_system(uri)
+        self.run_id = run_id
         self.shard, self.roll_bytes, self.number, self.out, self.rows = shard, roll_bytes, 0, None, []
 
     def add(self, data: bytes) -> None:
         if self.out is None:
             self.name = f"shard-{self.shard:06d}-{self.number:05d}.warc.gz"
-            self.temporary = f".{self.name}.{uuid.uuid4().hex}.tmp"
+            self.temporary = f".{self.name}.{self.run_id}.{uuid.uuid4().hex}.tmp"
             self.out = self.fs.open_output_stream(f"{self.top}/{self.temporary}", compression=None)
             self.records, self.size, self.sum = 0, 0, hashlib.sha256()
         packed = member(data)
@@ -116,20 +113,43 @@ class Roller:
             self.out, self.number = None, self.number + 1
 
 
-def shards_of(pages: DataFrame) -> tuple[Column, int]:
-    """The shard of a page, an expression over page_id (a null id: shard 0), and the number of shards."""
-    low, high, total = pages.agg(F.min("page_id"), F.max("page_id"), F.sum(F.col("bytes") + 1)).first()
-    low, high, total = low or 0, high or 0, total or 0
-    n = max(1, -(-total // SHARD_BYTES), min(64, total >> 20))
-    place = F.coalesce(F.expr(f"cast((page_id - {low}L) div {(high - low) // PLACES + 1}L as int)"), F.lit(0))
-    weights = {r.p: r.w for r in pages.groupBy(place.alias("p")).agg(F.sum(F.col("bytes") + 1).alias("w")).collect()}  # PLACES rows at most
-    starts, held = [], 0
-    for p in sorted(weights):
-        if held * n >= len(starts) * total:
-            starts.append(p)
-        held += weights[p]
-    later = F.array(*map(F.lit, starts[1:])).cast("array<int>")
-    return F.size(F.filter(later, lambda b: b <= place)), max(1, len(starts))
+def shards_of(pages: DataFrame) -> tuple[DataFrame, int]:
+    """One row: where shards after the first begin, in two levels; and the number of shards.
+
+    Ranges are Spark's and differ from run to run; running sums over them don't.
+    The driver sees a number a range and the first key of every shard, which is some
+    60 bytes for SHARD_BYTES of payload.
+    """
+    spark = pages.sparkSession
+    weights = stored(pages.groupBy("page_id", "digest").agg(F.sum(F.col("bytes") + 1).alias("w")), "weights")
+    rows, total = weights.agg(F.count("*"), F.sum("w")).first()
+    n = max(1, -(-(total or 0) // SHARD_BYTES), min(64, (total or 0) >> 20))
+    ranged = stored(weights.repartitionByRange(max(8, -(-rows // RANGE_ROWS)), "page_id", "digest").withColumn("part", F.spark_partition_id()), "ranges")
+    before, held = [], 0
+    for r in ranged.groupBy("part").agg(F.sum("w").alias("w")).orderBy("part").collect():
+        before.append((r.part, held))
+        held += r.w
+    before = F.broadcast(spark.createDataFrame(before, "part int, before long"))
+    order = Window.partitionBy("part").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.join(before, "part").select("page_id", "digest", (F.col("before") + F.coalesce(F.sum("w").over(order), F.lit(0))).alias("held"))
+    share = -(-max(total or 0, 1) // n)
+    firsts = placed.groupBy(F.expr(f"held div {share}L").alias("shard")).agg(F.min(F.struct("page_id", "digest")).alias("first")).orderBy("shard").select("first.*").collect()
+    firsts = [(r.page_id, r.digest) for r in firsts][1:]
+    step = max(1, int(len(firsts) ** 0.5))
+    levels = [firsts[k : k + step] for k in range(0, len(firsts), step)]
+    key = "struct<page_id: long, digest: string>"
+    return spark.createDataFrame([([x[0] for x in levels], levels)], f"_heads array<{key}>, _levels array<array<{key}>>"), len(firsts) + 1
+
+
+def with_shard(rows: DataFrame, starts: DataFrame) -> DataFrame:
+    """Add the shard of each row: how many shards after the first begin at its key or before."""
+    key = F.struct("page_id", "digest")
+    level = F.size(F.filter("_heads", lambda b: b <= key))
+    inside = F.size(F.filter(F.get("_levels", F.greatest(level - 1, F.lit(0))), lambda b: b <= key))
+    joined = rows.join(F.broadcast(starts))  # one row
+    # All levels but the last are as long as the first one.
+    shard = F.when(level > 0, (level - 1) * F.size(F.get("_levels", F.lit(0))) + inside).otherwise(0)
+    return joined.withColumn("shard", shard.cast("int")).drop("_heads", "_levels")
 
 
 def write_warc(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", roll_bytes: int = ROLL_BYTES) -> DataFrame:
@@ -139,7 +159,7 @@ def write_warc(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str
     largest page_id is the response and others revisit it; where several have
     that page_id (repeated rows), the first by url is. A null payload is empty, a
     null page_id sorts first and is left out of the record, a null url is
-    written empty and read back as null. Other columns are ignored; an empty
+    written empty and read back as null. Ids may be any long. Other columns are ignored; an empty
     table gives an archive without files.
     """
     spark = pages.sparkSession
@@ -148,27 +168,28 @@ def write_warc(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str
     ids = shaped.select("page_id", "digest", "bytes").where(F.col("bytes") >= REVISIT_BYTES)
     last = ids.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
     revisits = salted_join(ids, last, "digest", ["page_id"], "inner", 32).where(F.coalesce(F.col("page_id") < F.col("refers_to"), F.col("refers_to").isNotNull()))
-    shard, n = shards_of(shaped.select("page_id", "bytes"))
+    starts, n = shards_of(shaped.select("page_id", "digest", "bytes"))
     # What a page revisits travels to the page's own range and comes just before it there: payloads move once.
     hints = revisits.select("page_id", "digest", "bytes", "refers_to", F.lit(0).alias("kind"))
-    both = shaped.withColumn("kind", F.lit(1)).unionByName(hints, allowMissingColumns=True).withColumn("shard", shard)
+    both = with_shard(shaped.withColumn("kind", F.lit(1)).unionByName(hints, allowMissingColumns=True), starts)
     columns = ["page_id", "shard", "digest", "bytes", "url", "html", "refers_to", "kind"]
     both = both.select(*columns).repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
-    file_fs, top = file_system(uri)
-    file_fs.create_dir(top, recursive=True)
+    store, top = file_system(uri)
+    store.create_dir(top, recursive=True)
+    run_id = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: Roller | None = None
         same: tuple | None = None
         copy, refers = 0, None
         for big in batches:
-            for at in range(0, big.num_rows, 256):
-                for page_id, shard, digest, size, url, html, refers_to, kind in zip(*(c.to_pylist() for c in big.slice(at, 256).columns), strict=True):
+            for part in slices(big):
+                for page_id, shard, digest, size, url, html, refers_to, kind in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     if out is None or out.shard != shard:
                         if out:
                             out.close()
                             yield rows_of(out.rows)
-                        out = Roller(uri, shard, roll_bytes)
+                        out = Roller(uri, shard, roll_bytes, run_id)
                     if (page_id, digest) != same:
                         same, copy, refers = (page_id, digest), 0, None
                     if kind == 0:
@@ -186,9 +207,14 @@ def write_warc(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str
         kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=MANIFEST.names)
 
-    pending = f"{uri}/_pending-{uuid.uuid4().hex}"
-    both.mapInArrow(run, MANIFEST).write.parquet(pending)
+    pending = f"{uri}/_pending-{run_id}"
+    in_arrow(both, run, MANIFEST).write.parquet(pending)
     commit(spark, uri, pending)
+    # What failed attempts of this run have left, and the list of what is renamed by now.
+    for info in store.get_file_info(fs.FileSelector(top)):
+        if info.base_name.endswith(".tmp") and f".{run_id}." in info.base_name:
+            store.delete_file(info.path)
+    store.delete_dir(f"{top}/_pending-{run_id}")
     return spark.read.schema(MANIFEST).parquet(f"{uri}/_manifest")
 
 
@@ -196,8 +222,6 @@ def commit(spark: SparkSession, uri: str, pending: str) -> None:
     """Rename what the pending manifest lists, then write the manifest. A second attempt finds what the first has renamed."""
 
     def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         store, top = file_system(uri)
         for batch in batches:
             for name, temporary in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -208,7 +232,7 @@ def commit(spark: SparkSession, uri: str, pending: str) -> None:
             yield batch
 
     listed = spark.read.schema(MANIFEST).parquet(pending)
-    listed.mapInArrow(rename, MANIFEST).write.parquet(f"{uri}/_manifest")
+    in_arrow(listed, rename, MANIFEST).write.parquet(f"{uri}/_manifest")
 
 
 def members(data: bytes) -> Iterator[bytes]:
@@ -255,7 +279,7 @@ def read_warc(spark: SparkSession, uri: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=RECORDS.names)
 
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(uri)
-    return found.select("content").mapInArrow(run, RECORDS)
+    return in_arrow(found.select("content"), run, RECORDS)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

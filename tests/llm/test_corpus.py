@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 import random
+import textwrap
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -51,11 +53,54 @@ def test_search(spark, monkeypatch):
     assert search.search(docs.where("false"), docs.selectExpr("doc_id as query_id", "text")).count() == 0
 
 
+def test_search_ties_and_edges(spark, monkeypatch):
+    monkeypatch.setattr(search, "SHARD_DOCS", 8)
+    monkeypatch.setattr(search, "BLOCK", 4)
+    rows = [(i, "same words here", "x") for i in range(30)] + [(None, "same words here", "x"), (7, "same words here", "x"), (90, "other text", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string").repartition(3).selectExpr("*", "'y' as terms", "1 as query_id", "2 as rank")
+    asked = spark.createDataFrame([(1, "words", "c"), (1, "other", "c"), (2, "same words here", "c"), (None, "words", "c")], "query_id long, text string, doc_id string")
+    found = [(r.query_id, r.rank, r.doc_id) for r in search.search(docs, asked, 5).collect()]
+    assert sorted(x for x in found if x[0] == 2) == [(2, k + 1, k) for k in range(5)]
+    assert sorted(x for x in found if x[0] == 1) == sorted([(1, k + 1, k) for k in range(5)] + [(1, 1, 90)]) and len(found) == 11
+    many = [(r.rank, r.doc_id) for r in search.search(docs, asked.where("query_id = 2"), 40).collect()]
+    assert [d for _, d in sorted(many)] == [0, 1, 2, 3, 4, 5, 6, 7, 7, *range(8, 30), None]
+    assert search.search(docs, asked.where("false")).count() == 0
+
+
+def shard(texts):
+    """An index of texts, and their terms."""
+    made = search.TermCounter()
+    held = [(i, n, t, c) for i, (t, c, n) in enumerate(map(made.of, texts))]
+    batch = search.packed(held)
+    mean = sum(x[1] for x in held) / len(held)
+    return next(search.groups(iter([batch]), mean))[0], mean
+
+
+def test_blocks_are_skipped():
+    rng = random.Random(2)
+    texts = [" ".join([f"topic{i // 100}"] * rng.randint(3, 6) + [f"t{i // 100}x{rng.randrange(30)}" for _ in range(20)] + [f"w{rng.randrange(50)}" for _ in range(20)]) for i in range(4000)]
+    index, _ = shard(texts)
+    made = search.TermCounter()
+    for q in range(0, 4000, 200):
+        best = search.Best(5)
+        terms = made.of(" ".join(texts[q].split()[3:]))[0]
+        df = {t: int(index.first[k + 1] - index.first[k]) for k, t in enumerate(index.terms)}
+        index.top(terms, np.array([math.log1p(4000 / (1 + df[t])) for t in terms]), best)
+        scores = np.zeros(len(texts))
+        for t in terms:  # all documents, with nothing skipped
+            k = int(np.searchsorted(index.terms, t))
+            lo, hi = index.starts[index.first[k]], index.starts[index.first[k + 1]]
+            scores[index.docs[lo:hi]] += math.log1p(4000 / (1 + df[t])) * index.impacts[lo:hi]
+        order = np.lexsort((index.ids, -scores))[:5]
+        assert best.ids.tolist() == index.ids[order].tolist()
+    assert index.blocks_scored < 0.6 * index.blocks_met
+
+
 # --- licences
 
 
 def test_licenses(spark):
-    mit = licenses.KNOWN[-1][1]
+    mit = next(t for i, t in licenses.KNOWN if i == "MIT" and t.startswith("MIT License"))
     british = "// Copyright 2020 Someone\n# LICENSED under the Apache Licence, Version 2.0!\n"
     rows = [(1, "prose\nReleased under the MIT License.\nmore", None), (2, british, None), (3, mit.replace("<year> <holder>", "2001 Me").upper(), None), (4, None, None), (5, "", None), (6, "Released under the MIT License. And more", None), (1, "licensed under CC BY-NC 4.0", None), (None, "Licensed under CC BY 4.0.", None)]
     known = spark.createDataFrame([*licenses.KNOWN, (None, "x"), ("X", None)], "license_id string, text string")
@@ -66,6 +111,28 @@ def test_licenses(spark):
     assert licenses.scan(spark.createDataFrame([], DOCS), known).count() == 0
 
 
+def test_licenses_inside_documents(spark):
+    entire = [(i, t) for i, t in licenses.KNOWN if len(t.split()) >= 30]
+    rows = []
+    for k, (_, text) in enumerate(entire):
+        wrapped = [line for part in text.split("\n") for line in (textwrap.wrap(part, 60) or [""])]
+        rows.append((k, "\n".join(["package x;", "/* Copyright (c) 2001-2020, Some One", *(f" * {x}" for x in wrapped), " */", "", "code();"]), None))
+    rows.append((100, "Permission is hereby granted to leave the room.\nNothing else", None))
+    docs = spark.createDataFrame(rows, DOCS)
+    long_texts = licenses.known_digests(spark.createDataFrame([("Long", " ".join(f"word{k}" for k in range(500)))], "license_id string, text string"))
+    docs = docs.unionByName(spark.createDataFrame([(101, "title\n\n" + "\n".join(f"word{k} word{k + 1} word{k + 2} word{k + 3} word{k + 4}" for k in range(0, 500, 5)), None)], DOCS))
+    known = spark.createDataFrame(licenses.KNOWN, "license_id string, text string")
+    found = {r.doc_id: r for r in licenses.scan(docs, known, long_texts).collect()}
+    for k, (name, _) in enumerate(entire):
+        assert name in found[k].embedded_licenses.split(","), name
+    assert found[100].embedded_licenses == "" and found[101].embedded_licenses == "Long"
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame([r[:2] for r in rows], columns=["doc_id", "text"]))
+    want = {r[0]: r[1:] for r in con.execute(licenses.oracle()).fetchall()}
+    got = {r.doc_id: tuple(r)[1:] for r in licenses.scan(docs.where("doc_id < 101"), known, spark.createDataFrame(licenses.LONG, "license_id string, head string, n_words int, digest string")).collect()}
+    assert got == want
+
+
 # --- decontamination
 
 ITEM = "If Alice walks 12 miles to the old mill in 3 hours how fast does Alice walk along the river each day"
@@ -111,6 +178,27 @@ def test_decontaminate_edits(spark):
     assert item_ids(spark, texts, items) == want
 
 
+TEMPLATES = [
+    "{A} leaves {P} with {n} coins and gives {m} of them to a neighbour. On the way to {Q} the rest is lost in the river, said {A}. How many coins does {A} have when the train to {Q} arrives at night?",
+    "A farmer near {P} sells {n} kg of apples and {m} liters of milk each week to {A}. If {A} pays {n} dollars for the apples, how much does {A} pay in all for the goods from {P}?",
+    "Every morning {A} walks {n} miles from {P} to {Q} and rests for {m} minutes under the old oak. After a month of this, how far did {A} walk between {P} and {Q} in total?",
+    "In the library of {P} there are {n} shelves with {m} books each. The clerk {A} moves half of the books to {Q}, and {A} counts the rest. What number does {A} write down for {P}?",
+]
+NAMES = ["Maria", "Maria Lopez", "McKay", "Jean-Luc", "O'Brien", "Anna Maria Silva", "Robert", "Li Wei"]
+TOWNS = ["New York", "Berlin", "Rio de Janeiro", "Oslo", "San Sebastian", "Paris", "St-Denis", "Lima"]
+
+
+def test_decontaminate_asked_again(spark):
+    """Questions asked again with other numbers and names, one to three words long."""
+    rng = random.Random(6)
+    ask = lambda t: t.format(A=rng.choice(NAMES), P=rng.choice(TOWNS), Q=rng.choice(TOWNS), n=rng.randint(2, 900), m=rng.randint(2, 900))
+    items = [ask(t) for t in TEMPLATES]
+    texts = [f"{prose(rng, 30)} {ask(t)} {prose(rng, 30)}" for t in TEMPLATES for _ in range(25)]
+    found = item_ids(spark, [*texts, *(prose(rng, 200) for _ in range(50))], items)
+    caught = sum(str(k // 25) == x for k, x in enumerate(found[:100]))
+    assert caught >= 90 and found[100:] == [""] * 50
+
+
 # --- similarity join
 
 
@@ -199,82 +287,70 @@ def test_quality(spark):
 # --- line dedup
 
 
-def cut_by_hand(texts, least):
-    holder, out = {}, {}
-    for i, t in sorted(texts):
-        lines = line_dedup.numbered(t or "")
-        for rank, key, _ in lines:
-            holder.setdefault(key, (i, rank))
-        pairs = [(holder[key][0], 0, holder[key][1], rank, words) for rank, key, words in lines if holder[key][0] != i]
-        gone, full = set(line_dedup.common_places(pairs, least)), [k for k, x in enumerate((t or "").split("\n")) if x.split()]
-        rest = [x for k, x in enumerate((t or "").split("\n")) if k not in {full[g] for g in gone}]
+def cut_by_hand(rows, least):
+    """What is left of every text, and its lines and removed lines: all runs of adjacent lines against all runs of all earlier texts."""
+    seen, out = [], {}
+    for i, t in sorted(rows, key=lambda r: r[0]):
+        raw = (t or "").split("\n")
+        full = [k for k, x in enumerate(raw) if x.strip()]
+        lines = [" ".join(raw[k].split()) for k in full]
+        gone = set()
+        for old in seen:
+            for a in range(len(lines)):
+                for b in range(len(old)):
+                    n = 0
+                    while a + n < len(lines) and b + n < len(old) and lines[a + n] == old[b + n]:
+                        n += 1
+                    if sum(len(x.split()) for x in lines[a : a + n]) >= least:
+                        gone |= set(range(a, a + n))
+        seen.append(lines)
+        rest = [x for k, x in enumerate(raw) if k not in {full[g] for g in gone}]
         out[i] = (None if t is None else "" if gone and len(gone) == len(full) else "\n".join(rest), len(full), len(gone))
     return out
 
 
 def test_line_dedup(spark):
     rng = random.Random(5)
-    pool = [prose(rng, rng.randint(1, 30)) for _ in range(40)]
+    pool = [prose(rng, rng.randint(1, 30)) for _ in range(25)]
     texts = []
-    for i in range(60):
-        at = rng.randrange(30)
-        lines = [rng.choice(pool) for _ in range(3)] + pool[at : at + rng.randint(0, 6)] + ["", prose(rng, 9), "same short line"]
+    for i in range(70):  # runs of a pool in any order, twice in a text at times, lines that many hold, blank lines
+        lines = [rng.choice(pool) for _ in range(2)]
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(25)
+            lines += [*pool[at : at + rng.randint(1, 6)], *rng.choice([[], [""], ["same short line"], [f"  {prose(rng, 5)}"]])]
         texts.append((i, "\n".join(lines)))
-    texts += [(100, texts[0][1]), (101, ""), (102, None), (103, "\n \n")]
-    docs = spark.createDataFrame([(i, t, "clash") for i, t in texts], "doc_id long, text string, n_lines string")
-    found = line_dedup.dedup_lines(docs)
-    assert found.columns == ["doc_id", "text", "n_lines", "n_removed"]
-    assert {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in found.collect()} == cut_by_hand(texts, line_dedup.BLOCK_WORDS)
-    assert line_dedup.dedup_lines(docs.where("false")).count() == 0
-
-
-def test_line_dedup_edges(spark):
-    long = prose(random.Random(1), 60)
-    rows = [(1, long), (1, long), (None, long), (2, f"{long}\nown words"), (1, f"{long}\nmore")]
-    found = sorted((str(r.doc_id), r.text) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    kept = [t for d, t in found if d == "1"]
-    assert ("None", "") in found and ("2", "own words") in found and len(found) == 5
-    assert sorted(kept) in (sorted([long, long, "more"]), sorted(["", "", f"{long}\nmore"]))
-
-
-def shared_by_hand(texts, least):
-    """Places in runs of adjacent lines, of enough words, that one earlier text holds as such a run."""
-    seen, out = [], {}
-    for i, t in sorted(texts):
-        lines = line_dedup.numbered(t or "")
-        keys, gone = [x[1] for x in lines], set()
-        for a in range(len(keys)):
-            for b in range(a + 1, len(keys) + 1):
-                if sum(x[2] for x in lines[a:b]) >= least and any(keys[a:b] == old[k : k + b - a] for old in seen for k in range(len(old))):
-                    gone |= set(range(a, b))
-        seen.append(keys)
-        out[i] = (len(keys), len(gone))
-    return out
+    texts += [(100, texts[0][1]), (101, ""), (102, None), (103, "\n \n"), (104, "long " * 60000), (105, "x\n" * 5000 + "long " * 60000)]
+    docs = spark.createDataFrame([(i, t, "a", "b", "c") for i, t in texts], "doc_id long, text string, n_lines string, _doc string, _places string")
+    found = line_dedup.dedup_blocks(docs)
+    assert found.columns == ["doc_id", "text", "_doc", "_places", "n_lines", "n_removed"]
+    assert {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in found.collect()} == cut_by_hand([x for x in texts if x[0] < 104], line_dedup.BLOCK_WORDS) | {104: (texts[-2][1], 1, 0), 105: ("x\n" * 4999 + "x", 5001, 1)}
+    assert line_dedup.dedup_blocks(docs.where("false")).count() == 0
 
 
-def test_line_dedup_whole_copies(spark):
+def test_line_dedup_scattered_holders(spark):
     rng = random.Random(9)
     head, foot = "a heading that many hold", "a footer that many hold"
-    body = [prose(rng, 6, 90000) for _ in range(12)]
+    body = [prose(rng, 10, 90000) for _ in range(40)]
     copied = "\n".join([head, *body, foot])
-    mixed = "\n".join([*body[:3], "between", *body[3:6]])
-    texts = [(1, f"{head}\n{prose(rng, 40, 90000)}\n{foot}"), (2, f"{prose(rng, 30, 90000)}\n{body[4]}\n{prose(rng, 30, 90000)}"), (3, copied), (4, copied), (5, f"{copied}\nnew"), (6, mixed), (7, mixed), (8, None), (9, ""), (10, f"{head}\nnothing else\n{foot}")]
+    apart = "\n".join(x for line in body[::2] for x in (line, prose(rng, 6, 90000)))
+    moved = "\n".join([*body[20:], *body[:20]])
+    texts = [(1, apart), (2, f"{head}\n{prose(rng, 40, 90000)}\n{foot}"), (3, copied), (4, copied), (5, f"{copied}\nnew"), (6, moved), (8, None), (9, ""), (10, f"{head}\nnothing else\n{foot}")]
     found = {r.doc_id: r for r in line_dedup.dedup_blocks(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
-    assert found[4].text == found[7].text == "" and found[5].text == "new" and found[8].text is None
-    assert all(found[i].n_removed == 0 for i in (1, 2, 3, 6, 8, 9, 10))
-    pool = [prose(rng, rng.randint(1, 30), 90000) for _ in range(60)]
-    texts = []
-    for i in range(60):  # lines stand in one order everywhere, so that alignment takes every common block
-        at = rng.randrange(50)
-        texts.append((i, "\n".join([*pool[at : at + rng.randint(0, 12)], "", prose(rng, 9, 90000)])))
-    rows = [*texts, (None, texts[7][1]), (20, texts[20][1])]
-    found = line_dedup.dedup_blocks(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.doc_id: (r.n_lines, r.n_removed) for r in found if r.doc_id is not None} == shared_by_hand(texts, line_dedup.BLOCK_WORDS)
-    assert len(found) == len(rows) and len({r.text for r in found if r.doc_id == 20}) == 1
-    assert line_dedup.dedup_blocks(spark.createDataFrame(rows, "doc_id long, text string").where("false")).count() == 0
+    assert found[4].text == found[6].text == "" and found[5].text == "new" and found[8].text is None
+    assert all(found[i].n_removed == 0 for i in (1, 2, 3, 9, 10))
+
+
+def test_line_dedup_edges(spark):
+    long = prose(random.Random(1), 60)
+    rows = [(1, long), (1, long), (None, long), (2, f"{long}\nown words"), (1, f"{long}\nmore")] + [(None, f"{long}\n{k}") for k in range(30)]
+    found = sorted((str(r.doc_id), r.text) for r in line_dedup.dedup_blocks(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    kept = [t for d, t in found if d == "1"]
+    assert ("None", "") in found and ("2", "own words") in found and len(found) == 35
+    assert {("None", str(k)) for k in range(30)} < set(found)
+    assert sorted(kept) in (sorted([long, long, "more"]), sorted(["", "", f"{long}\nmore"]))
 
 
 def test_alignment():
     assert line_dedup.increasing([3, 1, 2, 5, 4, 6]) in ([1, 2, 4, 5], [1, 2, 3, 5])
-    pairs = [(1, 0, a, b, 20) for a, b in ((0, 5), (1, 6), (7, 0), (3, 8))]
-    assert line_dedup.common_places(pairs, 25) == [5, 6]
+    assert line_dedup.aligned([1, 2, 2, 3, 9, 4], [7, 1, 2, 2, 3, 4]) == [(1, 5), (5, 6)]
+    assert line_dedup.spans([10, 20, 3, 30], 25) == {(0, 2), (0, 3), (1, 4), (2, 4), (3, 4)}

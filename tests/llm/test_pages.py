@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import gzip
+import random
+import time
 
 import duckdb
 import pandas as pd
@@ -47,6 +49,20 @@ def test_deterministic(spark, tmp_path):
     assert text.count(b"WARC/1.1\r\n") == 60
 
 
+def test_shards_follow_bytes_not_ids(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "SHARD_BYTES", 20_000)
+    wide = [(i, f"u{i}", f"{i} " + "p" * 995, None) for i in range(200)] + [(1 << 60, "far", "q" * 1000, None), (-(1 << 63), "low", "r", None), ((1 << 63) - 1, "high", "s", None)]
+    hot = [(None, f"n{i}", f"null {i} " + "p" * 990, None) for i in range(100)] + [(50, f"h{i}", f"hot {i} " + "p" * 990, None) for i in range(100)]
+    manifest, found = archive(spark, wide + hot, f"{tmp_path}/w")
+    rows = manifest.collect()
+    assert 18 <= len({r.shard for r in rows}) <= 22 and max(r.records for r in rows) <= 30
+    assert found.count() == 403 and found.where("not digests_hold").isEmpty()
+    assert {p.name for p in (tmp_path / "w").iterdir() if not p.name.endswith(".gz")} == {"_manifest"}
+    again, _ = archive(spark, (hot + wide)[::-1], f"{tmp_path}/v")
+    key = lambda m: sorted((r.file, r.sha256) for r in m)
+    assert key(again.collect()) == key(rows)
+
+
 def test_empty(spark, tmp_path):
     manifest, found = archive(spark, [], f"{tmp_path}/w")
     assert manifest.count() == 0 and found.count() == 0
@@ -64,6 +80,84 @@ def test_main_text():
     assert [main_text(x) for x in (None, "", "<div>", "<p", "plain", "a < b")] == ["", "", "", "", "plain", "a < b"]
 
 
+ARTICLE = "<h1>Title</h1><p>First, a paragraph of the article, with words.</p><p>Second, another one, with more words.</p>"
+BODY = "Title\nFirst, a paragraph of the article, with words.\nSecond, another one, with more words."
+
+
+def test_names_that_only_look_unwanted():
+    wraps = ['<div class="overflow-hidden">', '<div aria-hidden="false">', '<div class="content with-sidebar">', '<div class="has-menu no-ads">', '<article><div class="article-header">', '<main class="page"><div class="post-header">', '<div id="page" data-x="hidden">', "<div class=it's title='a > b'>"]
+    for wrap in wraps:
+        assert main_text(f"<body><nav><a href=x>Menu</a></nav>{wrap}{ARTICLE}</div>") == BODY, wrap
+    # Everything has an unwanted name: better that than nothing.
+    assert main_text(f'<body><div class="sidebar">{ARTICLE}</div></body>') == BODY
+    for wrap in ('<div hidden>', '<div style="display: none">', '<div aria-hidden="true">', '<div class="sidebar-left">', '<div id="siteFooter">', '<div class="post-comments">', '<section role="complementary">'):
+        assert main_text(f"<body><article>{ARTICLE}</article>{wrap}<p>Not, this, one, at, all.</p></div>") == BODY, wrap
+    assert main_text(f'<article>{ARTICLE}<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p><h2 id="related-search">More</h2></article>') == BODY + "\nSo x=1 holds.\nMore"
+
+
+def by_parser(html):
+    """The text blocks of an article without anything unwanted, by the standard library's parser: another way to the same text."""
+    from html.parser import HTMLParser
+
+    blocks, held = [], []
+
+    class Reader(HTMLParser):
+        off = 0
+
+        def cut(self):
+            text = " ".join("".join(held).split())
+            held.clear()
+            if text:
+                blocks.append(text)
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("nav", "aside", "script"):
+                self.off += 1
+            if tag in ("p", "h1", "h2", "li", "ul", "article", "div"):
+                self.cut()
+            elif tag == "br":
+                held.append(" ")
+
+        def handle_endtag(self, tag):
+            if tag in ("p", "h1", "h2", "li", "ul", "article", "div"):
+                self.cut()
+            if tag in ("nav", "aside", "script"):
+                held.clear()
+                self.off -= 1
+
+        def handle_data(self, data):
+            if not self.off:
+                held.append(data)
+
+    reader = Reader()
+    reader.feed(html)
+    reader.close()
+    reader.cut()
+    return "\n".join(blocks)
+
+
+def test_against_another_parser():
+    rng = random.Random(8)
+    words = ["alpha", "beta,", "x &lt; y", "&eacute;t&eacute;", "caf\u00e9", "<b>bold</b>", "<a href='u'>link</a>", "a<br>b", "&#8217;s", "<i>it</i>.", "two  spaces\n"]
+    text = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(8, 40)))
+    for _ in range(200):
+        parts = [f"<h1>{text()}</h1>"]
+        for _ in range(rng.randint(2, 9)):
+            parts.append(rng.choice([f"<p>{text()}</p>", f"<h2>{text()}</h2>", f"<ul><li>{text()}</li><li>{text()}</li></ul>", f"<div><p>{text()}</p></div>", f"<aside>{text()}</aside>", "<script>var a = '<p>';</script>"]))
+        page = f"<!DOCTYPE html><html><body><nav><a>{text()}</a></nav><article>{''.join(parts)}</article><aside><p>{text()}</p></aside></body></html>"
+        assert main_text(page) == by_parser(page)
+
+
+def test_time_grows_with_the_page():
+    for piece in ("<b>x ", "<div>x ", "<td>x ", "<li><b>x ", "<p>x<div>", "<table><tr><td>x ", "<a title=\"x>"):
+        took = []
+        for n in (4000, 32000):
+            start = time.thread_time()
+            main_text("<article>" + piece * n)
+            took.append(time.thread_time() - start)
+        assert took[1] < 24 * max(took[0], 0.02), piece
+
+
 def test_extract(spark):
     rows = [(1, "u", PAGE, "clash"), (1, "u", PAGE, None), (None, None, None, None), (2, "u", "<p>" + "long text, " * 20000 + "</p>", None)]
     found = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string"))
