@@ -259,18 +259,35 @@ def linked_classes(docs: DataFrame, base: DataFrame, classes: DataFrame, percent
 
 
 def meeting(labelled: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Blocks for ``products``: rows are the classes outside, columns the other members of their lists whose sizes may do. Also the rows alone."""
+    """Blocks for ``products``: rows are the classes outside, columns the other members of their lists whose sizes may do. Also the rows alone.
+
+    A pair of a block and a column may come from many lists, as near copies share
+    most of their shingles. Where the lists of one pivot have that much in common,
+    their members are put together first, and the block meets each of them once.
+    """
     rows = labelled.where("outside")
     # A class's rows are in one block: that of its longest list's pivot and of its own size, split to ROWS or so.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))
     home = rows.groupBy("cls", "n").agg(F.max(F.struct("m", "pivot")).alias("home")).select("cls", "n", F.col("home.pivot").alias("home"), band.alias("band"))
     sizes = home.groupBy("home", "band").agg(F.greatest(F.ceil(F.count("*") / ROWS), F.ceil(F.sum("n") / ROW_SHINGLES)).alias("blocks"))
     home = home.join(sizes, ["home", "band"]).select("cls", F.xxhash64("home", "band", F.pmod(F.xxhash64("cls"), F.col("blocks"))).alias("block"))
-    rows = stored(rows.select("hash", "cls", "n", "most").join(home, "cls").select("hash", "cls", "n", "most", "block"), "rows")
-    wanted = rows.groupBy("hash", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("most").alias("top"))
-    others = wanted.join(labelled.where("cls <> pivot").select("hash", "cls", "n", "most"), "hash").where((F.col("n") <= F.col("top")) & (F.col("most") >= F.col("low")) & (100 * F.col("n") >= percent * F.col("low")) & (percent * F.col("n") <= 100 * F.col("high")))
-    met = others.select("block", F.lit(1).alias("side"), "cls").distinct().unionByName(rows.select("block", F.lit(0).alias("side"), "cls").distinct())
-    return rows, stored(met, "meeting")
+    rows = stored(rows.select("hash", "cls", "n", "most", "pivot", "m").join(home, "cls").select("hash", "cls", "n", "most", "pivot", "m", "block"), "rows")
+    bounds = [F.min("n").alias("low"), F.max("n").alias("high"), F.max("most").alias("top")]
+    by_list = rows.groupBy("hash", "pivot", "block").agg(*bounds, F.max("m").alias("m"))
+    by_pivot = rows.groupBy("pivot", "block").agg(*bounds)
+    own = labelled.where("cls <> pivot").select("hash", "pivot", "cls", "n", "most")
+    together = own.groupBy("pivot", "cls", "n").agg(F.max("most").alias("most"))
+    # What either way would make of a pivot's lists.
+    apart = by_list.groupBy("pivot").agg(F.sum("m").alias("apart"))
+    joint = by_pivot.groupBy("pivot").agg(F.count("*").alias("blocks")).join(together.groupBy("pivot").agg(F.count("*").alias("classes")), "pivot")
+    joined = stored(joint.join(apart, "pivot").where(F.col("blocks") * F.col("classes") < F.col("apart")).select("pivot"), "joined")
+    fits = (F.col("n") <= F.col("top")) & (F.col("most") >= F.col("low")) & (100 * F.col("n") >= percent * F.col("low")) & (percent * F.col("n") <= 100 * F.col("high"))
+    listed = by_list.join(joined, "pivot", "left_anti").drop("pivot").join(own.drop("pivot"), "hash").where(fits).select("block", "cls")
+    grouped = by_pivot.join(joined, "pivot").join(together, "pivot").where(fits).select("block", "cls")
+    columns = listed.unionByName(grouped).distinct().select("block", F.lit(1).alias("side"), "cls")
+    met = stored(columns.unionByName(rows.select("block", F.lit(0).alias("side"), "cls").distinct()), "meeting")
+    forget(joined)
+    return rows, met
 
 
 def jaccard_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
