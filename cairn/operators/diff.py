@@ -3,25 +3,33 @@
 A side is a dict of DataFrames. ``roots``: root_label, enum_status. ``dirs``:
 root_label, rel_path, path_key, enum_status. ``entries``: root_label, rel_path,
 path_key, size, mtime, attrs, hash_hex (of a valid hash, else null), event (the
-computation that the hash goes back to), unstable, volume, file_id, and payloads
-(map from provider to struct of sha, version and stable, the digest without
-volatile tags).
+computation that the hash goes back to), unstable, volume, file_id, origin (of
+the hash; may be left out), and payloads (map from provider to struct of sha,
+version and stable, the digest without volatile tags). ``comparison_sides`` makes
+both sides from stored snapshots.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.functions.payload import payload_digest
 from cairn.functions.text import ancestors
+from cairn.sources.files import inflate
 from cairn.sources.storage import stored
 
 from .ranking import ranked
 
 Side = dict[str, DataFrame]
 TAG_PROVIDER = "exiftool"  # fixed value: the provider whose payloads hold volatile tags
-SIDE_COLUMNS = ["rel_path", "size", "mtime", "attrs", "hash_hex", "event", "unstable", "volume", "file_id", "payloads"]
+SIDE_COLUMNS = ["rel_path", "size", "mtime", "attrs", "hash_hex", "event", "unstable", "volume", "file_id", "origin", "payloads"]
 RESULT = ["path_key", "old_root", "new_root", "old_path", "new_path", "old_size", "new_size", "old_hash", "new_hash", "status", "evidence", "reason", "metadata_changed"]
+#: What exports of a result have besides.
+MORE = ["old_mtime", "new_mtime", "old_origin", "new_origin", "group_hash"]
+#: Lost and fresh rows of one file id that one task matches in order; a key of more rows is matched rank by rank.
+FILE_ID_ROWS = 1000
 
 
 def admit(old: Side, new: Side) -> None:
@@ -33,6 +41,52 @@ def admit(old: Side, new: Side) -> None:
             raise ValueError(f"{name}: a failed root has no failed directory row")
 
 
+def admit_snapshots(old: DataFrame, new: DataFrame) -> None:
+    """Refuse two snapshots (their snapshot_info, one row each) of which one isn't sealed or whose path keys follow other rules."""
+    a, b = old.first(), new.first()
+    for name, info in (("old", a), ("new", b)):
+        if info is None or info.status != "complete":
+            raise ValueError(f"{name} isn't sealed")
+    if a.path_key_rule != b.path_key_rule:
+        raise ValueError("path keys follow other rules")
+
+
+def comparison_sides(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> tuple[Side, Side]:
+    """Both sides of a comparison from two stored snapshots (their tables: snapshot_info, roots, dirs, entries, hashes, raw_payloads).
+
+    An entry's hash counts if it is valid; it goes back to the computation in its
+    own snapshot or, where it was reused, in the one it came from. An entry is
+    unstable if its metadata, its hash or the hash's record says so. Payloads are
+    unpacked for their stable digests only where the other side doesn't have the
+    same bytes.
+    """
+    admit_snapshots(old["snapshot_info"], new["snapshot_info"])
+    return _side(old, new), _side(new, old)
+
+
+def _side(tables: dict[str, DataFrame], other: dict[str, DataFrame]) -> Side:
+    key = ["root_label", "rel_path"]
+    own = tables["snapshot_info"].select(F.col("snapshot_uuid").alias("_uuid"))
+    sha = tables["hashes"].where("algorithm = 'sha256'").join(F.broadcast(own), F.lit(True))  # one row
+    event = F.when(F.col("origin") == "computed", F.concat_ws(" ", "_uuid", "finished_at_utc")).otherwise(F.concat_ws(" ", "source_snapshot_uuid", "source_computed_at_utc"))
+    sha = sha.select(*key, F.struct("hash_hex", event.alias("event"), "origin", (F.col("status") == "valid").alias("valid"), (F.col("status") == "unstable").alias("unstable")).alias("_h"))
+    payloads = tables["raw_payloads"].select(*key, "provider", "payload_zlib", F.col("payload_sha256").alias("sha"), F.col("provider_version").alias("version"))
+    there = other["raw_payloads"].where(F.col("provider") == TAG_PROVIDER).select(F.col("payload_sha256").alias("sha")).distinct()
+    fresh = payloads.where(F.col("provider") == TAG_PROVIDER).join(there, "sha", "left_anti")
+    stable = fresh.select("sha", "payload_zlib").dropDuplicates(["sha"]).select("sha", payload_digest(inflate("payload_zlib")).alias("stable"))
+    described = payloads.drop("payload_zlib").join(stable, "sha", "left").select(*key, F.struct("provider", F.struct("sha", "version", F.coalesce("stable", "sha").alias("stable")).alias("p")).alias("x"))
+    listed = described.groupBy(*key).agg(F.map_from_entries(F.collect_list("x")).alias("payloads"))  # providers of one entry: a few
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<struct<sha:string,version:string,stable:string>>"))
+    rows = tables["entries"].join(sha, key, "left").join(listed, key, "left")
+    valid = F.coalesce(F.col("_h.valid"), F.lit(False))
+    unstable = F.coalesce(F.col("meta_status") == "unstable", F.lit(False)) | F.coalesce(F.col("hash_status") == "unstable", F.lit(False)) | F.coalesce(F.col("_h.unstable"), F.lit(False))
+    entries = rows.select(
+        *key, "path_key", F.col("size_bytes").alias("size"), F.col("modified_at_utc").alias("mtime"), F.col("attributes").alias("attrs"), F.when(valid, F.col("_h.hash_hex")).alias("hash_hex"), F.when(valid, F.col("_h.event")).alias("event"), unstable.alias("unstable"),
+        F.col("volume_serial").alias("volume"), F.col("file_index_hex").alias("file_id"), F.when(valid, F.col("_h.origin")).alias("origin"), F.coalesce("payloads", none).alias("payloads"),
+    )
+    return {"roots": tables["roots"].select("root_label", "enum_status"), "dirs": tables["dirs"].select(*key, "path_key", "enum_status"), "entries": entries}
+
+
 def pair_roots(old: Side, new: Side, mapping: DataFrame | None = None) -> DataFrame:
     """old_root and new_root of paired roots: by mapping (old_root, new_root), else by label, else the only root of either side."""
     left, right = (s["roots"].select(F.col("root_label").alias(n)) for s, n in ((old, "old_root"), (new, "new_root")))
@@ -86,17 +140,24 @@ def result(df: DataFrame, **known: Column) -> DataFrame:
     """The columns of a result row; what isn't given is null, evidence is insufficient."""
     types = {"old_size": "long", "new_size": "long", "metadata_changed": "int"}
     known = {"evidence": F.lit("insufficient")} | known
-    return df.select(*[known.get(c, F.lit(None)).cast(types.get(c, "string")).alias(c) for c in RESULT])
+    return df.select(*[known.get(c, F.lit(None)).cast(types.get(c, "string")).alias(c) for c in RESULT + MORE])
 
 
 def side_of(prefix: str, e: str = "") -> dict[str, Column]:
     col = lambda c: F.col(f"{e}{c}")
-    return {f"{prefix}_root": col("root_label"), f"{prefix}_path": col("rel_path"), f"{prefix}_size": col("size"), f"{prefix}_hash": col("hash_hex")}
+    return {f"{prefix}_root": col("root_label"), f"{prefix}_path": col("rel_path"), f"{prefix}_size": col("size"), f"{prefix}_hash": col("hash_hex"), f"{prefix}_mtime": col("mtime"), f"{prefix}_origin": col("origin")}
+
+
+def with_origin(side: Side) -> Side:
+    """A side whose entries say where their hashes come from; null where that isn't known."""
+    entries = side["entries"]
+    return side | {"entries": entries if "origin" in entries.columns else entries.withColumn("origin", F.lit(None).cast("string"))}
 
 
 def compare(old: Side, new: Side, mapping: DataFrame | None = None) -> dict[str, DataFrame]:
     """``entries``, ``groups`` (content groups), ``dirs`` and ``subtrees`` of a comparison."""
     admit(old, new)
+    old, new = with_origin(old), with_origin(new)
     pairs = pair_roots(old, new, mapping)
     label = F.broadcast(pairs)  # roots: a few rows a side
     lefts = old["entries"].join(label.withColumnRenamed("old_root", "root_label"), "root_label", "left").withColumnRenamed("new_root", "pair")
@@ -148,7 +209,7 @@ def compare(old: Side, new: Side, mapping: DataFrame | None = None) -> dict[str,
     gone, came = content.where("side = 'old'").drop("side"), content.where("side = 'new'").drop("side")
     renamed = lambda df, prefix: df.select("hash_hex", "rank", F.struct(*[c for c in df.columns if c != "rank"]).alias(prefix))
     paired = stored(renamed(gone, "old").join(renamed(came, "new"), ["hash_hex", "rank"], "full_outer"), "paired")
-    moved = result(paired.where("old is not null and new is not null"), path_key=n["path_key"], status=F.lit("moved_or_renamed"), evidence=evidence_of(o["event"], n["event"]), reason=F.lit("group_paired"), **both)
+    moved = result(paired.where("old is not null and new is not null"), path_key=n["path_key"], status=F.lit("moved_or_renamed"), evidence=evidence_of(o["event"], n["event"]), reason=F.lit("group_paired"), group_hash=F.col("hash_hex"), **both)
 
     surplus = paired.where("old is null").select("new.*").join(groups.select("hash_hex", "old_count"), "hash_hex")
     links = new["entries"].where("hash_hex is not null and coalesce(volume, '') <> '' and coalesce(file_id, '') <> ''").groupBy("hash_hex", "volume", "file_id").count().where("count > 1").select("hash_hex", "volume", "file_id", F.lit(True).alias("is_link"))
@@ -158,18 +219,18 @@ def compare(old: Side, new: Side, mapping: DataFrame | None = None) -> dict[str,
     added_reason = F.when(F.col("is_link"), "hardlink_same_file_id").when(F.col("old_count") >= 1, F.lit(None)).otherwise(F.when(F.col("unstable"), "unstable_content").otherwise(F.col("base_reason")))
     surplus = stored(surplus.withColumn("status", added).withColumn("reason", added_reason), "surplus")
     copied = surplus.where("status = 'copied'")
-    copies = result(copied, path_key=F.col("path_key"), status=F.lit("copied"), evidence=F.when(F.col("known_event"), "propagated_single_computation").otherwise("independent_computation"), **side_of("new"))
+    copies = result(copied, path_key=F.col("path_key"), status=F.lit("copied"), evidence=F.when(F.col("known_event"), "propagated_single_computation").otherwise("independent_computation"), group_hash=F.col("hash_hex"), **side_of("new"))
 
     # Leftovers of both kinds, hashed or not, may still be the same file by volume and file id; two hashes have decided already.
     plain = F.when(F.col("unstable"), "unstable_content").otherwise(F.col("base_reason"))
-    keep = ["path_key", "root_label", "rel_path", "size", "mtime", "hash_hex", "volume", "file_id", "reason"]
+    keep = ["path_key", "root_label", "rel_path", "size", "mtime", "hash_hex", "volume", "file_id", "origin", "reason"]
     lost = paired.where("new is null").select("old.*").withColumn("reason", plain).select(*keep).unionByName(pending.where("hash_hex is null and side = 'old'").withColumn("reason", plain).select(*keep))
     fresh = surplus.where("status = 'added'").select(*keep).unionByName(pending.where("hash_hex is null and side = 'new'").withColumn("reason", plain).select(*keep))
     same_file = stored(match_file_ids(lost, fresh), "same-file")
     by_id = result(same_file, path_key=n["path_key"], status=F.lit("moved_or_renamed"), evidence=F.lit("heuristic_file_id"), reason=F.lit("file_id_heuristic"), **both)
     drop = lambda df, side: df.join(same_file.select(f"{side}.root_label", f"{side}.rel_path"), ["root_label", "rel_path"], "left_anti")
-    deleted = result(drop(lost, "old"), path_key=F.col("path_key"), status=F.lit("deleted"), reason=F.col("reason"), **side_of("old"))
-    new_rows = result(drop(fresh, "new"), path_key=F.col("path_key"), status=F.lit("added"), reason=F.col("reason"), **side_of("new"))
+    deleted = result(drop(lost, "old"), path_key=F.col("path_key"), status=F.lit("deleted"), reason=F.col("reason"), group_hash=F.col("hash_hex"), **side_of("old"))
+    new_rows = result(drop(fresh, "new"), path_key=F.col("path_key"), status=F.lit("added"), reason=F.col("reason"), group_hash=F.col("hash_hex"), **side_of("new"))
 
     entries = unknown
     for part in (*collided, same_path, moved, copies, by_id, deleted, new_rows):
@@ -180,24 +241,47 @@ def compare(old: Side, new: Side, mapping: DataFrame | None = None) -> dict[str,
 def match_file_ids(lost: DataFrame, fresh: DataFrame) -> DataFrame:
     """old and new rows that are one file by volume, file id, size and mtime, at least one of the two without a hash.
 
-    Each row is used once. Within a key rows without hash and rows with hash are
-    paired rank by rank: hashed lost with unhashed fresh first, then unhashed
-    lost with what is left. Keys name single files, so their groups are small.
+    Fresh rows choose in the order of their paths; each takes the first lost row
+    that is left and fits. Keys name single files, so the rows of a key are few;
+    keys of more than FILE_ID_ROWS rows are paired rank by rank instead.
     """
-    key = ["volume", "file_id", "size", "mtime"]
     named = "coalesce(volume, '') <> '' and coalesce(file_id, '') <> ''"
+    key = F.concat_ws("\x1f", *[F.col(k).cast("string") for k in ("volume", "file_id", "size", "mtime")])
+    mine = lambda df: df.where(named).withColumn("_key", key)
+    count = lambda df, name: df.groupBy("_key").agg(F.count("*").alias(name))
+    met = stored(count(mine(lost), "n_lost").join(count(mine(fresh), "n_fresh"), "_key").select("_key", (F.col("n_lost") + F.col("n_fresh") > FILE_ID_ROWS).alias("hot")), "file-ids")
+    packed = lambda df, side: df.select(F.struct(*lost.columns).alias(side))
+    if met.isEmpty():
+        return packed(lost.where("false"), "old").join(packed(fresh.where("false"), "new"), F.lit(True))
+    old, new = (stored(mine(df).join(met, "_key"), "same-file") for df in (lost, fresh))
+    place = ["path_key", "root_label", "rel_path"]
+    slim = lambda df: df.where("not hot").select("_key", *place, F.col("hash_hex").isNotNull().alias("hashed"))
+    pairs = slim(old).groupBy("_key").cogroup(slim(new).groupBy("_key")).applyInPandas(_first_fits, "_key string, old_root string, old_path string, new_root string, new_path string")
+    of = lambda df, side: df.select("_key", F.col("root_label").alias(f"{side}_root"), F.col("rel_path").alias(f"{side}_path"), F.struct(*lost.columns).alias(side))
+    found = pairs.join(of(old, "old"), ["_key", "old_root", "old_path"]).join(of(new, "new"), ["_key", "new_root", "new_path"]).select("old", "new")
+    if met.where("hot").isEmpty():
+        return found
+    return found.unionByName(_by_ranks(old.where("hot"), new.where("hot"), place, lost.columns))
+
+
+def _first_fits(lost: pd.DataFrame, fresh: pd.DataFrame) -> pd.DataFrame:
+    """The rows of one key, matched in order; two rows with hashes never match."""
     order = ["path_key", "root_label", "rel_path"]
+    left, out = list(lost.sort_values(order).itertuples()), []
+    for f in fresh.sort_values(order).itertuples():
+        at = next((k for k, x in enumerate(left) if not (f.hashed and x.hashed)), None)
+        if at is not None:
+            x = left.pop(at)
+            out.append((f._1, x.root_label, x.rel_path, f.root_label, f.rel_path))
+    return pd.DataFrame(out, columns=["_key", "old_root", "old_path", "new_root", "new_path"], dtype=object)
 
-    def turns(df: DataFrame, side: str, hashed: bool) -> DataFrame:
-        rows = df.where(named).where(F.col("hash_hex").isNotNull() if hashed else F.col("hash_hex").isNull()).withColumn("_key", F.concat_ws("\x1f", *[F.col(k).cast("string") for k in key]))
-        return ranked(rows, "_key", order).select("_key", "rank", F.struct(*lost.columns).alias(side))
 
-    first = turns(lost, "old", True).join(turns(fresh, "new", False), ["_key", "rank"]).select("old", "new")
-    used = first.select("new.root_label", "new.rel_path")
-    unhashed = fresh.join(used, ["root_label", "rel_path"], "left_anti").where("hash_hex is null").unionByName(fresh.where("hash_hex is not null"))
-    second_new = ranked(unhashed.where(named).withColumn("_key", F.concat_ws("\x1f", *[F.col(k).cast("string") for k in key])), "_key", order).select("_key", "rank", F.struct(*lost.columns).alias("new"))
-    second = turns(lost, "old", False).join(second_new, ["_key", "rank"]).select("old", "new")
-    return first.unionByName(second)
+def _by_ranks(old: DataFrame, new: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
+    """Rank by rank within a key: hashed lost rows with unhashed fresh ones, then unhashed lost rows with what is left."""
+    turns = lambda df, side: ranked(df, "_key", order).select("_key", "rank", F.struct(*columns).alias(side))
+    first = turns(old.where("hash_hex is not null"), "old").join(turns(new.where("hash_hex is null"), "new"), ["_key", "rank"]).select("old", "new")
+    rest = new.join(first.select("new.root_label", "new.rel_path"), ["root_label", "rel_path"], "left_anti")
+    return first.unionByName(turns(old.where("hash_hex is null"), "old").join(turns(rest, "new"), ["_key", "rank"]).select("old", "new"))
 
 
 def compare_dirs(old: Side, new: Side, pairs: DataFrame) -> DataFrame:
@@ -273,8 +357,27 @@ def changed_groups(groups: DataFrame) -> DataFrame:
 
 
 def comparison_capabilities(old: DataFrame, new: DataFrame) -> DataFrame:
-    """capability, old and new state and whether the two can be compared. Inputs: capability, state."""
-    both = old.withColumnRenamed("state", "old").join(new.withColumnRenamed("state", "new"), "capability", "full_outer").na.fill("unavailable", ["old", "new"])
+    """capability, old and new state, whether the two can be compared, and why not. Inputs: capability, state and, where known, reason."""
+    side = lambda df, name: df.select("capability", F.col("state").alias(name), (F.col("reason") if "reason" in df.columns else F.lit(None).cast("string")).alias(f"{name}_reason"))
+    both = side(old, "old").join(side(new, "new"), "capability", "full_outer").na.fill("unavailable", ["old", "new"])
     there = F.col("old").isin("available", "empty") & F.col("new").isin("available", "empty")
     state = F.when((F.col("old") == "empty") & (F.col("new") == "empty"), "empty").when((F.col("old") == "available") & (F.col("new") == "available"), "comparable").when(F.col("capability").isin("files", "directories") & there, "comparable").otherwise("unavailable")
-    return both.withColumn("comparison", state)
+    said = lambda name: F.when(F.col(name) != "available", F.concat(F.lit(f"{name}="), F.col(name), F.lit(": "), F.coalesce(f"{name}_reason", F.when(F.col(name) == "empty", "executed without a record").otherwise("no reason recorded"))))
+    reason = F.when(state == "unavailable", F.nullif(F.concat_ws("; ", said("old"), said("new")), F.lit("")))
+    return both.select("capability", "old", "new", state.alias("comparison"), reason.alias("reason"))
+
+
+def summary_rows(entries: DataFrame, dirs: DataFrame, subtrees: DataFrame, groups: DataFrame) -> DataFrame:
+    """section, key and value of a comparison's report: verdicts, files by status and evidence, folders by status, gaps and changed contents."""
+    word = conclusion(entries, dirs)
+    parts = [
+        word.select(F.lit("conclusion").alias("section"), F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for k in ("content", "structure", "content_breaking", "structure_breaking", "content_caveats", "structure_caveats")])).alias("x")).select("section", "x.*"),
+        status_evidence(entries).select(F.lit("files").alias("section"), F.concat_ws("/", "status", "evidence").alias("key"), F.col("n").cast("string").alias("value")),
+        dirs.groupBy(F.lit("directories").alias("section"), F.col("status").alias("key")).agg(F.count("*").cast("string").alias("value")),
+        subtrees.select(F.lit("gaps").alias("section"), F.concat_ws("/", "side", "root_label", "rel_path").alias("key"), F.col("affected_estimate").cast("string").alias("value")),
+        changed_groups(groups).groupBy(F.lit("contents").alias("section"), F.col("classification").alias("key")).agg(F.count("*").cast("string").alias("value")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

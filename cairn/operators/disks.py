@@ -42,6 +42,18 @@ def critical_smart(attributes: DataFrame) -> DataFrame:
     return attributes.where(F.col("id").isin(CRITICAL)).select("disk", place.alias("place"), "id", "raw", status.alias("status"))
 
 
+#: What an NVMe disk reports in place of attributes, in the order of reports.
+NVME = ["critical_warning", "available_spare", "available_spare_threshold", "percentage_used", "unsafe_shutdowns", "media_errors", "num_err_log_entries"]
+
+
+def nvme_fields(logs: DataFrame, attributes: DataFrame) -> DataFrame:
+    """disk, place, field and value of the health log (a row a disk with NVME columns) of disks that give no critical attribute."""
+    alone = logs.join(critical_smart(attributes).select("disk").distinct(), "disk", "left_anti")
+    shown = lambda f: F.concat(F.lit("0x"), F.lpad(F.hex(F.col(f).cast("long")), 2, "0")) if f == "critical_warning" else F.col(f).cast("string")
+    fields = F.array(*[F.struct(F.lit(k).cast("long").alias("place"), F.lit(f).alias("field"), shown(f).alias("value")) for k, f in enumerate(NVME, 1)])
+    return alone.select("disk", F.explode(fields).alias("x")).select("disk", "x.*")
+
+
 def health(passed: Column, critical_warning: Column) -> Column:
     """passed, failed, warning or unknown, from the overall verdict or, without one, the warning bits."""
     return F.when(passed, "passed").when(~passed, "failed").when(critical_warning == 0, "passed").when(critical_warning.isNotNull(), "warning").otherwise("unknown")
@@ -70,8 +82,11 @@ def same_disk(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def disk_summary(disks: DataFrame, partitions: DataFrame, gaps: DataFrame, smart: DataFrame) -> DataFrame:
-    """One row a disk: partitions, covered bytes, gap bytes and attributes that failed or want attention. disks: disk, size."""
+    """One row a disk: health, letters and labels, partitions, covered and gap bytes, attributes that failed or want attention. disks: disk, size, passed, critical_warning; partitions: disk, offset, size, drive_letter, label."""
     parts = partitions.groupBy("disk").agg(F.count("*").alias("partitions"), F.sum("size").alias("partition_bytes"))
     free = gaps.groupBy("disk").agg(F.sum("size").alias("gap_bytes"))
     bad = smart.groupBy("disk").agg(F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(F.col("status") == "attention").alias("attention"))
-    return disks.select("disk", "size").join(parts, "disk", "left").join(free, "disk", "left").join(bad, "disk", "left").na.fill(0, ["partitions", "partition_bytes", "gap_bytes", "failed", "attention"])
+    own = disks.select("disk", "size", health(F.col("passed"), F.col("critical_warning")).alias("health"))
+    for more in (disk_labels(partitions), parts, free, bad):
+        own = own.join(more, "disk", "left")
+    return own.na.fill(0, ["partitions", "partition_bytes", "gap_bytes", "failed", "attention"])

@@ -164,3 +164,25 @@ def legacy_sections(entries: DataFrame, errors: DataFrame, roots: DataFrame, dir
     return one(errors.where(shown), "errors").unionByName(one(bad, "status")).unionByName(one(roots.where("enum_status = 'failed'"), "roots")).unionByName(one(dirs.where("enum_status <> 'ok'"), "dirs"))
 
 
+def pending_by_kind(entries: DataFrame) -> DataFrame:
+    """Entries whose metadata are still to be read, by kind."""
+    return entries.where("meta_status = 'pending'").groupBy(F.coalesce("media_kind", F.lit("unknown")).alias("media_kind")).agg(F.count("*").alias("n"))
+
+
+def first_details(details: DataFrame, limit: int = 200) -> DataFrame:
+    """The first rows of a metadata section with their place: what needs action first, then by root and path key. details: level, root_label, path_key, ..."""
+    action = (F.col("level") == "need_action").cast("int")
+    top = details.orderBy(action.desc(), "root_label", "path_key").limit(limit)
+    return top.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(action.desc(), "root_label", "path_key")).cast("long"))
+
+
+def report(sections: dict[str, DataFrame | None], spark) -> DataFrame:
+    """One row a section of the issue report. sections: name to one row of issue_files, issue_records and, where known, unsupported_files and low_confidence_records; None if the section wasn't executed."""
+    fields = ["issue_files", "issue_records", "unsupported_files", "low_confidence_records"]
+    out = None
+    for name, df in sections.items():
+        ran = df is not None
+        row = df if ran else spark.range(1)
+        shaped = row.select(F.lit(name).alias("section_id"), F.lit("executed" if ran else "not_executed").alias("execution"), *[(F.col(f) if ran and f in df.columns else F.lit(None)).cast("long").alias(f) for f in fields], F.lit(None if ran else "not part of this run").cast("string").alias("reason"))
+        out = shaped if out is None else out.unionByName(shaped)
+    return out

@@ -29,12 +29,20 @@ STATUS_ORDER = ["unstable", "timeout", "error", "done", "not_applicable", "skipp
 STREAMS = "struct<streams:array<struct<index:bigint,codec_type:string,codec_name:string,codec_tag_string:string,profile:string,width:bigint,height:bigint,r_frame_rate:string,avg_frame_rate:string,pix_fmt:string,bits_per_raw_sample:string,color_space:string,bit_rate:string,nb_frames:string,duration:string,sample_rate:string,channels:string,channel_layout:string,tags:map<string,string>>>,format:struct<format_name:string,duration:string,bit_rate:string,nb_streams:string,tags:map<string,string>>>"
 
 
+def source_of(tags: Column, specs: list[str]) -> Column:
+    """The tag that ``tag_chain`` takes its value from."""
+    return F.coalesce(*[F.when(tag_chain(tags, [x]).isNotNull(), x) for x in specs])
+
+
 def capture(tags: Column, times: list[str], others: list[str] = ()) -> dict[str, Column]:
-    """Raw time, offset and UTC of the capture. An offset is its own tag's, the time's own, or that of another tag with the same wall clock."""
+    """Raw time, the tags it and its offset come from, offset and UTC of the capture. An offset is its own tag's, the time's own, or that of another tag with the same wall clock."""
     raw = tag_chain(tags, times)
-    lent = fn.matching_offset(raw, F.array(*[tag_chain(tags, [s]) for s in others])) if others else F.lit(None).cast("int")
-    offset = F.coalesce(fn.offset_minutes(tag_chain(tags, OFFSETS)), fn.offset_from_value(raw), lent)
-    return {"capture_time_raw": raw, "capture_tz_offset_min": offset, "capture_time_utc": fn.capture_utc(raw, offset)}
+    own, inside = fn.offset_minutes(tag_chain(tags, OFFSETS)), fn.offset_from_value(raw)
+    lent = [fn.matching_offset(raw, F.array(tag_chain(tags, [x]))) for x in others] or [F.lit(None).cast("int")]
+    offset = F.coalesce(own, inside, *lent)
+    told_by = F.coalesce(F.when(own.isNotNull(), source_of(tags, OFFSETS)), F.when(inside.isNotNull(), "embedded"), *[F.when(c.isNotNull(), x) for c, x in zip(lent, others or [""], strict=True)])
+    source = F.concat(source_of(tags, times), F.coalesce(F.concat(F.lit("|offset="), told_by), F.lit("")))
+    return {"capture_time_raw": raw, "capture_time_source": source, "capture_tz_offset_min": offset, "capture_time_utc": fn.capture_utc(raw, offset)}
 
 
 def camera(tags: Column) -> dict[str, Column]:
@@ -130,7 +138,7 @@ def audio_video(tagged: DataFrame, payloads: DataFrame) -> DataFrame:
     return both.select(
         "entry", F.coalesce(p["format"]["format_name"], F.lower(tag_chain(t, ["File:FileType"]))).alias("container_format"), F.coalesce(F.nullif(fn.first_float(p["format"]["duration"]), F.lit(0.0)), fn.first_float(any_("Duration"))).alias("duration_seconds"),
         fn.first_int(p["format"]["bit_rate"]).alias("bit_rate"), fn.first_int(p["format"]["nb_streams"]).alias("stream_count"), tag("timecode").alias("timecode"), F.coalesce(tag("encoder"), tag_chain(t, ["ItemList:Encoder"])).alias("encoder"),
-        F.when(fresh, mine("creation_time")).otherwise(seen["capture_time_raw"]).alias("capture_time_raw"), F.when(fresh, 0).otherwise(seen["capture_tz_offset_min"]).alias("capture_tz_offset_min"), F.coalesce(seen["capture_time_utc"], made).alias("capture_time_utc"),
+        F.when(fresh, mine("creation_time")).otherwise(seen["capture_time_raw"]).alias("capture_time_raw"), F.when(fresh, "format:creation_time").otherwise(seen["capture_time_source"]).alias("capture_time_source"), F.when(fresh, 0).otherwise(seen["capture_tz_offset_min"]).alias("capture_tz_offset_min"), F.coalesce(seen["capture_time_utc"], made).alias("capture_time_utc"),
         F.coalesce(cam["camera_make"], F.when(is_drone, "DJI")).alias("camera_make"), F.coalesce(cam["camera_model"], drone).alias("camera_model"), cam["camera_serial"].alias("camera_serial"), cam["lens_model"].alias("lens_model"), cam["lens_serial"].alias("lens_serial"),
         F.coalesce(mine("title"), any_("Title")).alias("title"), F.coalesce(mine("artist", "author"), any_("Artist", "Author", "Creator", "AlbumArtist", "Composer")).alias("author"), F.coalesce(mine("album"), any_("Album")).alias("album"), F.coalesce(mine("copyright"), any_("Copyright", "CopyrightNotice")).alias("copyright"),
     )
@@ -156,18 +164,30 @@ def reported(payloads: DataFrame) -> DataFrame:
     return each.select("entry", "severity", F.concat(F.lit("exiftool_reported_"), F.col("severity")).alias("diagnostic_code"), F.col("k").alias("field_name"), F.explode(texts).alias("message"))
 
 
+#: What the diagnostics of impossible values say.
+MESSAGES = {
+    "invalid_all_zero_lens_serial": "a lens serial of zeros alone counts as none",
+    "invalid_nonpositive_f_number": "an f-number that isn't above 0 counts as none",
+    "invalid_nonpositive_focal_length": "a focal length that isn't above 0 counts as none, and so does its 35 mm equivalent",
+    "invalid_nonpositive_focal_length_35mm": "a 35 mm equivalent that isn't above 0 counts as none",
+    "invalid_zero_gps_placeholder": "latitude and longitude of 0 are a placeholder and count as no place",
+}
+
+
 def validation(rows: DataFrame) -> DataFrame:
     """A diagnostic for every impossible value of a photo's tags (entry, tags)."""
     t = F.col("tags")
     number = lambda *specs: tag_number(t, list(specs))
     zero = (F.coalesce(tag_native_number(t, ["Composite:GPSLatitude"]), fn.gps_decimal(tag_chain(t, ["Composite:GPSLatitude"]))) == 0) & (F.coalesce(tag_native_number(t, ["Composite:GPSLongitude"]), fn.gps_decimal(tag_chain(t, ["Composite:GPSLongitude"]))) == 0)
     focal = number("ExifIFD:FocalLength")
+    raw = lambda spec: F.try_element_at(t, F.lit(spec.lower()))["value"]
+    places = F.to_json(F.struct(*[raw(f"Composite:GPS{n}").alias(n.lower()) for n in ("Latitude", "Longitude", "Altitude")]), {"ignoreNullFields": "false"})
     rules = {
-        "invalid_all_zero_lens_serial": (fn.is_all_zero_id(tag_chain(t, CAMERA["lens_serial"])), "lens_serial"), "invalid_nonpositive_f_number": (number("ExifIFD:FNumber") <= 0, "f_number"), "invalid_nonpositive_focal_length": (focal <= 0, "focal_length_mm"),
-        "invalid_nonpositive_focal_length_35mm": ((focal.isNull() | (focal > 0)) & (number(*FOCAL_35) <= 0), "focal_length_35mm"), "invalid_zero_gps_placeholder": (zero, "gps_latitude"),
+        "invalid_all_zero_lens_serial": (fn.is_all_zero_id(tag_chain(t, CAMERA["lens_serial"])), "lens_serial", tag_chain(t, CAMERA["lens_serial"])), "invalid_nonpositive_f_number": (number("ExifIFD:FNumber") <= 0, "f_number", raw("ExifIFD:FNumber")),
+        "invalid_nonpositive_focal_length": (focal <= 0, "focal_length_mm", raw("ExifIFD:FocalLength")), "invalid_nonpositive_focal_length_35mm": ((focal.isNull() | (focal > 0)) & (number(*FOCAL_35) <= 0), "focal_length_35mm", tag_chain(t, FOCAL_35)), "invalid_zero_gps_placeholder": (zero, "gps_latitude", places),
     }
-    hits = F.array_compact(F.array(*[F.when(cond, F.struct(F.lit(code).alias("diagnostic_code"), F.lit(field).alias("field_name"))) for code, (cond, field) in rules.items()]))
-    return rows.select("entry", F.explode(hits).alias("d")).select("entry", F.lit("validation").alias("severity"), "d.diagnostic_code", "d.field_name")
+    hits = F.array_compact(F.array(*[F.when(cond, F.struct(F.lit(code).alias("diagnostic_code"), F.lit(field).alias("field_name"), F.lit(MESSAGES[code]).alias("message"), value.alias("raw_value"))) for code, (cond, field, value) in rules.items()]))
+    return rows.select("entry", F.explode(hits).alias("d")).select("entry", F.lit("validation").alias("severity"), "d.*")
 
 
 def av_validation(entries: DataFrame, payloads: DataFrame) -> DataFrame:
@@ -200,3 +220,21 @@ def build_payload(raw: DataFrame) -> DataFrame:
     """entry, provider, canonical payload, its digest and size."""
     text = canonical_json(F.col("payload"))
     return raw.select("entry", "provider", text.alias("payload"), F.sha2(text.cast("binary"), 256).alias("payload_sha256"), F.octet_length(text).alias("uncompressed_bytes"))
+
+
+def normalized(entries: DataFrame, tagged: DataFrame, streams_of: DataFrame) -> dict[str, DataFrame]:
+    """The job that routes every entry to its normaliser: photo, working, document and audio_video rows, and meta_status (skipped where no normaliser gave anything).
+
+    entries: entry, extension, media_kind; tagged: entry, tags; streams_of: entry, payload.
+    """
+    routed = entries.withColumn("_to", route(F.col("media_kind")))
+    of = lambda name: routed.where(F.col("_to") == name).join(tagged, "entry").select("entry", "extension", "tags")
+    wanted = routed.where("_to = 'audio_video'").select("entry")
+    made = {"photo": photo(of("photo")), "working": working(of("working")), "document": document(of("document"))}
+    made["audio_video"] = audio_video(tagged.join(wanted, "entry", "left_semi"), streams_of.join(wanted, "entry", "left_semi"))
+    done = None
+    for df in made.values():
+        part = df.select("entry").distinct()
+        done = part if done is None else done.unionByName(part)
+    outcomes = routed.select("entry").join(done.withColumn("_done", F.lit(True)), "entry", "left").select("entry", F.when(F.col("_done"), "done").alias("outcome"))
+    return made | {"meta_status": meta_status(outcomes)}

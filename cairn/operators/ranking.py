@@ -33,13 +33,13 @@ def ranked(df: DataFrame, key: str, order: list[str], rank: str = "rank") -> Dat
     window = Window.partitionBy(key).orderBy(*order)
     hot = stored(df.groupBy(key).count().where(F.col("count") > GROUP_ROWS).select(key), "hot")
     if hot.isEmpty():
-        return df.withColumn(rank, F.row_number().over(window))
-    plain = df.join(hot, key, "left_anti").withColumn(rank, F.row_number().over(window)).select(*df.columns, rank)
+        return df.withColumn(rank, F.row_number().over(window).cast("long"))
+    plain = df.join(hot, key, "left_anti").withColumn(rank, F.row_number().over(window).cast("long")).select(*df.columns, rank)
     pieces = stored(df.join(hot, key, "left_semi").repartitionByRange(key, *order).withColumn("_piece", F.spark_partition_id()), "pieces")
     before = Window.partitionBy(key).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = pieces.groupBy(key, "_piece").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     inside = pieces.withColumn("_n", F.row_number().over(Window.partitionBy(key, "_piece").orderBy(*order)))
-    far = inside.join(offsets, [key, "_piece"]).withColumn(rank, (F.col("_n") + F.col("_before")).cast("int"))
+    far = inside.join(offsets, [key, "_piece"]).withColumn(rank, (F.col("_n") + F.col("_before")).cast("long"))
     return plain.unionByName(far.select(*df.columns, rank))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.text import corrupt_warning, is_raw_candidate, parse_tool_text, valid_digest
@@ -64,11 +64,13 @@ def raw_summary(entries: DataFrame, decodes: DataFrame) -> DataFrame:
 def tool_failure_groups(failures: DataFrame, samples: int = 3) -> DataFrame:
     """One row a signature: files affected, and the first paths. A tool's failure isn't the files'.
 
-    The samples are kept by a bounded aggregate, so a signature may have any number of rows.
+    The first paths are picked in parts before they meet, so a signature may have any number of rows.
     """
-    firsts = F.array_sort(F.collect_set("path"))
-    top = failures.groupBy("signature", F.pmod(F.xxhash64("path"), F.lit(256)).alias("_part")).agg(F.count("*").alias("n"), F.min("path").alias("path"))
-    return top.groupBy("signature").agg(F.sum("n").alias("affected"), F.slice(firsts, 1, samples).alias("samples"))
+    parts = failures.select("signature", "path").withColumn("_part", F.pmod(F.xxhash64("path"), F.lit(256)))
+    first = lambda df, *keys: df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("path"))).where(F.col("_n") <= samples).drop("_n")
+    # Of each part's distinct paths, ``samples`` at most.
+    few = first(first(parts.distinct(), "signature", "_part"), "signature").groupBy("signature").agg(F.array_sort(F.collect_list("path")).alias("samples"))
+    return failures.groupBy("signature").agg(F.count("*").alias("affected")).join(few, "signature")
 
 
 def problem_counts(problems: DataFrame) -> DataFrame:
@@ -80,3 +82,16 @@ def conclusion(sections: DataFrame) -> DataFrame:
     """One word for all sections (failed, stopped, issues, unavailable, unverifiable: booleans or counts)."""
     some = lambda c: F.max(F.col(c).cast("int")) > 0
     return sections.agg(F.when(some("failed"), "failed").when(some("stopped"), "stopped").when(some("issues"), "issues_found").when(some("unavailable") | some("unverifiable"), "incomplete").otherwise("passed").alias("conclusion"))
+
+
+def report_rows(stat: DataFrame, hashes: DataFrame, checks: DataFrame | None = None, raw: DataFrame | None = None) -> DataFrame:
+    """section, checked and problems of each part of a verification; null where a part wasn't executed."""
+    count = lambda df, section, fine: df.agg(F.lit(section).alias("section"), F.count("*").alias("checked"), F.count_if(~F.col("status").isin(*fine)).alias("problems"))
+    missing = lambda section: stat.sparkSession.range(1).select(F.lit(section).alias("section"), F.lit(None).cast("long").alias("checked"), F.lit(None).cast("long").alias("problems"))
+    parts = [count(stat, "stat", ["matched"]), count(hashes.where("status <> 'unverifiable'"), "hash", ["matched"])]
+    parts.append(count(checks.where("status <> 'unsupported'"), "format", ["valid"]) if checks is not None else missing("format"))
+    parts.append(raw.select(F.lit("raw").alias("section"), (F.col("candidates") - F.col("unsupported") - F.col("unverifiable")).alias("checked"), F.col("invalid").alias("problems")) if raw is not None else missing("raw"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import audit_queries, diff_queries, metadata_queries
+from . import audit_queries, bundle_queries, diff_queries, function_queries, metadata_queries, record_queries
 
-QUERIES: dict = diff_queries.QUERIES | audit_queries.QUERIES | metadata_queries.QUERIES
-ORACLE_SQL: dict = diff_queries.ORACLE_SQL | audit_queries.ORACLE_SQL | metadata_queries.ORACLE_SQL
+MODULES = [diff_queries, audit_queries, metadata_queries, function_queries, bundle_queries, record_queries]
+QUERIES: dict = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLE_SQL: dict = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}

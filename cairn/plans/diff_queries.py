@@ -15,7 +15,7 @@ def compared(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compared(spark, sf_dir)["entries"]
+    return compared(spark, sf_dir)["entries"].select(*diff.RESULT)
 
 
 QUERIES = {

@@ -47,6 +47,7 @@ def snapshot(spark: SparkSession, sf_dir: str, newer: bool) -> dict[str, DataFra
         F.col("source").alias("root_label"), path.alias("rel_path"), fn.path_key(path, ascii_only=True).alias("path_key"), F.octet_length(text).cast("long").alias("size"), mtime.alias("mtime"), F.lit(32).cast("long").alias("attrs"),
         F.when(hashed, digest).alias("hash_hex"), F.when(hashed, event).alias("event"), (rule("unstable") & F.lit(newer)).alias("unstable"),
         F.concat(F.lit("v"), (F.col("doc_id") % 3).cast("string")).alias("volume"), fn.id_hex(F.col("doc_id") + 1).alias("file_id"),
+        F.when(hashed, F.when(rule("reused") & F.lit(newer), "reused").otherwise("computed")).alias("origin"),
         F.when(F.col("doc_id") % 5 == 0, F.create_map(F.lit("exiftool"), F.struct(sha.alias("sha"), version.alias("version"), stable.alias("stable")))).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<struct<sha:string,version:string,stable:string>>"))).alias("payloads"),
     )
     folder = fn.parent_path(F.col("rel_path"))

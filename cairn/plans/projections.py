@@ -2,30 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.payload import value_type
-from cairn.functions.text import logical_path, parent_path
+from cairn.functions.text import compat_mode, logical_path, parent_path
+from cairn.sources.files import file_digests
 
 KEY = ["root_label", "rel_path"]
 
 # Fields of the exports after root_label, rel_path and logical_path.
 FIELDS = {
-    "files": "name extension media_kind size_bytes created_at_utc modified_at_utc attributes is_placeholder hard_link_count volume_serial file_index_hex observed_at_utc meta_status hash_status",
-    "directories": "parent_rel_path enum_status error_message file_count subdir_count attributes observed_at_utc",
-    "hashes": "algorithm hash_hex origin source_snapshot_uuid source_computed_at_utc reuse_basis size_bytes bytes_read chunk_bytes started_at_utc finished_at_utc pre_size pre_mtime_utc post_size post_mtime_utc status failure_reason tool tool_version",
-    "photo_metadata": "capture_time_raw capture_tz_offset_min capture_time_utc camera_make camera_model camera_serial lens_model lens_serial width height orientation iso f_number exposure_time exposure_compensation focal_length_mm focal_length_35mm white_balance color_temperature color_space icc_profile software bit_depth gps_latitude gps_longitude gps_altitude",
-    "video_metadata": "container_format duration_seconds bit_rate stream_count timecode capture_time_raw capture_tz_offset_min capture_time_utc camera_make camera_model camera_serial lens_model lens_serial encoder title author album copyright",
-    "video_gps": "point_index gps_latitude gps_longitude gps_altitude raw_value",
-    "working_metadata": "file_variant creator_app color_mode bit_depth width height layer_count layer_names has_thumbnail",
-    "document_metadata": "doc_format title author last_modified_by creator_app created_prop_raw modified_prop_raw page_count is_encrypted",
+    "files": ["name", "extension", "media_kind", "size_bytes", "created_at_utc", "modified_at_utc", "attributes", "is_placeholder", "hard_link_count", "volume_serial", "file_index_hex", "observed_at_utc", "meta_status", "hash_status"],
+    "directories": ["parent_rel_path", "enum_status", "error_message", "file_count", "subdir_count", "attributes", "observed_at_utc"],
+    "hashes": ["algorithm", "hash_hex", "origin", "source_snapshot_uuid", "source_computed_at_utc", "reuse_basis", "size_bytes", "bytes_read", "chunk_bytes", "started_at_utc", "finished_at_utc", "pre_size", "pre_mtime_utc", "post_size", "post_mtime_utc", "status", "failure_reason", "tool", "tool_version"],
+    "photo_metadata": ["capture_time_raw", "capture_time_source", "capture_tz_offset_min", "capture_time_utc", "camera_make", "camera_model", "camera_serial", "lens_model", "lens_serial", "width", "height", "orientation", "iso", "f_number", "exposure_time", "exposure_compensation", "focal_length_mm", "focal_length_35mm", "white_balance", "color_temperature", "color_space", "icc_profile", "software", "bit_depth", "gps_latitude", "gps_longitude", "gps_altitude"],
+    "video_metadata": ["container_format", "duration_seconds", "bit_rate", "stream_count", "timecode", "capture_time_raw", "capture_time_source", "capture_tz_offset_min", "capture_time_utc", "camera_make", "camera_model", "camera_serial", "lens_model", "lens_serial", "encoder", "title", "author", "album", "copyright"],
+    "video_gps": ["point_index", "gps_latitude", "gps_longitude", "gps_altitude", "raw_value"],
+    "working_metadata": ["file_variant", "creator_app", "color_mode", "bit_depth", "width", "height", "layer_count", "layer_names", "has_thumbnail"],
+    "document_metadata": ["doc_format", "title", "author", "last_modified_by", "creator_app", "created_prop_raw", "modified_prop_raw", "page_count", "is_encrypted"],
 }
 
 
 def project(module: str, rows: DataFrame) -> DataFrame:
     """The fields of a module; a field that the rows lack is an error."""
-    fields = FIELDS[module].split()
+    fields = FIELDS[module]
     if missing := [f for f in fields if f not in rows.columns]:
         raise ValueError(f"{module} lacks {missing}")
     return rows.select(*KEY, logical_path(F.col("root_label"), F.col("rel_path")).alias("logical_path"), *fields)
@@ -111,11 +112,119 @@ def export_jsonl(df: DataFrame, path: str, contract: str, database: str, module:
 
 def export_manifest(df: DataFrame, path: str) -> DataFrame:
     """A row for every file of an export, with its size and SHA-256."""
-    files = df.sparkSession.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return file_digests(df.sparkSession, path, "part-*").select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "sha256")
+
+
+def module_manifest(df: DataFrame, path: str, module: str, warnings: list[str] | None = None) -> DataFrame:
+    """One row on an exported module: its fields, rows, files with digests, and warnings."""
+    files = export_manifest(df, path).agg(F.array_sort(F.collect_list(F.struct("file", "bytes", "sha256"))).alias("artifacts"))  # files of one module's export
+    return files.join(df.agg(F.count("*").alias("rows")), F.lit(True)).select(F.lit(module).alias("module_id"), F.array(*map(F.lit, df.columns)).alias("fields"), "rows", "artifacts", F.array(*map(F.lit, warnings or [])).cast("array<string>").alias("warnings"))
 
 
 def preview(df: DataFrame, n: int = 200) -> DataFrame:
     """The first rows for people to look at, control characters escaped."""
     texts = [F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "�").alias(c) if t == "string" else F.col(c) for c, t in df.dtypes]
     return df.select(*texts).limit(n)
+
+
+def path_of(label: str, rel_path: str):
+    """The logical path of one side of a comparison; null without a path."""
+    return F.when(F.col(rel_path).isNotNull(), logical_path(F.col(label), F.col(rel_path)))
+
+
+def file_changes(entries: DataFrame) -> DataFrame:
+    """The files of a comparison with logical paths and the content group that decided them."""
+    return entries.select(
+        "path_key", "old_root", "new_root", "old_path", "new_path", path_of("old_root", "old_path").alias("old_logical_path"), path_of("new_root", "new_path").alias("new_logical_path"), "status", "evidence", "reason",
+        "old_size", "new_size", "old_mtime", "new_mtime", "old_hash", "new_hash", "old_origin", "new_origin", "metadata_changed", "group_hash",
+    )
+
+
+def directory_changes(dirs: DataFrame) -> DataFrame:
+    return dirs.select("path_key", "old_root", "new_root", "old_path", "new_path", path_of("old_root", "old_path").alias("old_logical_path"), path_of("new_root", "new_path").alias("new_logical_path"), "status", "old_enum", "new_enum", "reason")
+
+
+def gap_rows(subtrees: DataFrame) -> DataFrame:
+    return subtrees.select("side", "root_label", "rel_path", logical_path(F.col("root_label"), F.col("rel_path")).alias("logical_path"), "enum_status", "affected_estimate")
+
+
+def diff_overview(info: DataFrame, entries: DataFrame) -> DataFrame:
+    """section, key, value and value_type of a comparison: one row of identity, counts by status, and whether both sides have one structure version."""
+    counts = entries.groupBy(F.lit("file_status").alias("section"), F.col("status").alias("key")).agg(F.count("*").alias("value"))
+    mode = info.select(F.lit("compatibility").alias("section"), F.lit("mode").alias("key"), compat_mode(F.col("old_schema_version"), F.col("new_schema_version")).alias("value"), F.lit("text").alias("value_type"))
+    return overview(info, counts).unionByName(mode)
+
+
+def evidence_notes(info: DataFrame, capabilities: DataFrame, summary: DataFrame) -> DataFrame:
+    """topic, key, value, state and reason: facts of the inputs (one row), what could be compared (capability, old, new, comparison, reason), and summaries (key, value)."""
+    none = F.lit(None).cast("string")
+    facts = ["old_schema_version", "new_schema_version", "old_hash_coverage", "new_hash_coverage", "forced"]
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("key"), F.col(f).cast("string").alias("value")) for f in facts]))
+    inputs = info.select(pairs.alias("p")).select(F.lit("input").alias("topic"), "p.key", "p.value", none.alias("state"), none.alias("reason"))
+    could = capabilities.select(F.lit("capability").alias("topic"), F.col("capability").alias("key"), F.to_json(F.struct("old", "new")).alias("value"), F.col("comparison").alias("state"), "reason")
+    return inputs.unionByName(could).unionByName(summary.select(F.lit("summary").alias("topic"), "key", F.col("value").cast("string").alias("value"), none.alias("state"), none.alias("reason")))
+
+
+def root_labels(roots: DataFrame) -> DataFrame:
+    """Root labels with their place in byte order; a snapshot has a few."""
+    return roots.select("root_label", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("root_label")).cast("long").alias("place"))
+
+
+def page(table: DataFrame) -> DataFrame:
+    """A table of entries as one page: path, KEY, then all its columns."""
+    return table.select(F.concat("root_label", F.lit("\\"), "rel_path").alias("path"), *KEY, *[c for c in table.columns if c not in KEY])
+
+
+def _entry_path() -> Column:
+    return path_of("root_label", "rel_path")
+
+
+#: How records of a run are told apart, by type.
+RECORD_KEYS = {
+    "manifest": lambda: F.lit("manifest"),
+    "run_event": lambda: F.concat(F.lit("event:"), F.col("event_seq").cast("string")),
+    "session": lambda: F.col("session_id").cast("string"),
+    "entry_attempt": lambda: F.concat(_entry_path(), F.lit("|"), F.col("stage"), F.lit("|attempt="), F.col("attempt_number").cast("string")),
+    "read_performance": lambda: F.concat(_entry_path(), F.lit("|"), F.col("stage"), F.lit("|attempt="), F.col("attempt_number").cast("string")),
+    "format_check": _entry_path,
+    "state_event": lambda: F.concat(F.col("session_id").cast("string"), F.lit("|event="), F.col("session_event_seq").cast("string")),
+    "stage_checkpoint": lambda: F.col("stage"),
+    "runtime": lambda: F.col("snapshot_uuid"),
+}
+#: Fields of a run record: each the first of the columns that isn't null.
+RECORD_FIELDS = {
+    "session_id": ["session_id"],
+    "stage": ["stage"],
+    "status": ["session_status", "status", "state", "run_state"],
+    "event": ["event"],
+    "occurred_at_utc": ["occurred_at_utc", "recorded_at_utc", "checked_at_utc", "embedded_at_utc"],
+    "started_at_utc": ["started_at_utc"],
+    "updated_at_utc": ["updated_at_utc"],
+    "ended_at_utc": ["ended_at_utc"],
+    "tool_name": ["tool_name", "tool"],
+    "tool_version": ["tool_version"],
+    "bytes_read": ["bytes_read"],
+    "elapsed_seconds": ["elapsed_seconds"],
+    "decision": ["decision"],
+    "reason": ["error_message", "candidate_reason", "end_reason", "last_error_message", "detail"],
+}
+
+
+def run_records(tables: dict[str, DataFrame]) -> DataFrame:
+    """The tables of a run (by record type) in one shape: type, key, path of the entry, RECORD_FIELDS as text, and the whole record as JSON."""
+    out = None
+    for kind, df in tables.items():
+        has_entry = "rel_path" in df.columns
+        first = lambda names, df=df: F.coalesce(*[F.col(n).cast("string") for n in names if n in df.columns], F.lit(None).cast("string"))
+        shaped = df.select(
+            F.lit(kind).alias("record_type"), RECORD_KEYS[kind]().alias("record_key"), (_entry_path() if has_entry else F.lit(None).cast("string")).alias("entry_path"), *[first(names).alias(field) for field, names in RECORD_FIELDS.items()],
+            F.to_json(F.struct(*[c for c in df.columns if c not in KEY]), {"ignoreNullFields": "false"}).alias("record_json"),
+        )
+        out = shaped if out is None else out.unionByName(shaped)
+    return out
+
+
+def issue_rows(sections: DataFrame) -> DataFrame:
+    """The sections of an issue report (see ``issues.report``) with what they know besides as JSON."""
+    more = ["unsupported_files", "low_confidence_records"]
+    return sections.select("section_id", "execution", "issue_files", "issue_records", *more, "reason", F.to_json(F.struct(*more), {"ignoreNullFields": "false"}).alias("information_json"))

@@ -9,37 +9,110 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .schemas import CHECKS, KEYS, REFERENCES, TABLES
+from cairn.operators import issues
+
+from .files import file_digests
+from .schemas import CHECKS, COMPARISON, KEYS, REFERENCES, TABLES
 
 Bundle = dict[str, DataFrame]
+MANIFEST = "table string, files bigint, bytes bigint, digest string"
+
+
+def stored_tables(spark: SparkSession, path: str) -> DataFrame:
+    """table, files, bytes and digest that a folder's manifest declares."""
+    return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+
+
+def check_folder(spark: SparkSession, path: str) -> list[str]:
+    """The tables of a folder whose files aren't as its manifest declares."""
+    now = _described(spark, path, [r.table for r in stored_tables(spark, path).collect()])  # a row a table
+    return sorted(r.table for r in stored_tables(spark, path).exceptAll(now).select("table").distinct().collect())
+
+
+def _described(spark: SparkSession, path: str, tables: list[str]) -> DataFrame:
+    out = None
+    for t in tables:
+        row = directory_digest(spark, f"{path}/{t}").select(F.lit(t).alias("table"), "files", "bytes", "digest")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def _publish(tables: Bundle, info: tuple[str, DataFrame], path: str, parted: tuple[str, ...] = ()) -> None:
+    """Tables, then their manifest, then the one row that seals the folder."""
+    spark = info[1].sparkSession
+    for name, df in tables.items():
+        (df.write.partitionBy("root_label") if name in parted else df.write).mode("errorifexists").parquet(f"{path}/{name}")
+    _described(spark, path, list(tables)).write.mode("errorifexists").parquet(f"{path}/manifest")
+    info[1].write.mode("errorifexists").parquet(f"{path}/{info[0]}")
 
 
-def read_snapshot(spark: SparkSession, path: str, tables: list[str] | None = None) -> Bundle:
-    """The tables of a snapshot's folder, each with its schema; a folder without a seal is refused."""
-    info = spark.read.schema(TABLES["snapshot_info"]).parquet(f"{path}/snapshot_info")
-    if info.where("status = 'complete'").isEmpty():
+def _read(spark: SparkSession, path: str, schemas: dict[str, str], info: str, wanted: list[str] | None, verify: bool) -> Bundle:
+    sealed = spark.read.schema(schemas[info]).parquet(f"{path}/{info}")
+    if sealed.where("status = 'complete'").isEmpty():
         raise ValueError(f"{path} isn't sealed")
-    return {t: spark.read.schema(TABLES[t]).parquet(f"{path}/{t}") for t in tables or TABLES}
+    have = [r.table for r in stored_tables(spark, path).collect()]
+    if missing := sorted(set(wanted or []) - set(have) - {info}):
+        raise ValueError(f"{path} has no {missing}")
+    if verify and (bad := check_folder(spark, path)):
+        raise ValueError(f"{path}: {bad} aren't as the manifest declares")
+    return {info: sealed} | {t: spark.read.schema(schemas[t]).parquet(f"{path}/{t}") for t in wanted or have if t != info}
+
+
+def read_snapshot(spark: SparkSession, path: str, tables: list[str] | None = None, verify: bool = False) -> Bundle:
+    """The tables of a snapshot's folder, each with its schema; a folder without a seal is refused. ``verify`` reads all files and holds them against the manifest."""
+    return _read(spark, path, TABLES, "snapshot_info", tables, verify)
+
+
+def described(bundle: Bundle) -> Bundle:
+    """The bundle whose snapshot_info declares its flags and counts (JSON by section and key)."""
+    errors = bundle["errors"] if "errors" in bundle else bundle["entries"].select(F.lit(None).cast("string").alias("error_code"), F.lit(None).cast("string").alias("message")).where("false")
+    found = issues.flags(bundle["entries"], bundle["dirs"], bundle["roots"], errors)
+    diagnostics = bundle["metadata_diagnostics"] if "metadata_diagnostics" in bundle else errors.select(F.lit("").alias("severity"))
+    counted = issues.snapshot_counts(bundle["entries"].withColumnRenamed("size_bytes", "size"), bundle["dirs"], bundle["roots"], errors, diagnostics)
+    text = counted.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat_ws(".", "section", "key").alias("key"), "value"))))).alias("counts_json"))  # a few rows by kind and status
+    flags = ["has_file_issues", "has_unstable", "has_gaps"]
+    info = bundle["snapshot_info"].drop(*flags, "counts_json").join(found.select(*[F.col(f).cast("int").alias(f) for f in flags]), F.lit(True)).join(text, F.lit(True))
+    return bundle | {"snapshot_info": info.select(*bundle["snapshot_info"].columns)}
 
 
 def publish_snapshot(bundle: Bundle, path: str) -> None:
-    """Write a snapshot that the seal gate lets pass; never over another one. snapshot_info is written last and seals it."""
+    """Write a snapshot that the seal gate lets pass; never over another one. snapshot_info is written last and seals it, behind a manifest of all files."""
     gate = seal_gate(bundle).first()
-    if gate["pending_entries"] or gate["running_attempts"]:
+    if any(gate.asDict().values()):
         raise ValueError(f"not ready: {gate.asDict()}")
-    for name, df in bundle.items():
-        if name != "snapshot_info":
-            (df.write.partitionBy("root_label") if name in ("entries", "hashes") else df.write).mode("errorifexists").parquet(f"{path}/{name}")
-    bundle["snapshot_info"].write.mode("errorifexists").parquet(f"{path}/snapshot_info")
+    _publish({t: df for t, df in bundle.items() if t != "snapshot_info"}, ("snapshot_info", bundle["snapshot_info"]), path, ("entries", "hashes"))
+
+
+def publish_comparison(found: Bundle, info: DataFrame, path: str) -> None:
+    """Write a comparison (entries, groups, dirs, subtrees) and its diff_info, which seals it."""
+    _publish(found, ("diff_info", info), path)
+
+
+def read_comparison(spark: SparkSession, path: str, verify: bool = False) -> Bundle:
+    """The tables of a stored comparison; a folder without a seal is refused."""
+    return _read(spark, path, COMPARISON, "diff_info", None, verify)
+
+
+def seal_check(bundle: Bundle, damaged: list[str] = ()) -> DataFrame:
+    """One row: whether a snapshot is complete, whole (``damaged``: tables that aren't as declared), and its flags are what its rows say."""
+    again = described(bundle)["snapshot_info"]
+    flags = ["has_file_issues", "has_unstable", "has_gaps"]
+    found = bundle["snapshot_info"].select((F.col("status") == "complete").alias("complete"), *flags, "counts_json").join(again.select(*[F.col(f).alias(f"_{f}") for f in flags], F.col("counts_json").alias("_counts")), F.lit(True))
+    same = F.lit(True)
+    for f in flags:
+        same = same & F.col(f).eqNullSafe(F.col(f"_{f}"))
+    return found.select("complete", F.lit(not damaged).alias("whole"), same.alias("flags_hold"), F.col("counts_json").eqNullSafe(F.col("_counts")).alias("counts_hold"))
 
 
 def seal_gate(bundle: Bundle) -> DataFrame:
-    """One row: what still stands against a seal."""
+    """One row: what still stands against a seal: entries and format checks to do, attempts that run, stages that haven't ended."""
     busy = F.col("hash_status").isin("pending", "processing") | F.col("meta_status").isin("pending", "processing")
-    entries = bundle["entries"].agg(F.count_if(busy).alias("pending_entries"))
-    if "entry_attempts" not in bundle:
-        return entries.withColumn("running_attempts", F.lit(0).cast("long"))
-    return entries.join(bundle["entry_attempts"].agg(F.count_if(F.col("status") == "running").alias("running_attempts")), F.lit(True))
+    gate = bundle["entries"].agg(F.count_if(busy).alias("pending_entries"))
+    rules = {"running_attempts": ("entry_attempts", F.col("status") == "running"), "pending_checks": ("format_checks", F.col("status").isin("pending", "processing")), "open_stages": ("stage_checkpoints", ~F.col("state").isin("complete", "skipped", "failed"))}
+    for name, (table, cond) in rules.items():
+        one = bundle[table].agg(F.count_if(cond).alias(name)) if table in bundle else None
+        gate = gate.join(one, F.lit(True)) if one is not None else gate.withColumn(name, F.lit(0).cast("long"))
+    return gate
 
 
 def constraint_violations(bundle: Bundle) -> DataFrame:
@@ -92,11 +165,29 @@ def module_status(modules: DataFrame, capability: DataFrame) -> DataFrame:
     return both.groupBy("module").agg(F.element_at(F.array(*map(F.lit, order)), worst.cast("int")).alias("state"), F.when(F.count_if(F.col("n").isNull()) == 0, F.sum("n")).alias("rows"))
 
 
+def module_state_counts(status: DataFrame) -> DataFrame:
+    """Modules by state (of ``module_status``), every state in its place, 0 included."""
+    states = ["available", "empty", "unavailable", "incompatible", "invalid"]
+    counted = status.agg(*[F.count_if(F.col("state") == x).alias(x) for x in states])
+    return counted.select(F.explode(F.array(*[F.struct(F.lit(x).alias("state"), F.col(x).alias("n")) for x in states])).alias("x")).select("x.*")
+
+
 def directory_digest(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
-    """One row: files, bytes and a digest over the digests of all files below a folder, whatever their order."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    each = files.select("length", F.sha2("content", 256).alias("sha"))
-    return each.agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.sha2(F.array_join(F.sort_array(F.collect_list("sha")), "\n").cast("binary"), 256).alias("digest"))
+    """One row: files, bytes and a digest over the digests of all files below a folder, whatever their order.
+
+    Digests are put together in parts by their first digits, so no task gathers more than a small share of them.
+    """
+    each = file_digests(spark, path, pattern).withColumn("part", F.substring("sha256", 1, 3))
+    joined = lambda c: F.sha2(F.array_join(F.sort_array(F.collect_list(c)), "\n").cast("binary"), 256)
+    parts = each.groupBy("part").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"), joined("sha256").alias("sha"))
+    whole = parts.agg(F.sum("n").alias("files"), F.sum("b").alias("bytes"), joined(F.concat("part", "sha")).alias("digest"))
+    return whole.select(F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("bytes", F.lit(0)).alias("bytes"), "digest")
+
+
+def input_identity(spark: SparkSession, path: str) -> DataFrame:
+    """One row that names what a folder holds: its files, bytes, digest and the latest change."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return directory_digest(spark, path, "*").join(listed.agg(F.max("modificationTime").alias("modified")), F.lit(True))
 
 
 def input_unchanged(before: DataFrame, after: DataFrame) -> bool:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.operators.ranking import latest_by
 
+from .storage import stored
+
 STATUSES = ["valid", "invalid", "unsupported", "timeout", "error", "unstable"]
 
 
@@ -16,17 +22,35 @@ def parsed_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     return lines.withColumn("event", event).withColumn("good", event.isNotNull())
 
 
+def _last_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow import fs
+
+    for batch in batches:
+        rows = []
+        for path in batch.file:
+            store, name = fs.FileSystem.from_uri(path)
+            with store.open_input_file(name) as f:
+                size = at = f.size()
+                tail = b""
+                while at > 0 and b"\n" not in tail:
+                    step = min(at, 1 << 16)
+                    at -= step
+                    f.seek(at)
+                    tail = f.read(step) + tail
+            line = tail.rpartition(b"\n")[2]
+            rows.append((path, hashlib.sha256(line.rstrip(b"\r")).hexdigest() if size and line else None))
+        yield pd.DataFrame(rows, columns=["file", "unterminated"])
+
+
 def read_journal(spark: SparkSession, path: str) -> DataFrame:
     """value and event of every line of JSON-lines files. A bad line is an error, unless it is a file's last and unterminated.
 
-    A file's text must end with a line feed for its last line to count as
-    terminated; that is told by reading the end of each file, not its content twice.
+    Files with one bad line are looked at from their ends, as far back as their last line goes.
     """
     lines = parsed_lines(spark.read.text(path).where("trim(value) <> ''").select("value", F.col("_metadata.file_path").alias("file")))
-    bad = lines.where("not good").groupBy("file").agg(F.count("*").alias("n"), F.max("value").alias("value"))
-    ends = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.hex(F.substring("content", -1, 1)).alias("last"), F.decode(F.substring("content", -65536, 65536), "UTF-8").alias("tail"))
-    wrong = bad.join(ends, F.element_at(F.split(bad["file"], "/"), -1) == F.element_at(F.split(ends["file"], "/"), -1), "left").where((F.col("n") > 1) | (F.col("last") == "0A") | ~F.col("tail").endswith(F.col("value")))
-    if not wrong.isEmpty():
+    bad = stored(lines.where("not good").groupBy("file").agg(F.count("*").alias("n"), F.sha2(F.max("value").cast("binary"), 256).alias("sha")), "bad-lines")
+    ends = bad.where("n = 1").select("file").mapInPandas(_last_lines, "file string, unterminated string")
+    if not bad.join(ends, "file", "left").where("n > 1 or unterminated is null or unterminated <> sha").isEmpty():
         raise ValueError(f"{path}: a line is no event")
     return lines.where("good").select("value", "event")
 
@@ -50,8 +74,8 @@ def read_disk_profiles(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {"disks": disks, "partitions": partitions, "volumes": volumes}
 
 
-def flat_counts(text: Column, depth: int = 3) -> Column:
-    """Nested JSON counts as an array of struct(key, value), keys joined by dots, to a fixed depth."""
+def flat_counts(text: Column, depth: int = 8) -> Column:
+    """Nested JSON counts as an array of struct(key, value), keys joined by dots, down to ``depth`` levels; what is deeper stays JSON."""
     level = F.transform(F.map_entries(F.from_json(text, "map<string,string>")), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
     for _ in range(depth - 1):
         level = F.flatten(F.transform(level, _unfold))

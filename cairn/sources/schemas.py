@@ -15,6 +15,15 @@ TABLES = {
     "entry_attempts": "root_label string, rel_path string, attempt_id bigint, session_id string, stage string, attempt_number bigint, status string, tool_name string, started_at_utc string, ended_at_utc string, bytes_read bigint, end_reason string, error_code string, error_message string, result_json string",
 }
 
+#: Tables of a stored comparison.
+COMPARISON = {
+    "diff_info": "diff_uuid string, status string, schema_version int, old_schema_version int, new_schema_version int, old_snapshot_uuid string, new_snapshot_uuid string, old_hash_coverage string, new_hash_coverage string, forced int, tool_version string, created_at_utc string",
+    "entries": "path_key string, old_root string, new_root string, old_path string, new_path string, old_size bigint, new_size bigint, old_hash string, new_hash string, status string, evidence string, reason string, metadata_changed int, old_mtime string, new_mtime string, old_origin string, new_origin string, group_hash string",
+    "groups": "hash_hex string, old_count bigint, new_count bigint, old_hardlink_sets bigint, new_hardlink_sets bigint, classification string",
+    "dirs": "path_key string, old_root string, new_root string, old_path string, new_path string, old_enum string, new_enum string, status string, reason string",
+    "subtrees": "side string, root_label string, rel_path string, enum_status string, affected_estimate bigint",
+}
+
 #: Conditions that every row meets; a null counts as met, as in SQL's CHECK.
 CHECKS = {
     "roots": {"enum_status": "enum_status in ('pending', 'ok', 'failed')"},

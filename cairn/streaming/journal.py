@@ -14,10 +14,9 @@ def journal_stream(spark: SparkSession, path: str, good: str, bad: str, checkpoi
 
     def split(batch: DataFrame, number: int) -> None:
         # A batch that is done again after a failure overwrites its own folder: rows are there once.
-        rows = parsed_lines(batch).persist()
-        rows.where("good").select("value", "event").write.mode("overwrite").parquet(f"{good}/batch={number}")
-        rows.where("not good").select("value").write.mode("overwrite").parquet(f"{bad}/batch={number}")
-        rows.unpersist()
+        rows = parsed_lines(batch)
+        for keep, folder, columns in (("good", good, ["value", "event"]), ("not good", bad, ["value"])):
+            rows.where(keep).select(*columns).write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return spark.readStream.text(path).writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

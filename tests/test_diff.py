@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import random
 import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import text as fn
@@ -106,3 +108,45 @@ def test_conclusion_and_empty(spark):
     row = diff.conclusion(same["entries"], same["dirs"]).first()
     assert (row.content, row.structure) == ("same", "same")
     assert diff.compare(side(spark, []), side(spark, []))["entries"].count() == 0
+
+
+def by_hand(lost, fresh):
+    """Fresh rows in order take the first lost row that is left, unless both have hashes."""
+    left, out = sorted(lost), []
+    for path, hashed in sorted(fresh):
+        at = next((k for k, x in enumerate(left) if not (hashed and x[1])), None)
+        if at is not None:
+            out.append((left.pop(at)[0], path))
+    return out
+
+
+def test_file_ids_in_order(spark):
+    rng = random.Random(3)
+    lost, fresh, want = [], [], []
+    for key in range(40):
+        a = [(f"{key}/{rng.random()}", rng.random() < 0.5) for _ in range(rng.randint(1, 5))]
+        b = [(f"{key}/{rng.random()}", rng.random() < 0.5) for _ in range(rng.randint(1, 5))]
+        want += by_hand(a, b)
+        for rows, out in ((a, lost), (b, fresh)):
+            out += [("r", path, path, 1, "0", f"h{path}" if hashed else None, "v", str(key), "computed", None) for path, hashed in rows]
+    schema = "root_label string, rel_path string, path_key string, size long, mtime string, hash_hex string, volume string, file_id string, origin string, reason string"
+    make = lambda rows: spark.createDataFrame(rows, schema)
+    found = diff.match_file_ids(make(lost), make(fresh)).select("old.rel_path", F.col("new.rel_path").alias("to")).collect()
+    assert sorted(map(tuple, found)) == sorted(want)
+    assert diff.match_file_ids(make(lost[:1]), make([])).count() == 0
+
+
+def test_file_ids_of_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(diff, "FILE_ID_ROWS", 3)
+    row = lambda path, hashed: ("r", path, path, 1, "0", path if hashed else None, "v", "1", "computed", None)
+    schema = "root_label string, rel_path string, path_key string, size long, mtime string, hash_hex string, volume string, file_id string, origin string, reason string"
+    lost, fresh = spark.createDataFrame([row("a", False), row("b", True)], schema), spark.createDataFrame([row("c", True), row("d", False)], schema)
+    assert sorted(map(tuple, diff.match_file_ids(lost, fresh).select("old.rel_path", F.col("new.rel_path").alias("to")).collect())) == [("a", "c"), ("b", "d")]
+
+
+def test_stored_sides_are_held_to_one_rule(spark):
+    info = lambda status, rule: spark.createDataFrame([(status, rule)], "status string, path_key_rule int")
+    diff.admit_snapshots(info("complete", 1), info("complete", 1))
+    for a, b in ((info("complete", 1), info("complete", 2)), (info("running", 1), info("complete", 1))):
+        with pytest.raises(ValueError):
+            diff.admit_snapshots(a, b)

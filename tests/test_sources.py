@@ -73,6 +73,13 @@ def test_journal(spark, tmp_path):
     path.write_text('{"event":"a"}\n{"eve\n{"event":"b"}\n')
     with pytest.raises(ValueError):
         journals.read_journal(spark, str(path))
+    for part, text in (("a", '{"event":"a"}\n'), ("b", '{"event":"b"}\n{"eve' + "x" * 200_000), ("c", "")):  # like-named files, a long last line, an empty file
+        (tmp_path / f"d/day={part}").mkdir(parents=True)
+        (tmp_path / f"d/day={part}/j.jsonl").write_text(text)
+    assert sorted(r.event for r in journals.read_journal(spark, str(tmp_path / "d")).collect()) == ["a", "b"]
+    (tmp_path / "d/day=a/j.jsonl").write_text('{"event":"a"}\n{"eve\n')
+    with pytest.raises(ValueError):
+        journals.read_journal(spark, str(tmp_path / "d"))
     rows = spark.createDataFrame([(1, 1, "valid", 5, 5, None), (1, 2, "valid", 0, 5, None), (2, 1, "unsupported", None, None, None)], "entry long, sequence long, status string, width long, height long, path string")
     assert sorted((r.entry, r.sequence) for r in journals.decode_records(rows).collect()) == [(1, 1), (2, 1)]
     flat = spark.createDataFrame([('{"a":{"b":{"c":1}},"d":2}',)], "t string").select(F.explode(journals.flat_counts(F.col("t"))).alias("x"))
@@ -112,8 +119,16 @@ def test_bundle(spark, tmp_path):
     assert read["entries"].first().rel_path == "a"
     manifest = projections.file_manifest(read["entries"], read["hashes"]).first()
     assert (manifest.logical_path, manifest.hash_hex) == ("r\\a", "h")
+    assert set(bundle.read_snapshot(spark, path, verify=True)) == {"snapshot_info", "roots", "entries", "hashes"}
     with pytest.raises(ValueError):
         bundle.publish_snapshot(snapshot(spark, hash_status="pending"), str(tmp_path / "other"))
+    bundle.publish_snapshot(snapshot(spark), str(tmp_path / "damaged"))
+    next((tmp_path / "damaged/roots").glob("part-*")).unlink()
+    assert bundle.check_folder(spark, str(tmp_path / "damaged")) == ["roots"]
+    with pytest.raises(ValueError):
+        bundle.read_snapshot(spark, str(tmp_path / "damaged"), verify=True)
+    with pytest.raises(ValueError):
+        bundle.read_snapshot(spark, path, ["dirs"])
     broken = snapshot(spark, size_bytes=-1, root_label="q")
     assert {(r.table, r.rule) for r in bundle.constraint_violations(broken).where("n > 0").collect()} == {("entries", "size"), ("entries", "in roots"), ("hashes", "in entries")}
     before = bundle.directory_digest(spark, path)
