@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 import textwrap
+import zlib
 from collections import Counter
 
 import duckdb
@@ -284,6 +286,56 @@ def test_quality(spark):
     assert quality.score(docs.where("false"), model).count() == 0
 
 
+def votes_by_hand(texts, labels):
+    """Scores by another way: latent vectors from a singular value decomposition, every cosine on its own, the nearest sorted."""
+    made = quality.Terms()
+
+    def dense(text):
+        at, v = made.of(text or "")
+        out = np.zeros(quality.TERMS)
+        out[at] = v
+        return out
+
+    known = [i for i in sorted(labels) if zlib.crc32(str(i).encode()) % 5 and i in texts]
+    sample = np.array([dense(texts[i]) for i in known], np.float32).astype(float)
+    idf = np.log((1 + len(known)) / (1 + (sample > 0).sum(axis=0))) + 0.3
+    sample = sample * idf
+    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+    basis = np.linalg.svd(sample, full_matrices=False)[2][: quality.DIMENSIONS].T
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-12)
+    latent = [unit(x @ basis) for x in sample]
+    quota = {v: sum(labels[i] == v for i in labels if zlib.crc32(str(i).encode()) % 5) / max(1, sum(labels[i] == v for i in known)) for v in (0, 1)}
+    out = {}
+    for i, text in texts.items():
+        own = unit((dense(text) * idf) @ basis)
+        near = sorted(((float(own @ x), k) for x, k in zip(latent, known, strict=True)), reverse=True)[: quality.NEIGHBOURS]
+        votes = [(max(c, 0.0) ** quality.POWER * quota[labels[k]], labels[k]) for c, k in near]
+        total = sum(w for w, _ in votes)
+        out[i] = sum(w * y for w, y in votes) / total if total > 1e-12 else sum(labels.values()) / len(labels)
+    return out
+
+
+def test_votes_against_brute_force(spark):
+    rng = random.Random(31)
+    texts = {i: (prose(rng, rng.randint(5, 60)) + "." if i % 3 else " ".join(f"{w}$$$ !!" for w in prose(rng, rng.randint(3, 30)).split()).upper()) for i in range(240)}
+    labels = {i: int(i % 3 > 0) for i in range(0, 240, 2)}
+    docs, known = spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(list(labels.items()), "doc_id long, quality int")
+    found = {r.doc_id: r.score for r in quality.score(docs, quality.fit(docs, known)).collect()}
+    want = votes_by_hand(texts, labels)
+    assert np.mean([abs(found[i] - want[i]) < 1e-3 for i in texts]) > 0.97  # neighbours at equal distance may differ
+    assert all((found[i] >= quality.GOOD) == (want[i] >= quality.GOOD) for i in texts)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_quality_of_held_out_documents(spark):
+    """Accuracy and area under the curve on the labelled documents that nothing was learned from."""
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    rows = [(r.score, r.predicted, labels[r.doc_id]) for r in quality.op7_quality(spark, "/root/testdata/sf0.01").collect() if r.held_out and r.doc_id in labels]
+    good, bad = [s for s, _, y in rows if y], [s for s, _, y in rows if not y]
+    auc = np.mean([(a > b) + 0.5 * (a == b) for a in good for b in bad])
+    assert len(rows) > 50 and auc >= 0.95 and np.mean([p == y for _, p, y in rows]) >= 0.95
+
+
 # --- line dedup
 
 
