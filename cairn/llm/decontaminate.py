@@ -230,14 +230,20 @@ def oracle() -> str:
   (SELECT {key}, unnest(range(len(words))) AS place, unnest(words) AS x, unnest(written) AS v FROM {name}_w) WHERE {slot})"""
     return f"""
 WITH {views("benchmark", "item_id", "b").strip()}, {views("documents", "doc_id", "d")},
-b_z AS (SELECT item_id, words, least(len(words), {WINDOW}) AS size FROM b_w),
-b_h AS (SELECT item_id, size, place, list_slice(words, place + 1, place + size) AS win FROM (SELECT *, unnest(range(len(words) - size + 1)) AS place FROM b_z)),
+b_z AS (SELECT item_id, words, len(words) AS n, CASE WHEN len(words) >= {LONG} THEN {WINDOW} {" ".join(f"WHEN len(words) >= {least} THEN {k}" for least, k in SHORTER)} ELSE len(words) END AS size FROM b_w),
+b_h AS (SELECT item_id, size, place, list_slice(words, place + 1, place + size) AS win FROM (SELECT *, unnest(range(n - size + 1)) AS place FROM b_z)),
 sizes AS (SELECT DISTINCT size FROM b_z),
 d_h AS (SELECT doc_id, size, spot, list_slice(words, spot + 1, spot + size) AS win FROM (SELECT *, unnest(range(len(words) - size + 1)) AS spot FROM d_w, sizes)),
-telling AS (SELECT DISTINCT item_id, size, place, win FROM b_h WHERE len(list_distinct(list_filter(win, lambda x: x <> '' AND NOT {slot}))) >= CASE WHEN size < {WINDOW} THEN 3 ELSE {LEAST_WORDS} END),
-wanted AS (SELECT *, count(DISTINCT win) OVER (PARTITION BY item_id) AS n_windows FROM telling),
-hits AS (SELECT doc_id, item_id, w.size, spot, w.place, win, n_windows FROM d_h JOIN wanted w USING (win)),
-found AS (SELECT doc_id, item_id FROM hits GROUP BY doc_id, item_id HAVING count(DISTINCT win) >= {SHARE} * max(n_windows)),
+wanted AS (SELECT DISTINCT item_id, size, place, win FROM b_h WHERE len(list_distinct(list_filter(win, lambda x: x <> '' AND NOT {slot}))) >= CASE WHEN size < {WINDOW} THEN 3 ELSE {LEAST_WORDS} END),
+whole AS (SELECT item_id, count(DISTINCT p) AS n_places, count(DISTINCT win) AS n_windows FROM (SELECT item_id, win, unnest(range(place, place + size)) AS p FROM wanted) GROUP BY item_id),
+hits AS (SELECT doc_id, item_id, w.size, spot, w.place, win FROM d_h JOIN wanted w USING (win)),
+spread AS (SELECT doc_id, item_id, spot - place AS shift, win, unnest(range(place, place + size)) AS p FROM hits WHERE size = {WINDOW}),
+runs AS (SELECT doc_id, item_id, max(n) AS run FROM (SELECT doc_id, item_id, shift, count(DISTINCT p) AS n FROM spread GROUP BY ALL) GROUP BY ALL),
+long AS (SELECT doc_id, item_id FROM (SELECT doc_id, item_id, count(DISTINCT p) AS held, count(DISTINCT win) AS n_held FROM spread GROUP BY ALL) JOIN whole USING (item_id) JOIN runs USING (doc_id, item_id) WHERE held >= {SHARE} * n_places OR n_held >= {SHARE} * n_windows OR run >= {RUN}),
+beside AS (SELECT doc_id, item_id, z.n, list_transform(range(z.n), lambda i: [z.words[i + 1], CASE WHEN shift + i >= 0 THEN d.words[shift + i + 1] END, CASE WHEN shift + i + 1 >= 0 THEN d.words[shift + i + 2] END, CASE WHEN shift + i > 0 THEN d.words[shift + i] END]) AS c
+  FROM (SELECT DISTINCT doc_id, item_id, spot - place AS shift FROM hits WHERE size < {WINDOW}) JOIN b_z z USING (item_id) JOIN d_w d USING (doc_id)),
+short AS (SELECT DISTINCT doc_id, item_id FROM beside WHERE greatest(len(list_filter(c, lambda x: coalesce(x[1] = x[2], false) OR coalesce(x[1] = x[3], false))), len(list_filter(c, lambda x: coalesce(x[1] = x[2], false) OR coalesce(x[1] = x[4], false)))) >= CASE WHEN n >= 9 THEN n // 2 + 4 WHEN n >= 7 THEN n - 1 ELSE n END),
+found AS (SELECT * FROM long UNION SELECT * FROM short),
 covered AS (SELECT DISTINCT doc_id, item_id, s.kind, s.value AS item_value, spot + s.place - h.place AS place, spot - h.place AS shift
   FROM hits h JOIN found USING (doc_id, item_id) JOIN b_s s USING (item_id) WHERE s.place >= h.place AND s.place < h.place + h.size),
 agreed AS (SELECT c.doc_id, item_id, shift, c.kind, item_value, count(DISTINCT d.value) AS n FROM covered c JOIN d_s d USING (doc_id, place) GROUP BY ALL),
