@@ -27,6 +27,8 @@ from .common import documents, forget, in_arrow, salted_join, slices, stored, un
 
 #: Common blocks of fewer words stay: short lines repeat in documents that have nothing else in common.
 BLOCK_WORDS = 25
+#: Lists of lines to delete are broadcast up to so many bytes, at so many for a list besides its places; beyond that, texts are shuffled to them.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 64
 #: doc_id of rows that have none: they come after all others.
 LAST = (1 << 63) - 1
 
@@ -173,7 +175,9 @@ def dedup_blocks(docs: DataFrame, text_col: str = "text", block_words: int = BLO
     found = in_arrow(pairs.select("doc", "version", "theirs", "lines", "words", "starts", "stops"), align, f"{doc} long, {version} long, {places} array<int>")
     cuts = stored(found.groupBy(doc, version).agg(F.array_distinct(F.flatten(F.collect_list(places))).alias(places)), "cuts")
     forget(sequences, seeds)
-    joined = keyed.join(cuts, [doc, version], "left").drop(doc, version)
+    # Texts needn't be shuffled to lists of places that are small together.
+    size = cuts.agg(F.sum(ROW_BYTES + 4 * F.size(places))).first()[0] or 0
+    joined = keyed.join(F.broadcast(cuts) if size <= BROADCAST_BYTES else cuts, [doc, version], "left").drop(doc, version)
     kept = base.columns
     schema = T.StructType([*base.schema.fields, T.StructField(lines_col, T.LongType()), T.StructField(removed_col, T.LongType())])
 
