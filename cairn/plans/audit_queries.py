@@ -268,3 +268,6 @@ ORACLE_SQL = {
     "constraint_violations": "SELECT * FROM (VALUES ('roots', 'enum_status', 0), ('roots', 'unique', 0), ('dirs', 'enum_status', 0), ('dirs', 'unique', 0), ('dirs', 'in roots', 0), ('entries', 'size', 0), ('entries', 'placeholder', 0), ('entries', 'path_key', 0), ('entries', 'unique', 0), ('entries', 'in roots', 0)) v(\"table\", rule, n) WHERE EXISTS (SELECT 1 FROM documents)",
 }
 
+_sums = ", ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 12 * k}, 12) AS BIGINT)) AS VARCHAR)" for k in range(5))
+ORACLE_SQL["business_digest"] = f"""WITH b AS ({ORACLE_SQL["business_projection"]}), h AS (SELECT section, sha256(key || chr(31) || "values") AS h FROM b), p AS (SELECT section, substr(h, 1, 3) AS part, count(*) AS n, concat_ws(',', {_sums}) AS sums FROM h GROUP BY ALL)
+        SELECT section, CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(part || ':' || n || ':' || sums, chr(10) ORDER BY part || ':' || n || ':' || sums)) AS digest FROM p GROUP BY section"""

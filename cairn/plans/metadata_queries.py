@@ -53,9 +53,10 @@ def media_streams(s: SparkSession, d: str) -> DataFrame:
 
 
 def listings(s: SparkSession, d: str) -> DataFrame:
-    """Pages as members of archives: a listing for every tenth id's pages."""
+    """Pages as members of archives: the archive goes by the id's last digits, and is listed in runs of a thousand pages at most."""
     one = F.concat(F.lit("Path = "), F.col("url"), F.lit("\nSize = "), F.octet_length("html").cast("string"), F.lit("\nPacked Size = "), (F.col("page_id") % 1000).cast("string"), F.lit("\nEncrypted = "), F.when(F.col("page_id") % 9 == 0, "+").otherwise("-"), F.lit("\n\n"))
-    return table(s, d, "pages").groupBy((F.col("page_id") % 1000).cast("string").alias("path")).agg(F.concat(F.lit("head\n----------\n"), F.array_join(F.array_sort(F.collect_list(one)), "")).alias("text"))
+    run = F.expr("page_id div 1000000")
+    return table(s, d, "pages").groupBy((F.col("page_id") % 1000).cast("string").alias("path"), run.alias("run")).agg(F.concat(F.lit("head\n----------\n"), F.array_join(F.array_sort(F.collect_list(one)), "")).alias("text")).drop("run")
 
 
 QUERIES = {
@@ -65,7 +66,7 @@ QUERIES = {
     "media_streams": media_streams,
     "gps_points": lambda s, d: metadata.gps_points(film_payloads(s, d)),
     "archive_listing": lambda s, d: files.archive_totals(files.listing_members(listings(s, d))),
-    "payload_digests": lambda s, d: metadata.build_payload(film_payloads(s, d).withColumn("provider", F.lit("streams"))).select("entry", "provider", "uncompressed_bytes"),
+    "payload_digests": lambda s, d: metadata.build_payload(film_payloads(s, d).withColumn("provider", F.lit("streams"))).select("entry", "provider", "payload_sha256", "uncompressed_bytes"),
 }
 
 ORACLE_SQL = {
@@ -80,4 +81,6 @@ ORACLE_SQL = {
         UNION ALL SELECT 'audio', page_id, 1, 'aac', NULL, page_id % 3 * 24000, (page_id % 100) + 0.5::DOUBLE FROM pages WHERE page_id % 2 = 0""",
     "gps_points": "SELECT page_id AS entry, 0 AS point_index, (page_id % 80) + 0.5::DOUBLE AS gps_latitude, (page_id % 170) + 0.25::DOUBLE AS gps_longitude, CAST(NULL AS DOUBLE) AS gps_altitude, '+' || page_id % 80 || '.5+' || page_id % 170 || '.25/' AS raw_value FROM pages",
     "archive_listing": "SELECT CAST(page_id % 1000 AS VARCHAR) AS path, count(*) AS member_count, CAST(sum(strlen(html)) AS BIGINT) AS uncompressed_bytes, CAST(sum(page_id % 1000) AS BIGINT) AS compressed_bytes, CAST(max(CASE WHEN page_id % 9 = 0 THEN 1 ELSE 0 END) AS INTEGER) AS has_encrypted FROM pages GROUP BY ALL",
+    "payload_digests": """WITH p AS (SELECT page_id AS i, '{"streams":[{"codec_name":"h264","codec_type":"video","index":0,"tags":{"location":"+' || page_id % 80 || '.5+' || page_id % 170 || '.25/"},"width":' || strlen(html) || '}' || CASE WHEN page_id % 2 = 0 THEN ',{"codec_name":"aac","codec_type":"audio","duration":"' || page_id % 100 || '.5","index":1,"sample_rate":"' || page_id % 3 * 24000 || '"}' ELSE '' END || ']}' AS text FROM pages)
+        SELECT i AS entry, 'streams' AS provider, sha256(text) AS payload_sha256, strlen(text) AS uncompressed_bytes FROM p""",
 }
