@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from .pretokens import Splitter
 #: Bytes of text that one call of the library gets; bounds its memory, whatever the lengths of the texts.
 BATCH_BYTES = 1 << 20
 #: Pieces whose length a worker remembers before it starts anew.
-MEMORY_PIECES = 1_000_000
+MEMORY_PIECES = 500_000
 
 def balanced(texts: Iterable[str], limit: int = BATCH_BYTES) -> Iterator[list[str]]:
     """Batches of about ``limit`` bytes; a longer text is a batch of its own."""
@@ -37,7 +38,7 @@ class Counter:
     """Token counts of texts by the library's batch encoding; one for each file in a worker."""
 
     def __init__(self, path: str):
-        self.free, self.special = False, []
+        self.free, self.cut = False, None
         if path.endswith(".json"):
             os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
             from tokenizers import Tokenizer
@@ -60,7 +61,8 @@ class Counter:
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         pre = made.get("pre_tokenizer") or {}
-        self.special = [t["content"] for t in made["added_tokens"]]
+        special = sorted((t["content"] for t in made["added_tokens"]), key=len, reverse=True)
+        self.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in made["added_tokens"])
         self.free = bool(plain and not made.get("normalizer") and not made.get("post_processor") and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"))
 
@@ -81,14 +83,21 @@ class Counter:
     def count(self, texts: list[str]) -> list[int]:
         if not self.free:
             return self.whole(texts)
-        split = [None if any(s in x for s in self.special) else self.words(x) for x in texts]
-        fresh = {p for ps in split if ps for p in ps if p not in self.known}
+        split = [self.pieces(x) for x in texts]
+        fresh = {p for _, ps in split for p in ps if p not in self.known}
         if len(self.known) + len(fresh) > MEMORY_PIECES:
             self.known.clear()
-            fresh = {p for ps in split if ps for p in ps}
+            fresh = {p for _, ps in split for p in ps}
         self.learn(fresh)
         get = self.known.__getitem__
-        return [self.whole([x])[0] if ps is None else sum(map(get, ps)) for x, ps in zip(texts, split, strict=True)]
+        return [n + sum(map(get, ps)) for n, ps in split]
+
+    def pieces(self, text: str) -> tuple[int, list[str]]:
+        """How many special strings a text holds, a token each, and the pre-tokens of what stands between them."""
+        if not self.cut or not self.cut.search(text):
+            return 0, self.words(text)
+        parts = self.cut.split(text)
+        return len(parts) // 2, [w for x in parts[::2] if x for w in self.words(x)]
 
 
 _COUNTERS: dict[str, Counter] = {}
@@ -109,8 +118,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -
     rows are counted again, an empty table gives an empty table, and the other
     columns pass unchanged (columns named n_bytes or n_tokens are replaced).
 
-    Where the file allows it, a worker cuts texts at the boundaries that no token
-    crosses, however long they are, sends the pieces it hasn't met to the library
+    Where the file allows it, a worker cuts texts at special strings and at the
+    boundaries that no token crosses, however long they are, sends the pieces it hasn't met to the library
     in batches balanced by bytes, and keeps lengths, never encodings.
     """
     keep = [c for c in docs.columns if c not in (text_col, "n_bytes", "n_tokens")]
