@@ -26,8 +26,8 @@ K1, B, TOP = 1.2, 0.75, 10
 SHARD_DOCS, SHARD_POSTINGS, BLOCK = 8192, 1 << 21, 64
 #: Shards of at most so many postings together are held at once, so that a query's bar is carried from one to the next.
 GROUP_POSTINGS = 1 << 22
-#: Blocks that are scored in one go once none between them can be skipped.
-WINDOW = 64
+#: Blocks that are scored in one go before the bar is looked at again: at first, and at most.
+FIRST, WINDOW = 8, 128
 #: Bits of the filter of query terms (4 MB, whatever the input): terms that no query has needn't be indexed.
 FILTER_BITS = 1 << 25
 MEMORY_WORDS = 300_000
@@ -203,8 +203,8 @@ class Index:
         self.largest = np.maximum.reduceat(self.impacts, starts) if len(starts) else np.zeros(0)
         self.first = np.searchsorted(self.keys, np.arange(len(self.terms) + 1) * self.n_blocks)
         self.most = np.maximum.reduceat(self.largest, self.first[:-1]) if len(starts) else np.zeros(0)
+        self.block, self.count = self.keys % self.n_blocks, np.diff(self.starts).astype(np.int32)
         self.blocks_met = self.blocks_scored = 0
-        self.sums = np.zeros(self.n_blocks * BLOCK)
 
     def top(self, terms: np.ndarray, idf: np.ndarray, best: Best) -> None:
         """Block-max WAND: put into ``best`` whatever of this shard belongs there.
@@ -212,9 +212,9 @@ class Index:
         Every term has a cursor. Cursors are ordered by the document they stand at;
         the pivot is the first at which the largest impacts of the lists so far add
         up to the bar, and nothing before it is looked at. From the pivot's block on,
-        blocks are skipped whose own largest impacts don't add up to the bar. Blocks
-        that stand side by side and can't be skipped are scored together, in runs
-        that get longer, and the bar rises after each.
+        blocks are skipped whose own largest impacts don't add up to the bar. The next
+        blocks that can't be skipped are scored together, more of them each time, and
+        the bar rises before cursors move on.
         """
         at = np.searchsorted(self.terms, terms)
         found = np.flatnonzero(at < len(self.terms))
@@ -230,20 +230,28 @@ class Index:
         low, n = self.first[mine], self.first[mine + 1] - self.first[mine]
         ends = np.cumsum(n)
         entries = np.arange(ends[-1]) + np.repeat(low - ends + n, n)
-        owners, blocks = np.repeat(np.arange(len(mine)), n), self.keys[entries] % self.n_blocks
-        bound = np.bincount(blocks, np.repeat(weight, n) * self.largest[entries], self.n_blocks) * HAIR
-        # Where each term's cursor stands when it is moved to a block: a row a term, a column a block and one past the last.
-        moves = np.zeros((len(mine), self.n_blocks + 1), np.intp)
-        moves[owners, blocks + 1] = self.starts[entries + 1] - self.starts[entries]
-        moves = moves.cumsum(axis=1) + self.starts[low][:, None]
+        blocks, weights = self.block[entries], np.repeat(weight, n)
+        bound = np.bincount(blocks, weights * self.largest[entries], self.n_blocks) * HAIR
+        live = bound > 0
+
+        def scores_of(chosen: np.ndarray) -> np.ndarray:
+            """Scores of the documents of some blocks. Terms are added in one order everywhere, so that equal texts score alike."""
+            picked = np.zeros(self.n_blocks, bool)
+            picked[chosen] = True
+            self.blocks_scored += len(chosen)
+            of = picked[blocks]
+            e, w = entries[of], weights[of]
+            count = self.count[e]
+            stop = np.cumsum(count)
+            postings = np.arange(stop[-1]) + np.repeat(self.starts[e] - stop + count, count)
+            return np.bincount(self.docs[postings], np.repeat(w, count) * self.impacts[postings], self.n_blocks * BLOCK)
+
         if bar == 0:  # the block that promises most sets a first bar
-            b = int(np.argmax(bound))
-            self.blocks_scored += 1
-            scores = self._scores(moves, weight, b, b + 1)
+            scores = scores_of(np.array([np.argmax(bound)]))
             scores = scores[scores > 0]
             bar = np.partition(scores, len(scores) - best.k)[len(scores) - best.k] if len(scores) >= best.k else 0.0
-        cursor, end = moves[:, 0], moves[:, -1]
-        run = 1
+        cursor, end = self.starts[low], self.starts[low + n]
+        run = FIRST
         while True:
             stand = np.where(cursor < end, self.docs[np.minimum(cursor, len(self.docs) - 1)], len(self.ids))
             order = np.argsort(stand, kind="stable")
@@ -251,39 +259,16 @@ class Index:
             if pivot == len(order) or stand[order[pivot]] == len(self.ids):
                 return
             block = int(stand[order[pivot]]) // BLOCK
-            ahead = (bound[block:] >= bar) & (bound[block:] > 0)
-            skip = int(np.argmax(ahead))
-            if not ahead[skip]:
+            chosen = np.flatnonzero(live[block:] & (bound[block:] >= bar))[:run] + block
+            if not len(chosen):
                 return
-            ahead = ahead[skip : skip + run]
-            block, many = block + skip, int(np.argmin(ahead)) if not ahead.all() else len(ahead)
-            scores = self._scores(moves, weight, block, block + many)
-            self.blocks_scored += many
+            scores = scores_of(chosen)
             hit = np.flatnonzero((scores >= bar) & (scores > 0))
             if len(hit):
-                place = hit + block * BLOCK
-                best.add(scores[hit], self.ids[place], self.missing[place])
+                best.add(scores[hit], self.ids[hit], self.missing[hit])
                 bar = max(bar, best.bar())
-            cursor = moves[:, block + many]
-            run = min(2 * run, WINDOW)
-
-    def _scores(self, moves: np.ndarray, weight: np.ndarray, block: int, stop: int) -> np.ndarray:
-        """Scores of the documents of some blocks. Terms are added in one order everywhere, so that equal texts score alike."""
-        low, high = moves[:, block], moves[:, stop]
-        n = high - low
-        base, size = block * BLOCK, (stop - block) * BLOCK
-        total = int(n.sum())
-        if total > 40 * len(n):
-            sums, docs, impacts = self.sums, self.docs, self.impacts
-            for a, b, w in zip(low.tolist(), high.tolist(), weight.tolist(), strict=True):
-                if a < b:
-                    sums[docs[a:b]] += w * impacts[a:b]
-            scores = sums[base : base + size].copy()
-            sums[base : base + size] = 0
-            return scores
-        ends = np.cumsum(n)
-        postings = np.arange(total) + np.repeat(low - ends + n, n)
-        return np.bincount(self.docs[postings] - base, np.repeat(weight, n) * self.impacts[postings], size)
+            cursor = self.starts[np.searchsorted(self.keys, mine * self.n_blocks + chosen[-1] + 1)]
+            run = min(4 * run, WINDOW)
 
 
 def groups(batches: Iterator[pa.RecordBatch], mean: float) -> Iterator[list[Index]]:
