@@ -26,9 +26,9 @@ from .common import documents, in_arrow, slices
 from .pretokens import Splitter
 
 #: Words whose path a worker remembers before it starts anew.
-MEMORY_WORDS = 300_000
+MEMORY_WORDS = 150_000
 #: Transitions that the table remembers before it starts anew.
-MEMORY_ARCS = 1_000_000
+MEMORY_ARCS = 200_000
 
 
 def byte_letters() -> dict[str, int]:
