@@ -11,8 +11,11 @@ from .bpe import op8_bpe_codec
 from .html_text import op9_html_text
 from .line_dedup import op10_line_dedup
 from .ngram_join import op6_ngram_join
+from .periodic import op12_periodic_runs
 from .quality import op7_quality
+from .resample import op13_resample
 from .search import op2_top_k
+from .secrets import op11_secrets
 from .token_counts import op1_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -26,6 +29,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_codec": op8_bpe_codec,
     "op9_html_text": op9_html_text,
     "op10_line_dedup": op10_line_dedup,
+    "op11_secrets": op11_secrets,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_resample": op13_resample,
 }
 
 ORACLE_SQL: dict[str, str] = {
