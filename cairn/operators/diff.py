@@ -11,7 +11,6 @@ both sides from stored snapshots.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +19,8 @@ from cairn.functions.text import ancestors
 from cairn.sources.files import inflate
 from cairn.sources.storage import stored
 
-from .ranking import ranked
+from . import ranking
+from .ranking import ranked, running
 
 Side = dict[str, DataFrame]
 TAG_PROVIDER = "exiftool"  # fixed value: the provider whose payloads hold volatile tags
@@ -28,8 +28,6 @@ SIDE_COLUMNS = ["rel_path", "size", "mtime", "attrs", "hash_hex", "event", "unst
 RESULT = ["path_key", "old_root", "new_root", "old_path", "new_path", "old_size", "new_size", "old_hash", "new_hash", "status", "evidence", "reason", "metadata_changed"]
 #: What exports of a result have besides.
 MORE = ["old_mtime", "new_mtime", "old_origin", "new_origin", "group_hash"]
-#: Lost and fresh rows of one file id that one task matches in order; a key of more rows is matched rank by rank.
-FILE_ID_ROWS = 1000
 
 
 def admit(old: Side, new: Side) -> None:
@@ -101,11 +99,19 @@ def pair_roots(old: Side, new: Side, mapping: DataFrame | None = None) -> DataFr
     return pairs.unionByName(single).distinct()
 
 
-def under_failed(paths: DataFrame, dirs: DataFrame, root: str, flag: str) -> DataFrame:
-    """root, path_key and flag for paths at or below a directory that couldn't be listed: an equi-join on exploded ancestors."""
+def flag_under_failed(df: DataFrame, dirs: DataFrame, root: str, flag: str) -> DataFrame:
+    """Add ``flag``: true for rows (``root``, path_key) at or below a directory that couldn't be listed, else null.
+
+    Most comparisons have no such directory, and no path is taken apart. Otherwise the paths
+    of the roots that have some are, and meet the directories in an equi-join on their ancestors.
+    """
     failed = dirs.where("enum_status <> 'ok'").select(F.col("root_label").alias(root), F.col("path_key").alias("above"))
-    up = paths.select(root, "path_key").distinct().withColumn("above", F.explode(ancestors(F.col("path_key"))))
-    return up.join(failed, [root, "above"], "left_semi").select(root, "path_key").distinct().withColumn(flag, F.lit(True))
+    if failed.isEmpty():
+        return df.withColumn(flag, F.lit(None).cast("boolean"))
+    roots = F.broadcast(failed.select(root).distinct())  # roots: a few rows a side
+    up = df.select(root, "path_key").join(roots, root, "left_semi").distinct().withColumn("above", F.explode(ancestors(F.col("path_key"))))
+    found = up.join(failed, [root, "above"], "left_semi").select(root, "path_key").distinct().withColumn(flag, F.lit(True))
+    return df.join(found, [root, "path_key"], "left")
 
 
 def metadata_changed(old: Column, new: Column) -> Column:
@@ -167,8 +173,7 @@ def compare(old: Side, new: Side, mapping: DataFrame | None = None) -> dict[str,
     joined = packed(lefts, "old").join(packed(rights, "new"), ["pair", "path_key"], "full_outer")
     gone_dirs = old["dirs"].join(label.withColumnRenamed("old_root", "root_label"), "root_label").drop("root_label").withColumnRenamed("new_root", "root_label")
     for dirs, flag in ((gone_dirs, "under_old"), (new["dirs"], "under_new")):
-        found = under_failed(joined.withColumnRenamed("pair", "root_label"), dirs, "root_label", flag).withColumnRenamed("root_label", "pair")
-        joined = joined.join(found, ["pair", "path_key"], "left")
+        joined = flag_under_failed(joined, dirs, "pair", flag)
     collides = (F.coalesce("old_n", F.lit(0)) > 1) | (F.coalesce("new_n", F.lit(0)) > 1)
     # Several results branch off from here and from the rank pairs below: they are written once.
     joined = stored(joined.withColumn("collides", collides), "joined")
@@ -211,10 +216,17 @@ def compare(old: Side, new: Side, mapping: DataFrame | None = None) -> dict[str,
     paired = stored(renamed(gone, "old").join(renamed(came, "new"), ["hash_hex", "rank"], "full_outer"), "paired")
     moved = result(paired.where("old is not null and new is not null"), path_key=n["path_key"], status=F.lit("moved_or_renamed"), evidence=evidence_of(o["event"], n["event"]), reason=F.lit("group_paired"), group_hash=F.col("hash_hex"), **both)
 
-    surplus = paired.where("old is null").select("new.*").join(groups.select("hash_hex", "old_count"), "hash_hex")
-    links = new["entries"].where("hash_hex is not null and coalesce(volume, '') <> '' and coalesce(file_id, '') <> ''").groupBy("hash_hex", "volume", "file_id").count().where("count > 1").select("hash_hex", "volume", "file_id", F.lit(True).alias("is_link"))
-    events = old["entries"].where("hash_hex is not null").select("hash_hex", "event", F.lit(True).alias("known_event")).distinct()
-    surplus = surplus.join(links, ["hash_hex", "volume", "file_id"], "left").join(events, ["hash_hex", "event"], "left")
+    # The rows of a content are told apart by runs of their ranks, and what is known of it is there once a run: the empty file may be a third of an archive.
+    run = F.floor(F.col("rank") / ranking.GROUP_ROWS)
+    runs = groups.select("hash_hex", "old_count", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.greatest("old_count", "new_count") / ranking.GROUP_ROWS))).alias("_run"))
+    surplus = paired.where("old is null").select("new.*", "rank", run.alias("_run")).join(runs, ["hash_hex", "_run"]).drop("_run")
+    # Rows that can't have a partner get a key of their own, so that they don't meet in one task.
+    alone = F.concat(F.lit("\x00"), F.col("path_key"))
+    linked = F.col("volume").isNotNull() & F.col("file_id").isNotNull()
+    links = new["entries"].where("hash_hex is not null and coalesce(volume, '') <> '' and coalesce(file_id, '') <> ''").groupBy("hash_hex", "volume", "file_id").count().where("count > 1").select("hash_hex", F.col("volume").alias("_volume"), F.col("file_id").alias("_file"), F.lit(True).alias("is_link"))
+    events = old["entries"].where("hash_hex is not null and event is not null").select("hash_hex", F.col("event").alias("_event"), F.lit(True).alias("known_event")).distinct()
+    surplus = surplus.withColumns({"_volume": F.when(linked, F.col("volume")), "_file": F.when(linked, F.col("file_id")).otherwise(alone), "_event": F.coalesce("event", alone)})
+    surplus = surplus.withColumn("_volume", F.coalesce("_volume", alone)).join(links, ["hash_hex", "_volume", "_file"], "left").join(events, ["hash_hex", "_event"], "left").drop("_volume", "_file", "_event", "rank")
     added = F.when(F.col("is_link"), "added").when(F.col("old_count") >= 1, "copied").otherwise("added")
     added_reason = F.when(F.col("is_link"), "hardlink_same_file_id").when(F.col("old_count") >= 1, F.lit(None)).otherwise(F.when(F.col("unstable"), "unstable_content").otherwise(F.col("base_reason")))
     surplus = stored(surplus.withColumn("status", added).withColumn("reason", added_reason), "surplus")
@@ -226,7 +238,7 @@ def compare(old: Side, new: Side, mapping: DataFrame | None = None) -> dict[str,
     keep = ["path_key", "root_label", "rel_path", "size", "mtime", "hash_hex", "volume", "file_id", "origin", "reason"]
     lost = paired.where("new is null").select("old.*").withColumn("reason", plain).select(*keep).unionByName(pending.where("hash_hex is null and side = 'old'").withColumn("reason", plain).select(*keep))
     fresh = surplus.where("status = 'added'").select(*keep).unionByName(pending.where("hash_hex is null and side = 'new'").withColumn("reason", plain).select(*keep))
-    same_file = stored(match_file_ids(lost, fresh), "same-file")
+    same_file = stored(match_file_ids(lost, fresh), "same-file-pairs")
     by_id = result(same_file, path_key=n["path_key"], status=F.lit("moved_or_renamed"), evidence=F.lit("heuristic_file_id"), reason=F.lit("file_id_heuristic"), **both)
     drop = lambda df, side: df.join(same_file.select(f"{side}.root_label", f"{side}.rel_path"), ["root_label", "rel_path"], "left_anti")
     deleted = result(drop(lost, "old"), path_key=F.col("path_key"), status=F.lit("deleted"), reason=F.col("reason"), group_hash=F.col("hash_hex"), **side_of("old"))
@@ -242,46 +254,32 @@ def match_file_ids(lost: DataFrame, fresh: DataFrame) -> DataFrame:
     """old and new rows that are one file by volume, file id, size and mtime, at least one of the two without a hash.
 
     Fresh rows choose in the order of their paths; each takes the first lost row
-    that is left and fits. Keys name single files, so the rows of a key are few;
-    keys of more than FILE_ID_ROWS rows are paired rank by rank instead.
+    that is left and fits. A key may have any number of rows: what a fresh row takes follows from counts.
+
+    Unhashed lost rows are taken in their order, and so are hashed ones. Let u of the
+    first m lost rows of a key (those behind the last one count as unhashed) be
+    unhashed and h of the first m fresh ones hashed. A hashed fresh row takes an unhashed lost
+    one. An unhashed one does so only if all hashed lost rows before the next unhashed one
+    are taken, which is where u - h is larger than at any fresh row before; so the
+    largest u - h so far counts the unhashed pairs.
     """
     named = "coalesce(volume, '') <> '' and coalesce(file_id, '') <> ''"
     key = F.concat_ws("\x1f", *[F.col(k).cast("string") for k in ("volume", "file_id", "size", "mtime")])
     mine = lambda df: df.where(named).withColumn("_key", key)
-    count = lambda df, name: df.groupBy("_key").agg(F.count("*").alias(name))
-    met = stored(count(mine(lost), "n_lost").join(count(mine(fresh), "n_fresh"), "_key").select("_key", (F.col("n_lost") + F.col("n_fresh") > FILE_ID_ROWS).alias("hot")), "file-ids")
-    packed = lambda df, side: df.select(F.struct(*lost.columns).alias(side))
-    if met.isEmpty():
-        return packed(lost.where("false"), "old").join(packed(fresh.where("false"), "new"), F.lit(True))
-    old, new = (stored(mine(df).join(met, "_key"), "same-file") for df in (lost, fresh))
-    place = ["path_key", "root_label", "rel_path"]
-    slim = lambda df: df.where("not hot").select("_key", *place, F.col("hash_hex").isNotNull().alias("hashed"))
-    pairs = slim(old).groupBy("_key").cogroup(slim(new).groupBy("_key")).applyInPandas(_first_fits, "_key string, old_root string, old_path string, new_root string, new_path string")
-    of = lambda df, side: df.select("_key", F.col("root_label").alias(f"{side}_root"), F.col("rel_path").alias(f"{side}_path"), F.struct(*lost.columns).alias(side))
-    found = pairs.join(of(old, "old"), ["_key", "old_root", "old_path"]).join(of(new, "new"), ["_key", "new_root", "new_path"]).select("old", "new")
-    if met.where("hot").isEmpty():
-        return found
-    return found.unionByName(_by_ranks(old.where("hot"), new.where("hot"), place, lost.columns))
-
-
-def _first_fits(lost: pd.DataFrame, fresh: pd.DataFrame) -> pd.DataFrame:
-    """The rows of one key, matched in order; two rows with hashes never match."""
-    order = ["path_key", "root_label", "rel_path"]
-    left, out = list(lost.sort_values(order).itertuples()), []
-    for f in fresh.sort_values(order).itertuples():
-        at = next((k for k, x in enumerate(left) if not (f.hashed and x.hashed)), None)
-        if at is not None:
-            x = left.pop(at)
-            out.append((f._1, x.root_label, x.rel_path, f.root_label, f.rel_path))
-    return pd.DataFrame(out, columns=["_key", "old_root", "old_path", "new_root", "new_path"], dtype=object)
-
-
-def _by_ranks(old: DataFrame, new: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
-    """Rank by rank within a key: hashed lost rows with unhashed fresh ones, then unhashed lost rows with what is left."""
-    turns = lambda df, side: ranked(df, "_key", order).select("_key", "rank", F.struct(*columns).alias(side))
-    first = turns(old.where("hash_hex is not null"), "old").join(turns(new.where("hash_hex is null"), "new"), ["_key", "rank"]).select("old", "new")
-    rest = new.join(first.select("new.root_label", "new.rel_path"), ["root_label", "rel_path"], "left_anti")
-    return first.unionByName(turns(old.where("hash_hex is null"), "old").join(turns(rest, "new"), ["_key", "rank"]).select("old", "new"))
+    met = lambda df, other: mine(df).join(mine(other).select("_key").distinct(), "_key", "left_semi")
+    turns = lambda df, kind: stored(ranked(df, "_key", ["path_key", "root_label", "rel_path"]).select("_key", "rank", kind.alias("plain"), F.struct(*lost.columns).alias("row")), "same-file")
+    old, new = (turns(met(df, other), F.col("hash_hex").isNull()) for df, other in ((lost, fresh), (fresh, lost)))
+    # Number of a lost row among those of its kind.
+    of_kind = lambda plain, n: F.when(F.col("plain"), plain).otherwise(n - plain).alias("number")
+    old_numbered = running(old, "_key", "rank", F.col("plain").cast("long"), "_u").select("_key", F.col("plain").alias("_takes_plain"), of_kind(F.col("_u"), F.col("rank")), F.col("row").alias("old"))
+    beside = new.join(old.select("_key", "rank", F.col("plain").alias("_lost_plain")), ["_key", "rank"], "left")
+    counted = running(beside, "_key", "rank", (~F.col("plain")).cast("long"), "_h")
+    counted = running(counted, "_key", "rank", F.coalesce("_lost_plain", F.lit(True)).cast("long") - (~F.col("plain")).cast("long"), "_more", "_most")
+    takes_plain = ~F.col("plain") | (F.col("_more") > F.col("_most"))
+    pairs_of_plain = F.greatest("_more", "_most")
+    number = F.when(takes_plain, F.col("_h") + pairs_of_plain).otherwise(F.col("rank") - F.col("_h") - pairs_of_plain)
+    wants = counted.select("_key", takes_plain.alias("_takes_plain"), number.alias("number"), F.col("row").alias("new"))
+    return wants.join(old_numbered, ["_key", "_takes_plain", "number"]).select("old", "new")
 
 
 def compare_dirs(old: Side, new: Side, pairs: DataFrame) -> DataFrame:
@@ -291,8 +289,7 @@ def compare_dirs(old: Side, new: Side, pairs: DataFrame) -> DataFrame:
     rights = new["dirs"].join(pairs.select(F.col("new_root").alias("root_label"), F.col("new_root").alias("pair")), "root_label", "left")
     both = one(lefts.where("pair is not null"), "old").join(one(rights.where("pair is not null"), "new"), ["pair", "path_key"], "full_outer")
     for dirs, flag in ((lefts.where("pair is not null").drop("root_label").withColumnRenamed("pair", "root_label"), "under_old"), (new["dirs"], "under_new")):
-        found = under_failed(both.withColumnRenamed("pair", "root_label"), dirs, "root_label", flag).withColumnRenamed("root_label", "pair")
-        both = both.join(found, ["pair", "path_key"], "left")
+        both = flag_under_failed(both, dirs, "pair", flag)
     has_old, has_new = F.col("old_path").isNotNull(), F.col("new_path").isNotNull()
     status = (
         F.when(has_old & has_new, F.when(F.col("old_enum") != F.col("new_enum"), "enum_status_changed").otherwise("unchanged"))
@@ -314,7 +311,11 @@ def failed_subtrees(old: Side, new: Side, pairs: DataFrame) -> DataFrame:
     for name, mine, other, here, there in (("old", old, new, "old_root", "new_root"), ("new", new, old, "new_root", "old_root")):
         failed = mine["dirs"].where("enum_status <> 'ok'").select("root_label", "rel_path", "path_key", "enum_status")
         failed = failed.join(pairs.select(F.col(here).alias("root_label"), F.col(there).alias("other")), "root_label", "left")
-        up = other["entries"].select(F.col("root_label").alias("other"), F.explode(ancestors(F.col("path_key"))).alias("path_key"))
+        if failed.isEmpty():
+            out = out if out is not None else failed.select(F.lit(name).alias("side"), "root_label", "rel_path", "enum_status", F.lit(0).cast("long").alias("affected_estimate"))
+            continue
+        beside = F.broadcast(failed.select("other").distinct())  # roots: a few rows a side
+        up = other["entries"].select(F.col("root_label").alias("other"), "path_key").join(beside, "other", "left_semi").select("other", F.explode(ancestors(F.col("path_key"))).alias("path_key"))
         counted = up.join(failed.select("other", "path_key").distinct(), ["other", "path_key"], "left_semi").groupBy("other", "path_key").agg(F.count("*").alias("n"))
         rows = failed.join(counted, ["other", "path_key"], "left").select(F.lit(name).alias("side"), "root_label", "rel_path", "enum_status", F.when(F.col("other").isNotNull(), F.coalesce("n", F.lit(0))).alias("affected_estimate"))
         out = rows if out is None else out.unionByName(rows)

@@ -11,11 +11,6 @@ from cairn.sources.storage import stored
 GROUP_ROWS = 200_000
 
 
-def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """The row of each key that comes first in ``order``. Keys are taken to have few rows each (attempts of an entry)."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
-
-
 def latest_by(df: DataFrame, keys: list[str], by: str) -> DataFrame:
     """The row of each key with the largest ``by``: one aggregate with partial sums, so hot keys do no harm."""
     rest = [c for c in df.columns if c not in keys]
@@ -43,6 +38,26 @@ def ranked(df: DataFrame, key: str, order: list[str], rank: str = "rank") -> Dat
     return plain.unionByName(far.select(*df.columns, rank))
 
 
+def running(df: DataFrame, key: str, place: str, step: Column, total: str, peak: str | None = None) -> DataFrame:
+    """Add ``total``, the sum of ``step`` over the rows of a key up to a row, and ``peak``, the largest such sum of the rows before it (0 at least).
+
+    ``place`` numbers the rows of a key 1, 2, 3, ... (as ``ranked`` does). Runs of
+    GROUP_ROWS places are summed by themselves: the sum and the largest partial sum
+    of a run say what the runs behind it start from. So no task gets a whole key.
+    """
+    rows = df.withColumn("_run", F.floor((F.col(place) - 1) / GROUP_ROWS)).withColumn("_step", step)
+    inside = Window.partitionBy(key, "_run").orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_sum", F.sum("_step").over(inside))
+    runs = rows.groupBy(key, "_run").agg(F.sum("_step").alias("_all"), F.max("_sum").alias("_top"))
+    before = Window.partitionBy(key).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_start", F.coalesce(F.sum("_all").over(before), F.lit(0)))
+    runs = runs.withColumn("_past", F.greatest(F.lit(0), F.max(F.col("_start") + F.col("_top")).over(before))).select(key, "_run", "_start", "_past")
+    out = rows.join(runs, [key, "_run"]).withColumn(total, F.col("_sum") + F.col("_start"))
+    if peak:
+        out = out.withColumn(peak, F.greatest("_past", F.max(total).over(inside.rowsBetween(Window.unboundedPreceding, -1))))
+    return out.select(*df.columns, total, *([peak] if peak else []))
+
+
 def stratified_sample(df: DataFrame, size: str, key: str, percent: float, least: int, seed: str) -> DataFrame:
     """A sample that is the same for the same seed, spread over four strata of ``size``.
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import text as fn
-from cairn.operators import diff
+from cairn.operators import diff, ranking
 
 ENTRY = "root_label string, rel_path string, size long, mtime long, attrs long, hash_hex string, event string, unstable boolean, volume string, file_id string, payloads map<string,struct<sha:string,version:string,stable:string>>"
 
@@ -136,12 +136,41 @@ def test_file_ids_in_order(spark):
     assert diff.match_file_ids(make(lost[:1]), make([])).count() == 0
 
 
-def test_file_ids_of_hot_keys(spark, monkeypatch):
-    monkeypatch.setattr(diff, "FILE_ID_ROWS", 3)
+FILE_ROW = "root_label string, rel_path string, path_key string, size long, mtime string, hash_hex string, volume string, file_id string, origin string, reason string"
+
+
+def test_file_ids_of_any_number(spark, monkeypatch):
+    """Keys within and across runs of places, with every share of hashed rows on either side: each as the matcher by hand has it."""
+    monkeypatch.setattr(ranking, "GROUP_ROWS", 7)
+    rng = random.Random(11)
+    lost, fresh, want = [], [], []
+    for key in range(60):
+        sides = []
+        for _ in range(2):
+            n, share = rng.choice([0, 1, 3, 6, 7, 8, 15, 40]), rng.choice([0, 0.1, 0.5, 0.9, 1])
+            sides.append([(f"{key}/{rng.random()}", rng.random() < share) for _ in range(n)])
+        want += by_hand(*sides)
+        for rows, out in zip(sides, (lost, fresh), strict=True):
+            out += [("r", path, path, 1, "0", f"h{path}" if hashed else None, "v", str(key), "computed", None) for path, hashed in rows]
+    made = [spark.createDataFrame(x, FILE_ROW) for x in (lost, fresh)]
+    assert sorted(map(tuple, diff.match_file_ids(*made).select("old.rel_path", F.col("new.rel_path").alias("to")).collect())) == sorted(want)
+
+
+def test_file_ids_below_and_above_a_run(spark, monkeypatch):
     row = lambda path, hashed: ("r", path, path, 1, "0", path if hashed else None, "v", "1", "computed", None)
-    schema = "root_label string, rel_path string, path_key string, size long, mtime string, hash_hex string, volume string, file_id string, origin string, reason string"
-    lost, fresh = spark.createDataFrame([row("a", False), row("b", True)], schema), spark.createDataFrame([row("c", True), row("d", False)], schema)
-    assert sorted(map(tuple, diff.match_file_ids(lost, fresh).select("old.rel_path", F.col("new.rel_path").alias("to")).collect())) == [("a", "c"), ("b", "d")]
+    lost, fresh = spark.createDataFrame([row("a", False), row("b", True)], FILE_ROW), spark.createDataFrame([row("c", False)], FILE_ROW)
+    for most in (200_000, 1):
+        monkeypatch.setattr(ranking, "GROUP_ROWS", most)
+        assert diff.match_file_ids(lost, fresh).select("old.rel_path", F.col("new.rel_path").alias("to")).collect() == [("a", "c")]
+
+
+def test_content_of_many_runs(spark, monkeypatch):
+    """One content in more rows than a run: pairs by rank, the rest copied or added, as without runs."""
+    old = [{"rel_path": f"o{i:02}", "hash_hex": "h"} for i in range(9)]
+    new = [{"rel_path": f"n{i:02}", "hash_hex": "h", "event": None} for i in range(30)] + [{"rel_path": f"m{i}", "hash_hex": "g"} for i in range(12)]
+    plain = rows(spark, old, new)
+    monkeypatch.setattr(ranking, "GROUP_ROWS", 4)
+    assert rows(spark, old, new) == plain and [r[0] for r in plain].count("copied") == 21
 
 
 def test_stored_sides_are_held_to_one_rule(spark):
