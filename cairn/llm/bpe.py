@@ -67,6 +67,7 @@ class Automaton:
         self.table: dict[int, int] = {}  # state and token: next state, or -1
         self.root: dict = {}
         self.size = [len(labels.get(t, b"")) for t in range(max(labels) + 1)]
+        self.longest = max(self.size)
         self.shorter = [-1] * len(self.size)  # the longest token that begins a token
         for token in sorted(self.target, key=self.size.__getitem__):
             node, best = self.root, -1
@@ -99,12 +100,12 @@ class Automaton:
         entered again; longest arcs are tried first.
         """
         n, table, size, shorter, root = len(word), self.table, self.size, self.shorter, self.root
-        dead = None
+        dead, longest = None, self.longest
         ids: list[int] = []
         i = state = 0
         while i < n:
             node = root
-            for b in word[i:]:
+            for b in word[i : i + longest]:
                 node = node.get(b)
                 if node is None:
                     break

@@ -84,8 +84,14 @@ def extra(n: int) -> int:
     return max(1, n // 20)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, text and known: a row without doc_id gets a number by its text, so that links through its text count; known tells it from ids."""
+    stand_in = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND((1 << 62) - 1) + F.lit(1 << 62)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select(F.coalesce("doc_id", stand_in).alias("doc_id"), "text", F.col("doc_id").isNotNull().alias("known"))
+
+
 def sketches(docs: DataFrame, percent: int) -> DataFrame:
-    """doc_id, n, class and the first shingles in the order of hashes."""
+    """doc_id, known, n, class and the first shingles in the order of hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Shingler(SHINGLE)
@@ -101,9 +107,9 @@ def sketches(docs: DataFrame, percent: int) -> DataFrame:
                     seen.add(c)
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in firsts])]).astype(np.int32)
                 first = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts) if firsts else np.zeros(0, np.int64), pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), first], names=["doc_id", "n", "cls", "first"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), first], names=["doc_id", "known", "n", "cls", "first"])
 
-    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n long, cls long, first array<long>")
+    return in_arrow(numbered(docs), run, "doc_id long, known boolean, n long, cls long, first array<long>")
 
 
 def filter_of(ids: DataFrame) -> np.ndarray:
@@ -138,7 +144,7 @@ def full_sets(docs: DataFrame, chosen: DataFrame, frequent: np.ndarray, percent:
                 )
 
     place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("long")
-    made = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", place.alias("place"), "text")
+    made = numbered(docs).select("doc_id", place.alias("place"), "text")
     made = in_arrow(made, run, "doc_id long, cls long, n long, shingles array<long>, first array<long>")
     # A class has one chosen document, so this keeps one row a class, where the join has put it.
     return made.join(chosen, ["doc_id", "cls"]).dropDuplicates(["doc_id", "cls"]).drop("doc_id")
@@ -298,21 +304,23 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     component_id is the smallest doc_id reachable by links at ``percent`` or
     more, itself included. Null and empty texts have no shingles and no links.
     Rows that repeat a doc_id are rows of their own, linked by their texts; a row
-    without doc_id has none to give to its group, and gets that of its equals;
-    texts that only such rows have are compared with no others. Other columns are left out. An empty table gives an empty table.
+    without doc_id has none to give to its group, but its text links as any other does (a group of such rows alone has a null component_id).
+    Other columns are left out. An empty table gives an empty table.
     """
     base = stored(sketches(docs, percent), "sketches")
-    classes = stored(base.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    classes = stored(base.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.coalesce(F.min(F.when(F.col("known"), F.col("doc_id"))), F.min("doc_id")).alias("rep"), F.min(F.when(F.col("known"), F.col("doc_id"))).alias("least"), F.count("*").alias("copies")), "classes")
     roots = linked_classes(docs, base, classes, percent)
     label = roots.select(F.col("node").alias("cls"), "root")
-    labelled = classes.join(label, "cls", "left").select("cls", "copies", "rep", F.coalesce("root", "cls").alias("root"), F.col("root").isNotNull().alias("linked"))
+    labelled = classes.join(label, "cls", "left").select("cls", "copies", "least", F.coalesce("root", "cls").alias("root"), F.col("root").isNotNull().alias("linked"))
     heads = roots.select("root").distinct().withColumn("head", F.lit(True))
     labelled = labelled.join(heads, "root", "left")
     groups = labelled.where(F.col("linked") | F.col("head"))
-    least = groups.groupBy("root").agg(F.min("rep").alias("component_id"))
-    found = groups.join(least, "root").select("cls", "component_id").unionByName(labelled.where(~F.col("linked") & F.col("head").isNull() & (F.col("copies") > 1)).select("cls", F.col("rep").alias("component_id")))
-    out = salted_join(base.select("doc_id", "n", "cls"), found, "cls", ["doc_id"])
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    least = groups.groupBy("root").agg(F.min("least").alias("component_id"))
+    found = groups.join(least, "root").select("cls", "component_id").unionByName(labelled.where(~F.col("linked") & F.col("head").isNull() & (F.col("copies") > 1)).select("cls", F.col("least").alias("component_id")))
+    # Rows are salted by their place in the stored table, so that equal rows are spread, too.
+    out = salted_join(base.select("doc_id", "known", "n", "cls", F.monotonically_increasing_id().alias("_row")), found, "cls", ["_row"])
+    own = F.when(F.col("known"), F.col("doc_id"))
+    return out.select(own.alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", own).alias("component_id"))
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

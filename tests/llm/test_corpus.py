@@ -13,6 +13,8 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from cairn.llm import components, decontaminate, licenses, line_dedup, ngram_join, quality, search
 
@@ -253,6 +255,18 @@ def test_ngram_join_edges(spark):
     assert ngram_join.jaccard_groups(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_ngram_join_through_rows_without_id(spark):
+    """Two documents that link to a third text alone are one group, whether that text has an id or not; such rows' own groups have none."""
+    w = [f"w{k}" for k in range(104)]
+    near, middle, far = w[:96], w[4:100], w[8:104]
+    other = [f"o{k}" for k in range(60)]
+    for third in (3, None):
+        rows = [(1, " ".join(near)), (2, " ".join([*far, "end"])), (third, " ".join(middle)), (None, " ".join(other)), (None, " ".join(other)), (None, " ".join([*other, "x"]))]
+        found = ngram_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        groups = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in found)
+        assert groups == sorted([("1", 92, "1"), ("2", 93, "1"), (str(third), 92, "1"), ("None", 56, "None"), ("None", 56, "None"), ("None", 57, "None")])
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(201, 200), (5, 5)]
     found = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -402,6 +416,53 @@ def test_line_dedup_edges(spark):
     assert sorted(kept) in (sorted([long, long, "more"]), sorted(["", "", f"{long}\nmore"]))
 
 
+def test_alignment_alone_deletes(spark, monkeypatch):
+    """Without alignment nothing goes; with its first turn alone, moved and repeated blocks stay."""
+    rng = random.Random(4)
+    body = [prose(rng, 12, 90000) for _ in range(20)]
+    texts = [(1, "\n".join(body)), (2, "\n".join([*body[10:], "own line", *body[:10]])), (3, "\n".join([*body[:4], *body[:4]])), (4, "own text " * 20)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    removed = lambda: {r.doc_id: r.n_removed for r in line_dedup.dedup_blocks(docs).collect()}
+    assert removed() == {1: 0, 2: 20, 3: 8, 4: 0}
+    hashes, words = line_dedup.lines_of(texts[0][1])
+    later = line_dedup.lines_of(texts[1][1])
+    with monkeypatch.context() as m:
+        m.setattr(line_dedup, "increasing", lambda values: [])
+        m.setattr(line_dedup, "runs_held", lambda *x: [])
+        assert line_dedup.blocks(hashes, *later, 25) == []
+    with monkeypatch.context() as m:
+        m.setattr(line_dedup, "runs_held", lambda *x: [])
+        assert len(line_dedup.blocks(hashes, *later, 25)) == 10
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 9), max_size=40), st.lists(st.integers(0, 9), max_size=40), st.sampled_from([0, 1, 8]))
+def test_blocks_of_a_pair(theirs, lines, turns):
+    """All common runs of enough words, whatever their order and however often they stand there."""
+    words = lambda x: [3 + v for v in x]
+    want = set()
+    for a in range(len(lines)):
+        for b in range(len(theirs)):
+            n = 0
+            while a + n < len(lines) and b + n < len(theirs) and lines[a + n] == theirs[b + n]:
+                n += 1
+            if sum(words(lines[a : a + n])) >= 25:
+                want |= set(range(a, a + n))
+    before, line_dedup.TURNS = line_dedup.TURNS, turns
+    try:
+        assert line_dedup.blocks(theirs, lines, words(lines), 25) == sorted(want)
+    finally:
+        line_dedup.TURNS = before
+
+
+def test_line_dedup_hot_holder(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT_PAIRS", 10)
+    passage = "\n".join(prose(random.Random(2), 15, 90000) for _ in range(4))
+    texts = [(i, f"head {i}\n{passage}\n{prose(random.Random(i), 9, 90000)}") for i in range(200)]
+    found = line_dedup.dedup_blocks(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.n_removed) for r in found} == {(i, 4 if i else 0) for i in range(200)}
+
+
 def test_alignment():
     assert line_dedup.increasing([3, 1, 2, 5, 4, 6]) in ([1, 2, 4, 5], [1, 2, 3, 5])
     assert line_dedup.aligned([1, 2, 2, 3, 9, 4], [7, 1, 2, 2, 3, 4]) == [(1, 5), (5, 6)]

@@ -60,6 +60,22 @@ def test_any_text(text):
     assert token_counts.counter(PATH).count([text]) == [len(ids(text))]
 
 
+def test_long_words():
+    """A word's time grows with its length: 400,000 letters at most 40 times as long as 20,000, with room for noise."""
+    import random
+    import time
+
+    rng = random.Random(1)
+    made, took = bpe.encoder(PATH).automaton, []
+    for n in (20_000, 20_000, 400_000):
+        word = "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+        began = time.process_time()
+        found = made.path(word.encode())
+        took.append(time.process_time() - began)
+        assert found[:100] == ids(word)[:100] if n < 400_000 else b"".join(bpe.encoder(PATH).labels[i] for i in found) == word.encode()
+    assert took[2] < 40 * max(took[1], 0.02)
+
+
 def merged(word, merges):
     tokens = [bytes([b]) for b in word]
     for a, b in merges:
