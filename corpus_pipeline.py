@@ -77,6 +77,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    for k, (name, stage) in enumerate(STAGES):
+        done = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        if k:
+            forget(docs)
+        docs = done
     return docs
