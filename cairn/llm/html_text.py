@@ -35,12 +35,24 @@ ASIDE = frozenset("nav footer aside form button menu dialog search fieldset".spl
 UNWANTED = frozenset(
     "ad ads advert adverts advertisement advertisements advertising banner banners sponsor sponsors sponsored promo promos promotion promotions cookie cookies consent gdpr notice notices alert alerts comment comments commentlist disqus respond replies sidebar sidebars side nav navbar navigation menu menus breadcrumb breadcrumbs footer share sharing social related recommend recommended recommendation recommendations subscribe newsletter signup login popup modal overlay widget widgets pagination pager skip toolbar complementary contentinfo search".split()
 )
+#: Of these, words that name other things as well ("side-effects", "social-policy"): a name that has one and no stronger word
+#: counts if its other words are unwanted, too, or parts of a page.
+WEAK = frozenset("side social search share sharing related notice notices alert alerts menu menus skip promotion promotions navigation modal banner banners sponsor sponsors subscribe recommend".split())
+PARTS = frozenset(
+    "bar bars box boxes list lists link links area areas wrap wrapper container block blocks panel panels section item items button buttons icon icons media post posts article articles story stories content contents inner outer top bottom left right form forms text title head heading slot unit column col row group main page site global fixed sticky primary secondary tertiary mobile desktop js".split()
+)
+#: Elements that may wrap a whole page, and then aren't dropped.
+WRAPPERS = frozenset("form fieldset dialog menu".split())
+#: A container of such a name is an article, whose head holds its title.
+ARTICLES = frozenset("article post entry hentry story".split())
 #: Words of a page's head; an article has a head of its own, with its title.
 HEAD = frozenset("header masthead topbar".split())
 #: A name that begins with one of these tells of something else: a page "with-sidebar".
 ABOUT = frozenset("with has no without hide is".split())
 #: A name of these words alone is the text's own, whatever other names its element has.
 CONTENT = frozenset("article articles content contents post entry story main body text prose".split())
+#: Characters of a piece of text that has points of its own, and of what a title may have beside it in its head.
+LONG_PIECE, HEAD_CHARS = 40, 120
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[^\W\d_]+")
 SEMANTIC = frozenset(("article", "main"))
 PARAGRAPH = frozenset("p pre td blockquote li dd figcaption h2 h3 h4 h5 h6 div section article main body".split())
@@ -56,20 +68,43 @@ def tells_aside(names: str, heads: bool) -> bool:
         if CONTENT.issuperset(words):
             return False
         own = heads or not CONTENT.isdisjoint(words)
-        found = found or not UNWANTED.isdisjoint(words) or not (own or HEAD.isdisjoint(words))
+        hits = UNWANTED.intersection(words)
+        if hits and WEAK.issuperset(hits):
+            hits = UNWANTED.union(PARTS).issuperset(words) and hits
+        found = found or bool(hits) or not (own or HEAD.isdisjoint(words))
     return found
 
 
+def points(text: str) -> float:
+    """What a paragraph adds to its ancestors."""
+    return 1 + text.count(",") + min(len(text) / 100, 3)
+
+
+def names_article(attributes: str) -> bool:
+    """Whether a class or id names an article."""
+    for key, *values in ATTRIBUTE.findall(attributes):
+        if key.lower() in ("class", "id"):
+            value = next(filter(None, values), "")
+            if any(words and ARTICLES.issuperset(words) for words in ([w.lower() for w in WORDS.findall(name)] for name in value.split())):
+                return True
+    return False
+
+
 class Page:
-    """The element tree of a page, of which only blocks of text and their elements are kept. by_name: names of classes, ids and roles count."""
+    """The element tree of a page, of which only blocks of text and their elements are kept.
+
+    by_name: names of classes, ids and roles count. spared: numbers of elements that aren't dropped for what they are.
+    """
 
-    def __init__(self, html: str, by_name: bool = True):
+    def __init__(self, html: str, by_name: bool = True, spared: frozenset[int] = frozenset()):
         self.tag, self.parent, self.unwanted = ["html"], [-1], [False]
         #: The nearest block that an element is or is in, and whether it is inside an article.
         self.block_of, self.semantic = [0], [False]
         self.blocks: list[tuple[int, str]] = []
         self.linked = [0.0]
-        self.by_name = by_name
+        self.by_name, self.spared = by_name, spared
+        #: Points of the long pieces of text that stand in an element itself, dropped or not.
+        self.own = [0.0]
         self._read(html)
 
     def _read(self, html: str) -> None:
@@ -78,6 +113,7 @@ class Page:
         linked = 0
         depths: dict[str, list[int]] = {"html": [0]}  # where on the stack elements of a kind stand
         fences = [0]
+        endless: set[str] = set()  # raw elements of which no further end tag comes
 
         def flush() -> None:
             nonlocal linked
@@ -102,11 +138,14 @@ class Page:
         while at < n:
             found = MARKUP.search(html, at)
             stop = found.start() if found else n
-            if stop > at and not unwanted[open_[-1]]:
+            if stop > at:
                 piece = html[at:stop]
-                text.append(piece)
-                if links:
-                    linked += len(piece)
+                if len(piece) >= LONG_PIECE and not links:
+                    self.own[open_[-1]] += points(piece)
+                if not unwanted[open_[-1]]:
+                    text.append(piece)
+                    if links:
+                        linked += len(piece)
             if not found:
                 break
             at = found.end()
@@ -123,9 +162,11 @@ class Page:
                     close(depths[name][-1])
                 continue
             if name in RAW:
-                if not found[3].endswith("/"):
+                if not found[3].endswith("/") and name not in endless:
                     end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(html, at)
                     at = end.end() if end else n if name in TEXTUAL else at
+                    if not end:
+                        endless.add(name)
                 text.append(" ")
                 continue
             if name in VOID:
@@ -150,9 +191,10 @@ class Page:
             tags.append(name)
             self.parent.append(over)
             self.linked.append(0.0)
+            self.own.append(0.0)
             self.block_of.append(new if name in BLOCK else self.block_of[over])
-            self.semantic.append(self.semantic[over] or name in SEMANTIC)
-            unwanted.append(unwanted[over] or self._unwanted(name, found[3], over))
+            self.semantic.append(self.semantic[over] or name in SEMANTIC or (bool(found[3].strip()) and name in ("div", "section") and names_article(found[3])))
+            unwanted.append(unwanted[over] or (new not in self.spared and self._unwanted(name, found[3], over)))
             open_.append(new)
             depths.setdefault(name, []).append(at_depth)
             if name in FENCES:
@@ -176,10 +218,19 @@ class Page:
                 return True
         return False
 
+    def wrappers(self) -> frozenset[int]:
+        """Forms and the like that hold more than half of the points of all long pieces of text: they wrap the page."""
+        if WRAPPERS.isdisjoint(self.tag):
+            return frozenset()
+        held = list(self.own)
+        for x in range(len(held) - 1, 0, -1):
+            held[self.parent[x]] += held[x]
+        return frozenset(x for x, tag in enumerate(self.tag) if tag in WRAPPERS and 2 * held[x] > held[0])
+
     def main_blocks(self) -> list[str]:
         """Blocks of the best container and of siblings that look like parts of the article."""
         n = len(self.tag)
-        points, length, links = [0.0] * n, [0] * n, list(self.linked)
+        gains, length, links = [0.0] * n, [0] * n, list(self.linked)
         for owner, text in self.blocks:
             length[owner] += len(text)
         for x in range(n - 1, 0, -1):
@@ -187,13 +238,13 @@ class Page:
             links[self.parent[x]] += links[x]
         for owner, text in self.blocks:
             if self.tag[owner] in PARAGRAPH:
-                gained = 1 + text.count(",") + min(len(text) / 100, 3)
+                gained = points(text)
                 own = self.tag[owner] in ("div", "section", "article", "main", "body", "td", "li", "dd")
                 x, level = owner if own else self.parent[owner], 0
                 while x > 0 and level < 5:
-                    points[x] += gained / (1 if not level else 2 * level)
+                    gains[x] += gained / (1 if not level else 2 * level)
                     x, level = self.parent[x], level + 1
-        score = [p * (1 - (links[x] / length[x] if length[x] else 0)) for x, p in enumerate(points)]
+        score = [p * (1 - (links[x] / length[x] if length[x] else 0)) for x, p in enumerate(gains)]
         places = [x for x in range(1, n) if self.tag[x] not in ("html", "p", "span", "b", "i", "em", "strong", "a", "li", "tr") and score[x] > 0]
         best = max(places, key=lambda x: (score[x], -x), default=0)
         # The whole article where the page marks it: the best container may be one section of it.
@@ -223,17 +274,29 @@ class Page:
         inside = [False] * n
         for x in range(n):
             inside[x] = x in keep or (x > 0 and inside[self.parent[x]])
+        if not any(inside[owner] and self.tag[owner] == "h1" for owner, _ in self.blocks):
+            # The title may stand in a sibling before the container.
+            for owner, _ in self.blocks:
+                x = owner
+                while x > 0 and x < best and self.parent[x] != self.parent[best]:
+                    x = self.parent[x]
+                if self.tag[owner] == "h1" and 0 < x < best and length[x] - length[owner] < length[owner] + HEAD_CHARS:
+                    inside[owner] = True
         return [text for owner, text in self.blocks if inside[owner]]
 
 
 def main_text(html: str | None) -> str:
     """The main text of a page, its blocks joined by line feeds; empty for a null or empty page.
 
-    Where names of classes leave nothing, the page is read again without them.
+    A page that a form or the like wraps is read again with it, and one of which names of classes leave nothing is read again without them.
     """
     if not html:
         return ""
-    return "\n".join(Page(html).main_blocks() or Page(html, by_name=False).main_blocks())
+    page = Page(html)
+    wrappers = page.wrappers()
+    if wrappers:
+        page = Page(html, spared=wrappers)
+    return "\n".join(page.main_blocks() or Page(html, by_name=False, spared=wrappers).main_blocks())
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:

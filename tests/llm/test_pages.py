@@ -95,6 +95,22 @@ def test_names_that_only_look_unwanted():
     assert main_text(f'<article>{ARTICLE}<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p><h2 id="related-search">More</h2></article>') == BODY + "\nSo x=1 holds.\nMore"
 
 
+def test_wrapping_forms_and_titles():
+    """A form around the page isn't dropped, one beside the article is; titles stand in heads; names of several words mean what they say together."""
+    for wrap in ('<form id="aspnetForm" method="post"><div>', "<fieldset>", "<form><fieldset><dialog open>"):
+        page = f'<body><nav><a href=x>Menu</a></nav>{wrap}{ARTICLE}<form><label>Your name and telephone number with its area code</label></form>'
+        assert main_text(page) == BODY, wrap
+    assert main_text(f"<body><article>{ARTICLE}</article><form><p>Write, to, us, with, your, name, and we, will, answer, you.</p></form></body>") == BODY
+    rest = ARTICLE.removeprefix("<h1>Title</h1>")
+    for head in ('<div class="post"><header><h1>Title</h1></header>', '<div class="head"><h1>Title</h1></div><div class="copy">'):
+        assert main_text(f"<body>{head}{rest}</div></body>") == BODY, head
+    assert main_text(f'<body><header><h1>The site</h1></header><div class="post"><header><h1>Title</h1></header>{rest}</div></body>') == BODY
+    for name in ("side-effects", "social-policy", "search_methods", "relatedWork", "notice-period"):
+        assert main_text(f'<article>{ARTICLE}<section class="{name}"><p>More of it.</p></section></article>') == BODY + "\nMore of it.", name
+    for name in ("side-bar", "social-links", "search_box", "relatedPosts", "notice", "site-notice", "ad-slot", "comment-thread"):
+        assert main_text(f'<article>{ARTICLE}<section class="{name}"><p>More of it.</p></section></article>') == BODY, name
+
+
 def by_parser(html):
     """The text blocks of an article without anything unwanted, by the standard library's parser: another way to the same text."""
     from html.parser import HTMLParser
@@ -149,7 +165,7 @@ def test_against_another_parser():
 
 
 def test_time_grows_with_the_page():
-    for piece in ("<b>x ", "<div>x ", "<td>x ", "<li><b>x ", "<p>x<div>", "<table><tr><td>x ", "<a title=\"x>"):
+    for piece in ("<b>x ", "<div>x ", "<td>x ", "<li><b>x ", "<p>x<div>", "<table><tr><td>x ", "<a title=\"x>", "<select>x", "<svg>x", "<noscript><template>x ", "<object>x<form>"):
         took = []
         for n in (4000, 32000):
             start = time.thread_time()
