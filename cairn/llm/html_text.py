@@ -219,13 +219,22 @@ class Page:
         return False
 
     def wrappers(self) -> frozenset[int]:
-        """Forms and the like that hold more than half of the points of all long pieces of text: they wrap the page."""
+        """Forms and the like that hold more than half of the points of all long pieces of text, with no article beside them: they wrap the page."""
         if WRAPPERS.isdisjoint(self.tag):
             return frozenset()
         held = list(self.own)
         for x in range(len(held) - 1, 0, -1):
             held[self.parent[x]] += held[x]
-        return frozenset(x for x, tag in enumerate(self.tag) if tag in WRAPPERS and 2 * held[x] > held[0])
+        found = frozenset(x for x, tag in enumerate(self.tag) if tag in WRAPPERS and 2 * held[x] > held[0])
+        if not found:
+            return found
+        outer = x = min(found)  # the others are in it
+        within = [False] * len(held)
+        while x >= 0:
+            within[x], x = True, self.parent[x]
+        for x in range(outer + 1, len(held)):
+            within[x] = within[self.parent[x]] and self.parent[x] >= outer
+        return found if all(within[x] for x, tag in enumerate(self.tag) if tag in SEMANTIC and held[x]) else frozenset()
 
     def main_blocks(self) -> list[str]:
         """Blocks of the best container and of siblings that look like parts of the article."""
