@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text as fn
 from cairn.operators import diff, issues
-from cairn.sources import bundle, files, journals
+from cairn.sources import bundle, files, journals, sqlite
 from cairn.sources.schemas import TABLES
 from cairn.sources.storage import shared_dir
 
@@ -50,11 +50,36 @@ def bundle_of(s: SparkSession, d: str, newer: bool) -> bundle.Bundle:
 
 def published(s: SparkSession, d: str, newer: bool) -> bundle.Bundle:
     """The same, written, sealed, read back and held against its manifest."""
-    path = f"{shared_dir(s)}/published-{uuid.uuid4().hex}"
-    bundle.publish_snapshot(bundle.described(bundle_of(s, d, newer)), path)
+    path = bundle.publish_snapshot(bundle.described(bundle_of(s, d, newer)), f"{shared_dir(s)}/published-{uuid.uuid4().hex}")
     return bundle.read_snapshot(s, path, verify=True)
 
 
+def imported(s: SparkSession, d: str, newer: bool) -> bundle.Bundle:
+    """The same, from SQLite files: written by tasks, imported, published and read back."""
+    folder = f"{shared_dir(s)}/sqlite-{uuid.uuid4().hex}"
+    sqlite.export_snapshot(bundle_of(s, d, newer), folder, 4).count()
+    path = bundle.publish_snapshot(bundle.described(sqlite.import_snapshot(s, folder)), f"{shared_dir(s)}/imported-{uuid.uuid4().hex}")
+    return bundle.read_snapshot(s, path, verify=True)
+
+
+def diff_imported(s: SparkSession, d: str) -> DataFrame:
+    """The comparison of a snapshot that came from SQLite files with one that was stored."""
+    return diff.compare(*diff.comparison_sides(imported(s, d, False), published(s, d, True)))["entries"].select(*diff.RESULT)
+
+
+def publish_evidence(s: SparkSession, d: str) -> DataFrame:
+    """What a published snapshot says of its making: its events by name, its counts, and whether its name is its fingerprint."""
+    lines = table(s, d, "events").select(F.to_json(F.struct(F.concat(F.lit("seen_"), "event_type").alias("event"), F.col("ts").cast("string").alias("ts"), "event_id")).alias("value"), F.concat(F.lit("seen_"), "event_type").alias("event"))
+    path = bundle.publish_snapshot(bundle.described(bundle_of(s, d, True)), f"{shared_dir(s)}/evidence-{uuid.uuid4().hex}", lines)
+    found = bundle.read_evidence(s, path)
+    events = found["run_events"].groupBy(F.lit("event").alias("section"), F.col("event").alias("key")).agg(F.count("*").alias("value"))
+    last = found["run_events"].agg(F.max("event_seq").alias("value"), F.max_by("event", "event_seq").alias("key")).select(F.lit("last").alias("section"), "key", "value")
+    document = F.from_json("manifest_json", "struct<counts:map<string,bigint>,events:struct<count:bigint>>")
+    counts = found["snapshot_manifest"].select(F.explode(document["counts"]).alias("key", "value")).select(F.lit("count").alias("section"), "key", "value")
+    named = s.range(1).select(F.lit("name").alias("section"), F.lit("is fingerprint").alias("key"), F.lit(int(path.endswith("_" + bundle.fingerprint(s, path)))).cast("long").alias("value"))
+    return events.unionByName(last).unionByName(counts).unionByName(named)
+
+
 def diff_published(s: SparkSession, d: str) -> DataFrame:
     """The comparison of two snapshots that were stored and read back."""
     return diff.compare(*diff.comparison_sides(published(s, d, False), published(s, d, True)))["entries"].select(*diff.RESULT)
@@ -66,8 +91,7 @@ def info_of(s: SparkSession) -> DataFrame:
 
 def diff_stored(s: SparkSession, d: str) -> DataFrame:
     """Counts of a comparison that was stored and read back."""
-    path = f"{shared_dir(s)}/comparison-{uuid.uuid4().hex}"
-    bundle.publish_comparison(compared(s, d), info_of(s), path)
+    path = bundle.publish_comparison(compared(s, d), info_of(s), f"{shared_dir(s)}/comparison-{uuid.uuid4().hex}")
     return diff.status_evidence(bundle.read_comparison(s, path, verify=True)["entries"])
 
 
@@ -195,6 +219,8 @@ def exported(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "diff_published": diff_published,
     "diff_stored": diff_stored,
+    "diff_imported": diff_imported,
+    "publish_evidence": publish_evidence,
     "diff_planted": planted_entries,
     "diff_planted_groups": lambda s, d: planted(s, d)["groups"],
     "file_changes": lambda s, d: projections.file_changes(compared(s, d)["entries"]),
@@ -227,6 +253,11 @@ _reused = f"doc_id % {RULES['reused'][0]} = {RULES['reused'][1]}"
 
 ORACLE_SQL = {
     "diff_published": DIFF_SQL["diff_entries"],
+    "diff_imported": DIFF_SQL["diff_entries"],
+    "publish_evidence": f"""WITH {SIDES.strip()}, s AS (SELECT 'seen_' || event_type AS key, count(*) AS n FROM events GROUP BY ALL UNION ALL SELECT 'snapshot_sealed', 1) SELECT 'event' AS section, key, n AS value FROM s UNION ALL SELECT 'last', 'snapshot_sealed', CAST(sum(n) AS BIGINT) FROM s UNION ALL SELECT 'name', 'is fingerprint', 1
+        UNION ALL SELECT 'count', section || '.' || key, n FROM (SELECT 'total' AS section, 'entries' AS key, count(*) AS n FROM n UNION ALL SELECT 'total', 'bytes', CAST(coalesce(sum(size), 0) AS BIGINT) FROM n UNION ALL SELECT 'total', 'dirs', count(*) FROM nd UNION ALL SELECT 'total', 'errors', 0
+          UNION ALL SELECT 'total', 'dir_errors', count(*) FROM nd WHERE root = '{FAILED_ROOT}' AND path = '{FAILED_DIR}' UNION ALL SELECT 'total', 'failed_roots', 0 UNION ALL SELECT 'kind', 'other', count(*) FROM n HAVING count(*) > 0 UNION ALL SELECT 'meta_status', 'done', count(*) FROM n HAVING count(*) > 0
+          UNION ALL SELECT 'hash_status', CASE WHEN unstable THEN 'unstable' ELSE 'done' END, count(*) FROM n GROUP BY ALL)""",
     "diff_stored": DIFF_SQL["diff_status_evidence"],
     "diff_planted": f"""WITH {PLANTED.strip()} SELECT path AS path_key, root AS old_root, root AS new_root, path AS old_path, path AS new_path, 'unchanged' AS status, 'propagated_single_computation' AS evidence, CAST(NULL AS VARCHAR) AS reason FROM o WHERE doc_id % 43 <> 6
         UNION ALL SELECT path, root, NULL, path, NULL, 'unknown', 'insufficient', 'path_key_collision' FROM c UNION ALL SELECT path, NULL, root, NULL, path, 'unknown', 'insufficient', 'path_key_collision' FROM c UNION ALL SELECT path, NULL, root, NULL, upper(path), 'unknown', 'insufficient', 'path_key_collision' FROM c

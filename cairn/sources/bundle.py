@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-import sqlite3
-from collections.abc import Iterator
+import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from cairn.operators import issues
+from cairn.operators.ranking import ranked
 
 from .files import file_digests
-from .schemas import CHECKS, COMPARISON, KEYS, REFERENCES, TABLES
+from .schemas import CHECKS, COMPARISON, EVIDENCE, KEYS, REFERENCES, TABLES
+from .storage import stored
 
 Bundle = dict[str, DataFrame]
+#: Tables of a snapshot that lie by root, so that what changes in one root is written alone.
+PARTED = ("dirs", "entries", "hashes", "raw_payloads", "metadata_diagnostics", "errors", "entry_attempts", "read_performance", "format_checks")
 MANIFEST = "table string, files bigint, bytes bigint, digest string"
 
 
@@ -37,32 +40,113 @@ def _described(spark: SparkSession, path: str, tables: list[str]) -> DataFrame:
     return out
 
 
-def _publish(tables: Bundle, info: tuple[str, DataFrame], path: str, parted: tuple[str, ...] = ()) -> None:
-    """Tables, then their manifest, then the one row that seals the folder."""
-    spark = info[1].sparkSession
-    for name, df in tables.items():
-        (df.write.partitionBy("root_label") if name in parted else df.write).mode("errorifexists").parquet(f"{path}/{name}")
-    _described(spark, path, list(tables)).write.mode("errorifexists").parquet(f"{path}/manifest")
-    info[1].write.mode("errorifexists").parquet(f"{path}/{info[0]}")
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Eight hexadecimal digits that stand for what a folder's manifest declares; they end the folder's name."""
+    rows = stored_tables(spark, path).agg(F.upper(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "table", "files", "bytes", "digest"))), "\n"), 256), 1, 8)))
+    return rows.first()[0]
+
+
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's file system for a path, and the path in its terms."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def published_as(spark: SparkSession, path: str) -> list[str]:
+    """The folders that ``path`` was published as: its name and a fingerprint."""
+    fs, _ = _file_system(spark, path)
+    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}_" + "[0-9A-F]" * 8)) or []
+    return sorted(str(x.getPath()) for x in found)
+
+
+def clear_partial(spark: SparkSession, path: str) -> int:
+    """Delete what tries to publish ``path`` have left that were cut off with their driver; none may be running. Returns how many there were."""
+    fs, _ = _file_system(spark, path)
+    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}.partial-*")) or []
+    for x in found:
+        fs.delete(x.getPath(), True)
+    return len(found)
+
+
+def _publish(tables: Bundle, path: str, parted: tuple[str, ...] = ()) -> str:
+    """Write tables and their manifest to a folder of this try, then give it its name, which ends in the manifest's fingerprint, by one rename.
+
+    A try that fails deletes its folder; one that is cut off leaves a folder that no later try meets (see ``clear_partial``).
+    """
+    spark = next(iter(tables.values())).sparkSession
+    if there := published_as(spark, path):
+        raise FileExistsError(f"{there[0]} exists")
+    partial = f"{path}.partial-{uuid.uuid4().hex}"
+    fs, source = _file_system(spark, partial)
+    try:
+        for name, df in tables.items():
+            (df.write.partitionBy("root_label") if name in parted else df.write).parquet(f"{partial}/{name}")
+        _described(spark, partial, list(tables)).write.parquet(f"{partial}/manifest")
+        final = f"{path}_{fingerprint(spark, partial)}"
+        if not fs.rename(source, _file_system(spark, final)[1]):
+            raise FileExistsError(f"{final} can't be given its name")
+    except BaseException:
+        fs.delete(source, True)
+        raise
+    return final
 
 
 def _read(spark: SparkSession, path: str, schemas: dict[str, str], info: str, wanted: list[str] | None, verify: bool) -> Bundle:
-    sealed = spark.read.schema(schemas[info]).parquet(f"{path}/{info}")
-    if sealed.where("status = 'complete'").isEmpty():
+    have = [r.table for r in stored_tables(spark, path).collect()]  # a row a table
+    if info not in have or spark.read.schema(schemas[info]).parquet(f"{path}/{info}").where("status = 'complete'").isEmpty():
         raise ValueError(f"{path} isn't sealed")
-    have = [r.table for r in stored_tables(spark, path).collect()]
-    if missing := sorted(set(wanted or []) - set(have) - {info}):
+    if missing := sorted(set(wanted or []) - set(have)):
         raise ValueError(f"{path} has no {missing}")
+    if verify and not path.rstrip("/").endswith("_" + fingerprint(spark, path)):
+        raise ValueError(f"{path}: its name isn't the fingerprint of its manifest")
     if verify and (bad := check_folder(spark, path)):
         raise ValueError(f"{path}: {bad} aren't as the manifest declares")
-    return {info: sealed} | {t: spark.read.schema(schemas[t]).parquet(f"{path}/{t}") for t in wanted or have if t != info}
+    return {t: spark.read.schema(schemas[t]).parquet(f"{path}/{t}") for t in [info, *(wanted or [t for t in have if t not in EVIDENCE])]}
 
 
 def read_snapshot(spark: SparkSession, path: str, tables: list[str] | None = None, verify: bool = False) -> Bundle:
-    """The tables of a snapshot's folder, each with its schema; a folder without a seal is refused. ``verify`` reads all files and holds them against the manifest."""
+    """The tables of a snapshot's folder, each with its schema; a folder without a seal is refused. ``verify`` reads all files and holds them against the manifest, and that against the folder's name."""
     return _read(spark, path, TABLES, "snapshot_info", tables, verify)
 
 
+def read_evidence(spark: SparkSession, path: str) -> Bundle:
+    """What a published folder says of its own making: snapshot_manifest (one JSON document) and run_events."""
+    return {t: spark.read.schema(kind).parquet(f"{path}/{t}") for t, kind in EVIDENCE.items()}
+
+
+def evidence(bundle: Bundle, stem: str, events: DataFrame | None = None, document: dict | None = None) -> Bundle:
+    """snapshot_manifest and run_events of a described bundle that is to be published.
+
+    events: value (a line of JSON) and event, as ``journals.read_journal`` gives
+    them; they are numbered by their time and text, and the seal is the last one.
+    document: what the caller's own manifest says besides.
+    """
+    spark = bundle["snapshot_info"].sparkSession
+    if events is None:
+        events = spark.createDataFrame([], "value string, event string")
+    said = F.from_json("value", "map<string,variant>")
+    stamp = F.try_variant_get(F.try_element_at(said, F.lit("ts")), "$", "string")
+    told = events.select(stamp.alias("occurred_at_utc"), "event", F.to_json(F.map_filter(said, lambda k, v: ~k.isin("ts", "event"))).alias("payload_json"))
+    # Equal lines are told apart, so that each has a number.
+    told = ranked(told.withColumn("_all", F.lit(0)).withColumn("_id", F.monotonically_increasing_id()), "_all", ["occurred_at_utc", "event", "payload_json", "_id"], "event_seq").drop("_all", "_id")
+    told = stored(told, "run-events")
+    info = bundle["snapshot_info"]
+    n = told.count()
+    name = stem.rstrip("/").rsplit("/", 1)[-1]
+    naming = {"snapshot_stem": name, "filename_pattern": f"{name}_<first 8 hex digits of the manifest's SHA-256, upper case>"}
+    seal = info.select(F.lit(n + 1).cast("long").alias("event_seq"), F.col("finished_at_utc").alias("occurred_at_utc"), F.lit("snapshot_sealed").alias("event"), F.lit(json.dumps(naming)).alias("payload_json"))
+    labels = bundle["roots"].agg(F.array_sort(F.collect_list("root_label")).alias("labels"))  # roots: a few
+    fields = ["snapshot_uuid", "schema_version", "tool_version", "started_at_utc", "finished_at_utc", "path_key_rule", "hash_coverage", "has_file_issues", "has_unstable", "has_gaps"]
+    counts = F.from_json("counts_json", "map<string,bigint>")
+    made = info.join(labels, F.lit(True)).select(
+        F.to_json(F.struct(
+            F.lit(1).alias("manifest_version"), *fields, F.col("labels").alias("root_labels"), counts.alias("counts"), F.struct(F.lit(n + 1).alias("count"), F.lit("run_events").alias("table")).alias("events"),
+            F.struct(F.lit("sha256").alias("algorithm"), F.lit(32).alias("bits_in_name")).alias("integrity"), *[F.lit(v).alias(k) for k, v in naming.items()], F.lit(json.dumps(document or {})).alias("run"),
+        )).alias("manifest_json"), F.col("finished_at_utc").alias("embedded_at_utc"),
+    )
+    return {"snapshot_manifest": made, "run_events": told.select(*seal.columns).unionByName(seal)}
+
+
 def described(bundle: Bundle) -> Bundle:
     """The bundle whose snapshot_info declares its flags and counts (JSON by section and key)."""
     errors = bundle["errors"] if "errors" in bundle else bundle["entries"].select(F.lit(None).cast("string").alias("error_code"), F.lit(None).cast("string").alias("message")).where("false")
@@ -75,17 +159,20 @@ def described(bundle: Bundle) -> Bundle:
     return bundle | {"snapshot_info": info.select(*bundle["snapshot_info"].columns)}
 
 
-def publish_snapshot(bundle: Bundle, path: str) -> None:
-    """Write a snapshot that the seal gate lets pass; never over another one. snapshot_info is written last and seals it, behind a manifest of all files."""
+def publish_snapshot(bundle: Bundle, path: str, events: DataFrame | None = None, document: dict | None = None) -> str:
+    """Write a snapshot that the seal gate lets pass, with its manifest and events, and return the folder: ``path`` and a fingerprint.
+
+    A name is published once. The folder is complete when it gets its name (on stores that rename in one step; elsewhere the manifest tells).
+    """
     gate = seal_gate(bundle).first()
     if any(gate.asDict().values()):
         raise ValueError(f"not ready: {gate.asDict()}")
-    _publish({t: df for t, df in bundle.items() if t != "snapshot_info"}, ("snapshot_info", bundle["snapshot_info"]), path, ("entries", "hashes"))
+    return _publish(bundle | evidence(bundle, path, events, document), path, PARTED)
 
 
-def publish_comparison(found: Bundle, info: DataFrame, path: str) -> None:
-    """Write a comparison (entries, groups, dirs, subtrees) and its diff_info, which seals it."""
-    _publish(found, ("diff_info", info), path)
+def publish_comparison(found: Bundle, info: DataFrame, path: str) -> str:
+    """Write a comparison (entries, groups, dirs, subtrees) and its diff_info, and return the folder: ``path`` and a fingerprint."""
+    return _publish(found | {"diff_info": info}, path)
 
 
 def read_comparison(spark: SparkSession, path: str, verify: bool = False) -> Bundle:
@@ -192,41 +279,3 @@ def input_identity(spark: SparkSession, path: str) -> DataFrame:
 
 def input_unchanged(before: DataFrame, after: DataFrame) -> bool:
     return before.exceptAll(after).isEmpty() and after.exceptAll(before).isEmpty()
-
-
-class SqliteSource(DataSource):
-    """Import of one table of a SQLite file: options path, table and rows (of a partition, by rowid)."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "snapshot_sqlite"
-
-    def schema(self) -> str:
-        kinds = {"INTEGER": "bigint", "REAL": "double", "BLOB": "binary"}
-        with sqlite3.connect(f"file:{self.options['path']}?mode=ro", uri=True) as con:
-            return ", ".join(f"`{r[1]}` {kinds.get(r[2].upper(), 'string')}" for r in con.execute(f'PRAGMA table_info("{self.options["table"]}")'))
-
-    def reader(self, schema) -> DataSourceReader:
-        return SqliteReader(self.options)
-
-
-class RowRange(InputPartition):
-    def __init__(self, low: int, high: int):
-        self.low, self.high = low, high
-
-
-class SqliteReader(DataSourceReader):
-    def __init__(self, options: dict[str, str]):
-        self.path, self.table, self.rows = options["path"], options["table"], int(options.get("rows", "500000"))
-
-    def _open(self) -> sqlite3.Connection:
-        return sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
-
-    def partitions(self) -> list[InputPartition]:
-        with self._open() as con:
-            low, high = con.execute(f'SELECT coalesce(min(rowid), 0), coalesce(max(rowid), -1) FROM "{self.table}"').fetchone()
-        return [RowRange(k, min(high, k + self.rows - 1)) for k in range(low, high + 1, self.rows)] or [RowRange(0, -1)]
-
-    def read(self, partition: RowRange) -> Iterator[tuple]:
-        with self._open() as con:
-            yield from con.execute(f'SELECT * FROM "{self.table}" WHERE rowid BETWEEN ? AND ?', (partition.low, partition.high))

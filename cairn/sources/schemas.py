@@ -13,6 +13,14 @@ TABLES = {
     "metadata_diagnostics": "root_label string, rel_path string, diagnostic_pk bigint, provider string, severity string, diagnostic_code string, field_name string, message string, raw_value string, observed_at_utc string",
     "errors": "root_label string, rel_path string, is_dir int, error_pk bigint, stage string, error_code string, message string, occurred_at_utc string",
     "entry_attempts": "root_label string, rel_path string, attempt_id bigint, session_id string, stage string, attempt_number bigint, status string, tool_name string, started_at_utc string, ended_at_utc string, bytes_read bigint, end_reason string, error_code string, error_message string, result_json string",
+    "read_performance": "root_label string, rel_path string, attempt_id bigint, session_id string, stage string, origin string, size_bytes bigint, bytes_read bigint, elapsed_seconds double, active_read_seconds double, stall_count bigint, longest_stall_seconds double, final_offset bigint, ended_reason string, candidate_confidence string, candidate_reason string, recorded_at_utc string",
+    "format_checks": "root_label string, rel_path string, attempt_id bigint, validator string, status string, stat_match int, detail string, checked_at_utc string",
+}
+
+#: What a published snapshot says of its own making.
+EVIDENCE = {
+    "snapshot_manifest": "manifest_json string, embedded_at_utc string",
+    "run_events": "event_seq bigint, occurred_at_utc string, event string, payload_json string",
 }
 
 #: Tables of a stored comparison.

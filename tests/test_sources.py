@@ -6,6 +6,8 @@ import hashlib
 import io
 import json
 import os
+import pathlib
+import shutil
 import sqlite3
 import zipfile
 import zlib
@@ -14,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.plans import projections
-from cairn.sources import bundle, files, journals, schemas
+from cairn.sources import bundle, files, journals, schemas, sqlite
 from cairn.streaming import journal
 
 
@@ -112,9 +114,11 @@ def snapshot(spark, **more):
 
 def test_bundle(spark, tmp_path):
     path = str(tmp_path / "snap")
-    bundle.publish_snapshot(snapshot(spark), path)
+    stem = path
+    path = bundle.publish_snapshot(snapshot(spark), stem)
+    assert path == f"{stem}_{bundle.fingerprint(spark, path)}" and len(path) == len(stem) + 9
     with pytest.raises(Exception, match="(?i)exists"):
-        bundle.publish_snapshot(snapshot(spark), path)
+        bundle.publish_snapshot(snapshot(spark), stem)
     read = bundle.read_snapshot(spark, path, ["entries", "hashes"])
     assert read["entries"].first().rel_path == "a"
     manifest = projections.file_manifest(read["entries"], read["hashes"]).first()
@@ -122,11 +126,13 @@ def test_bundle(spark, tmp_path):
     assert set(bundle.read_snapshot(spark, path, verify=True)) == {"snapshot_info", "roots", "entries", "hashes"}
     with pytest.raises(ValueError):
         bundle.publish_snapshot(snapshot(spark, hash_status="pending"), str(tmp_path / "other"))
-    bundle.publish_snapshot(snapshot(spark), str(tmp_path / "damaged"))
-    next((tmp_path / "damaged/roots").glob("part-*")).unlink()
-    assert bundle.check_folder(spark, str(tmp_path / "damaged")) == ["roots"]
+    damaged = pathlib.Path(bundle.publish_snapshot(snapshot(spark), str(tmp_path / "damaged")))
+    next((damaged / "roots").glob("part-*")).unlink()
+    assert bundle.check_folder(spark, str(damaged)) == ["roots"]
     with pytest.raises(ValueError):
-        bundle.read_snapshot(spark, str(tmp_path / "damaged"), verify=True)
+        bundle.read_snapshot(spark, str(damaged), verify=True)
+    with pytest.raises(ValueError, match="fingerprint"):
+        bundle.read_snapshot(spark, str(shutil.copytree(path, tmp_path / "snap_00000000")), verify=True)
     with pytest.raises(ValueError):
         bundle.read_snapshot(spark, path, ["dirs"])
     broken = snapshot(spark, size_bytes=-1, root_label="q")
@@ -137,15 +143,75 @@ def test_bundle(spark, tmp_path):
     assert states == {"a": "available", "b": "empty", "c": "unavailable", "a2": "unavailable", "d": "unavailable"}
 
 
+def test_publishing_in_two_phases(spark, tmp_path):
+    """A try that fails between tables leaves nothing; the next one publishes tables, manifest and events under one name."""
+    stem = str(tmp_path / "two")
+    good = bundle.described(snapshot(spark) | {"dirs": spark.createDataFrame([("r", "", "", "ok", None, 1, 0, 0, None)], schemas.TABLES["dirs"])})
+    fails = good["hashes"].withColumn("hash_hex", F.when(F.col("status") == "valid", F.raise_error(F.lit("the disk is full")).cast("string")))
+    with pytest.raises(Exception, match="disk is full"):
+        bundle.publish_snapshot(good | {"hashes": fails}, stem)
+    assert os.listdir(tmp_path) == [] and bundle.published_as(spark, stem) == []
+    (tmp_path / "two.partial-1").mkdir()  # of a driver that was lost
+    events = spark.createDataFrame([('{"event":"start","ts":"2024-01-01","root":"r"}', "start"), ('{"event":"end","ts":"2024-01-02"}', "end")], "value string, event string")
+    path = bundle.publish_snapshot(good, stem, events, {"host": "h"})
+    found = bundle.read_evidence(spark, path)
+    assert [(r.event_seq, r.event, json.loads(r.payload_json).get("root")) for r in found["run_events"].orderBy("event_seq").collect()] == [(1, "start", "r"), (2, "end", None), (3, "snapshot_sealed", None)]
+    document = json.loads(found["snapshot_manifest"].first().manifest_json)
+    assert document["root_labels"] == ["r"] and document["counts"]["total.entries"] == 1 and document["events"]["count"] == 3 and json.loads(document["run"]) == {"host": "h"}
+    assert bundle.read_snapshot(spark, path, verify=True)["entries"].count() == 1
+    assert bundle.clear_partial(spark, stem) == 1 and [os.path.basename(path)] == os.listdir(tmp_path)
+
+
 def test_sqlite(spark, tmp_path):
     path = str(tmp_path / "s.sqlite")
     with sqlite3.connect(path) as con:
         con.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, name TEXT, x REAL, p BLOB)")
         con.executemany("INSERT INTO t VALUES (?, ?, ?, ?)", [(i, f"n{i}", i / 2, zlib.compress(b'{"a":1}')) for i in range(10)])
-    spark.dataSource.register(bundle.SqliteSource)
-    df = spark.read.format("snapshot_sqlite").option("path", path).option("table", "t").option("rows", "3").load()
-    assert df.count() == 10 and df.rdd.getNumPartitions() == 4
+    df = sqlite.table(spark, path, "t", rows=3)
+    assert df.count() == 10 and df.where("id < 3").count() == 3 and df.count() == 10
     assert {r[0] for r in df.select(files.inflate("p")).collect()} == {'{"a":1}'}
+    few = sqlite.table(spark, path, "t", ["name", "x"], "x >= 3.5 and name <> 'n9'", rows=3)
+    assert sorted(r.name for r in few.collect()) == ["n7", "n8"] and few.columns == ["name", "x"]
+
+
+def test_sqlite_reads_what_is_asked(tmp_path):
+    """Pushed filters and columns are in the statement; tables without row numbers and sparse ones are cut to parts of the size."""
+    path = str(tmp_path / "s.sqlite")
+    with sqlite3.connect(path) as con:
+        con.execute("CREATE TABLE w (a TEXT, b INTEGER, c TEXT, PRIMARY KEY (a, b)) WITHOUT ROWID")
+        con.executemany("INSERT INTO w VALUES (?, ?, ?)", [(f"k{i % 3}", i, "c") for i in range(100)])
+        con.execute("CREATE TABLE sparse (id INTEGER PRIMARY KEY, v TEXT)")
+        con.executemany("INSERT INTO sparse VALUES (?, ?)", [(i**6, "v") for i in range(50)])
+        con.execute("CREATE TABLE none (id INTEGER PRIMARY KEY)")
+    made = sqlite.SqliteReader({"path": path, "table": "w", "rows": "7"}, ["b", sqlite.FILE])
+    filters = [sqlite.EqualTo(("a",), "k1"), sqlite.GreaterThan(("b",), 50), sqlite.In(("c",), ("c", "d")), sqlite.IsNotNull(("b",)), sqlite.EqualTo((sqlite.FILE,), "x")]
+    assert list(made.pushFilters(filters)) == filters  # Spark looks again
+    parts = made.partitions()
+    text, values = made.statement(parts[1])
+    assert text.startswith('SELECT "b" FROM "w" WHERE') and values[:4] == ["k1", 50, "c", "d"] and len(parts) == 15
+    assert sorted(r for p in parts for r in made.read(p)) == [(i, path) for i in range(51, 100) if i % 3 == 1]
+    for name, n, most in (("sparse", 50, 8), ("none", 0, 1)):
+        reader = sqlite.SqliteReader({"path": path, "table": name, "rows": "7"}, ["id"])
+        assert sum(1 for p in reader.partitions() for _ in reader.read(p)) == n and len(reader.partitions()) <= most
+
+
+def test_import(spark, tmp_path):
+    """Rows of entries, of directories and of roots; numbers mean something in their file only."""
+    for k in (1, 2):
+        with sqlite3.connect(str(tmp_path / f"{k}.sqlite")) as con:
+            con.executescript(f"""CREATE TABLE snapshot_info (id INTEGER PRIMARY KEY, snapshot_uuid TEXT, scan_status TEXT, path_key_rule INTEGER); INSERT INTO snapshot_info VALUES (1, 'u', 'complete', 1);
+                CREATE TABLE roots (root_id INTEGER PRIMARY KEY, root_label TEXT, enum_status TEXT); INSERT INTO roots VALUES ({3 - k}, 'r', 'ok'), ({k}, 's', 'ok');
+                CREATE TABLE dirs (dir_id INTEGER PRIMARY KEY, root_id INTEGER, rel_path TEXT, path_key TEXT, enum_status TEXT); INSERT INTO dirs VALUES (1, {3 - k}, 'd{k}', 'd{k}', 'ok');
+                CREATE TABLE entries (entry_id INTEGER PRIMARY KEY, root_id INTEGER, rel_path TEXT, path_key TEXT, size_bytes INTEGER); INSERT INTO entries VALUES (1, {3 - k}, 'a{k}', 'a{k}', {k}), (2, {k}, 'b{k}', 'b{k}', 9);
+                CREATE TABLE hashes (entry_id INTEGER, algorithm TEXT, hash_hex TEXT, PRIMARY KEY (entry_id, algorithm)) WITHOUT ROWID; INSERT INTO hashes VALUES (2, 'sha256', 'h{k}');
+                CREATE TABLE errors (error_pk INTEGER PRIMARY KEY, entry_id INTEGER, dir_id INTEGER, error_code TEXT); INSERT INTO errors VALUES (1, 1, NULL, 'x'), (2, NULL, 1, 'y'), (3, NULL, NULL, 'z');""")
+    found = sqlite.import_snapshot(spark, str(tmp_path), rows=1)
+    rows = lambda t, *c: sorted((tuple(r) for r in found[t].select(*c).collect()), key=str)
+    assert set(found) == {"snapshot_info", "roots", "dirs", "entries", "hashes", "errors"}
+    assert rows("snapshot_info", "snapshot_uuid", "status") == [("u", "complete")] and rows("roots", "root_label") == [("r",), ("s",)]
+    assert rows("entries", "root_label", "rel_path", "size_bytes") == [("r", "a1", 1), ("r", "a2", 2), ("s", "b1", 9), ("s", "b2", 9)]
+    assert rows("hashes", "root_label", "rel_path", "hash_hex") == [("s", "b1", "h1"), ("s", "b2", "h2")]
+    assert rows("errors", "root_label", "rel_path", "is_dir", "error_code")[:4] == [("r", "a1", 0, "x"), ("r", "a2", 0, "x"), ("r", "d1", 1, "y"), ("r", "d2", 1, "y")]
 
 
 def test_exports(spark, tmp_path):
