@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -21,11 +22,26 @@ ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """``mapInArrow`` over batches that are bounded by bytes as well as by rows."""
+    """``mapInArrow`` over batches that are bounded by bytes as well as by rows. A worker, which lives on, gives back what a task's batches took."""
     key, most = ARROW_BYTES
     if df.sparkSession.conf.get(key, None) is None:
         df.sparkSession.conf.set(key, most)
-    return df.mapInArrow(run, schema)
+
+    def then_released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(then_released, schema)
+
+
+def release() -> None:
+    """Give memory that nothing uses any more back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:

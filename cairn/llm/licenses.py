@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,9 @@ KNOWN = [
     ("GPL-3.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
 ]
 
+#: The same with bullets for numbers, and with "and" for "and/or", as many projects have them.
+KNOWN += [(name, changed) for name, text in KNOWN for changed in {re.sub(r"(?m)^[0-9][.] ", "* ", text), text.replace("and/or distribute", "and distribute")} - {text}]
+
 #: Entire long licences, as their stewards publish them: SPDX name, first words, number of words and digest of the canonical form.
 LONG = [
     ("Apache-2.0", "apache license v2", 1588, "8a02440038a1db8c38b92b4eb8628eed7c1af01f3a5eb8a02097c7860dbc7c1b"),
@@ -70,12 +75,16 @@ BLOCK_WORDS = 20
 #: whole texts and lines; only what joins "copyright holder" and the like takes a line feed, so that a line that begins with
 #: these words isn't taken for a copyright line. Replacements hold no groups: they mean the same to Spark and to SQL engines
 #: with RE2. Both sides of a comparison go through them, so an equivalent spelling may become any one form.
+# The names that a licence gives its holder and authors may go over the end of a line, and the line's end goes with them.
 SPELLINGS = [
     ("copyright[^a-z0-9]+owner", "copyrightholder"),
     ("copyright[^a-z0-9]+holder", "copyrightholder"),
     ("copyright[^a-z0-9]+notice", "copyrightnotice"),
     ("copyright[^a-z0-9]+license", "copyrightlicense"),
     ("copyright[^a-z0-9]+law", "copyrightlaw"),
+    ("neither the name of [^.]{1,120}? nor the names", "neither the name of copyrightholder nor the names"),
+    ("software is provided by [^.]{1,120}? [^a-z0-9\n]*as is", "software is provided by copyrightholder as is"),
+    ("in no event shall [^.]{1,120}? be liable", "in no event shall copyrightholder be liable"),
     ("licence", "license"),
     ("isation", "ization"),
     ("avour", "avor"),
@@ -129,14 +138,14 @@ def known_digests(known: DataFrame) -> DataFrame:
 
 
 def embedded(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id and license_id of the known texts (``found``: doc_id and a known text that may be there) that a document holds from the start of one of its lines on."""
+    """_key and license_id of the known texts (``found``: _key and a known text that may be there) that a document holds from the start of one of its lines on."""
     lines = F.filter(canonical_lines(F.col("text")), lambda x: x != "")
     marked = F.split(F.array_join(F.transform(lines, lambda x: F.concat(F.lit(MARK), x)), " "), " ")
     starts = F.array_compact(F.transform("marked", lambda w, i: F.when(w.startswith(MARK), i + 1)))
-    words = docs.select(F.col("doc_id").alias("_doc"), marked.alias("marked")).select("_doc", starts.alias("starts"), F.transform("marked", lambda w: F.ltrim(w, F.lit(MARK))).alias("words"))
-    both = words.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")))
+    words = docs.select("_key", marked.alias("marked")).select("_key", starts.alias("starts"), F.transform("marked", lambda w: F.ltrim(w, F.lit(MARK))).alias("words"))
+    both = words.join(found, "_key")
     held = F.exists("starts", lambda at: (F.array_join(F.slice("words", at, HEAD), " ") == F.col("head")) & (digest(F.array_join(F.slice("words", at, F.col("n_words")), " ")) == F.col("digest")))
-    return both.where(held).select("doc_id", "license_id").distinct()
+    return both.where(held).select("_key", "license_id").distinct()
 
 
 def scan(docs: DataFrame, known: DataFrame, long_texts: DataFrame | None = None) -> DataFrame:
@@ -150,8 +159,8 @@ def scan(docs: DataFrame, known: DataFrame, long_texts: DataFrame | None = None)
     embedded_licenses (names of known texts of at least BLOCK_WORDS words that
     it holds from the start of a line on, whatever its comment marks and however
     its lines are cut, if the first holds HEAD words). A null or empty text has no
-    lines and no licence; rows with the same doc_id, null included, share their
-    hits; an empty table stays empty; other columns of ``docs`` are left out.
+    lines and no licence; rows with the same doc_id share their
+    hits, rows without one are told apart by their texts; an empty table stays empty; other columns of ``docs`` are left out.
     Known texts that are null never match.
     """
     table = known_digests(known)
@@ -161,27 +170,28 @@ def scan(docs: DataFrame, known: DataFrame, long_texts: DataFrame | None = None)
     # Known texts have a proven size only if they are counted.
     few = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     wanted = F.broadcast(table) if few else table
-    lines = docs.select("doc_id", F.filter(canonical_lines(F.col("text")), lambda x: x != "").alias("lines"))
+    docs = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2(F.coalesce("text", F.lit("")), 256))).alias("_key"))
+    lines = docs.select("doc_id", "_key", F.filter(canonical_lines(F.col("text")), lambda x: x != "").alias("lines"))
     # The whole text travels as a unit of its own; a text of one line is both.
-    units = lines.select("doc_id", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("whole"), whole(F.col("lines")).alias("unit"))), F.transform("lines", lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit"))))).alias("u"))
-    units = units.select("doc_id", "u.whole", "u.unit", head(F.col("u.unit")).alias("head"))
+    units = lines.select("_key", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("whole"), whole(F.col("lines")).alias("unit"))), F.transform("lines", lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit"))))).alias("u"))
+    units = units.select("_key", "u.whole", "u.unit", head(F.col("u.unit")).alias("head"))
     exact = digest(F.col("unit")) == F.col("digest")
     begun = ~F.col("whole") & (F.col("n_words") >= BLOCK_WORDS)
-    hits = stored(units.join(wanted, "head").withColumn("exact", exact).where(F.col("exact") | begun).select("doc_id", "whole", "exact", "license_id", "head", "n_words", "digest"), "hits")
+    hits = stored(units.join(wanted, "head").withColumn("exact", exact).where(F.col("exact") | begun).select("_key", "whole", "exact", "license_id", "head", "n_words", "digest"), "hits")
     # Documents with a line that begins a known text are few; those alone are read again.
-    begin = hits.where(begun).select("doc_id", "license_id", "head", "n_words", "digest").distinct()
-    ids = begin.select(F.col("doc_id").alias("_id")).distinct()
+    begin = hits.where(begun).select("_key", "license_id", "head", "n_words", "digest").distinct()
+    ids = begin.select("_key").distinct()
     if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
-    inside = embedded(docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"), begin)
+    inside = embedded(docs.join(ids, "_key", "left_semi"), begin)
     names = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
-    lone = hits.where("exact").select("doc_id", "whole", "license_id", F.lit(False).alias("inside")).unionByName(inside.select("doc_id", F.lit(True).alias("whole"), "license_id", F.lit(True).alias("inside")))
-    found = lone.groupBy(F.col("doc_id").alias("_doc")).agg(
+    lone = hits.where("exact").select("_key", "whole", "license_id", F.lit(False).alias("inside")).unionByName(inside.select("_key", F.lit(True).alias("whole"), "license_id", F.lit(True).alias("inside")))
+    found = lone.groupBy("_key").agg(
         F.count_if(~F.col("whole")).alias("n_hits"), names(F.when(~F.col("whole"), F.col("license_id"))).alias("license_ids"), names(F.when(F.col("whole") & ~F.col("inside"), F.col("license_id"))).alias("whole_license"), names(F.when(F.col("inside"), F.col("license_id"))).alias("embedded_licenses")
     )
-    base = lines.select("doc_id", F.size("lines").cast("long").alias("n_lines"))
+    base = lines.select("doc_id", "_key", F.size("lines").cast("long").alias("n_lines"))
     text = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    return base.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").select("doc_id", "n_lines", F.coalesce("n_hits", F.lit(0)).alias("n_hits"), text("license_ids"), text("whole_license"), text("embedded_licenses"))
+    return base.join(found, "_key", "left").select("doc_id", "n_lines", F.coalesce("n_hits", F.lit(0)).alias("n_hits"), text("license_ids"), text("whole_license"), text("embedded_licenses"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

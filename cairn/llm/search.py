@@ -26,8 +26,10 @@ K1, B, TOP = 1.2, 0.75, 10
 SHARD_DOCS, SHARD_POSTINGS, BLOCK = 8192, 1 << 21, 64
 #: Shards of at most so many postings together are held at once, so that a query's bar is carried from one to the next.
 GROUP_POSTINGS = 1 << 22
-#: Blocks that are scored in one go before the bar is looked at again: at first, and at most.
+#: Blocks that are looked at in one go before the bar is looked at again: at first, and at most.
 FIRST, WINDOW = 8, 128
+#: Lists, those that can give most, that tell where a shard's first bar comes from.
+HEAVY = 8
 #: Bits of the filter of query terms (4 MB, whatever the input): terms that no query has needn't be indexed.
 FILTER_BITS = 1 << 25
 MEMORY_WORDS = 300_000
@@ -163,6 +165,13 @@ def frequencies(index: DataFrame) -> DataFrame:
     return in_arrow(parts, sums, "term long, df long")
 
 
+def ragged(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers from each of ``low`` up to ``high``, one run after another, and the runs' lengths."""
+    n = high - low
+    ends = np.cumsum(n)
+    return np.arange(ends[-1]) + np.repeat(low - ends + n, n), n
+
+
 class Best:
     """The best documents of a query so far, better ones first, ties by id, null ids last."""
 
@@ -183,7 +192,7 @@ class Best:
 
 
 class Index:
-    """A shard's postings with impacts, cut where blocks end. ``blocks_scored`` of ``blocks_met`` blocks were not skipped."""
+    """A shard's postings with impacts, cut where blocks end. ``blocks_scored`` of ``blocks_met`` blocks were not skipped, and ``entries_read`` of ``entries_met`` entries of lists were looked at."""
 
     def __init__(self, row: dict, mean: float):
         self.ids = row["ids"].fill_null(0).to_numpy(zero_copy_only=False)
@@ -204,17 +213,18 @@ class Index:
         self.first = np.searchsorted(self.keys, np.arange(len(self.terms) + 1) * self.n_blocks)
         self.most = np.maximum.reduceat(self.largest, self.first[:-1]) if len(starts) else np.zeros(0)
         self.block, self.count = self.keys % self.n_blocks, np.diff(self.starts).astype(np.int32)
-        self.blocks_met = self.blocks_scored = 0
+        self.blocks_met = self.blocks_scored = self.entries_met = self.entries_read = 0
 
     def top(self, terms: np.ndarray, idf: np.ndarray, best: Best) -> None:
-        """Block-max WAND: put into ``best`` whatever of this shard belongs there.
+        """Block-max WAND, some blocks at a time: put into ``best`` whatever of this shard belongs there.
 
-        Every term has a cursor. Cursors are ordered by the document they stand at;
+        Every list has a cursor. Cursors are ordered by the document they stand at;
         the pivot is the first at which the largest impacts of the lists so far add
-        up to the bar, and nothing before it is looked at. From the pivot's block on,
-        blocks are skipped whose own largest impacts don't add up to the bar. The next
-        blocks that can't be skipped are scored together, more of them each time, and
-        the bar rises before cursors move on.
+        up to the bar. No list is read before the pivot's block: cursors move there
+        without a look at what they pass. From there on the lists' own entries of the next blocks are
+        read; blocks whose largest impacts don't add up to the bar are skipped, the
+        others are scored together. Then the bar has risen, and the next pivot is
+        looked for from behind these blocks, with more of them each time.
         """
         at = np.searchsorted(self.terms, terms)
         found = np.flatnonzero(at < len(self.terms))
@@ -224,52 +234,54 @@ class Index:
         mine, weight = at[found], idf[found]
         lists = weight * self.most[mine] * HAIR
         self.blocks_met += self.n_blocks
-        bar = best.bar()
-        if lists.sum() < bar:
-            return
-        low, n = self.first[mine], self.first[mine + 1] - self.first[mine]
-        ends = np.cumsum(n)
-        entries = np.arange(ends[-1]) + np.repeat(low - ends + n, n)
-        blocks, weights = self.block[entries], np.repeat(weight, n)
-        bound = np.bincount(blocks, weights * self.largest[entries], self.n_blocks) * HAIR
-        live = bound > 0
-
-        def scores_of(chosen: np.ndarray) -> np.ndarray:
-            """Scores of the documents of some blocks. Terms are added in one order everywhere, so that equal texts score alike."""
-            picked = np.zeros(self.n_blocks, bool)
-            picked[chosen] = True
-            self.blocks_scored += len(chosen)
-            of = picked[blocks]
-            e, w = entries[of], weights[of]
-            count = self.count[e]
-            stop = np.cumsum(count)
-            postings = np.arange(stop[-1]) + np.repeat(self.starts[e] - stop + count, count)
-            return np.bincount(self.docs[postings], np.repeat(w, count) * self.impacts[postings], self.n_blocks * BLOCK)
-
-        if bar == 0:  # the block that promises most sets a first bar
-            scores = scores_of(np.array([np.argmax(bound)]))
+        cursor, end = self.first[mine], self.first[mine + 1]
+        self.entries_met += int((end - cursor).sum())
+        run, floor = FIRST, 0.0
+        if not best.bar():  # the block that the weightiest lists promise most of sets a first bar
+            heavy = np.argsort(-lists, kind="stable")[:HEAVY]
+            entries, n = ragged(cursor[heavy], end[heavy])
+            promise = np.bincount(self.block[entries], np.repeat(weight[heavy], n) * self.largest[entries], self.n_blocks)
+            block = int(np.argmax(promise))
+            entries, n = ragged(*np.searchsorted(self.keys, mine * self.n_blocks + np.array([[block], [block + 1]])))
+            scores = self._scores(np.zeros(1, int), np.zeros(len(entries), int), entries, np.repeat(weight, n), block, block + 1)
             scores = scores[scores > 0]
-            bar = np.partition(scores, len(scores) - best.k)[len(scores) - best.k] if len(scores) >= best.k else 0.0
-        cursor, end = self.starts[low], self.starts[low + n]
-        run = FIRST
+            floor = np.partition(scores, len(scores) - best.k)[len(scores) - best.k] if len(scores) >= best.k else 0.0
         while True:
-            stand = np.where(cursor < end, self.docs[np.minimum(cursor, len(self.docs) - 1)], len(self.ids))
+            bar = max(floor, best.bar())
+            stand = np.where(cursor < end, self.docs[self.starts[np.minimum(cursor, len(self.keys) - 1)]], len(self.ids))
             order = np.argsort(stand, kind="stable")
             pivot = int(np.searchsorted(np.cumsum(lists[order]), bar))
             if pivot == len(order) or stand[order[pivot]] == len(self.ids):
                 return
             block = int(stand[order[pivot]]) // BLOCK
-            chosen = np.flatnonzero(live[block:] & (bound[block:] >= bar))[:run] + block
-            if not len(chosen):
-                return
-            scores = scores_of(chosen)
-            hit = np.flatnonzero((scores >= bar) & (scores > 0))
-            if len(hit):
-                best.add(scores[hit], self.ids[hit], self.missing[hit])
-                bar = max(bar, best.bar())
-            cursor = self.starts[np.searchsorted(self.keys, mine * self.n_blocks + chosen[-1] + 1)]
+            until = min(block + run, self.n_blocks)
+            low = np.searchsorted(self.keys, mine * self.n_blocks + block) if block else cursor
+            cursor = np.searchsorted(self.keys, mine * self.n_blocks + until) if until < self.n_blocks else end
+            entries, n = ragged(low, cursor)
+            self.entries_read += len(entries)
+            near, weights = self.block[entries] - block, np.repeat(weight, n)
+            bound = np.bincount(near, weights * self.largest[entries], until - block) * HAIR
+            chosen = np.flatnonzero((bound > 0) & (bound >= bar))
+            if len(chosen):
+                scores = self._scores(chosen, near, entries, weights, block, until)
+                hit = np.flatnonzero((scores >= bar) & (scores > 0))
+                if len(hit):
+                    to = hit + block * BLOCK
+                    best.add(scores[hit], self.ids[to], self.missing[to])
             run = min(4 * run, WINDOW)
 
+    def _scores(self, chosen: np.ndarray, near: np.ndarray, entries: np.ndarray, weights: np.ndarray, block: int, until: int) -> np.ndarray:
+        """Scores of the documents of the blocks from ``block`` to ``until``, of which only the chosen ones are scored. Terms are added in one order everywhere, so that equal texts score alike."""
+        picked = np.zeros(until - block, bool)
+        picked[chosen] = True
+        self.blocks_scored += len(chosen)
+        of = picked[near]
+        e, w = entries[of], weights[of]
+        count = self.count[e]
+        stop = np.cumsum(count)
+        postings = np.arange(stop[-1]) + np.repeat(self.starts[e] - stop + count, count)
+        return np.bincount(self.docs[postings] - block * BLOCK, np.repeat(w, count) * self.impacts[postings], (until - block) * BLOCK)
+
 
 def groups(batches: Iterator[pa.RecordBatch], mean: float) -> Iterator[list[Index]]:
     """Indexes that are held at once."""
