@@ -82,9 +82,9 @@ SPELLINGS = [
     ("copyright[^a-z0-9]+notice", "copyrightnotice"),
     ("copyright[^a-z0-9]+license", "copyrightlicense"),
     ("copyright[^a-z0-9]+law", "copyrightlaw"),
-    ("neither the name of [^.]{1,120}? nor the names", "neither the name of copyrightholder nor the names"),
-    ("software is provided by [^.]{1,120}? [^a-z0-9\n]*as is", "software is provided by copyrightholder as is"),
-    ("in no event shall [^.]{1,120}? be liable", "in no event shall copyrightholder be liable"),
+    ("neither[^a-z0-9]+the[^a-z0-9]+name[^a-z0-9]+of[^a-z0-9]+[^.]{1,120}?[^a-z0-9]+nor[^a-z0-9]+the[^a-z0-9]+names", "neither the name of copyrightholder nor the names"),
+    ("software[^a-z0-9]+is[^a-z0-9]+provided[^a-z0-9]+by[^a-z0-9]+[^.]{1,120}?[^a-z0-9]+as[^a-z0-9]+is", "software is provided by copyrightholder as is"),
+    ("in[^a-z0-9]+no[^a-z0-9]+event[^a-z0-9]+shall[^a-z0-9]+[^.]{1,120}?[^a-z0-9]+be[^a-z0-9]+liable", "in no event shall copyrightholder be liable"),
     ("licence", "license"),
     ("isation", "ization"),
     ("avour", "avor"),
@@ -205,7 +205,7 @@ def oracle() -> str:
     canonical = "lower(coalesce({}, ''))"
     for pattern, replacement in SPELLINGS:
         pattern, replacement = (f"replace({quoted(x.replace(chr(10), '@@'))}, '@@', chr(10))" for x in (pattern, replacement))
-        pattern = pattern.replace("{", "{{")
+        pattern = pattern.replace("{", "{{").replace("}", "}}")
         canonical = f"regexp_replace({canonical}, {pattern}, {replacement}, 'g')"
     lines = lambda c: f"list_filter(list_transform(string_split({canonical.format(c)}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
     values = ", ".join(f"({quoted(i)}, replace({quoted(t.replace(chr(10), '@@'))}, '@@', chr(10)))" for i, t in KNOWN)
