@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text as fn
 from cairn.operators import diff, issues
-from cairn.sources import bundle, files, journals, sqlite
+from cairn.sources import bundle, files, journals, sqlite, working
 from cairn.sources.schemas import TABLES
 from cairn.sources.storage import shared_dir
 
@@ -67,6 +67,54 @@ def diff_imported(s: SparkSession, d: str) -> DataFrame:
     return diff.compare(*diff.comparison_sides(imported(s, d, False), published(s, d, True)))["entries"].select(*diff.RESULT)
 
 
+#: Roots that are listed anew by ``reconciled``; the others aren't looked at.
+LISTED_ANEW = ["src3", "src7", "src11"]
+
+
+def reconciled(s: SparkSession, d: str) -> DataFrame:
+    """A published snapshot brought to a new listing of some roots: changes by root, whether the rows are those of the listing now, and whether the files of a root are what they were."""
+    path = f"{shared_dir(s)}/working-{uuid.uuid4().hex}"
+    working.create(published(s, d, False), path)
+    digests = lambda: {t: s.createDataFrame([(r.path.split("root_label=")[1].split("/")[0], r.sha256) for r in files.file_digests(s, f"{path}/{t}", "*.parquet").collect()], "root_label string, sha string") for t in ("entries", "hashes")}  # noqa: E731  # a file or so a root
+    before = digests()
+    new = bundle_of(s, d, True)
+    listed = {t: new[t].where(F.col("root_label").isin(LISTED_ANEW)) for t in ("dirs", "entries")}
+    changes = working.reconcile(s, path, {"dirs": listed["dirs"], "entries": listed["entries"].drop("meta_status", "hash_status")})
+    after = digests()
+    counted = changes.groupBy("root_label").agg(*[F.coalesce(F.sum(F.when((F.col("table") == "entries") & (F.col("change") == c), F.col("n"))), F.lit(0)).alias(c) for c in ("inserted", "updated", "kept", "removed")])
+    now = working.read(s, path, ["entries", "hashes"])
+    pending = now["entries"].groupBy("root_label").agg(F.count("*").alias("entries"), F.count_if(F.col("hash_status") == "pending").alias("pending"))
+    hashes = now["hashes"].groupBy("root_label").agg(F.count("*").alias("hashes"))
+    same = None
+    for t in before:
+        gone = before[t].unionByName(after[t]).groupBy("root_label", "sha").count().where("count <> 2").select("root_label").distinct().withColumn(f"{t}_written", F.lit(True))
+        same = gone if same is None else same.join(gone, "root_label", "full_outer")
+    out = pending.join(hashes, "root_label", "left").join(counted, "root_label", "left").join(same, "root_label", "left")
+    return out.select("root_label", "entries", "pending", F.coalesce("hashes", F.lit(0)).alias("hashes"), *["inserted", "updated", "kept", "removed"], F.coalesce("entries_written", F.lit(False)).alias("entries_written"), F.coalesce("hashes_written", F.lit(False)).alias("hashes_written"))
+
+
+def finished_attempts(s: SparkSession, d: str) -> DataFrame:
+    """Attempts at every document's hash, metadata and format, closed in a working folder: statuses of entries, checks, attempts and performance rows."""
+    path = f"{shared_dir(s)}/attempts-{uuid.uuid4().hex}"
+    own = bundle_of(s, d, False)
+    i = F.regexp_extract("rel_path", r"([0-9]+)[.]txt$", 1).cast("bigint")
+    stages = F.explode(F.array(*[F.struct(F.lit(n).alias("k"), F.lit(x).alias("stage")) for n, x in enumerate(("hash", "metadata", "format"))]))
+    tried = own["entries"].select("root_label", "rel_path", i.alias("i"), stages.alias("x")).select("root_label", "rel_path", "i", "x.stage", (F.col("i") * 3 + F.col("x.k")).alias("attempt_id"), F.lit(1).cast("bigint").alias("attempt_number"), F.lit("running").alias("status"), F.lit("s1").alias("session_id"))
+    checks = tried.where("stage = 'format'").select("root_label", "rel_path", "attempt_id", F.lit("zip").alias("validator"), F.lit("processing").alias("status"))
+    working.create({"snapshot_info": own["snapshot_info"], "entries": own["entries"], "entry_attempts": shaped(tried, "entry_attempts"), "format_checks": shaped(checks, "format_checks"), "read_performance": shaped(tried.where("false"), "read_performance")}, path)
+    outcome = F.when(F.col("i") % 7 == 0, "timeout").when(F.col("i") % 11 == 0, "unstable").otherwise("succeeded")
+    read_at = F.when((F.col("stage") == "hash") & (F.col("i") % 2 == 0), F.struct(F.lit("computed").alias("origin"), F.col("i").alias("bytes_read"), (F.col("i") / 4).alias("elapsed_seconds")))
+    done = tried.where("i % 5 <> 0").select("root_label", "rel_path", "attempt_id", outcome.alias("status"), F.lit("t1").alias("ended_at_utc"), F.col("i").alias("bytes_read"), read_at.alias("performance"))
+    working.finish_attempts(s, path, done)
+    now = working.read(s, path, ["entries", "entry_attempts", "format_checks", "read_performance"])
+    told = lambda df, what, key, value: df.groupBy(F.lit(what).alias("what"), F.col(key).alias("key")).agg(value.cast("double").alias("value"))
+    parts = [told(now["entries"], "hash_status", "hash_status", F.count("*")), told(now["entries"], "meta_status", "meta_status", F.count("*")), told(now["entry_attempts"], "attempt", "status", F.coalesce(F.sum("bytes_read"), F.lit(0))), told(now["format_checks"], "format", "status", F.count("*")), told(now["read_performance"], "performance", "origin", F.sum("elapsed_seconds"))]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def publish_evidence(s: SparkSession, d: str) -> DataFrame:
     """What a published snapshot says of its making: its events by name, its counts, and whether its name is its fingerprint."""
     lines = table(s, d, "events").select(F.to_json(F.struct(F.concat(F.lit("seen_"), "event_type").alias("event"), F.col("ts").cast("string").alias("ts"), "event_id")).alias("value"), F.concat(F.lit("seen_"), "event_type").alias("event"))
@@ -183,6 +231,22 @@ def count_rows(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", F.explode(journals.flat_counts(text)).alias("x")).select("doc_id", "x.key", "x.value")
 
 
+def deep_rows(s: SparkSession, d: str) -> DataFrame:
+    """Objects 1 to 20 deep as rows, at whatever depth."""
+    depth = (F.col("doc_id") % 20 + 1).cast("int")
+    text = F.concat(F.repeat(F.lit('{"k":'), depth), F.lit('{"n":'), F.col("doc_id").cast("string"), F.lit(',"s":"{\\"x\\":1}","e":{}}'), F.repeat(F.lit("}"), depth))
+    return journals.flat_rows(table(s, d, "documents").select("doc_id", text.alias("text")), "text", ["doc_id"])
+
+
+def exported_modules(s: SparkSession, d: str) -> DataFrame:
+    """Two exports of one input, whose rows were counted while they were written: rows and whether both digests of rows agree."""
+    path = f"{shared_dir(s)}/modules-{uuid.uuid4().hex}"
+    made = projections.project("files", bundle_of(s, d, True)["entries"])
+    rows = [projections.export_module(df, f"{path}-{kind}", "files", kind, "new") for kind, df in (("csv", made), ("jsonl", made.repartition(3)))]
+    both = rows[0].unionByName(rows[1])
+    return both.agg(F.sum("rows").alias("rows"), (F.countDistinct("rows_digest") == 1).alias("one_digest"), F.max("input_identity").alias("input"), F.max(F.size("fields")).alias("fields"))
+
+
 def run_records(s: SparkSession, d: str) -> DataFrame:
     """Attempts, reads, changes of state and stages as run records."""
     e = table(s, d, "events")
@@ -221,6 +285,8 @@ QUERIES = {
     "diff_stored": diff_stored,
     "diff_imported": diff_imported,
     "publish_evidence": publish_evidence,
+    "reconciled_bundle": reconciled,
+    "finished_attempts": finished_attempts,
     "diff_planted": planted_entries,
     "diff_planted_groups": lambda s, d: planted(s, d)["groups"],
     "file_changes": lambda s, d: projections.file_changes(compared(s, d)["entries"]),
@@ -236,6 +302,8 @@ QUERIES = {
     "error_rows": error_rows,
     "overview_rows": overview_rows,
     "count_rows": count_rows,
+    "deep_rows": deep_rows,
+    "exported_modules": exported_modules,
     "run_records": run_records,
     "input_identity": identity,
     "preview": shown,
@@ -254,6 +322,15 @@ _reused = f"doc_id % {RULES['reused'][0]} = {RULES['reused'][1]}"
 ORACLE_SQL = {
     "diff_published": DIFF_SQL["diff_entries"],
     "diff_imported": DIFF_SQL["diff_entries"],
+    "reconciled_bundle": f"""WITH {SIDES.strip()}, w AS (SELECT unnest({LISTED_ANEW}) AS root), b AS (SELECT coalesce(o.root, n.root) AS root, o.path IS NOT NULL AS had, n.path IS NOT NULL AS has, o.size IS NOT DISTINCT FROM n.size AND o.mtime IS NOT DISTINCT FROM n.mtime AS same, o.hash IS NOT NULL AND o.path IS NOT NULL AS hashed
+          FROM o FULL JOIN n ON o.root = n.root AND o.path = n.path),
+        c AS (SELECT root, count(*) FILTER (has AND NOT had) AS inserted, count(*) FILTER (has AND had AND NOT same) AS updated, count(*) FILTER (has AND had AND same) AS kept, count(*) FILTER (had AND NOT has) AS removed, count(*) FILTER (had) AS old_n, count(*) FILTER (has) AS new_n, count(*) FILTER (hashed) AS old_h, count(*) FILTER (hashed AND has) AS new_h FROM b GROUP BY root)
+        SELECT root AS root_label, CASE WHEN anew THEN new_n ELSE old_n END AS entries, CASE WHEN anew THEN inserted + updated ELSE 0 END AS pending, CASE WHEN anew THEN new_h ELSE old_h END AS hashes, CASE WHEN anew THEN CAST(inserted AS BIGINT) END AS inserted, CASE WHEN anew THEN CAST(updated AS BIGINT) END AS updated, CASE WHEN anew THEN CAST(kept AS BIGINT) END AS kept, CASE WHEN anew THEN CAST(removed AS BIGINT) END AS removed,
+          anew AND inserted + updated + removed > 0 AS entries_written, anew AND removed > 0 AS hashes_written FROM (SELECT *, root IN (SELECT root FROM w) AS anew FROM c) WHERE CASE WHEN anew THEN new_n ELSE old_n END > 0""",
+    "finished_attempts": f"""WITH {SIDES.strip()}, s AS (SELECT doc_id AS i, doc_id % 5 <> 0 AS done, CASE WHEN doc_id % 7 = 0 THEN 'timeout' WHEN doc_id % 11 = 0 THEN 'unstable' ELSE 'succeeded' END AS outcome FROM o)
+        SELECT 'hash_status' AS what, CASE WHEN NOT done THEN 'done' ELSE CASE outcome WHEN 'timeout' THEN 'error' WHEN 'unstable' THEN 'unstable' ELSE 'done' END END AS key, count(*)::DOUBLE AS value FROM s GROUP BY ALL UNION ALL SELECT 'meta_status', CASE WHEN NOT done THEN 'done' ELSE CASE outcome WHEN 'succeeded' THEN 'done' ELSE outcome END END, count(*) FROM s GROUP BY ALL
+        UNION ALL SELECT 'attempt', CASE WHEN done THEN outcome ELSE 'running' END, sum(CASE WHEN done THEN 3 * i ELSE 0 END)::DOUBLE FROM s GROUP BY ALL UNION ALL SELECT 'format', CASE WHEN NOT done THEN 'processing' ELSE CASE outcome WHEN 'succeeded' THEN 'valid' ELSE outcome END END, count(*) FROM s GROUP BY ALL
+        UNION ALL SELECT 'performance', 'computed', sum(i / 4)::DOUBLE FROM s WHERE done AND i % 2 = 0 HAVING count(*) > 0""",
     "publish_evidence": f"""WITH {SIDES.strip()}, s AS (SELECT 'seen_' || event_type AS key, count(*) AS n FROM events GROUP BY ALL UNION ALL SELECT 'snapshot_sealed', 1) SELECT 'event' AS section, key, n AS value FROM s UNION ALL SELECT 'last', 'snapshot_sealed', CAST(sum(n) AS BIGINT) FROM s UNION ALL SELECT 'name', 'is fingerprint', 1
         UNION ALL SELECT 'count', section || '.' || key, n FROM (SELECT 'total' AS section, 'entries' AS key, count(*) AS n FROM n UNION ALL SELECT 'total', 'bytes', CAST(coalesce(sum(size), 0) AS BIGINT) FROM n UNION ALL SELECT 'total', 'dirs', count(*) FROM nd UNION ALL SELECT 'total', 'errors', 0
           UNION ALL SELECT 'total', 'dir_errors', count(*) FROM nd WHERE root = '{FAILED_ROOT}' AND path = '{FAILED_DIR}' UNION ALL SELECT 'total', 'failed_roots', 0 UNION ALL SELECT 'kind', 'other', count(*) FROM n HAVING count(*) > 0 UNION ALL SELECT 'meta_status', 'done', count(*) FROM n HAVING count(*) > 0
@@ -291,6 +368,8 @@ ORACLE_SQL = {
         UNION ALL SELECT section, key, CAST(n AS VARCHAR), 'integer' FROM (SELECT 'total' AS section, 'entries' AS key, count(*) AS n FROM n UNION ALL SELECT 'total', 'bytes', CAST(coalesce(sum(size), 0) AS BIGINT) FROM n UNION ALL SELECT 'total', 'dirs', count(*) FROM nd UNION ALL SELECT 'total', 'errors', 0
           UNION ALL SELECT 'total', 'dir_errors', count(*) FROM nd WHERE root = '{FAILED_ROOT}' AND path = '{FAILED_DIR}' UNION ALL SELECT 'total', 'failed_roots', 0 UNION ALL SELECT 'kind', 'other', count(*) FROM n HAVING count(*) > 0 UNION ALL SELECT 'meta_status', 'done', count(*) FROM n HAVING count(*) > 0
           UNION ALL SELECT 'hash_status', CASE WHEN unstable THEN 'unstable' ELSE 'done' END, count(*) FROM n GROUP BY ALL)""",
+    "deep_rows": """WITH d AS (SELECT doc_id, repeat('k.', CAST(doc_id % 20 + 1 AS INTEGER)) AS p FROM documents) SELECT doc_id, p || 'n' AS key, CAST(doc_id AS VARCHAR) AS value FROM d UNION ALL SELECT doc_id, p || 's', '{"x":1}' FROM d""",
+    "exported_modules": f"WITH {SIDES.strip()} SELECT CAST(2 * count(*) AS BIGINT) AS rows, true AS one_digest, 'new' AS input, 17 AS fields FROM n",
     "count_rows": "SELECT doc_id, unnest(['a.b.c.d', 'a.f', 'e']) AS key, unnest([CAST(doc_id AS VARCHAR), 'g', 'x']) AS value FROM documents",
     "run_records": """WITH e AS (SELECT *, 'r' || user_id % 3 || chr(92) || 'f/' || user_id AS path FROM events), r AS (
         SELECT 'entry_attempt' AS record_type, path || '|hash|attempt=' || event_id AS record_key, path AS entry_path, NULL AS session_id, 'hash' AS stage, event_type AS status, NULL AS event, NULL AS occurred_at_utc, NULL AS started_at_utc, 'tool' AS tool_name, NULL AS bytes_read, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ended' END AS reason,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.payload import value_type
@@ -115,6 +117,30 @@ def export_manifest(df: DataFrame, path: str) -> DataFrame:
     return file_digests(df.sparkSession, path, "part-*").select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "sha256")
 
 
+def export_module(df: DataFrame, path: str, module: str, kind: str = "csv", identity: str | None = None, warnings: list[str] | None = None, contract: str = "", database: str = "") -> DataFrame:
+    """Write a module's rows as csv or jsonl and return one row on it: fields, rows, the input's identity, files with digests, and warnings.
+
+    Rows are counted and their digests added up while they are written, so the
+    rows are worked out once; ``identity`` is the caller's name for the input, such as a
+    bundle's fingerprint. The digest of rows doesn't depend on their order.
+    """
+    seen = Observation(f"export-{uuid.uuid4().hex}")
+    digest = F.xxhash64(*df.columns) if df.columns else F.lit(0).cast("long")
+    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.bit_xor(digest), F.lit(0)).alias("x"), F.coalesce(F.sum(F.shiftrightunsigned(digest, 32)), F.lit(0)).alias("s"))
+    if kind == "csv":
+        export_csv(counted, path)
+    else:
+        export_jsonl(counted, path, contract, database, module)
+    told = seen.get
+    row = df.sparkSession.createDataFrame([(module, df.columns, told["rows"], f"{told['rows']:x}-{told['x'] & (1 << 64) - 1:016x}-{told['s']:x}", identity, warnings or [])], "module_id string, fields array<string>, rows bigint, rows_digest string, input_identity string, warnings array<string>")
+    # A digest of the files' own, put together in parts; their list lies beside the export.
+    files = export_manifest(df, path)
+    files.write.mode("errorifexists").parquet(f"{path.rstrip('/')}.files")
+    listed = df.sparkSession.read.schema("file string, bytes bigint, sha256 string").parquet(f"{path.rstrip('/')}.files")
+    whole = listed.agg(F.count("*").alias("n_files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", F.substring("file", 1, 10), "sha256"))), "\n"), 256).alias("files_digest"))  # a file a task
+    return row.join(whole, F.lit(True))
+
+
 def module_manifest(df: DataFrame, path: str, module: str, warnings: list[str] | None = None) -> DataFrame:
     """One row on an exported module: its fields, rows, files with digests, and warnings."""
     files = export_manifest(df, path).agg(F.array_sort(F.collect_list(F.struct("file", "bytes", "sha256"))).alias("artifacts"))  # files of one module's export

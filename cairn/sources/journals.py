@@ -74,6 +74,33 @@ def read_disk_profiles(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {"disks": disks, "partitions": partitions, "volumes": volumes}
 
 
+def flat_rows(df: DataFrame, text: str, keys: list[str], levels: int | None = None) -> DataFrame:
+    """``keys``, key and value of every scalar and list in JSON objects (column ``text``), at any depth; keys are joined by dots.
+
+    Objects are taken apart level by level, only those that are left at a level; the
+    number of jobs is that of the deepest object's levels. Empty objects give nothing, as do
+    texts that are no JSON object; texts that look like objects stay texts. ``levels`` stops there: deeper objects stay JSON.
+    """
+    is_object = lambda v: F.schema_of_variant(v).startswith("OBJECT")
+    top = F.try_parse_json(text)
+    level, prefix, out = df.select(*keys, F.lit(None).cast("string").alias("_path"), top.alias("_v")).where(is_object(F.col("_v"))), F.col("_path"), []
+    depth = 0
+    while True:
+        depth += 1
+        inner = level.select(*keys, "_path", F.explode(F.col("_v").cast("map<string,variant>")).alias("_k", "_v"))
+        found = stored(inner.select(*keys, F.concat_ws(".", prefix, "_k").alias("_path"), F.to_json("_v").alias("_json"), F.try_variant_get("_v", "$", "string").alias("_text"), F.coalesce(is_object(F.col("_v")), F.lit(False)).alias("_more")), "level")
+        last = levels is not None and depth >= levels
+        done = found if last else found.where("not _more")
+        out.append(done.select(*keys, F.col("_path").alias("key"), F.when(F.col("_more"), F.col("_json")).otherwise(F.coalesce("_text", F.nullif(F.col("_json"), F.lit("null")))).alias("value")))
+        if last or found.where("_more").isEmpty():
+            break
+        level = found.where("_more").select(*keys, "_path", F.parse_json("_json").alias("_v"))
+    rows = out[0]
+    for part in out[1:]:
+        rows = rows.unionByName(part)
+    return rows
+
+
 def flat_counts(text: Column, depth: int = 8) -> Column:
     """Nested JSON counts as an array of struct(key, value), keys joined by dots, down to ``depth`` levels; what is deeper stays JSON."""
     level = F.transform(F.map_entries(F.from_json(text, "map<string,string>")), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))

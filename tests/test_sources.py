@@ -38,11 +38,27 @@ def test_tree(spark, tmp_path):
     assert {(r.root_label, r.rel_path, r.enum_status) for r in found["dirs"].collect()} == {("r", "", "ok"), ("r", "a", "ok"), ("r", "a/b", "ok"), ("gone", "", "io_error")}
     assert {(r.rel_path, r.media_kind, r.size) for r in found["entries"].collect()} == {("a/b/x.JPG", "photo_jpeg", 5), ("y.txt", "other", 0)}
     assert {r.root_label: r.enum_status for r in found["roots"].collect()} == {"r": "ok", "gone": "failed"}
-    sums = {r.rel_path: (r.hash_hex, r.status) for r in files.digest_files(found["entries"], 2).collect()}
+    sums = {r.rel_path: (r.hash_hex, r.status) for r in files.digest_files(found["entries"]).collect()}
     assert sums["a/b/x.JPG"] == (hashlib.sha256(b"12345").hexdigest(), "valid")
     assert {r.hash_hex for r in files.digest_store(spark, str(tmp_path / "a")).collect()} == {hashlib.sha256(b"12345").hexdigest()}
 
 
+def test_tasks_by_bytes(spark):
+    """A huge file beside thousands of small ones, a volume of nothing but empty files: tasks have about as many bytes, and a volume has no more tasks than it may."""
+    rows = [("r", f"a/{k:05}", 1000, "v1") for k in range(3000)] + [("r", "a/00500x", 5_000_000, "v1")] + [("r", f"e/{k}", 0, "v2") for k in range(50)] + [("s", "x", None, None), ("s", "y", 10, "")]
+    entries = spark.createDataFrame(rows, "root_label string, rel_path string, size long, volume string")
+    found = files.packed_tasks(entries, 100_000, 20).collect()
+    by_task, of_volume = {}, {}
+    for r in found:
+        by_task.setdefault(r.task, []).append(r.size or 0)
+        of_volume.setdefault(r.volume or r.root_label, set()).add(r.task)
+    assert len(found) == len(rows) and {k: len(x) for k, x in of_volume.items()} == {"v1": len(of_volume["v1"]), "v2": 1, "s": 1} and len(of_volume["v1"]) <= 20
+    width = -(-8_000_000 // 20)
+    assert all(sum(x) <= width + max(x) for x in by_task.values()) and [len(x) for x in by_task.values() if max(x) == 5_000_000][0] <= width / 1000 + 1
+    assert not set.intersection(of_volume["v1"], of_volume["v2"]) and len({r.task for r in files.packed_tasks(entries.where("volume = 'v1'"), 1_000_000_000).collect()}) == 1
+    assert files.packed_tasks(entries.where("false")).count() == 0
+
+
 def test_archives(spark):
     good = packed(a="x" * 100)
     bad = bytearray(good)
@@ -88,6 +104,37 @@ def test_journal(spark, tmp_path):
     assert sorted((r.x.key, r.x.value) for r in flat.collect()) == [("a.b.c", "1"), ("d", "2")]
 
 
+def test_any_depth(spark):
+    deep = "1"
+    for k in range(25):
+        deep = f'{{"k{k}":{deep},"x{k}":[{k},{{"y":1}}]}}'
+    rows = spark.createDataFrame([(1, deep), (2, '{"a":"{}","b":null,"c":{},"d":true}'), (3, "no json"), (4, "[1]"), (5, None), (6, "{}")], "id long, t string")
+    found = {(r.id, r.key): r.value for r in journals.flat_rows(rows, "t", ["id"]).collect()}
+    assert found[1, ".".join(f"k{k}" for k in reversed(range(25)))] == "1" and found[1, "x24"] == '[24,{"y":1}]' and sum(k[0] == 1 for k in found) == 26
+    assert {k[1]: v for k, v in found.items() if k[0] == 2} == {"a": "{}", "b": None, "d": "true"} and {k[0] for k in found} == {1, 2}
+    few = {(r.id, r.key) for r in journals.flat_rows(rows, "t", ["id"], 2).collect()}
+    assert (1, "k24.k23") in few and len([x for x in few if x[0] == 1]) == 3
+
+
+def test_export_in_one_pass(spark, tmp_path):
+    """Rows, their digest and the files come from one run over the input."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    df = spark.range(500, numPartitions=3).mapInPandas(count, "id long")
+    row = projections.export_module(df, str(tmp_path / "m"), "files", "csv", "snap_0A").first()
+    assert seen.value == 500 and (row.rows, row.n_files, row.input_identity, row.fields) == (500, 3, "snap_0A", ["id"])
+    again = projections.export_module(spark.range(500, numPartitions=1), str(tmp_path / "n"), "files", "jsonl").first()
+    other = projections.export_module(spark.range(1, 501), str(tmp_path / "o"), "files", "csv").first()
+    assert again.rows_digest == row.rows_digest != other.rows_digest and again.input_identity is None
+    empty = projections.export_module(spark.range(0), str(tmp_path / "p"), "files", "csv", warnings=["w"]).first()
+    assert empty.rows == 0 and empty.warnings == ["w"]
+
+
 def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/1.jsonl").write_text('{"event":"a"}\nbroken\n')
