@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from cairn.functions.text import diagnostic_class, issue_visible, normalize_family
 
+from .history import attempt_status_counts
+
 
 DENSE = 100  # fixed value: warnings of one entry that make it worth a look
 BAD_HASH, BAD_META, BAD_FORMAT = ["error", "unstable"], ["error", "timeout", "unstable"], ["invalid", "timeout", "error", "unstable"]
@@ -131,6 +133,31 @@ def performance_section(found: DataFrame) -> DataFrame:
     return found.agg(F.count_if(F.col("confidence") == "high").alias("high"), F.count_if(F.col("confidence") == "low").alias("low"))
 
 
+def slow_reads(performance: DataFrame, entries: DataFrame, limit: int = 200) -> DataFrame:
+    """The first surely slow reads by root and path key, with their rate (MiB a second; null where no time went by) and what they were told by, and the number of all.
+
+    performance: root_label, rel_path and what ``read_performance`` has; entries: root_label, rel_path, path_key.
+    """
+    slow = performance.where("candidate_confidence = 'high'")
+    rate = F.when(F.col("elapsed_seconds") > 0, F.col("bytes_read") / F.col("elapsed_seconds") / (1 << 20))
+    facts = ["size_bytes", "bytes_read", "elapsed_seconds", "active_read_seconds", "stall_count", "longest_stall_seconds", "final_offset", "session_id", "stage", "origin"]
+    rows = slow.join(entries.select("root_label", "rel_path", "path_key"), ["root_label", "rel_path"]).select("root_label", "path_key", "rel_path", "attempt_id", F.col("candidate_reason").alias("reason"), *facts, F.bround(rate, 3).alias("mib_per_second"))
+    return rows.orderBy("root_label", "path_key", "attempt_id").limit(limit).join(slow.agg(F.count("*").alias("total")), F.lit(True))
+
+
+def slow_read_counts(performance: DataFrame) -> DataFrame:
+    """One row: files with surely and perhaps slow reads, and such reads."""
+    high, low = F.col("candidate_confidence") == "high", F.col("candidate_confidence") == "low"
+    entry = F.struct("root_label", "rel_path")
+    return performance.agg(F.countDistinct(F.when(high, entry)).alias("issue_files"), F.count_if(high).alias("issue_records"), F.countDistinct(F.when(low, entry)).alias("low_confidence_files"), F.count_if(low).alias("low_confidence_records"))
+
+
+def execution_counts(checks: DataFrame, attempts: DataFrame, performance: DataFrame) -> DataFrame:
+    """section, key and value: format checks by status, latest attempts by stage and status, reads by confidence. attempts: entry, stage, attempt_number, status."""
+    latest = attempt_status_counts(attempts).select(F.lit("latest_attempt").alias("section"), F.concat_ws(".", "stage", "status").alias("key"), F.col("n").alias("value"))
+    return long_counts(checks, "format_status", F.col("status")).unionByName(latest).unionByName(long_counts(performance, "performance_confidence", F.col("candidate_confidence")))
+
+
 def runtime_section(sessions: DataFrame, stages: DataFrame, events: DataFrame) -> DataFrame:
     """kind, id and detail of failed or abandoned sessions, failed stages, and tools that were cut off (told by the event's payload)."""
     ended = sessions.where(F.col("status").isin("failed", "abandoned") & (F.coalesce("end_reason", F.lit("")) != "tool_circuit_open")).select(F.lit("session").alias("kind"), F.col("session_id").alias("id"), F.col("status").alias("detail"))

@@ -18,12 +18,16 @@ FIELDS = {
     "files": ["name", "extension", "media_kind", "size_bytes", "created_at_utc", "modified_at_utc", "attributes", "is_placeholder", "hard_link_count", "volume_serial", "file_index_hex", "observed_at_utc", "meta_status", "hash_status"],
     "directories": ["parent_rel_path", "enum_status", "error_message", "file_count", "subdir_count", "attributes", "observed_at_utc"],
     "hashes": ["algorithm", "hash_hex", "origin", "source_snapshot_uuid", "source_computed_at_utc", "reuse_basis", "size_bytes", "bytes_read", "chunk_bytes", "started_at_utc", "finished_at_utc", "pre_size", "pre_mtime_utc", "post_size", "post_mtime_utc", "status", "failure_reason", "tool", "tool_version"],
-    "photo_metadata": ["capture_time_raw", "capture_time_source", "capture_tz_offset_min", "capture_time_utc", "camera_make", "camera_model", "camera_serial", "lens_model", "lens_serial", "width", "height", "orientation", "iso", "f_number", "exposure_time", "exposure_compensation", "focal_length_mm", "focal_length_35mm", "white_balance", "color_temperature", "color_space", "icc_profile", "software", "bit_depth", "gps_latitude", "gps_longitude", "gps_altitude"],
-    "video_metadata": ["container_format", "duration_seconds", "bit_rate", "stream_count", "timecode", "capture_time_raw", "capture_time_source", "capture_tz_offset_min", "capture_time_utc", "camera_make", "camera_model", "camera_serial", "lens_model", "lens_serial", "encoder", "title", "author", "album", "copyright"],
-    "video_gps": ["point_index", "gps_latitude", "gps_longitude", "gps_altitude", "raw_value"],
-    "working_metadata": ["file_variant", "creator_app", "color_mode", "bit_depth", "width", "height", "layer_count", "layer_names", "has_thumbnail"],
-    "document_metadata": ["doc_format", "title", "author", "last_modified_by", "creator_app", "created_prop_raw", "modified_prop_raw", "page_count", "is_encrypted"],
+    "photo_metadata": ["capture_time_raw", "capture_time_source", "capture_tz_offset_min", "capture_time_utc", "camera_make", "camera_model", "camera_serial", "lens_model", "lens_serial", "width", "height", "orientation", "iso", "f_number", "exposure_time", "exposure_compensation", "focal_length_mm", "focal_length_35mm", "white_balance", "color_temperature", "color_space", "icc_profile", "software", "bit_depth", "gps_latitude", "gps_longitude", "gps_altitude", "parser", "parser_version", "parsed_at_utc"],
+    "video_metadata": ["container_format", "duration_seconds", "bit_rate", "stream_count", "timecode", "capture_time_raw", "capture_time_source", "capture_tz_offset_min", "capture_time_utc", "camera_make", "camera_model", "camera_serial", "lens_model", "lens_serial", "iso", "white_balance", "shutter", "gamma", "color_gamut", "encoder", "title", "author", "album", "copyright", "parser", "parser_version", "parsed_at_utc"],
+    "video_gps": ["point_index", "timestamp_seconds", "gps_latitude", "gps_longitude", "gps_altitude", "source", "raw_value"],
+    "working_metadata": ["file_variant", "creator_app", "color_mode", "bit_depth", "width", "height", "layer_count", "layer_names", "has_thumbnail", "parser", "parser_version", "parsed_at_utc"],
+    "document_metadata": ["doc_format", "title", "author", "last_modified_by", "creator_app", "created_prop_raw", "modified_prop_raw", "page_count", "is_encrypted", "parser", "parser_version", "parsed_at_utc"],
 }
+#: Fields that a source may not know: they are null then.
+UNKNOWN = {"iso": "bigint", "white_balance": "string", "shutter": "string", "gamma": "string", "color_gamut": "string", "timestamp_seconds": "double", "source": "string", "parser": "string", "parser_version": "string", "parsed_at_utc": "string"}
+#: Providers whose payloads a module's rows come from.
+PROVIDERS = {"photo_metadata": "exiftool", "working_metadata": "exiftool", "document_metadata": "exiftool", "video_metadata": "ffprobe"}
 
 
 def project(module: str, rows: DataFrame) -> DataFrame:
@@ -49,6 +53,31 @@ def dir_problems(dirs: DataFrame) -> DataFrame:
     return dirs.where("enum_status <> 'ok'")
 
 
+def metadata_module(module: str, rows: DataFrame, entries: DataFrame, payloads: DataFrame | None = None) -> DataFrame:
+    """The export of a module from what ``metadata`` gives (entry and fields).
+
+    entries: entry, root_label, rel_path. payloads: entry, provider,
+    provider_version and parsed_at_utc of the recorded tool output, which tell the
+    parser; without them it is unknown. Fields that no source knows are null.
+    """
+    if payloads is not None and module in PROVIDERS:
+        told = payloads.where(F.col("provider") == PROVIDERS[module]).groupBy("entry").agg(F.max_by(F.struct(F.col("provider").alias("parser"), F.col("provider_version").alias("parser_version"), "parsed_at_utc"), "parsed_at_utc").alias("_p"))
+        rows = rows.join(told, "entry", "left").select(*rows.columns, "_p.*")
+    absent = {f: F.lit(None).cast(UNKNOWN[f]) for f in FIELDS[module] if f not in rows.columns and f in UNKNOWN}
+    return project(module, rows.withColumns(absent).join(entries.select("entry", *KEY), "entry"))
+
+
+#: Columns of an export of archives: those of an archive, then those of a member.
+ARCHIVE_FIELDS = ["archive_format", "member_count", "uncompressed_bytes", "compressed_bytes", "has_encrypted"]
+
+
+def archives(members: DataFrame, totals: DataFrame, entries: DataFrame) -> DataFrame:
+    """Archives and their members in one shape (record_type). members: entry and what ``files.zip_members`` tells; totals: entry, archive_format and what ``files.archive_totals`` counts."""
+    of = lambda df: df.join(entries.select("entry", *KEY), "entry").withColumn("logical_path", logical_path(F.col("root_label"), F.col("rel_path")))
+    shown = [c for c in members.columns if c not in ("entry", "path")]
+    return union_shaped({"archive": of(totals).select(*KEY, "logical_path", *ARCHIVE_FIELDS), "member": of(members).select(*KEY, "logical_path", *shown)})
+
+
 def union_shaped(parts: dict[str, DataFrame], kind: str = "record_type") -> DataFrame:
     """Rows of several tables in one shape; what a table lacks is null (streams, archives and members, errors and diagnostics)."""
     out = None
@@ -90,6 +119,36 @@ def business_projection(tables: dict[str, tuple[DataFrame, list[str], list[str]]
     return out
 
 
+#: Tables of a bundle in a business projection: keys, and what is observation or numbering and doesn't count.
+BUSINESS = {
+    "roots": (["root_label"], []),
+    "dirs": (KEY, ["observed_at_utc"]),
+    "entries": (KEY, ["observed_at_utc"]),
+    "hashes": ([*KEY, "algorithm"], ["started_at_utc", "finished_at_utc"]),
+    "raw_payloads": ([*KEY, "provider"], ["payload_zlib", "parsed_at_utc"]),
+    "metadata_diagnostics": ([*KEY, "provider", "diagnostic_code", "field_name"], ["diagnostic_pk", "observed_at_utc"]),
+    "errors": (KEY, ["error_pk", "occurred_at_utc", "is_dir"]),
+}
+
+
+def business_sections(bundle: dict[str, DataFrame], capability: DataFrame, metadata: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The business projection of a whole snapshot: capabilities, profile, roots, folders with the folder above, entries, hashes, payloads, diagnostics, errors, and metadata exports.
+
+    capability: capability and state; what isn't available or empty has no rows. metadata: exports by module.
+    """
+    tables = {"capabilities": (capability.select("capability", "state"), ["capability"], [])}
+    info = bundle["snapshot_info"]
+    tables["profile"] = (info.select("hash_coverage", "path_key_rule", "schema_version", F.lit("profile").alias("name")), ["name"], [])
+    for name, (keys, volatile) in BUSINESS.items():
+        if name in bundle:
+            df = bundle[name]
+            tables[name] = (df.withColumn("parent_rel_path", parent_path(F.col("rel_path"))) if name == "dirs" else df, keys, volatile)
+    for name, df in (metadata or {}).items():
+        tables[name] = (df, KEY, ["logical_path", "parsed_at_utc"])
+    known = {r.capability for r in capability.where("state not in ('available', 'empty')").select("capability").collect()}  # a few dozen
+    return business_projection({name: t for name, t in tables.items() if name not in known})
+
+
 def business_digest(projection: DataFrame) -> DataFrame:
     """section, rows and a digest that doesn't depend on their order: sums of row digests by part, then over the parts.
 

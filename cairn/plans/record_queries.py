@@ -423,10 +423,14 @@ def films(s: SparkSession, d: str) -> DataFrame:
     return documents(s, d).select(i.alias("entry"), F.concat(F.lit("{"), head, text_of('"format":{"format_name":"mov","duration":"', (i % 5).cast("string"), '.5","bit_rate":"', n, '","nb_streams":"1","tags":{"Title":"T', n, '","creation_time":"2024-02-03T04:05:06Z","artist":""}}}')).alias("payload"))
 
 
-def film_rows(s: SparkSession, d: str) -> DataFrame:
+def film_metadata(s: SparkSession, d: str) -> DataFrame:
     i = F.col("i")
     tagged_ = tagged(s, d, {"QuickTime:CreateDate": F.when(i % 4 == 0, "2023:01:01 00:00:00+00:00").otherwise(""), "IFD0:Make": F.when(i % 5 == 0, "M").otherwise(""), "Microsoft:Category": F.when(i % 5 == 1, "x;model_name: FC1").otherwise("x"), "XMP:Author": F.lit("W")})
-    return metadata.audio_video(tagged_, films(s, d)).select("entry", "container_format", "duration_seconds", "bit_rate", "stream_count", "timecode", "capture_time_raw", "capture_time_source", "capture_time_utc", "camera_make", "camera_model", "title", "author")
+    return metadata.audio_video(tagged_, films(s, d))
+
+
+def film_rows(s: SparkSession, d: str) -> DataFrame:
+    return film_metadata(s, d).select("entry", "container_format", "duration_seconds", "bit_rate", "stream_count", "timecode", "capture_time_raw", "capture_time_source", "capture_time_utc", "camera_make", "camera_model", "title", "author")
 
 
 def sound_rows(s: SparkSession, d: str) -> DataFrame:
