@@ -6,11 +6,15 @@ what the tools said of them is that of ``metadata_queries`` and ``record_queries
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.operators import issues, metadata
 from cairn.sources import bundle, files
+from cairn.sources.storage import shared_dir, stored
+from cairn.streaming import journal
 
 from . import metadata_queries, projections, record_queries
 from .bundle_queries import bundle_of, shaped
@@ -87,7 +91,38 @@ def business_snapshot(s: SparkSession, d: str) -> DataFrame:
     return found.groupBy("section").agg(F.count("*").alias("rows"), F.countDistinct("key").alias("keys"), F.count_if(volatile).alias("volatile"))
 
 
+def journal_ingest(s: SparkSession, d: str) -> DataFrame:
+    """Events as journal files that come in two parts, ingested by a stream that is stopped in between: events by name, and lines that are none."""
+    base = f"{shared_dir(s)}/journal-{uuid.uuid4().hex}"
+    e = F.col("event_id")
+    line = F.when(e % 50 == 0, F.concat(F.lit('{"eve'), e.cast("string"))).otherwise(F.to_json(F.struct(F.col("event_type").alias("event"), e.alias("id"))))
+    for part in (0, 1):
+        table(s, d, "events").where(e % 2 == part).select(line.alias("value")).write.mode("append").text(f"{base}/in")
+        journal.journal_stream(s, f"{base}/in", f"{base}/good", f"{base}/bad", f"{base}/checkpoint").awaitTermination()
+    good, bad = s.read.schema("value string, event string").parquet(f"{base}/good"), s.read.schema("value string").parquet(f"{base}/bad")
+    return good.groupBy("event").agg(F.count("*").alias("n"), F.countDistinct("value").alias("lines")).unionByName(bad.agg(F.lit(None).cast("string").alias("event"), F.count("*").alias("n"), F.countDistinct("value").alias("lines")))
+
+
+def attempt_fates(s: SparkSession, d: str) -> DataFrame:
+    """What became of attempts that events stand for, by a stream with state that is stopped in between and goes on with the later half."""
+    base = f"{shared_dir(s)}/fates-{uuid.uuid4().hex}"
+    e, ts = F.col("event_id"), F.col("ts").cast("timestamp")
+    events = table(s, d, "events").select(F.col("user_id").alias("entry"), F.lit("hash").alias("stage"), e.alias("attempt_number"), ts.alias("ts"))
+    ends = events.where("attempt_number % 3 > 0").withColumn("ts", F.timestamp_add("MINUTE", F.col("attempt_number") % 5 * 20, F.col("ts")))
+    rows = events.withColumn("status", F.lit("running")).unionByName(ends.withColumn("status", F.lit("succeeded"))).select("entry", "stage", "attempt_number", "status", "ts")
+    middle = rows.agg(F.timestamp_seconds((F.unix_timestamp(F.min("ts")) + F.unix_timestamp(F.max("ts"))) / 2).alias("m"))  # one row
+    halves = stored(rows.join(F.broadcast(middle), F.lit(True)).withColumn("late", F.col("ts") > F.col("m")).drop("m"), "attempts")
+    for late in (False, True):
+        halves.where(F.col("late") == late).drop("late").write.mode("append").parquet(f"{base}/in")
+        told = journal.attempt_fates(s.readStream.schema("entry bigint, stage string, attempt_number bigint, status string, ts timestamp").parquet(f"{base}/in"))
+        told.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    found = s.read.schema(journal.FATE).parquet(f"{base}/out")
+    return found.groupBy("fate").agg(F.count("*").alias("n"), F.countDistinct("attempt_number").alias("attempts"), F.sum("entry").alias("entries"))
+
+
 QUERIES = {
+    "journal_ingest": journal_ingest,
+    "attempt_fates": attempt_fates,
     "export_hashes": lambda s, d: projections.project("hashes", bundle_of(s, d, True)["hashes"]),
     "export_photo_metadata": lambda s, d: module("photo_metadata", metadata.photo(metadata_queries.tagged(s, d)), s, d),
     "export_video_metadata": lambda s, d: module("video_metadata", record_queries.film_metadata(s, d), s, d),
@@ -116,6 +151,9 @@ _hash_fields = ", ".join(f"{_hash_known.get(f, 'NULL')} AS {f}" for f in project
 _photo = METADATA_SQL["photo_metadata"].replace(" FROM documents", ", 'ExifIFD:DateTimeOriginal' || CASE WHEN doc_id % 3 = 0 THEN '|offset=ExifIFD:OffsetTimeOriginal' ELSE '' END AS capture_time_source FROM documents")
 
 ORACLE_SQL = {
+    "journal_ingest": """SELECT event_type AS event, count(*) AS n, count(*) AS lines FROM events WHERE event_id % 50 > 0 GROUP BY ALL UNION ALL SELECT NULL, count(*), count(*) FROM events WHERE event_id % 50 = 0""",
+    "attempt_fates": """WITH a AS (SELECT user_id, event_id, CAST(ts AS TIMESTAMP) AS s, CASE WHEN event_id % 3 > 0 THEN CAST(ts AS TIMESTAMP) + to_minutes(CAST(event_id % 5 * 20 AS INTEGER)) END AS e FROM events), m AS (SELECT greatest(max(s), max(e)) - INTERVAL 10 MINUTE AS mark FROM a)
+        SELECT CASE WHEN e <= s + INTERVAL 1 HOUR THEN 'succeeded' ELSE 'abandoned' END AS fate, count(*) AS n, count(*) AS attempts, CAST(sum(user_id) AS BIGINT) AS entries FROM a, m WHERE least(coalesce(e, s + INTERVAL 1 HOUR), s + INTERVAL 1 HOUR) < mark GROUP BY ALL""",
     "export_hashes": f"WITH {SIDES.strip()} SELECT root AS root_label, path AS rel_path, root || chr(92) || path AS logical_path, {_hash_fields} FROM n WHERE hash IS NOT NULL",
     "export_photo_metadata": _export("photo_metadata", _photo, "capture_time_raw capture_time_source capture_tz_offset_min capture_time_utc camera_make camera_model lens_serial width iso f_number focal_length_mm gps_latitude", "exiftool"),
     "export_video_metadata": _export("video_metadata", RECORD_SQL["film_metadata"].replace(" FROM documents", ", 0 AS capture_tz_offset_min FROM documents"), "container_format duration_seconds bit_rate stream_count timecode capture_time_raw capture_time_source capture_tz_offset_min capture_time_utc camera_make camera_model title author", "ffprobe"),

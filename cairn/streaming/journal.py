@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cairn.sources.journals import parsed_lines
 
@@ -35,3 +39,52 @@ def event_rollup(events: DataFrame, delay: str = "1 hour", width: str = "1 day")
 def distinct_events(events: DataFrame, keys: list[str], delay: str = "1 hour") -> DataFrame:
     """Events whose keys weren't there before, within the watermark."""
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
+
+
+#: An attempt and what became of it.
+FATE = "entry bigint, stage string, attempt_number bigint, fate string, started timestamp"
+
+
+def attempt_fates(attempts: DataFrame, after: str = "1 hour", delay: str = "10 minutes", keep: str = "7 days") -> DataFrame:
+    """What became of every attempt (FATE): the status that it ended with, or abandoned where no end came within ``after`` of its start.
+
+    attempts: entry, stage, attempt_number, status and ts; ``running`` is a start,
+    all else an end. The first of several starts counts, and of several ends. An
+    attempt is told when the watermark (the latest ts less ``delay``) has passed
+    its end or the time for it, so that rows in any order give one answer. As a
+    stream (append mode) start and end are kept in state, and a timer of event
+    time tells the attempt. An end that comes after its attempt was told abandoned is ignored, for ``keep``.
+    """
+    if not attempts.isStreaming:
+        ends = F.col("status") != "running"
+        per = attempts.groupBy("entry", "stage", "attempt_number").agg(F.min(F.when(~ends, F.col("ts"))).alias("started"), F.min(F.when(ends, F.struct("ts", "status"))).alias("end"), F.max("ts").alias("last"))
+        mark = per.agg((F.max("last") - F.expr(f"interval {delay}")).alias("mark"))  # one row
+        limit = F.col("started") + F.expr(f"interval {after}")
+        due = F.least("end.ts", limit)  # of what is known
+        fate = F.when(F.col("started").isNull() | (F.col("end.ts") <= limit), F.col("end.status")).otherwise("abandoned")
+        return per.join(F.broadcast(mark), due < F.col("mark")).select("entry", "stage", "attempt_number", fate.alias("fate"), "started")
+    span, kept = (int(pd.Timedelta(x).total_seconds() * 1000) for x in (after, keep))
+
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        started, ended, status, told = state.get if state.exists else (None, None, None, False)
+        if state.hasTimedOut and told:
+            state.remove()
+            return
+        for batch in () if state.hasTimedOut else batches:
+            for at, word in zip(batch.ts, batch.status, strict=True):
+                at = int(pd.Timestamp(at).timestamp() * 1000)
+                if word == "running":
+                    started = at if started is None else min(started, at)
+                elif ended is None or (at, word) < (ended, status):
+                    ended, status = at, word
+        due = min(x for x in (ended, None if started is None else started + span) if x is not None)
+        mark = state.getCurrentWatermarkMs()
+        if not told and (state.hasTimedOut or due < mark):
+            told = True
+            fate = status if ended is not None and (started is None or ended <= started + span) else "abandoned"
+            yield pd.DataFrame({"entry": [key[0]], "stage": [key[1]], "attempt_number": [key[2]], "fate": [fate], "started": pd.Series([None if started is None else pd.Timestamp(started, unit="ms")], dtype="datetime64[ns]")})
+            due += kept
+        state.update((started, ended, status, told))
+        state.setTimeoutTimestamp(max(due, mark + 1))
+
+    return attempts.withWatermark("ts", delay).groupBy("entry", "stage", "attempt_number").applyInPandasWithState(follow, FATE, "started bigint, ended bigint, status string, told boolean", "append", GroupStateTimeout.EventTimeTimeout)
