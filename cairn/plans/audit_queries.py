@@ -173,7 +173,7 @@ QUERIES = {
     "problem_counts": lambda s, d: verify.problem_counts(attempts(s, d).where("status <> 'succeeded'").select("status", F.when(F.col("attempt_number") % 5 == 0, 3).cast("long").alias("affected"))),
     "tool_failure_groups": lambda s, d: verify.tool_failure_groups(attempts(s, d).where("error_code is not null").select(F.col("error_code").alias("signature"), F.lpad(F.col("attempt_number").cast("string"), 12, "0").alias("path"))).select("signature", "affected"),
     "metadata_issues": lambda s, d: issues.metadata_section(files(s, d), diagnostics(s, d)),
-    "hash_issues": lambda s, d: issues.hash_section(files(s, d), diagnostics(s, d).select("entry", F.lit("hash").alias("stage")).where("entry % 3 = 0"), history.latest_attempt(attempts(s, d))),
+    "hash_issues": lambda s, d: issues.hash_section(files(s, d), diagnostics(s, d).select("entry", F.when(F.col("entry") % 3 == 0, "hash").otherwise("metadata").alias("stage")), history.latest_attempt(attempts(s, d))),
     "diagnostic_rollup": lambda s, d: issues.diagnostic_rollup(diagnostics(s, d).withColumn("field_name", F.lit("f"))),
     "issue_flags": lambda s, d: issues.issue_flags(history.latest_attempt(attempts(s, d))),
     "capped_details": lambda s, d: issues.capped(files(s, d).where("meta_status = 'error'").select("root_label", "rel_path", "entry"), "root_label", F.col("entry").asc(), limit=5),
@@ -183,7 +183,7 @@ QUERIES = {
     "business_projection": business,
     "business_digest": lambda s, d: projections.business_digest(business(s, d)),
     "capability_matrix": lambda s, d: bundle.capabilities(s, {t: table(s, d, t) for t in WANTED}, WANTED),
-    "match_targets": lambda s, d: disks.match_targets(table(s, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("disk")), table(s, d, "orders").where("o_orderkey % 4 = 0").select(F.col("o_custkey").alias("disk"), F.col("o_orderkey").cast("string").alias("device"))),
+    "match_targets": lambda s, d: disks.match_targets(table(s, d, "customer").select(F.col("c_custkey").alias("disk")), table(s, d, "orders").select(F.when(F.col("o_orderkey") % 5 == 0, -F.col("o_custkey")).otherwise(F.col("o_custkey")).alias("disk"), F.col("o_orderkey").cast("string").alias("device"))),
     "critical_smart": lambda s, d: disks.critical_smart(table(s, d, "lineitem").select(F.col("l_orderkey").alias("disk"), (F.col("l_linenumber") + F.col("l_suppkey") % 200).cast("long").alias("id"), F.when(F.col("l_returnflag") == "R", "now").alias("when_failed"), F.col("l_quantity").cast("long").alias("raw"))),
     "volume_usage": lambda s, d: disks.volume_usage(table(s, d, "part").select("p_partkey", F.lit("c").alias("drive_letter"), F.col("p_size").cast("long").alias("size"), (F.col("p_partkey") % 40).alias("size_remaining"))),
     "constraint_violations": lambda s, d: bundle.constraint_violations({"roots": snapshot(s, d, True)["roots"], "dirs": snapshot(s, d, True)["dirs"], "entries": snapshot(s, d, True)["entries"].select("root_label", "rel_path", "path_key", F.col("size").alias("size_bytes"), F.lit(0).alias("is_placeholder"))}),
@@ -259,7 +259,7 @@ ORACLE_SQL = {
     "business_projection": f"""{_with(SIDES)} SELECT 'entries' AS section, CAST(json_object('root_label', root, 'rel_path', path) AS VARCHAR) AS key, CAST(json_object('hash_hex', hash, 'size', size) AS VARCHAR) AS values FROM o
         UNION ALL SELECT 'dirs', CAST(json_object('root_label', root, 'rel_path', path) AS VARCHAR), CAST(json_object('enum_status', 'ok') AS VARCHAR) FROM od""",
     "capability_matrix": "SELECT 'documents' AS capability, 'available' AS state, count(*) AS n FROM documents UNION ALL SELECT 'pages', 'available', count(*) FROM pages UNION ALL SELECT 'events', 'available', count(*) FROM events UNION ALL SELECT 'labels', 'available', count(*) FROM labels UNION ALL SELECT 'lineitem', 'incompatible', NULL",
-    "match_targets": """WITH d AS (SELECT c_custkey AS disk FROM customer WHERE c_custkey % 3 <> 0), v AS (SELECT o_custkey AS disk, min(CAST(o_orderkey AS VARCHAR)) AS device, count(*) > 1 AS several FROM orders WHERE o_orderkey % 4 = 0 GROUP BY ALL)
+    "match_targets": """WITH d AS (SELECT c_custkey AS disk FROM customer), v AS (SELECT CASE WHEN o_orderkey % 5 = 0 THEN -o_custkey ELSE o_custkey END AS disk, min(CAST(o_orderkey AS VARCHAR)) AS device, count(*) > 1 AS several FROM orders GROUP BY ALL)
         SELECT coalesce(d.disk, v.disk) AS disk, device, CASE WHEN d.disk IS NULL THEN 'no_disk' WHEN device IS NULL THEN 'no_device' WHEN several THEN 'several_devices' ELSE 'matched' END AS status FROM d FULL JOIN v ON d.disk = v.disk""",
     "critical_smart": """WITH a AS (SELECT l_orderkey AS disk, CAST(l_linenumber + l_suppkey % 200 AS BIGINT) AS id, CASE WHEN l_returnflag = 'R' THEN 'now' END AS failed, CAST(trunc(l_quantity) AS BIGINT) AS raw FROM lineitem)
         SELECT disk, CAST(list_position([5, 10, 184, 187, 188, 196, 197, 198, 199, 200], id) AS BIGINT) AS place, id, raw, CASE WHEN failed IS NOT NULL THEN 'failed' WHEN id <> 200 AND raw > 0 THEN 'attention' ELSE 'ok' END AS status FROM a WHERE id IN (5, 10, 184, 187, 188, 196, 197, 198, 199, 200)""",

@@ -53,10 +53,17 @@ def test_times(spark):
 def test_places(spark):
     found = values(spark, fn.gps_decimal, ["27 deg 16' 43.09\" N", "10 deg W", "1.5", "x"])
     assert abs(found[0] - 27.278636) < 1e-5 and found[1:] == [-10.0, None, None]  # a bare number is no text of degrees
+    assert values(spark, fn.gps_decimal, [" 10.5 deg 30.0\" W", "1 deg 2 ' S", "7deg", "x deg 3'", "-1 deg", "4 deg 5' N"]) == [-(10.5 + 30 / 3600), 1.0, 7.0, None, None, 4 + 5 / 60]
+    assert values(spark, fn.iso6709, ["+027+1/", "+27+1/x", "+27/", "+27+1+2+3/", "-0.5-179.25+8848.9/", ""])[:4] == [None] * 4
     found = values(spark, fn.iso6709, ["+27.278636+111.743586/", "+91+0/", "27+111/", "+1+2", "+1+2+3/"])
     assert found[0].latitude == 27.278636 and found[0].altitude is None and found[1:4] == [None, None, None] and found[4].altitude == 3
 
 
+def test_damage(spark):
+    said = ["File is TRUNCATED", "[minor] truncated", "Processing JPEG-like data after unknown 9-byte header", "unknown header after processing", "fine", "Bad atom size"]
+    assert values(spark, fn.corrupt_warning, said) == [True, False, True, False, False, True]
+
+
 def test_issues(spark):
     rows = spark.createDataFrame([("exiftool_reported_error", " Unknown  file type. "), ("exiftool_reported_error", "bad"), ("other", "unknown file type")], "c string, m string")
     assert [r[0] for r in rows.select(fn.issue_visible(F.col("c"), F.col("m"))).collect()] == [False, True, True]
