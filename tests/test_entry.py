@@ -25,7 +25,7 @@ def test_names():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["diff_entries", "files", "snapshot_counts", "metadata_issues", "read_outliers", "stratified_sample", "circuit_breaker", "payload_tags", "path_functions", "layout_gaps", "path_keys", "time_functions", "diff_published", "file_changes", "run_records", "issue_report", "disk_summary", "tree_digests"])
+@pytest.mark.parametrize("name", ["diff_entries", "files", "snapshot_counts", "metadata_issues", "read_outliers", "stratified_sample", "circuit_breaker", "payload_tags", "path_functions", "layout_gaps", "path_keys", "time_functions", "diff_published", "file_changes", "run_records", "issue_report", "disk_summary", "tree_digests", "reconciled_bundle", "finished_attempts", "deep_rows", "export_archives", "slow_reads", "execution_counts"])
 def test_oracle(spark, name):
     con = duckdb.connect()
     for t in TABLES:
