@@ -20,10 +20,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so that later jobs restart there."""
+def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, so that later jobs restart there.
+
+    Rows with long lists of hashes are best stored with ``compression`` none: they don't
+    compress, and a page of a hundred such rows is packed and unpacked in buffers of its size outside the heap.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("compression", compression) if compression else df.write).parquet(path)
     found = df.sparkSession.read.schema(df.schema).parquet(path)
     found.stored_at = path
     return found
