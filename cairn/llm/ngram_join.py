@@ -232,7 +232,7 @@ def linked_classes(docs: DataFrame, base: DataFrame, classes: DataFrame, percent
             break
         bound = 2**level
     frequent = shared.where(F.col("times") >= bound).select("hash").toArrow().column("hash").to_numpy() if bound else np.zeros(0, np.int64)
-    sets = stored(full_sets(docs, chosen, frequent, percent), "sets")
+    sets = stored(full_sets(docs, chosen, frequent, percent), "sets", "none")
     forget(shared, chosen)
     # No set of more than ``most`` shingles links through this one, if none before it is shared.
     most = F.expr(f"({100 + percent} * (n - place) - {percent} * n) div {percent}")
@@ -307,7 +307,7 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     without doc_id has none to give to its group, but its text links as any other does (a group of such rows alone has a null component_id).
     Other columns are left out. An empty table gives an empty table.
     """
-    base = stored(sketches(docs, percent), "sketches")
+    base = stored(sketches(docs, percent), "sketches", "none")
     classes = stored(base.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.coalesce(F.min(F.when(F.col("known"), F.col("doc_id"))), F.min("doc_id")).alias("rep"), F.min(F.when(F.col("known"), F.col("doc_id"))).alias("least"), F.count("*").alias("copies")), "classes")
     roots = linked_classes(docs, base, classes, percent)
     label = roots.select(F.col("node").alias("cls"), "root")
