@@ -365,7 +365,7 @@ def tree_digests(s: SparkSession, d: str) -> DataFrame:
     """Digests of a tree's files by three readers."""
     path = text_tree(s, d)
     found = files.list_tree(s.createDataFrame([("r", local(path))], "root_label string, root_path string"), 4)
-    own = files.digest_files(found["entries"].where("extension = 'txt'"), 4).select(fn.parent_path(F.col("rel_path")).alias("folder"), "hash_hex", "status")
+    own = files.digest_files(found["entries"].where("extension = 'txt'")).select(fn.parent_path(F.col("rel_path")).alias("folder"), "hash_hex", "status")
     folder = lambda c: F.regexp_extract(c, "(source=[^/]*/lang=[^/]*)/[^/]*$", 1)
     store = files.digest_store(s, path).where("path like '%.txt'").select(folder(F.col("path")).alias("folder"), F.col("hash_hex").alias("stored"))
     streamed = files.file_digests(s, path, "*.txt").select(folder(F.col("path")).alias("folder"), F.col("sha256").alias("streamed"))
