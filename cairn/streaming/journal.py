@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -43,9 +45,37 @@ def distinct_events(events: DataFrame, keys: list[str], delay: str = "1 hour") -
 
 #: An attempt and what became of it.
 FATE = "entry bigint, stage string, attempt_number bigint, fate string, started timestamp"
+#: What names an attempt in a state; ``nulls`` has a bit for each of the others that is null.
+NAMED = ["nulls", "entry", "stage", "attempt_number"]
+#: No such time, in microseconds.
+NEVER = np.iinfo("int64").max
 
 
-def attempt_fates(attempts: DataFrame, after: str = "1 hour", delay: str = "10 minutes", keep: str = "7 days") -> DataFrame:
+def _packed(held: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(held.astype({"stage": "category", "status": "category"}), preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pd.DataFrame:
+    with pa.ipc.open_stream(data) as found:
+        return found.read_pandas().astype({"stage": "object", "status": "object"})
+
+
+def _merged(held: pd.DataFrame | None, batch: pd.DataFrame) -> pd.DataFrame:
+    """Attempts with the first start and the first end of each; ``until`` is 0 for those that aren't told."""
+    batch = batch[batch.status.notna() & batch["at"].notna()]
+    begins = batch.status == "running"
+    at = batch["at"].astype("int64")
+    more = batch[NAMED].assign(started=at.where(begins, NEVER), ended=at.where(~begins, NEVER), status=batch.status.where(~begins, ""), until=0)
+    every = more if held is None else pd.concat([held, more])
+    groups = every.sort_values(["ended", "status"]).groupby(NAMED, sort=False)
+    return groups.agg(started=("started", "min"), ended=("ended", "first"), status=("status", "first"), until=("until", "max")).reset_index()
+
+
+def attempt_fates(attempts: DataFrame, after: str = "1 hour", delay: str = "10 minutes", keep: str = "7 days", buckets: int = 1024) -> DataFrame:
     """What became of every attempt (FATE): the status that it ended with, or abandoned where no end came within ``after`` of its start.
 
     attempts: entry, stage, attempt_number, status and ts; ``running`` is a start,
@@ -54,6 +84,10 @@ def attempt_fates(attempts: DataFrame, after: str = "1 hour", delay: str = "10 m
     its end or the time for it, so that rows in any order give one answer. As a
     stream (append mode) start and end are kept in state, and a timer of event
     time tells the attempt. An end that comes after its attempt was told abandoned is ignored, for ``keep``.
+
+    Attempts that are open or kept share one of ``buckets`` states by the hash of
+    their names, with one timer for the first that is due; so Python is called once a bucket
+    and batch, not once an attempt. A checkpoint goes with its number of buckets.
     """
     if not attempts.isStreaming:
         ends = F.col("status") != "running"
@@ -63,28 +97,33 @@ def attempt_fates(attempts: DataFrame, after: str = "1 hour", delay: str = "10 m
         due = F.least("end.ts", limit)  # of what is known
         fate = F.when(F.col("started").isNull() | (F.col("end.ts") <= limit), F.col("end.status")).otherwise("abandoned")
         return per.join(F.broadcast(mark), due < F.col("mark")).select("entry", "stage", "attempt_number", fate.alias("fate"), "started")
-    span, kept = (int(pd.Timedelta(x).total_seconds() * 1000) for x in (after, keep))
+    span, kept = (int(pd.Timedelta(x).total_seconds() * 1_000_000) for x in (after, keep))
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        started, ended, status, told = state.get if state.exists else (None, None, None, False)
-        if state.hasTimedOut and told:
-            state.remove()
-            return
+        held = _unpacked(state.get[0]) if state.exists else None
         for batch in () if state.hasTimedOut else batches:
-            for at, word in zip(batch.ts, batch.status, strict=True):
-                at = int(pd.Timestamp(at).timestamp() * 1000)
-                if word == "running":
-                    started = at if started is None else min(started, at)
-                elif ended is None or (at, word) < (ended, status):
-                    ended, status = at, word
-        due = min(x for x in (ended, None if started is None else started + span) if x is not None)
-        mark = state.getCurrentWatermarkMs()
-        if not told and (state.hasTimedOut or due < mark):
-            told = True
-            fate = status if ended is not None and (started is None or ended <= started + span) else "abandoned"
-            yield pd.DataFrame({"entry": [key[0]], "stage": [key[1]], "attempt_number": [key[2]], "fate": [fate], "started": pd.Series([None if started is None else pd.Timestamp(started, unit="ms")], dtype="datetime64[ns]")})
-            due += kept
-        state.update((started, ended, status, told))
-        state.setTimeoutTimestamp(max(due, mark + 1))
-
-    return attempts.withWatermark("ts", delay).groupBy("entry", "stage", "attempt_number").applyInPandasWithState(follow, FATE, "started bigint, ended bigint, status string, told boolean", "append", GroupStateTimeout.EventTimeTimeout)
+            held = _merged(held, batch)
+        mark_ms = state.getCurrentWatermarkMs()
+        mark = mark_ms * 1000
+        limit = held.started.where(held.started == NEVER, held.started + span)
+        due = np.minimum(held.ended, limit)
+        tell = (held.until == 0) & (due < mark)
+        if tell.any():
+            fate = held.status.where((held.ended < NEVER) & (held.ended <= limit), "abandoned")
+            yield held[tell][[*NAMED, "started"]].assign(fate=fate[tell])
+            held["until"] = held.until.where(~tell, np.maximum(due + kept, mark + 1000))
+        left = (held.until == 0) | (held.until >= mark)
+        if left.any():
+            state.update((_packed(held[left]),))
+            next_due = int(due.where(held.until == 0, held.until)[left].min())
+            state.setTimeoutTimestamp(max(next_due // 1000, mark_ms + 1))
+        elif state.exists:
+            state.remove()
+
+    names = NAMED[1:]
+    nulls = sum((F.col(c).isNull().cast("int") * 2**k for k, c in enumerate(names)), F.lit(0))
+    filled = [F.coalesce(F.col(c).cast(kind), F.lit(none).cast(kind)).alias(c) for c, kind, none in zip(names, ("bigint", "string", "bigint"), (0, "", 0), strict=True)]
+    rows = attempts.withWatermark("ts", delay).select(F.pmod(F.xxhash64(*names), F.lit(buckets)).alias("bucket"), nulls.alias("nulls"), *filled, "status", F.unix_micros("ts").alias("at"), "ts")
+    told = rows.groupBy("bucket").applyInPandasWithState(follow, "nulls int, entry bigint, stage string, attempt_number bigint, started bigint, fate string", "attempts binary", "append", GroupStateTimeout.EventTimeTimeout)
+    whole = [F.when(F.col("nulls").bitwiseAND(2**k) == 0, F.col(c)).alias(c) for k, c in enumerate(names)]
+    return told.select(*whole, "fate", F.timestamp_micros(F.nullif("started", F.lit(NEVER))).alias("started"))

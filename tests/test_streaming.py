@@ -70,3 +70,23 @@ def test_restarts(spark, tmp_path, name):
     assert got == due and len(due) > 20
     if name == "fates":
         assert {r.fate for r in want.collect()} == {"succeeded", "failed", "abandoned"}
+
+
+def test_fates_share_states(spark, tmp_path):
+    """States and timers are as many as buckets, whatever the number of attempts; names may be null, and an end without a status is none."""
+    rows = [(None if k % 50 == 0 else k % 40 + 2**60, None if k % 70 == 0 else "hash", None if k % 90 == 0 else k, "running", START + timedelta(seconds=k * 7, microseconds=k)) for k in range(3000)]
+    rows += [(*r[:3], None if k % 11 == 0 else "succeeded", r[4] + timedelta(minutes=k % 90)) for k, r in enumerate(rows) if k % 3]
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    sizes = []
+    for part in (rows[::2], rows[1::2]):
+        spark.createDataFrame(part, ATTEMPTS).coalesce(1).write.mode("append").parquet(source)
+        told = journal.attempt_fates(spark.readStream.schema(ATTEMPTS).parquet(source), "1 hour", "1 day", buckets=8)
+        query = told.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        sizes += [op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"]]
+    spark.createDataFrame([(1, "last", 1, "running", START + timedelta(days=2))], ATTEMPTS).write.mode("append").parquet(source)
+    journal.attempt_fates(spark.readStream.schema(ATTEMPTS).parquet(source), "1 hour", "1 day", buckets=8).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    show = lambda df: sorted(map(str, df.collect()))
+    found, want = show(spark.read.schema(journal.FATE).parquet(out)), show(journal.attempt_fates(spark.read.schema(ATTEMPTS).parquet(source), "1 hour", "1 day"))
+    assert found == want and len(want) > 2900
+    assert max(sizes) == 8
