@@ -28,9 +28,9 @@ def shaped(df: DataFrame, name: str) -> DataFrame:
     return df.select(*[(F.col(n) if n in df.columns else F.lit(None)).cast(kind).alias(n) for n, kind in pairs])
 
 
-def bundle_of(s: SparkSession, d: str, newer: bool) -> bundle.Bundle:
-    """One of the two snapshots as stored tables."""
-    side = snapshot(s, d, newer)
+def bundle_of(s: SparkSession, d: str, newer: bool, keep: bool = False) -> bundle.Bundle:
+    """One of the two snapshots as stored tables; with ``keep`` what they are made of is written once."""
+    side = snapshot(s, d, newer, keep)
     e = side["entries"]
     when = F.element_at(F.split("event", " "), 2)
     reused = F.col("origin") == "reused"
@@ -50,14 +50,19 @@ def bundle_of(s: SparkSession, d: str, newer: bool) -> bundle.Bundle:
 
 def published(s: SparkSession, d: str, newer: bool) -> bundle.Bundle:
     """The same, written, sealed, read back and held against its manifest."""
-    path = bundle.publish_snapshot(bundle.described(bundle_of(s, d, newer)), f"{shared_dir(s)}/published-{uuid.uuid4().hex}")
+    path = bundle.publish_snapshot(bundle.described(bundle_of(s, d, newer, True)), f"{shared_dir(s)}/published-{uuid.uuid4().hex}")
     return bundle.read_snapshot(s, path, verify=True)
 
 
+#: Entries of a SQLite file, about: its task holds it in memory, so larger snapshots get more files.
+FILE_ENTRIES = 25_000
+
+
 def imported(s: SparkSession, d: str, newer: bool) -> bundle.Bundle:
     """The same, from SQLite files: written by tasks, imported, published and read back."""
     folder = f"{shared_dir(s)}/sqlite-{uuid.uuid4().hex}"
-    sqlite.export_snapshot(bundle_of(s, d, newer), folder, 4).count()
+    own = bundle_of(s, d, newer, True)
+    sqlite.export_snapshot(own, folder, max(4, -(-own["entries"].count() // FILE_ENTRIES))).count()
     path = bundle.publish_snapshot(bundle.described(sqlite.import_snapshot(s, folder)), f"{shared_dir(s)}/imported-{uuid.uuid4().hex}")
     return bundle.read_snapshot(s, path, verify=True)
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import text as fn
+from cairn.sources.storage import stored
 
 #: The folder that the newer snapshot couldn't list.
 FAILED_ROOT, FAILED_DIR = "src7", "de"
@@ -27,7 +28,8 @@ def rule(name: str):
     return F.col("doc_id") % divisor == remainder
 
 
-def snapshot(spark: SparkSession, sf_dir: str, newer: bool) -> dict[str, DataFrame]:
+def snapshot(spark: SparkSession, sf_dir: str, newer: bool, keep: bool = False) -> dict[str, DataFrame]:
+    """One of the two snapshots; with ``keep`` its entries are written once, for jobs that make many tables of them."""
     docs = table(spark, sf_dir, "documents").where(~rule("absent_new" if newer else "absent_old"))
     text = F.coalesce(F.col("text"), F.lit(""))
     path = F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
@@ -50,6 +52,8 @@ def snapshot(spark: SparkSession, sf_dir: str, newer: bool) -> dict[str, DataFra
         F.when(hashed, F.when(rule("reused") & F.lit(newer), "reused").otherwise("computed")).alias("origin"),
         F.when(F.col("doc_id") % 5 == 0, F.create_map(F.lit("exiftool"), F.struct(sha.alias("sha"), version.alias("version"), stable.alias("stable")))).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<struct<sha:string,version:string,stable:string>>"))).alias("payloads"),
     )
+    if keep:
+        entries = stored(entries, "listed")
     folder = fn.parent_path(F.col("rel_path"))
     failed = (F.col("root_label") == FAILED_ROOT) & (F.col("path_key") == FAILED_DIR) & F.lit(newer)
     dirs = entries.select("root_label", F.explode(fn.ancestors(folder)).alias("rel_path")).distinct().withColumn("path_key", F.col("rel_path")).withColumn("enum_status", F.when(failed, "access_denied").otherwise("ok"))

@@ -33,11 +33,13 @@ def check_folder(spark: SparkSession, path: str) -> list[str]:
 
 
 def _described(spark: SparkSession, path: str, tables: list[str]) -> DataFrame:
-    out = None
-    for t in tables:
-        row = directory_digest(spark, f"{path}/{t}").select(F.lit(t).alias("table"), "files", "bytes", "digest")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """table, files, bytes and digest of each of a folder's tables, as ``directory_digest`` gives them, from one listing of the folder."""
+    fs, where = _file_system(spark, path)
+    inside = F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/", "")
+    depth = fs.makeQualified(where).depth()
+    each = file_digests(spark, path, "*.parquet").select(F.split_part(inside, F.lit("/"), F.lit(depth + 1)).alias("table"), "bytes", "sha256")
+    names = spark.createDataFrame([(t,) for t in tables], "table string")
+    return names.join(_digests_together(each, ["table"]), "table", "left").select("table", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("bytes", F.lit(0)).alias("bytes"), "digest")
 
 
 def fingerprint(spark: SparkSession, path: str) -> str:
@@ -80,7 +82,8 @@ def _publish(tables: Bundle, path: str, parted: tuple[str, ...] = ()) -> str:
     fs, source = _file_system(spark, partial)
     try:
         for name, df in tables.items():
-            (df.write.partitionBy("root_label") if name in parted else df.write).parquet(f"{partial}/{name}")
+            # Rows of a root are brought together first (large roots stay in several parts): otherwise every task writes a file a root.
+            (df.hint("rebalance", "root_label").write.partitionBy("root_label") if name in parted else df.write).parquet(f"{partial}/{name}")
         _described(spark, partial, list(tables)).write.parquet(f"{partial}/manifest")
         final = f"{path}_{fingerprint(spark, partial)}"
         if not fs.rename(source, _file_system(spark, final)[1]):
@@ -259,15 +262,19 @@ def module_state_counts(status: DataFrame) -> DataFrame:
     return counted.select(F.explode(F.array(*[F.struct(F.lit(x).alias("state"), F.col(x).alias("n")) for x in states])).alias("x")).select("x.*")
 
 
-def directory_digest(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
-    """One row: files, bytes and a digest over the digests of all files below a folder, whatever their order.
+def _digests_together(each: DataFrame, keys: list[str]) -> DataFrame:
+    """files, bytes and a digest over the digests of all files of a key, whatever their order.
 
     Digests are put together in parts by their first digits, so no task gathers more than a small share of them.
     """
-    each = file_digests(spark, path, pattern).withColumn("part", F.substring("sha256", 1, 3))
     joined = lambda c: F.sha2(F.array_join(F.sort_array(F.collect_list(c)), "\n").cast("binary"), 256)
-    parts = each.groupBy("part").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"), joined("sha256").alias("sha"))
-    whole = parts.agg(F.sum("n").alias("files"), F.sum("b").alias("bytes"), joined(F.concat("part", "sha")).alias("digest"))
+    parts = each.groupBy(*keys, F.substring("sha256", 1, 3).alias("part")).agg(F.count("*").alias("n"), F.sum("bytes").alias("b"), joined("sha256").alias("sha"))
+    return parts.groupBy(*keys).agg(F.sum("n").alias("files"), F.sum("b").alias("bytes"), joined(F.concat("part", "sha")).alias("digest"))
+
+
+def directory_digest(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
+    """One row: files, bytes and a digest over the digests of all files below a folder, whatever their order."""
+    whole = _digests_together(file_digests(spark, path, pattern), [])
     return whole.select(F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("bytes", F.lit(0)).alias("bytes"), "digest")
 
 

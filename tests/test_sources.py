@@ -275,3 +275,31 @@ def test_exports(spark, tmp_path):
     both = projections.union_shaped({"x": df.select("a"), "y": df.select("b")})
     assert both.columns == ["record_type", "a", "b"] and both.count() == 4
     assert projections.overview(df.limit(1), spark.createDataFrame([("s", "k", 3)], "section string, key string, value long")).count() == 3
+
+
+def test_files_of_published_tables(spark, tmp_path):
+    """Tasks don't each write a file for every root, and the manifest says of each table what its own digest does."""
+    good = snapshot(spark)
+    many = spark.range(400).select(F.concat(F.lit("r"), (F.col("id") % 5).cast("string")).alias("root_label"), F.col("id").cast("string").alias("rel_path")).repartition(8)
+    names = [c.split(" ") for c in schemas.TABLES["hashes"].split(", ")]
+    hashes = many.select(*[(F.col(n) if n in many.columns else F.lit(None)).cast(kind).alias(n) for n, kind in names])
+    path = bundle.publish_snapshot(good | {"hashes": hashes, "errors": good["entries"].select("root_label", "rel_path").where("false")}, str(tmp_path / "with space"))
+    assert len(list(pathlib.Path(path).glob("hashes/*/*.parquet"))) == 5
+    told = {r.table: (r.files, r.bytes, r.digest) for r in bundle.stored_tables(spark, path).collect()}
+    assert told["hashes"][0] == 5 and told["errors"] == (0, 0, None)
+    for name in ("entries", "hashes", "roots", "run_events"):
+        assert told[name] == tuple(bundle.directory_digest(spark, f"{path}/{name}").first())
+    bundle.read_snapshot(spark, path, ["entries", "hashes"], verify=True)
+
+
+def test_files_of_imported_snapshots(spark, monkeypatch):
+    """A larger snapshot goes through more SQLite files, not through larger ones."""
+    from cairn.plans import bundle_queries
+
+    seen = []
+    export = sqlite.export_snapshot
+    monkeypatch.setattr(bundle_queries, "FILE_ENTRIES", 20)
+    monkeypatch.setattr(sqlite, "export_snapshot", lambda own, folder, files: (seen.append(files), export(own, folder, files))[1])
+    found = bundle_queries.imported(spark, "/root/testdata/sf0.001", False)
+    n = found["entries"].count()
+    assert n > 150 and seen == [-(-n // 20)]
