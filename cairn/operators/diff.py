@@ -163,7 +163,8 @@ def with_origin(side: Side) -> Side:
 def compare(old: Side, new: Side, mapping: DataFrame | None = None) -> dict[str, DataFrame]:
     """``entries``, ``groups`` (content groups), ``dirs`` and ``subtrees`` of a comparison."""
     admit(old, new)
-    old, new = with_origin(old), with_origin(new)
+    # Entries may come from joins and digests of their own, and a dozen steps read them: they are written once a side.
+    old, new = (side | {"entries": stored(with_origin(side)["entries"].select("root_label", "path_key", *SIDE_COLUMNS), "side")} for side in (old, new))
     pairs = pair_roots(old, new, mapping)
     label = F.broadcast(pairs)  # roots: a few rows a side
     lefts = old["entries"].join(label.withColumnRenamed("old_root", "root_label"), "root_label", "left").withColumnRenamed("new_root", "pair")

@@ -179,3 +179,18 @@ def test_stored_sides_are_held_to_one_rule(spark):
     for a, b in ((info("complete", 1), info("complete", 2)), (info("running", 1), info("complete", 1))):
         with pytest.raises(ValueError):
             diff.admit_snapshots(a, b)
+
+
+def test_sides_are_read_once(spark):
+    """What makes a side's entries is done once a comparison, however many steps read them."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def costly(h):
+        made.add(1)
+        return h
+
+    old, new = side(spark, [{"rel_path": f"a{k}", "hash_hex": f"h{k % 7}"} for k in range(40)]), side(spark, [{"rel_path": f"b{k}", "hash_hex": f"h{k % 9}"} for k in range(40)])
+    found = diff.compare(*({**s, "entries": s["entries"].withColumn("hash_hex", costly("hash_hex"))} for s in (old, new)))
+    assert found["entries"].count() >= 40 and found["groups"].count() == 9
+    assert made.value == 80
