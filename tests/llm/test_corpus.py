@@ -13,6 +13,8 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -127,6 +129,35 @@ def test_cursors_pass_entries_unread():
     assert best.ids.tolist() == index.ids[np.lexsort((index.ids, -scores))[:5]].tolist() and min(best.ids) >= 6000
 
 
+def test_bars_go_from_shard_to_shard(tmp_path, monkeypatch):
+    """A task gives each text its k best of all shards, not of every group of them; few documents are scored in full, of copies no more than k."""
+    monkeypatch.setattr(search, "GROUP_POSTINGS", 1)
+    monkeypatch.setattr(search, "QUERIES", 7)
+    rng = random.Random(4)
+    texts = [prose(rng, rng.randint(20, 200)) for _ in range(1200)] + ["copies of one text " + prose(rng, 40)] * 300
+    rng.shuffle(texts)
+    made = search.TermCounter()
+    held = [(i, n, t, c) for i, (t, c, n) in enumerate(map(made.of, texts))]
+    mean = sum(x[1] for x in held) / len(held)
+    df = Counter(t for x in held for t in x[2].tolist())
+    asked = [*range(0, 1500, 60), next(i for i, t in enumerate(texts) if t.startswith("copies"))]
+    weigh = lambda t: [math.log1p((1500 - df[x] + 0.5) / (df[x] + 0.5)) for x in t]
+    for k, part in enumerate((asked[:9], asked[9:])):
+        terms = [held[i][2].tolist() for i in part]
+        pq.write_table(pa.table({"text": pa.array([b"%d" % i for i in part]), "terms": pa.array(terms), "idf": pa.array([weigh(t) for t in terms])}), tmp_path / f"{k}.parquet")
+    full = []
+    scores = search.Index._scores
+    monkeypatch.setattr(search.Index, "_scores", lambda self, mine, weight, docs: full.append(len(docs)) or scores(self, mine, weight, docs))
+    shards = iter([search.packed(held[i : i + 300]) for i in range(0, 1500, 300)])
+    found = [r for b in search.searched(shards, [str(tmp_path / "0.parquet"), str(tmp_path / "1.parquet")], mean, 5) for r in b.to_pylist()]
+    assert len(found) == 5 * len(asked)
+    assert sum(full) < 25 * len(asked)
+    for i in asked:
+        got = sorted((-r["score"], r["doc_id"]) for r in found if r["text"] == b"%d" % i)
+        want = bm25(list(enumerate(texts)), texts[i], 5)
+        assert [d for _, d in got] == [d for d, _ in want] and all(abs(a[0] + b[1]) < 1e-6 for a, b in zip(got, want, strict=True))
+
+
 # --- licences
 
 
