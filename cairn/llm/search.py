@@ -8,8 +8,10 @@ shared folder, past it, many at a time; what a query has found is its bar in the
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +37,8 @@ DENSE_SHARE, DENSE_LISTS, WORTH = 32, 1024, 400
 FAR, PUT_OFF, MANY = 3, 0.8, 40
 #: Bits of the filter of query terms (4 MB, whatever the input): terms that no query has needn't be indexed.
 FILTER_BITS = 1 << 25
-MEMORY_WORDS = 300_000
+#: The base of terms' polynomials, and the mixing steps of splitmix64.
+POWER, MIX = 0x9FB21C651E98DF25, ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB))
 WORD = re.compile(r"\w+")
 #: Bounds are taken a hair higher, as sums in another order may differ in their last digits.
 HAIR = 1 + 1e-9
@@ -45,26 +48,42 @@ NEAR, TINY = 1 + 2e-4, 1e-30
 INDEX = "ids array<long>, lengths array<int>, terms array<long>, sizes array<int>, places binary, counts binary"
 
 
-class Numbers(dict):
-    """64-bit hashes of words, made as they are asked for."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = found = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little", signed=True)
-        return found
+@functools.cache
+def word_characters() -> np.ndarray:
+    """Which code points WORD takes."""
+    found = np.fromiter((chr(c).isalnum() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+    found[ord("_")] = True
+    return found
 
 
 class TermCounter:
-    """Texts as sorted 64-bit term hashes with counts. Terms are runs of letters, digits and _, in lower case."""
+    """Texts as sorted 64-bit term hashes with counts. Terms are runs of letters, digits and _, in lower case.
+
+    A term's hash is a polynomial of its characters, mixed; all terms of a text are hashed at once.
+    """
 
     def __init__(self):
-        self.known = Numbers()
+        self.in_word = word_characters()
+        self.powers = np.full(1, POWER, np.uint64)
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
-        if len(self.known) > MEMORY_WORDS:
-            self.known.clear()
-        words = WORD.findall((text or "").lower())
-        terms, counts = np.unique(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)), return_counts=True)
-        return terms, counts.astype(np.int32), len(words)
+        letters = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4")
+        inside = np.zeros(len(letters) + 2, bool)
+        inside[1:-1] = self.in_word[letters]
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        n = edges[1::2] - edges[::2]
+        if not len(n):
+            return np.zeros(0, np.int64), np.zeros(0, np.int32), 0
+        if n.max() > len(self.powers):
+            self.powers = np.cumprod(np.full(2 * n.max(), POWER, np.uint64))
+        starts = np.cumsum(n) - n
+        place = np.arange(starts[-1] + n[-1]) - np.repeat(starts, n)
+        terms = np.add.reduceat((letters[inside[1:-1]] + np.uint64(1)) * self.powers[place], starts)
+        for shift, factor in MIX:
+            terms = (terms ^ (terms >> np.uint64(shift))) * np.uint64(factor)
+        terms = np.sort((terms ^ (terms >> np.uint64(31))).view(np.int64))
+        first = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]]))
+        return terms[first], np.diff(np.append(first, len(terms))).astype(np.int32), len(terms)
 
 
 def place(terms: np.ndarray) -> np.ndarray:

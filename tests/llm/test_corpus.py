@@ -129,6 +129,23 @@ def test_cursors_pass_entries_unread():
     assert best.ids.tolist() == index.ids[np.lexsort((index.ids, -scores))[:5]].tolist() and min(best.ids) >= 6000
 
 
+def test_terms_are_those_of_the_pattern():
+    """Terms are hashed by the text, not word by word; they are the pattern's words all the same."""
+    made = search.TermCounter()
+    letters = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    assert np.flatnonzero(made.in_word[[ord(c) for c in letters]]).tolist() == [m for w in search.WORD.finditer(letters) for m in range(*w.span())]
+    rng = random.Random(5)
+    known = {}
+    for _ in range(200):
+        text = "".join(rng.choice("abAB_09 éÉİß.,\n😀中ñ" + letters[rng.randrange(len(letters))]) for _ in range(rng.randrange(120)))
+        words = Counter(search.WORD.findall(text.lower()))
+        for w in words:
+            assert known.setdefault(int(made.of(w)[0][0]), w) == w
+        terms, counts, n = made.of(text)
+        assert n == words.total() and {known[t]: c for t, c in zip(terms.tolist(), counts.tolist(), strict=True)} == words and (terms[1:] > terms[:-1]).all()
+    assert [len(x) for x in made.of(None)[:2]] == [0, 0] and made.of(" .")[2] == 0
+
+
 def test_bars_go_from_shard_to_shard(tmp_path, monkeypatch):
     """A task gives each text its k best of all shards, not of every group of them; few documents are scored in full, of copies no more than k."""
     monkeypatch.setattr(search, "GROUP_POSTINGS", 1)
