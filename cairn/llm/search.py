@@ -27,8 +27,8 @@ K1, B, TOP = 1.2, 0.75, 10
 SHARD_DOCS, SHARD_POSTINGS, BLOCK = 16384, 3 << 20, 64
 #: Shards of at most so many postings together are held at once, so that a query's bar is carried from one to the next.
 GROUP_POSTINGS = 1 << 22
-#: Queries that are searched at once.
-QUERIES = 128
+#: Queries that are searched at once, and blocks in one product.
+QUERIES, TILE = 128, 16
 #: Long lists, kept as a matrix as well: those with a document in so many or more, but no more lists than this (the longest).
 #: A product over a row of it costs as much as so many postings of short lists would if divided by the row's length and the queries.
 DENSE_SHARE, DENSE_LISTS, WORTH = 32, 1024, 400
@@ -375,8 +375,10 @@ class Index:
         chosen[:, looked] = pivots[:, looked] & (short[:, looked] + long @ peaks[:, looked] + left[:, None] >= needs[:, None])
         self.blocks_scored += int(chosen.sum())
         scored = np.diff(np.concatenate([[0], chosen.any(0), [0]]))
-        for low, high in zip(np.flatnonzero(scored == 1) * BLOCK, np.flatnonzero(scored == -1) * BLOCK, strict=True):
-            given[:, low:high] += long @ self.dense[rows, low:high]
+        for first, last in zip(np.flatnonzero(scored == 1), np.flatnonzero(scored == -1), strict=True):
+            for low in range(first * BLOCK, last * BLOCK, TILE * BLOCK):
+                high = min(low + TILE * BLOCK, last * BLOCK)
+                given[:, low:high] += long @ self.dense[rows, low:high]
         for i in unset:
             bars[i] = max(bars[i], self._kth(given[i], k))
         needs = (np.maximum(bars, TINY) / NEAR).astype(np.float32)
